@@ -87,31 +87,40 @@ def nearest(
     )
 
 
-def containing(
+def with_covering(
     events: DataFrame, intervals: DataFrame, keys: Sequence[str], event_time: str, start: str, end: str,
-    order: Sequence[str], values: Sequence[str], width: float, closed_end: bool = False, last: bool = False,
+    order: Sequence[str], values: Sequence[str], width: float, closed_end: bool = False, name: str = "covering",
 ) -> DataFrame:
-    """Left join to the first (or last) interval that contains the event time.
+    """Events with the list of intervals that contain their time, in `order`.
 
     Intervals are spread over time bins of `width`, one list per (key, bin) of
-    the distinct intervals there, so the join is an equi join on key and bin.
+    the distinct intervals there, so the join is an equi join on key and bin
+    and every event stays one row.
     """
     keys = list(keys)
     bins = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
     spread = intervals.filter(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(bins))
-    spread = spread.groupBy(*keys, "_bin", start, end, *values).agg(
-        F.max(F.struct(*order)).alias("_rank") if last else F.min(F.struct(*order)).alias("_rank")
-    )
+    spread = spread.groupBy(*keys, "_bin", start, end, *values).agg(F.min(F.struct(*order)).alias("_rank"))
     item = F.struct(F.col("_rank"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(*values).alias("_v"))
-    lists = spread.groupBy(*keys, "_bin").agg(F.sort_array(F.collect_list(item), asc=not last).alias("_items"))
+    lists = spread.groupBy(*keys, "_bin").agg(F.sort_array(F.collect_list(item)).alias("_items"))
     joined = events.withColumn("_bin", F.floor(F.col(event_time) / width)).join(lists, [*keys, "_bin"], "left")
     t = F.col(event_time)
 
     def holds(x: Column) -> Column:
         return (x["_s"] <= t) & ((t <= x["_e"]) if closed_end else (t < x["_e"]))
 
-    hit = F.get(F.filter("_items", holds), 0)["_v"]
-    return joined.withColumn("_hit", hit).select(*events.columns, *[F.col("_hit")[v].alias(v) for v in values])
+    hits = F.transform(F.filter("_items", holds), lambda x: x["_v"])
+    return joined.withColumn(name, hits).select(*events.columns, name)
+
+
+def containing(
+    events: DataFrame, intervals: DataFrame, keys: Sequence[str], event_time: str, start: str, end: str,
+    order: Sequence[str], values: Sequence[str], width: float, closed_end: bool = False, last: bool = False,
+) -> DataFrame:
+    """Left join to the first (or last) interval that contains the event time."""
+    found = with_covering(events, intervals, keys, event_time, start, end, order, values, width, closed_end, "_hits")
+    hit = F.try_element_at("_hits", F.lit(-1 if last else 1))
+    return found.withColumn("_hit", hit).select(*events.columns, *[F.col("_hit")[v].alias(v) for v in values])
 
 
 def band(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.beats import beat_seconds, near_downbeat
@@ -147,13 +147,9 @@ def extrapolate_beats(beats: DataFrame, tracks: DataFrame, keys: tuple[str, ...]
 def counts_by_type(cuts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Count and percent of the total per trigger type."""
     counts = cuts.groupBy(*keys, "trigger_type").agg(F.count(F.lit(1)).alias("n"))
-    if keys:
-        total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-        joined = counts.join(total, list(keys))
-    else:
-        # a one-row total; the join has no keys because there is nothing to match
-        joined = counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))), how="left")
-    return joined.withColumn("percent", F.col("n") * 100.0 / F.col("total")).drop("total")
+    # one row per type and group is left here, so the window stays small
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    return counts.withColumn("percent", F.col("n") * 100.0 / total)
 
 
 def tempo(beats: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:

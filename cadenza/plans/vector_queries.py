@@ -1 +1,224 @@
-"""Queries."""
+"""Queries over vectors, fingerprints and near duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadenza.functions import vectors
+from cadenza.operators import duplicates, knn, selection, vectorops
+from cadenza.plans.registry import query
+
+UNITS = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM v_vec)"
+Q = "q AS (SELECT vec_id AS query_id, e FROM u WHERE vec_id % 50 = 0)"
+
+
+def units(df, *ids):
+    return df.select(*ids, vectors.unit(F.col("embedding")).alias("embedding"))
+
+
+def asked(v):
+    return units(v.query_vec, "query_id")
+
+
+def near(v, k, cells=16, **kw):
+    return knn.search(asked(v), units(v.vec, "vec_id"), k, cells=cells, **kw)
+
+
+def similarity(distance):
+    """Cosine similarity of unit vectors from their distance, in [0, 1]."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance * distance / 2))
+
+
+@query("f12_valid_vectors", """
+SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AS valid FROM v_vec""")
+def _(v):
+    return v.vec.select("vec_id", vectors.valid(F.col("embedding"), 64).alias("valid"))
+
+
+@query("v01_unit_vectors", f"""
+WITH {UNITS} SELECT vec_id, round(list_inner_product(e, e), 6) AS length, round(list_sum(e), 6) AS total FROM u""")
+def _(v):
+    u = vectors.unit(F.col("embedding"))
+    return v.vec.select("vec_id", F.round(vectors.dot(u, u), 6).alias("length"), F.round(F.aggregate(u, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("v02_exact_neighbours", f"""
+WITH {UNITS}, {Q}, s AS (SELECT query_id, vec_id, list_inner_product(q.e, u.e) AS ip FROM q, u),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(greatest(0e0, least(1e0, ip)), 4) AS similarity FROM r WHERE rank <= 10""")
+def _(v):
+    return near(v, 10).select("query_id", "vec_id", "rank", F.round(similarity(F.col("distance")), 4).alias("similarity"))
+
+
+@query("v03_approximate_neighbours")
+def _(v):
+    found = near(v, 10, cells=22, probes=10, trained=True)
+    return found.select("query_id", "vec_id", "rank", F.round(similarity(F.col("distance")), 4).alias("similarity"))
+
+
+@query("v04_similar_clips", f"""
+WITH {UNITS}, s AS (SELECT a.vec_id AS clip_id, b.vec_id AS other, list_inner_product(a.e, b.e) AS ip FROM u a, u b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY ip DESC, other) AS rank FROM s)
+SELECT clip_id, other, rank, round(greatest(0e0, least(1e0, ip)), 4) AS similarity, CASE WHEN ip >= 0.99e0 THEN 'exact' WHEN ip >= 0.9e0 THEN 'near_duplicate'
+  WHEN ip >= 0.7e0 THEN 'similar' ELSE 'low_similarity' END AS match_type FROM r WHERE rank <= 10 AND ip >= 0.3e0""")
+def _(v):
+    return vectorops.similar_items(v.vec, 10, 0.3, cells=16).select(
+        F.col("vec_id").alias("clip_id"), "other", "rank", F.round("similarity", 4).alias("similarity"), "match_type")
+
+
+@query("v05_pair_comparison", """
+SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0e0, least(1e0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 4) AS similarity
+FROM v_vec a JOIN v_vec b ON b.vec_id = a.vec_id + 1""")
+def _(v):
+    pairs = v.vec.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    out = vectorops.compare_pairs(pairs, v.vec)
+    return out.withColumn("similarity", F.round("similarity", 4))
+
+
+@query("v06_mmr_selection")
+def _(v):
+    # one list per label; the steps are the query vectors of that label
+    steps = v.vec.filter("vec_id % 5 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding")
+    ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 20, cells=16)
+    cuts = selection.with_candidates(steps.select("label", "query_id"), ranked, units(v.vec, "vec_id"), "query_id", "vec_id")
+    out = selection.select_mmr(cuts, ["label"], ["query_id"])
+    return out.select("label", "query_id", "picked", F.round("score", 6).alias("score"))
+
+
+@query("v07_batch_best_with_exclusions", f"""
+WITH {UNITS}, {Q}, s AS (SELECT query_id, vec_id, list_distance(q.e, u.e) AS d FROM q, u WHERE vec_id % 3 <> query_id % 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(d, 4) AS distance FROM r WHERE rank = 1""")
+def _(v):
+    residue = v.query_vec.select("query_id", F.pmod("query_id", F.lit(3)).alias("m"))
+    pairs = v.vec.select("vec_id", F.pmod("vec_id", F.lit(3)).alias("m")).join(residue, "m").select("query_id", "vec_id")
+    return near(v, 1, exclude=pairs).select("query_id", "vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("v08_continuity_rerank", f"""
+WITH {UNITS}, {Q}, s AS (SELECT query_id, q.e AS qe, vec_id, u.e, list_distance(q.e, u.e) AS d FROM q, u),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s),
+c AS (SELECT r.query_id, r.vec_id, 0.6e0 * r.d + 0.4e0 * list_distance(p.e, r.e) AS score FROM r JOIN u p ON p.vec_id = (r.query_id + 7) % 500 WHERE rank <= 10),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), vec_id) AS k FROM c)
+SELECT query_id, vec_id, round(score, 4) AS score FROM b WHERE k = 1""")
+def _(v):
+    previous = v.query_vec.select("query_id", F.pmod(F.col("query_id") + 7, F.lit(500)).alias("previous_id"))
+    out = vectorops.rerank_by_continuity(near(v, 10), previous, units(v.vec, "vec_id"), 0.4)
+    return out.select("query_id", "vec_id", F.round("score", 4).alias("score"))
+
+
+FEATURES = """f AS (SELECT m.clip_id, motion_score, motion_type, energy, moods, camera_magnitude FROM v_clip_motion m JOIN v_clip_mood o ON o.clip_id = m.clip_id)"""
+
+
+def features(v):
+    joined = v.clip_motion.join(v.clip_mood.select("clip_id", "energy", "moods"), "clip_id", "full")
+    return vectorops.clip_vectors(joined.withColumn("moods", F.from_json("moods", "array<string>")))
+
+
+@query("v09_feature_vectors", f"""
+WITH {FEATURES}, m AS (SELECT * FROM (VALUES ('ENERGETIC', 8), ('CALM', 9), ('DARK', 10), ('BRIGHT', 11), ('MELANCHOLIC', 12), ('EUPHORIC', 13), ('AGGRESSIVE', 14), ('PEACEFUL', 15),
+  ('MYSTERIOUS', 16), ('CHEERFUL', 17), ('TENSE', 18), ('DREAMY', 19), ('COOL', 20), ('WARM', 21)) x(mood, slot))
+SELECT clip_id, round(motion_score, 4) AS motion, round(energy, 4) AS energy, CASE motion_type WHEN 'STATIC' THEN 3 WHEN 'SLOW' THEN 4 WHEN 'MEDIUM' THEN 5 WHEN 'FAST' THEN 6 ELSE 7 END AS motion_slot,
+  (SELECT string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) FROM m WHERE contains(moods, '"' || mood || '"')) AS mood_slots, round(camera_magnitude, 4) AS camera, 27 AS dim FROM f""")
+def _(v):
+    vec = F.col("embedding")
+    slots = F.filter(F.transform(vec, lambda x, i: F.when((x == 1.0) & (i >= 7) & (i <= 20), i + 1)), lambda s: s.isNotNull())
+    motion = F.array_position(F.transform(F.slice(vec, 3, 5), lambda x: x == 1.0), True) + 2
+    full = features(v).filter("NOT is_imputed").join(v.clip_motion.select("clip_id"), "clip_id", "left_semi").join(v.clip_mood.select("clip_id"), "clip_id", "left_semi")
+    return full.select("clip_id", F.round(vec[0], 4).alias("motion"), F.round(vec[1], 4).alias("energy"), motion.cast("int").alias("motion_slot"),
+                       F.array_join(slots.cast("array<string>"), ",").alias("mood_slots"), F.round(vec[21], 4).alias("camera"), F.size(vec).alias("dim"))
+
+
+@query("v09_imputed_vectors")
+def _(v):
+    known = v.clip_motion.join(v.clip_mood.select("clip_id", "energy", "moods"), "clip_id", "full")
+    rows = v.clip.select("clip_id").join(known.withColumn("moods", F.from_json("moods", "array<string>")), "clip_id", "left")
+    out = vectorops.clip_vectors(rows).filter("is_imputed")
+    return out.select("clip_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("v10_near_duplicate_groups", f"""
+WITH RECURSIVE {UNITS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.6e0),
+w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b)
+SELECT a AS vec_id, least(a, min(b)) AS component FROM w GROUP BY a""")
+def _(v):
+    return duplicates.near_duplicate_groups(v.vec, "vec_id", "embedding", 0.6, cells=16)
+
+
+@query("v11_content_fingerprint", """
+SELECT doc_id, substring(sha256(concat_ws('_', lang, CAST(n_chars AS VARCHAR), substring(text, 1, 16), substring(text, 1 + length(text) // 4, 16),
+  substring(text, 1 + length(text) // 2, 16), substring(text, 1 + 3 * length(text) // 4, 16))), 1, 16) AS fingerprint FROM documents""")
+def _(v):
+    return v.table("documents").select("doc_id", vectorops.sampled_fingerprint(
+        F.col("text"), [F.col("lang"), F.col("n_chars").cast("string")]).alias("fingerprint"))
+
+
+@query("v12_fingerprint_check", """
+SELECT doc_id, substring(sha256(text), 1, 16) = substring(sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END), 1, 16) AS matches FROM documents""")
+def _(v):
+    docs = v.table("documents")
+    stored = vectorops.fingerprint(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return docs.select("doc_id", vectorops.verify(F.col("text"), stored).alias("matches"))
+
+
+@query("v13_search_with_exclusions", f"""
+WITH {UNITS}, {Q}, s AS (SELECT query_id, u.vec_id, list_inner_product(q.e, u.e) AS ip FROM q JOIN u ON NOT (u.label = q.query_id % 10 AND u.vec_id % 2 = 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(ip, 4) AS similarity FROM r WHERE rank <= 5""")
+def _(v):
+    wanted = v.query_vec.select("query_id", F.pmod("query_id", F.lit(10)).cast("int").alias("label"))
+    pairs = v.vec.filter("vec_id % 2 = 0").select("vec_id", "label").join(wanted, "label").select("query_id", "vec_id")
+    out = near(v, 5, exclude=pairs)
+    return out.select("query_id", "vec_id", "rank", F.round(1 - F.col("distance") * F.col("distance") / 2, 4).alias("similarity"))
+
+
+@query("v14_missing_embedding_worklist", """
+SELECT c.clip_id FROM v_clip c WHERE c.is_available AND NOT EXISTS (SELECT 1 FROM v_vec v WHERE v.vec_id = c.clip_id)""")
+def _(v):
+    have = v.vec.select(F.col("vec_id").alias("clip_id"))
+    return vectorops.missing(v.clip.filter("is_available"), have, "clip_id").select("clip_id")
+
+
+@query("v15_vector_table_merge", """
+SELECT coalesce(n.vec_id, o.vec_id) AS vec_id, round(coalesce(n.x, o.x), 6) AS first FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM v_vec WHERE vec_id % 7 <> 0) o
+FULL JOIN (SELECT vec_id + 300 AS vec_id, CAST(embedding[2] AS DOUBLE) AS x FROM v_vec) n ON n.vec_id = o.vec_id""")
+def _(v):
+    kept = v.vec.select("vec_id", "embedding", F.lit(1).alias("version"))
+    fresh = v.vec.select((F.col("vec_id") + 300).alias("vec_id"), F.slice("embedding", 2, 63).alias("embedding"), F.lit(2).alias("version"))
+    dropped = v.vec.filter("vec_id % 7 = 0").select("vec_id")
+    out = vectorops.merge_latest(kept, fresh, ["vec_id"], "version", dropped)
+    return out.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@query("a27_mean_pooled_vectors", """
+WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v_vec), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM x GROUP BY label, i)
+SELECT label, i, round(x, 6) AS value FROM m""")
+def _(v):
+    pooled = vectorops.mean_pool(v.vec, ["label"], "embedding")
+    return pooled.select("label", F.posexplode("embedding").alias("i", "x")).select("label", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("value"))
+
+
+@query("j18_hamming_neighbours", """
+SELECT a.clip_id, b.clip_id AS other, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance FROM v_phash a JOIN v_phash b ON a.clip_id <> b.clip_id AND hamming(a.bits, b.bits) <= 12""")
+def _(v):
+    return duplicates.hamming_neighbours(v.phash, v.phash, "clip_id", "bits", 12)
+
+
+@query("m16_two_stage_selection")
+def _(v):
+    steps = v.vec.filter("vec_id % 5 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding")
+    ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 100, cells=16)
+    items = units(v.vec, "vec_id").withColumn("emotion", F.lit(0.5))
+    cuts = selection.with_candidates(steps.select("label", "query_id"), ranked, items, "query_id", "vec_id", extra=["emotion"])
+    out = selection.select_two_stage(cuts, ["label"], ["query_id"])
+    return out.select("label", "query_id", "picked", F.round("score", 6).alias("score"))
+
+
+@query("m16_coarse_and_stateless_terms", f"""
+WITH {UNITS}, {Q}, s AS (SELECT query_id, vec_id, u.e, list_distance(q.e, u.e) AS d FROM q, u), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s),
+t AS (SELECT *, max(d) OVER (PARTITION BY query_id) AS top FROM r WHERE rank <= 10), p AS (SELECT t.*, list_distance(t.e, x.e) AS gap FROM t JOIN u x ON x.vec_id = (t.query_id + 7) % 500)
+SELECT query_id, vec_id, rank, round(1 - d / greatest(top, 0.001e0), 4) AS relevance, round(greatest(0e0, 1 - gap / 5), 4) AS continuity FROM p""")
+def _(v):
+    previous = v.query_vec.select("query_id", F.pmod(F.col("query_id") + 7, F.lit(500)).alias("previous_id"))
+    out = vectorops.stateless_terms(near(v, 10), previous, units(v.vec, "vec_id"))
+    return out.select("query_id", "vec_id", "rank", F.round("relevance", 4).alias("relevance"), F.round("continuity", 4).alias("continuity"))

@@ -138,11 +138,11 @@ def _(v):
 
 
 @query("v10_near_duplicate_groups", f"""
-WITH RECURSIVE {UNITS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.6e0),
+WITH RECURSIVE {UNITS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.42e0),
 w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b)
 SELECT a AS vec_id, least(a, min(b)) AS component FROM w GROUP BY a""")
 def _(v):
-    return duplicates.near_duplicate_groups(v.vec, "vec_id", "embedding", 0.6, cells=16)
+    return duplicates.near_duplicate_groups(v.vec, "vec_id", "embedding", 0.42, cells=16)
 
 
 @query("v11_content_fingerprint", """
@@ -199,9 +199,9 @@ def _(v):
 
 
 @query("j18_hamming_neighbours", """
-SELECT a.clip_id, b.clip_id AS other, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance FROM v_phash a JOIN v_phash b ON a.clip_id <> b.clip_id AND hamming(a.bits, b.bits) <= 12""")
+SELECT a.clip_id, b.clip_id AS other, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance FROM v_phash a JOIN v_phash b ON a.clip_id <> b.clip_id AND hamming(a.bits, b.bits) <= 16""")
 def _(v):
-    return duplicates.hamming_neighbours(v.phash, v.phash, "clip_id", "bits", 12)
+    return duplicates.hamming_neighbours(v.phash, v.phash, "clip_id", "bits", 16)
 
 
 @query("m16_two_stage_selection")

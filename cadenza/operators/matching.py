@@ -125,7 +125,8 @@ def top_by_level(
     far = by_level.join(lowest.drop("_r"), group).select(*group, axis, "_axis", item_id)
     scored = near.unionByName(far).distinct().withColumn(
         "score", F.least(F.lit(1.0), F.col("points") + closeness(F.col("_axis") - F.col(axis)))).filter("score > 0")
-    best = Window.partitionBy(*keys, axis).orderBy(F.col("score").desc(), item_id)
+    # scores that differ by rounding noise only count as equal
+    best = Window.partitionBy(*keys, axis).orderBy(F.round("score", 9).desc(), item_id)
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return targets.join(ranked.select(*keys, axis, item_id, "score", "rank"), [*keys, axis])
 

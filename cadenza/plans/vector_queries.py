@@ -9,7 +9,7 @@ from cadenza.operators import duplicates, knn, selection, vectorops
 from cadenza.plans.registry import query
 
 UNITS = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM v_vec)"
-Q = "q AS (SELECT vec_id AS query_id, e FROM u WHERE vec_id % 50 = 0)"
+Q = "q AS (SELECT vec_id AS query_id, e FROM u)"
 
 
 def units(df, *ids):
@@ -78,7 +78,7 @@ def _(v):
 @query("v06_mmr_selection")
 def _(v):
     # one list per label; the steps are the query vectors of that label
-    steps = v.vec.filter("vec_id % 5 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding")
+    steps = v.vec.select("label", F.col("vec_id").alias("query_id"), "embedding")
     ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 20, cells=16)
     cuts = selection.with_candidates(steps.select("label", "query_id"), ranked, units(v.vec, "vec_id"), "query_id", "vec_id")
     out = selection.select_mmr(cuts, ["label"], ["query_id"])
@@ -98,11 +98,11 @@ def _(v):
 @query("v08_continuity_rerank", f"""
 WITH {UNITS}, {Q}, s AS (SELECT query_id, q.e AS qe, vec_id, u.e, list_distance(q.e, u.e) AS d FROM q, u),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s),
-c AS (SELECT r.query_id, r.vec_id, 0.6e0 * r.d + 0.4e0 * list_distance(p.e, r.e) AS score FROM r JOIN u p ON p.vec_id = (r.query_id + 7) % 500 WHERE rank <= 10),
+c AS (SELECT r.query_id, r.vec_id, 0.6e0 * r.d + 0.4e0 * list_distance(p.e, r.e) AS score FROM r JOIN u p ON p.vec_id = (r.query_id + 7) % 100 WHERE rank <= 10),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), vec_id) AS k FROM c)
 SELECT query_id, vec_id, round(score, 4) AS score FROM b WHERE k = 1""")
 def _(v):
-    previous = v.query_vec.select("query_id", F.pmod(F.col("query_id") + 7, F.lit(500)).alias("previous_id"))
+    previous = v.query_vec.select("query_id", F.pmod(F.col("query_id") + 7, F.lit(100)).alias("previous_id"))
     out = vectorops.rerank_by_continuity(near(v, 10), previous, units(v.vec, "vec_id"), 0.4)
     return out.select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
@@ -206,7 +206,7 @@ def _(v):
 
 @query("m16_two_stage_selection")
 def _(v):
-    steps = v.vec.filter("vec_id % 5 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding")
+    steps = v.vec.select("label", F.col("vec_id").alias("query_id"), "embedding")
     ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 100, cells=16)
     items = units(v.vec, "vec_id").withColumn("emotion", F.lit(0.5))
     cuts = selection.with_candidates(steps.select("label", "query_id"), ranked, items, "query_id", "vec_id", extra=["emotion"])
@@ -216,9 +216,9 @@ def _(v):
 
 @query("m16_coarse_and_stateless_terms", f"""
 WITH {UNITS}, {Q}, s AS (SELECT query_id, vec_id, u.e, list_distance(q.e, u.e) AS d FROM q, u), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s),
-t AS (SELECT *, max(d) OVER (PARTITION BY query_id) AS top FROM r WHERE rank <= 10), p AS (SELECT t.*, list_distance(t.e, x.e) AS gap FROM t JOIN u x ON x.vec_id = (t.query_id + 7) % 500)
+t AS (SELECT *, max(d) OVER (PARTITION BY query_id) AS top FROM r WHERE rank <= 10), p AS (SELECT t.*, list_distance(t.e, x.e) AS gap FROM t JOIN u x ON x.vec_id = (t.query_id + 7) % 100)
 SELECT query_id, vec_id, rank, round(1 - d / greatest(top, 0.001e0), 4) AS relevance, round(greatest(0e0, 1 - gap / 5), 4) AS continuity FROM p""")
 def _(v):
-    previous = v.query_vec.select("query_id", F.pmod(F.col("query_id") + 7, F.lit(500)).alias("previous_id"))
+    previous = v.query_vec.select("query_id", F.pmod(F.col("query_id") + 7, F.lit(100)).alias("previous_id"))
     out = vectorops.stateless_terms(near(v, 10), previous, units(v.vec, "vec_id"))
     return out.select("query_id", "vec_id", "rank", F.round("relevance", 4).alias("relevance"), F.round("continuity", 4).alias("continuity"))

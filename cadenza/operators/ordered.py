@@ -52,13 +52,16 @@ def running(
     carried: list[Column] = []
     cleanup = [CHUNK]
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # looking ahead runs over the reversed order: a frame that ends at the last
+    # row would be evaluated anew for every row
+    reverse = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
     for i, v in enumerate(values):
         tot, car = f"_total{i}", f"_carry{i}"
         cleanup.append(car)
         edge = 0 if v.inclusive else -1
         back = local.rowsBetween(Window.unboundedPreceding, edge)
-        ahead = local.rowsBetween(-edge, Window.unboundedFollowing)
+        ahead = reverse.rowsBetween(Window.unboundedPreceding, edge)
         present = F.when(v.value.isNotNull(), position)
         if v.kind in ("sum", "count", "max", "min"):
             fn = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[v.kind]
@@ -71,9 +74,9 @@ def running(
             chunk_total.append(F.max_by(v.value, present).alias(tot))
             carried.append(F.last(tot, ignorenulls=True).over(before).alias(car))
         elif v.kind == "next":
-            work = work.withColumn(v.name, F.first(v.value, ignorenulls=True).over(ahead))
+            work = work.withColumn(v.name, F.last(v.value, ignorenulls=True).over(ahead))
             chunk_total.append(F.min_by(v.value, present).alias(tot))
-            carried.append(F.first(tot, ignorenulls=True).over(after).alias(car))
+            carried.append(F.last(tot, ignorenulls=True).over(after).alias(car))
         else:
             raise ValueError(f"unknown running kind {v.kind!r}")
     if not width:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,26 +81,12 @@ def median(df: DataFrame, keys: Sequence[str], index: str, value: str, window: i
     return out.withColumn(value, F.element_at(padded, h + 1)).drop("_around", "_size")
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _term(poly: Callable[[int, Column], Column], d: int, with_value: bool) -> Callable[[Column, Column], Column]:
-    """Element of the weighted sum (or of the norm) for degree d at window position k."""
-
-    def term(y: Column, k: Column) -> Column:
-        p = poly(d, k - F.col("_m"))
-        return y * p if with_value else p * p
-
-    return term
-
-
 def savgol(df: DataFrame, keys: Sequence[str], index: str, value: str, window: int = SAVGOL_WINDOW,
            block: int = 100_000) -> DataFrame:
     """Cubic Savitzky-Golay smoothing; the end windows are fitted once and evaluated.
 
     The cubic is written in the orthogonal polynomials of the window, so a row
-    needs four weighted sums over its window.
+    needs one weighted sum over its window.
     """
     sized = with_group(df, keys, F.count(F.lit(1)).alias("_size"))
     reach = window - 1
@@ -113,17 +99,24 @@ def savgol(df: DataFrame, keys: Sequence[str], index: str, value: str, window: i
     part = F.slice("_around", (start - i + F.least(i, F.lit(reach)) + 1).cast("int"), wl)
     out = out.withColumns({"_w": wl.cast("double"), "_m": m.cast("double"), "_x": (i - start - m).cast("double"), "_part": part})
     w = F.col("_w")
+    # squared norms of the four polynomials over a window of w points
+    spread = w * (w * w - 1)
+    norms = [w, spread / 12, spread * (w * w - 4) / 180, spread * (w * w - 4) * (w * w - 9) / 2800]
 
     def poly(d: int, x: Column) -> Column:
         return [F.lit(1.0), x, x * x - (w * w - 1) / 12, x * x * x - x * (3 * w * w - 7) / 20][d]
 
-    fit = F.lit(0.0)
-    for d in range(4):
-        terms = F.transform("_part", _term(poly, d, with_value=True))
-        norms = F.transform("_part", _term(poly, d, with_value=False))
-        fit = fit + poly(d, F.col("_x")) * _total(terms) / _total(norms)
+    # what the row's own position needs is worked out once per row
+    out = out.withColumns({f"_g{d}": poly(d, F.col("_x")) / norms[d] for d in range(4)} | {"_q": (w * w - 1) / 12, "_r": (3 * w * w - 7) / 20})
+
+    def weighted(y: Column, k: Column) -> Column:
+        u = k - F.col("_m")
+        square = u * u
+        return y * (F.col("_g0") + u * F.col("_g1") + (square - F.col("_q")) * F.col("_g2") + u * (square - F.col("_r")) * F.col("_g3"))
+
+    fit = F.aggregate(F.transform("_part", weighted), F.lit(0.0), lambda acc, x: acc + x)
     smooth = F.when(w < 5, F.col(value)).otherwise(fit)
-    return out.withColumn(value, smooth).drop("_around", "_part", "_w", "_m", "_x", "_size")
+    return out.withColumn(value, smooth).drop("_around", "_part", "_w", "_m", "_x", "_size", "_q", "_r", *[f"_g{d}" for d in range(4)])
 
 
 def smooth(df: DataFrame, keys: Sequence[str], index: str, value: str, method: str = "savgol", block: int = 100_000) -> DataFrame:

@@ -44,8 +44,8 @@ def _pick(x: np.ndarray, first: bool, last: bool, distance: int, prominence: flo
         j = i
         while j + 1 < n and x[j + 1] == x[i]:
             j += 1
-        left = x[i - 1] < x[i] if i > 0 else (False if first else None)
-        right = x[j + 1] < x[i] if j + 1 < n else (False if last else None)
+        left = bool(x[i - 1] < x[i]) if i > 0 else (False if first else None)
+        right = bool(x[j + 1] < x[i]) if j + 1 < n else (False if last else None)
         if left is not False and right is not False:
             tops.append(((i + j) // 2, left is not None and right is not None))
         i = j + 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.beats import beat_seconds, near_downbeat
 from cadenza.operators.chain import ANCHOR, KEPT, WalkRule, walk
-from cadenza.operators.ordered import neighbours, row_index
+from cadenza.operators.ordered import Running, row_index, running
 
 
 @dataclass(frozen=True)
@@ -206,8 +206,5 @@ def drops_of(curve: DataFrame, percentile: DataFrame, value: str, min_gap: int,
 def rises(curve: DataFrame, value: str, keys: tuple[str, ...] = ("track_id",), time: str = "t",
           width: float | None = None) -> DataFrame:
     """`idx` and `diff` to the previous value, 0 for the first."""
-    near = neighbours(curve, keys, [time], [value], width).drop("following")
-    with_diff = near.withColumn("diff", F.coalesce(F.col(value) - F.col("prev")[value], F.lit(0.0))).drop("prev")
-    return row_index(with_diff, keys, [time], "idx", width)
-
-
+    seen = running(curve, keys, [time], [Running("_before", "last", F.col(value)), Running("idx", "count", F.lit(1))], width)
+    return seen.withColumn("diff", F.coalesce(F.col(value) - F.col("_before"), F.lit(0.0))).drop("_before")

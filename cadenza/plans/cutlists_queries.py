@@ -146,8 +146,8 @@ def _(v):
 
 @query("x14_rule_presets")
 def _(v):
-    # the preset rules over the first half hour's grid of every track, at half-second steps
-    short = v.track.withColumn("duration", F.lit(1800.0))
+    # the preset rules over the first ten minutes of the grid of every track, at half-second steps
+    short = v.track.withColumn("duration", F.lit(600.0))
     grid = rules.evaluate_rules(rules.time_grid(short, 0.5, v.energy, CHUNK), list(rules.PRESETS.values()))
     return rules.walk_rules(grid, 0.5, 6.0, 600.0).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 

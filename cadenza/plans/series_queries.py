@@ -186,14 +186,14 @@ def _(v):
 
 @query("j12_beat_motion_matching")
 def _(v):
-    pairs = sync.match_beats(v.beat, v.motion_peak, 3_600_000.0, block=86_400.0)
+    pairs = sync.match_beats(v.beat, v.motion_peak, 3_600_000.0, block=CHUNK)
     return pairs.select("track_id", "beat_seq", "peak_seq", F.round("offset_ms", 3).alias("offset_ms"),
                         F.round("confidence", 6).alias("confidence"))
 
 
 @query("a16_sync_summary")
 def _(v):
-    pairs = sync.match_beats(v.beat, v.motion_peak, 3_600_000.0, block=86_400.0)
+    pairs = sync.match_beats(v.beat, v.motion_peak, 3_600_000.0, block=CHUNK)
     # offsets are in hours here; scale them so that the quality classes spread
     scaled = pairs.withColumn("offset_ms", F.col("offset_ms") / 6000.0)
     return sync.sync_summary(scaled, v.beat)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import chain, triggers
 from cadenza.operators.chain import WalkRule
-from cadenza.operators.ordered import exact_percentile
+from cadenza.operators.ordered import exact_percentile, row_index
 from cadenza.plans.registry import query
+from cadenza.session import materialize
 
 CHUNK = 432_000.0
 GAP = 21_600.0
@@ -191,8 +192,6 @@ def _(v):
 
 def repeat_runs(curve, max_repeats: int = 3, similar: float = 0.15, block: float = 16.0):
     """`kept` marks rows that select anew; the others repeat the clip before."""
-    from cadenza.operators.ordered import row_index
-
     numbered = row_index(curve, ["track_id"], ["t"], "idx", CHUNK)
     hold = float(max_repeats + 1)
     return chain.walk(numbered, ["track_id"], ["idx"], "energy", hold, WalkRule("differs", hold, threshold=similar), block)
@@ -212,7 +211,8 @@ m AS (SELECT track_id, max(diff) AS top FROM d GROUP BY track_id)
 SELECT w.track_id, h.idx, h.t, round(h.diff / (m.top + 1e-10), 6) AS strength
 FROM w JOIN h ON h.track_id = w.track_id AND h.rn = w.rn JOIN m ON m.track_id = w.track_id WHERE w.k""")
 def _(v):
-    curve = triggers.rises(v.energy, "energy", width=CHUNK)
+    # read three times below, so it is written once
+    curve = materialize(triggers.rises(v.energy, "energy", width=CHUNK), "rises")
     threshold = exact_percentile(curve.filter("diff > 0"), ["track_id"], "diff", 0.5, "threshold", 0.25)
     found = triggers.drops_of(curve, threshold, "energy", 4, width=16.0)
     return found.select("track_id", "idx", "t", F.round("strength", 6).alias("strength"))
@@ -234,7 +234,5 @@ def _(v):
         F.array_sort(F.collect_list("t")))
     lists = {k: k for k in ("beat", "onset", "kick", "snare", "hihat")}
     typed = triggers.cuts_from_lists(per_day, lists, base={"hihat": 0.9}).drop("seq")
-    from cadenza.operators.ordered import row_index
-
     numbered = row_index(typed, ["track_id", "trigger_type"], ["t"], "seq", CHUNK)
     return numbered.select("track_id", "trigger_type", "seq", F.round("t", 6).alias("t"), F.round("strength", 6).alias("strength"))

@@ -126,9 +126,12 @@ def near_duplicate_groups(items: DataFrame, item_id: str = "vec_id", vector: str
     return linked.join(big, "component", "left_semi").select(item_id, "component")
 
 
+SELECTIVE_BITS = 12
+
+
 def words_of_bits(bits: Column, total: int = 64) -> Column:
-    """Bit text as a signed 64-bit integer."""
-    return F.conv(F.substring(bits, 1, total), 2, -10).cast("bigint")
+    """Bit text as an array of 64-bit integers."""
+    return F.array(*[F.conv(F.substring(bits, i + 1, min(64, total - i)), 2, -10).cast("bigint") for i in range(0, total, 64)])
 
 
 def bits_of_hex(hexa: Column) -> Column:
@@ -146,36 +149,79 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def hamming_neighbours(left: DataFrame, right: DataFrame, id_col: str, bits: str, max_distance: int, total: int = 64,
-                       hot: int = 2_000, salts: int = 16) -> DataFrame:
+                       hot: int = 2_000, salts: int = 16, block_rows: int = 4_000) -> DataFrame:
     """(id, other, distance) of hashes within `max_distance`, itself excluded.
 
-    Hashes are cut into max_distance + 1 bands; a close pair agrees on one band
-    at least, and is counted at the first band it agrees on. Equal hashes
-    collapse before the join, so copies of one picture cost one comparison;
-    band values shared by many hashes are salted over several tasks.
+    Equal hashes collapse first, so copies of one picture cost one comparison.
+    Long hashes and small distances go through bands (see `_banded`); where the
+    bands would be too short to tell hashes apart, blocks are compared instead.
     """
-    bands = max_distance + 1
-    edges = [round(i * total / bands) for i in range(bands + 1)]
-
     def distinct(df: DataFrame) -> DataFrame:
         return df.filter(F.length(bits) == total).select(bits).distinct()
 
-    def banded(df: DataFrame) -> DataFrame:
-        parts = F.array(*[F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(bands)])
-        return df.select(bits, words_of_bits(F.col(bits), total).alias("_w"), parts.alias("_parts"), F.posexplode(parts).alias("_band", "_part"))
+    selective = total // (max_distance + 1) >= SELECTIVE_BITS
+    a, b = distinct(left), distinct(right)
+    pairs = _banded(a, b, bits, max_distance, total, hot, salts) if selective else _blocked(a, b, bits, max_distance, total, block_rows)
+    out = left.select(F.col(id_col), F.col(bits).alias("_a")).join(pairs, "_a")
+    other = right.select(F.col(id_col).alias("other"), F.col(bits).alias("_b"))
+    return out.join(other, "_b").filter(F.col(id_col) != F.col("other")).select(id_col, "other", "distance")
+
 
-    a = banded(distinct(left)).select(F.col(bits).alias("_a"), F.col("_w").alias("_wa"), F.col("_parts").alias("_pa"), "_band", "_part")
-    b = banded(distinct(right)).select(F.col(bits).alias("_b"), F.col("_w").alias("_wb"), F.col("_parts").alias("_pb"), "_band", "_part")
+def _banded(left: DataFrame, right: DataFrame, bits: str, max_distance: int, total: int, hot: int, salts: int) -> DataFrame:
+    """Pairs through max_distance + 1 bands: a close pair agrees on one at least.
+
+    A pair counts at the first band it agrees on. Band values shared by many
+    hashes are salted over several tasks.
+    """
+    bands = max_distance + 1
+    edges = [round(i * total / bands) for i in range(bands + 1)]
+    parts = F.array(*[F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(bands)])
+
+    def banded(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col(bits).alias(f"_{side}"), words_of_bits(F.col(bits), total).alias(f"_w{side}"), parts.alias(f"_p{side}"),
+                         F.posexplode(parts).alias("_band", "_part"))
+
+    a, b = banded(left, "a"), banded(right, "b")
     crowd = b.groupBy("_band", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    spots = F.when(F.col("_n") > hot, F.lit(salts)).otherwise(F.lit(1))
-    a = a.join(crowd.select("_band", "_part", spots.alias("_s")), ["_band", "_part"])
-    b = b.join(crowd.select("_band", "_part", spots.alias("_s")), ["_band", "_part"])
-    a = a.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
-    b = b.withColumn("_salt", F.pmod(F.xxhash64("_b"), F.col("_s")).cast("int")).drop("_s")
+    spots = crowd.select("_band", "_part", F.when(F.col("_n") > hot, F.lit(salts)).otherwise(F.lit(1)).alias("_s"))
+    a = a.join(spots, ["_band", "_part"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+    b = b.join(spots, ["_band", "_part"]).withColumn("_salt", F.pmod(F.xxhash64("_b"), F.col("_s")).cast("int")).drop("_s")
     near = a.join(b, ["_band", "_part", "_salt"])
-    gap = F.bit_count(F.col("_wa").bitwiseXOR(F.col("_wb")))
+    gap = F.aggregate(F.zip_with("_wa", "_wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
     first = F.array_position(F.zip_with("_pa", "_pb", lambda x, y: x == y), True) == F.col("_band") + 1
-    pairs = near.filter((gap <= max_distance) & first).select("_a", "_b", gap.cast("bigint").alias("distance"))
-    out = left.select(F.col(id_col), F.col(bits).alias("_a")).join(pairs, "_a")
-    other = right.select(F.col(id_col).alias("other"), F.col(bits).alias("_b"))
-    return out.join(other, "_b").filter(F.col(id_col) != F.col("other")).select(id_col, "other", "distance")
+    return near.filter(first).withColumn("distance", gap.cast("bigint")).filter(F.col("distance") <= max_distance).select("_a", "_b", "distance")
+
+
+def _blocked(left: DataFrame, right: DataFrame, bits: str, max_distance: int, total: int, block_rows: int) -> DataFrame:
+    """Pairs from comparing blocks of hashes inside tasks; only close pairs leave a task."""
+    from cadenza.session import ship_package
+
+    ship_package(left.sparkSession)
+    n_left, n_right = max(1, -(-left.count() // block_rows)), max(1, -(-right.count() // block_rows))
+
+    def blocks(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        row = df.select(F.col(bits).alias("bits"), words_of_bits(F.col(bits), total).alias("words"))
+        return row.withColumn(own, F.pmod(F.xxhash64("bits"), F.lit(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, cols, gaps = [], [], []
+        if a.num_rows and b.num_rows:
+            x, y = _word_matrix(a.column("words")), _word_matrix(b.column("words"))
+            step = max(1, SLICE // len(y))
+            for s in range(0, len(x), step):
+                gap = sum(np.bitwise_count(x[s:s + step, None, w] ^ y[None, :, w]).astype(np.int64) for w in range(x.shape[1]))
+                i, j = np.nonzero(gap <= max_distance)
+                rows.append(i + s)
+                cols.append(j)
+                gaps.append(gap[i, j])
+        take_a, take_b, dist = (np.concatenate(v) if v else np.array([], np.int64) for v in (rows, cols, gaps))
+        return pa.table([a.column("bits").take(pa.array(take_a, pa.int64())), b.column("bits").take(pa.array(take_b, pa.int64())),
+                         pa.array(dist, pa.int64())], names=["_a", "_b", "distance"])
+
+    lefts, rights = blocks(left, "i", n_left, "j", n_right), blocks(right, "j", n_right, "i", n_left)
+    return lefts.groupBy("i", "j").cogroup(rights.groupBy("i", "j")).applyInArrow(compare, "_a string, _b string, distance bigint")
+
+
+def _word_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.int64).view(np.uint64).reshape(len(column), -1)

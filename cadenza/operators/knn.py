@@ -38,6 +38,11 @@ def l2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def slack(x: np.ndarray) -> np.ndarray:
+    """More than the rounding error of the fast distances of these rows."""
+    return 1e-6 * (1.0 + np.abs(x).max(axis=1))
+
+
 def l2_row(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     gap = np.ascontiguousarray(x - q)
     return np.sqrt((gap * gap).sum(axis=1))
@@ -87,8 +92,8 @@ def assign(items: DataFrame, vector: str, centres: np.ndarray, metric: Metric) -
             x = matrix(table.column(vector))
             d = metric.pairs(x, c)
             best = d.argmin(1)
-            # the gap is a radius: recompute it exactly and round it up
-            gap = np.array([metric.row(c[j], x[i:i + 1])[0] for i, j in enumerate(best)]) * (1 + 1e-12)
+            # the gap becomes a radius: round it up by more than the fast matrix can be off
+            gap = d[np.arange(len(best)), best] + slack(x)
             out = table.append_column("_cell", pa.array(best.astype(np.int32))).append_column("_gap", pa.array(gap))
             yield from out.to_batches()
 
@@ -123,8 +128,8 @@ def route(queries: DataFrame, vector: str, cells: Cells, metric: Metric, probes:
                 continue
             q = matrix(table.column(vector))
             wanted = table.column("_k").to_numpy()
-            d = metric.pairs(q, c.centres[filled])
-            far = d + c.radius[filled] + 1e-9
+            d, loose = metric.pairs(q, c.centres[filled]), slack(q)[:, None]
+            far = d + c.radius[filled] + loose
             take, cell = [], []
             for i in range(len(q)):
                 if probes:
@@ -133,7 +138,7 @@ def route(queries: DataFrame, vector: str, cells: Cells, metric: Metric, probes:
                     order = np.argsort(far[i], kind="stable")
                     have = np.cumsum(c.counts[filled][order])
                     stop = min(int(np.searchsorted(have, wanted[i])), len(order) - 1)
-                    near = np.flatnonzero(d[i] - c.radius[filled] - 1e-6 <= far[i][order[stop]])
+                    near = np.flatnonzero(d[i] - c.radius[filled] - loose[i] <= far[i][order[stop]])
                 take.extend([i] * len(near))
                 cell.extend(filled[near].tolist())
             out = table.take(pa.array(take, pa.int64())).append_column("_cell", pa.array(cell, pa.int32()))
@@ -196,12 +201,13 @@ def search(
             q, x, ks = matrix(a.column(vector)), matrix(b.column(vector)), a.column("_k").to_numpy()
             ids = b.column(item_id).to_numpy()
             step = max(1, SLICE // len(x))
+            loose = slack(q) + slack(x).max()
             for s in range(0, len(q), step):
                 d = metric.pairs(q[s:s + step], x)
                 for r in range(d.shape[0]):
                     kk = int(min(ks[s + r], len(x)))
                     # the fast matrix is a little off: keep near ties, then rank exactly
-                    limit = np.partition(d[r], kk - 1)[kk - 1] + 1e-6
+                    limit = np.partition(d[r], kk - 1)[kk - 1] + 2 * loose[s + r]
                     cand = np.flatnonzero(d[r] <= limit)
                     exact = metric.row(q[s + r], x[cand])
                     order = np.lexsort((ids[cand], exact))[:kk]

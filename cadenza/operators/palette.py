@@ -107,7 +107,9 @@ def color_match(primary: Column, temperature: Column, brightness: Column, colors
 
 
 def _emotion_pairs(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.array([_emotion_row(row, x) for row in q])
+    gaps = [q[:, None, i] - x[None, :, i] for i in range(4)]
+    emotion = np.minimum(1.0, np.sqrt(gaps[0] ** 2 + gaps[1] ** 2) / 2.0)
+    return EMOTION_WEIGHT * emotion + RELEVANCE_WEIGHT * (np.abs(gaps[2]) + np.abs(gaps[3])) / 2.0
 
 
 def _emotion_row(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -120,16 +122,12 @@ def _emotion_row(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.round(EMOTION_WEIGHT * emotion + RELEVANCE_WEIGHT * relevance, 9)
 
 
-def _rounded_pairs(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.round(knn.l2(q, x), 9)
-
-
 def _rounded_row(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.round(knn.l2_row(q, x), 9)
 
 
 EMOTION_METRIC = knn.Metric(_emotion_pairs, _emotion_row)
-ROUNDED_L2 = knn.Metric(_rounded_pairs, _rounded_row)
+ROUNDED_L2 = knn.Metric(knn.l2, _rounded_row)
 
 
 def best_by_emotion(targets: DataFrame, clips: DataFrame, k: int = 1, cells: int | None = None) -> DataFrame:

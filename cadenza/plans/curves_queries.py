@@ -137,10 +137,10 @@ def _(v):
 
 @query("w08_interval_average_emotion", f"""
 WITH {EMO}, ask AS (SELECT track_id, seg_idx, start_t + k * (end_t - start_t) / 29e0 AS et FROM v_segment, (SELECT unnest(range(0, 30)) AS k)), {LOOK}
-SELECT track_id, seg_idx, round(avg(v), 6) AS valence, round(avg(a), 6) AS arousal FROM lk GROUP BY track_id, seg_idx""")
+SELECT track_id, seg_idx, round(avg(v), 9) AS valence, round(avg(a), 9) AS arousal FROM lk GROUP BY track_id, seg_idx""")
 def _(v):
     out = curves.interval_average(v.segment, emotion(v), KEY, ["valence", "arousal"], ["seg_idx"], 30 / 432_000.0, CHUNK)
-    return out.select("track_id", "seg_idx", F.round("valence", 6).alias("valence"), F.round("arousal", 6).alias("arousal"))
+    return out.select("track_id", "seg_idx", F.round("valence", 9).alias("valence"), F.round("arousal", 9).alias("arousal"))
 
 
 @query("w09_curve_from_segments", """
@@ -150,12 +150,12 @@ p AS (SELECT s.track_id, s.segment_type, s.seg_idx * 3 + part AS o, CASE part WH
   greatest(-1e0, least(1e0, e.v + (s.energy - 0.5e0) * 0.3e0)) AS v, greatest(-1e0, least(1e0, e.a + (s.energy - 0.5e0) * 0.5e0)) AS a
   FROM v_segment s JOIN e ON e.k = s.segment_type, (VALUES (0), (1), (2)) q(part)),
 n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t, o) - 1 AS idx FROM p WHERE t BETWEEN 0 AND 2592000e0)
-SELECT track_id, idx, segment_type, round(avg(v) OVER w, 6) AS valence, round(avg(a) OVER w, 6) AS arousal FROM n
+SELECT track_id, idx, segment_type, round(avg(v) OVER w, 9) AS valence, round(avg(a) OVER w, 9) AS arousal FROM n
 WINDOW w AS (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def _(v):
     rows = v.segment.withColumn("duration", F.lit(2_592_000.0)).withColumn("energy", F.col("energy").cast("double"))
     out = curves.emotion_from_segments(rows, "duration", KEY, 3, CHUNK)
-    return out.select("track_id", "idx", "segment_type", F.round("valence", 6).alias("valence"), F.round("arousal", 6).alias("arousal"))
+    return out.select("track_id", "idx", "segment_type", F.round("valence", 9).alias("valence"), F.round("arousal", 9).alias("arousal"))
 
 
 @query("w10_curve_from_features", """
@@ -166,12 +166,12 @@ l AS (SELECT track_id, idx, et, CASE WHEN t0 = et THEN e0 WHEN t0 IS NULL OR t1
 m AS (SELECT l.*, greatest(-1e0, least(1e0, (en * 0.4e0 + 0.5e0 * 0.3e0 - 0.35e0) * 2)) AS v, greatest(-1e0, least(1e0, (en * 0.5e0 + en * 0.8e0 * 0.5e0 - 0.25e0) * 2)) AS a FROM l),
 s AS (SELECT m.track_id, m.idx, arg_max(s.segment_type, s.seg_idx) AS segment_type FROM m JOIN v_segment s ON s.track_id = m.track_id
   AND trunc(s.start_t * 2) <= trunc(m.et * 2) AND trunc(m.et * 2) <= trunc(s.end_t * 2) GROUP BY m.track_id, m.idx)
-SELECT m.track_id, m.idx, s.segment_type, round(avg(v) OVER w, 6) AS valence, round(avg(a) OVER w, 6) AS arousal FROM m LEFT JOIN s ON s.track_id = m.track_id AND s.idx = m.idx
+SELECT m.track_id, m.idx, s.segment_type, round(avg(v) OVER w, 9) AS valence, round(avg(a) OVER w, 9) AS arousal FROM m LEFT JOIN s ON s.track_id = m.track_id AND s.idx = m.idx
 WINDOW w AS (PARTITION BY m.track_id ORDER BY m.idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def _(v):
     curve = v.energy.withColumnRenamed("energy", "value")
     out = curves.emotion_from_features(v.track, {"energy": curve, "brightness": curve}, KEY, 60 / 2_592_000.0, v.segment, 3, CHUNK, CHUNK)
-    return out.select("track_id", "idx", "segment_type", F.round("valence", 6).alias("valence"), F.round("arousal", 6).alias("arousal"))
+    return out.select("track_id", "idx", "segment_type", F.round("valence", 9).alias("valence"), F.round("arousal", 9).alias("arousal"))
 
 
 FRAMES = """fr AS (SELECT track_id, idx, energy, abs(sin(idx / 5e0)) * energy AS f2 FROM n)"""

@@ -82,22 +82,24 @@ def test_hamming_edges(spark):
     assert [r.d for r in df.select(duplicates.hamming(a, b).alias("d")).collect()] == [1, -1, -1, 8]
 
 
-def test_hamming_join_at_the_threshold(spark):
+@pytest.mark.parametrize("total,limit", [(64, 6), (64, 3), (256, 10)])
+def test_hamming_join_at_the_threshold(spark, total, limit):
     rng = random.Random(3)
-    base = [[rng.choice("01") for _ in range(64)] for _ in range(30)]
-    for flips in range(1, 12):
+    base = [[rng.choice("01") for _ in range(total)] for _ in range(30)]
+    for flips in range(1, limit + 4):
         near = base[0][:]
-        for i in rng.sample(range(64), flips):
+        for i in rng.sample(range(total), flips):
             near[i] = "1" if near[i] == "0" else "0"
         base.append(near)
-    bits = ["".join(b) for b in base] + ["".join(base[0])] * 5
+    bits = ["".join(b) for b in base] + ["".join(base[0])] * 5 + ["01"]
     df = spark.createDataFrame(list(enumerate(bits)), "clip_id long, bits string")
-    got = {(r.clip_id, r.other): r.distance for r in duplicates.hamming_neighbours(df, df, "clip_id", "bits", 6, hot=2, salts=3).collect()}
+    out = duplicates.hamming_neighbours(df, df, "clip_id", "bits", limit, total, hot=2, salts=3, block_rows=11)
+    got = {(r.clip_id, r.other): r.distance for r in out.collect()}
     want = {}
-    for i, a in enumerate(bits):
-        for j, b in enumerate(bits):
+    for i, a in enumerate(bits[:-1]):
+        for j, b in enumerate(bits[:-1]):
             d = sum(x != y for x, y in zip(a, b))
-            if i != j and d <= 6:
+            if i != j and d <= limit:
                 want[(i, j)] = d
     assert got == want
 

@@ -90,14 +90,11 @@ def savgol(df: DataFrame, keys: Sequence[str], index: str, value: str, window: i
     """
     sized = with_group(df, keys, F.count(F.lit(1)).alias("_size"))
     reach = window - 1
-    frame = {"_around": lambda w: F.collect_list(value).over(w.rowsBetween(-reach, reach))}
-    out = framed(sized, keys, index, reach, frame, block)
     n, i = F.col("_size"), F.col(index)
     wl = F.least(F.lit(window), F.when(n % 2 == 1, n).otherwise(n - 1)).cast("int")
     m = F.floor(wl / 2).cast("int")
     start = F.least(F.greatest(i - m, F.lit(0)), n - wl)
-    part = F.slice("_around", (start - i + F.least(i, F.lit(reach)) + 1).cast("int"), wl)
-    out = out.withColumns({"_w": wl.cast("double"), "_m": m.cast("double"), "_x": (i - start - m).cast("double"), "_part": part})
+    sized = sized.withColumns({"_wl": wl, "_w": wl.cast("double"), "_m": m.cast("double"), "_x": (i - start - m).cast("double"), "_start": start})
     w = F.col("_w")
     # squared norms of the four polynomials over a window of w points
     spread = w * (w * w - 1)
@@ -106,17 +103,20 @@ def savgol(df: DataFrame, keys: Sequence[str], index: str, value: str, window: i
     def poly(d: int, x: Column) -> Column:
         return [F.lit(1.0), x, x * x - (w * w - 1) / 12, x * x * x - x * (3 * w * w - 7) / 20][d]
 
-    # what the row's own position needs is worked out once per row
-    out = out.withColumns({f"_g{d}": poly(d, F.col("_x")) / norms[d] for d in range(4)} | {"_q": (w * w - 1) / 12, "_r": (3 * w * w - 7) / 20})
+    # what a row's own position needs is worked out before the window, once per row
+    own = {f"_g{d}": poly(d, F.col("_x")) / norms[d] for d in range(4)} | {"_q": (w * w - 1) / 12, "_r": (3 * w * w - 7) / 20}
+    frame = {"_around": lambda win: F.collect_list(value).over(win.rowsBetween(-reach, reach))}
+    out = framed(sized.withColumns(own), keys, index, reach, frame, block)
+    part = F.slice("_around", (F.col("_start") - i + F.least(i, F.lit(reach)) + 1).cast("int"), F.col("_wl"))
 
     def weighted(y: Column, k: Column) -> Column:
         u = k - F.col("_m")
         square = u * u
         return y * (F.col("_g0") + u * F.col("_g1") + (square - F.col("_q")) * F.col("_g2") + u * (square - F.col("_r")) * F.col("_g3"))
 
-    fit = F.aggregate(F.transform("_part", weighted), F.lit(0.0), lambda acc, x: acc + x)
+    fit = F.aggregate(F.transform(part, weighted), F.lit(0.0), lambda acc, x: acc + x)
     smooth = F.when(w < 5, F.col(value)).otherwise(fit)
-    return out.withColumn(value, smooth).drop("_around", "_part", "_w", "_m", "_x", "_size", "_q", "_r", *[f"_g{d}" for d in range(4)])
+    return out.withColumn(value, smooth).drop("_around", "_wl", "_w", "_m", "_x", "_start", "_size", *own)
 
 
 def smooth(df: DataFrame, keys: Sequence[str], index: str, value: str, method: str = "savgol", block: int = 100_000) -> DataFrame:

@@ -78,11 +78,10 @@ def similar_edges(items: DataFrame, item_id: str, vector: str, threshold: float,
                 "_cell", pa.array(cell.astype(np.int32))).to_batches()
 
     visits = materialize(placed.mapInArrow(reach, reach_schema), "reach")
-    sizes = {x["_cell"]: x["count"] for x in visits.groupBy("_cell").count().collect()}
-    entries = [x for c, n in sizes.items() if n > block_rows for x in (F.lit(c), F.lit(-(-n // block_rows)))]
-    blocks = F.coalesce(F.create_map(*entries)[F.col("_cell")], F.lit(1)) if entries else F.lit(1)
-    own = F.pmod(F.xxhash64(F.col(item_id)), blocks).cast("int")
-    row = visits.withColumn("_own", own)
+    # at most one row per centre
+    sizes = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    row = visits.join(F.broadcast(sizes), "_cell").withColumn("_own", F.pmod(F.xxhash64(F.col(item_id)), F.col("_blocks")).cast("int"))
+    blocks = F.col("_blocks")
     # block (i, j) with i <= j sees the rows of both; each row goes to `blocks` of them
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
         F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")))

@@ -105,7 +105,8 @@ def build_cells(items: DataFrame, item_id: str, vector: str, metric: Metric, cel
         n = items.count()
         cells = min(MAX_CELLS, int(n ** 0.5)) if n > 5000 else 1
     centres = pick_centres(items, item_id, vector, max(1, min(cells, MAX_CELLS)), trained)
-    placed = assign(items, vector, centres, metric)
+    # the placement is read for the statistics and for the search: written once
+    placed = materialize(assign(items, vector, centres, metric), "placed")
     # one row per cell, at most MAX_CELLS
     stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("r")).collect()
     counts, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
@@ -177,21 +178,13 @@ def search(
     visits = materialize(route(asked, vector, table, metric, probes), "visits")
     # rows per cell are known for both sides: at most MAX_CELLS entries
     demand = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
-    n_blocks = {c: max(1, -(-int(table.counts[c]) // block_rows)) for c in demand}
-    n_asks = {c: max(1, -(-n // query_rows)) for c, n in demand.items()}
-
-    def per_cell(sizes: dict[int, int]):
-        entries = [x for c, n in sizes.items() if n > 1 for x in (F.lit(c), F.lit(n))]
-        if not entries:
-            return F.lit(1)
-        return F.coalesce(F.create_map(*entries)[F.col("_cell")], F.lit(1))
-
-    ask_of = F.pmod(F.xxhash64(F.col(query_id)), per_cell(n_asks)).cast("int")
-    all_blocks = F.sequence(F.lit(0), per_cell(n_blocks) - 1)
-    left = visits.withColumn("_ask", ask_of).withColumn("_block", F.explode(all_blocks))
-    block_of = F.pmod(F.xxhash64(F.col(item_id)), per_cell(n_blocks)).cast("int")
-    wanted = placed.filter(F.col("_cell").isin(list(demand))) if len(demand) < len(table.centres) else placed
-    right = wanted.withColumn("_block", block_of).withColumn("_ask", F.explode(F.sequence(F.lit(0), per_cell(n_asks) - 1)))
+    plan = [(int(c), max(1, -(-int(table.counts[c]) // block_rows)), max(1, -(-n // query_rows))) for c, n in demand.items()]
+    sizes = F.broadcast(queries.sparkSession.createDataFrame(plan, "_cell int, _blocks int, _asks int"))
+    left = visits.join(sizes, "_cell").withColumn("_ask", F.pmod(F.xxhash64(F.col(query_id)), F.col("_asks")).cast("int"))
+    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks", "_asks")
+    # the join also leaves out cells that no query visits
+    right = placed.join(sizes, "_cell").withColumn("_block", F.pmod(F.xxhash64(F.col(item_id)), F.col("_blocks")).cast("int"))
+    right = right.withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).drop("_blocks", "_asks", "_gap")
     qt, it = queries.schema[query_id].dataType, items.schema[item_id].dataType
     schema = T.StructType([T.StructField(query_id, qt), T.StructField(item_id, it), T.StructField("distance", T.DoubleType())])
 

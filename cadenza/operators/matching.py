@@ -11,6 +11,7 @@ from cadenza.functions import moods
 from cadenza.functions.moods import clamp
 from cadenza.operators.ordered import row_index
 from cadenza.operators.timejoin import asof
+from cadenza.session import materialize
 
 # fixed values: points of the mood and motion scores
 EXACT_MOOD, COMPATIBLE_MOOD, SEVERAL_MOODS = 0.5, 0.3, 0.2
@@ -111,9 +112,10 @@ def top_by_level(
     keys = list(keys)
     group = [*keys, "points"]
     by_id = Window.partitionBy(*group, "_axis").orderBy(item_id)
-    items = levels.select(*group, F.col(axis).alias("_axis"), item_id)
+    # both are read several times below, so they are written once
+    items = materialize(levels.select(*group, F.col(axis).alias("_axis"), item_id), "levels")
     tied = items.withColumn("_tie", F.row_number().over(by_id)).filter(F.col("_tie") <= k).drop("_tie")
-    values = row_index(tied.select(*group, "_axis").distinct(), group, ["_axis"], "_idx", width)
+    values = materialize(row_index(tied.select(*group, "_axis").distinct(), group, ["_axis"], "_idx", width), "values")
     asked = targets.select(*keys, axis).distinct()
     by_level = asked.join(values.select(*group).distinct(), keys)
     # values are keyed by (keys, points): equal floats come from the same literals

@@ -50,6 +50,18 @@ def _picks(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Seque
     return _map_groups(df.repartition(*keys), list(keys), list(order), schema, build)
 
 
+def _candidates(rows: pa.Table, *extra: str):
+    """Per row: ids, distances, vectors and extra fields of its candidates as arrays."""
+    column = rows.column("candidates").combine_chunks()
+    for i in range(len(column)):
+        entries = column[i].values
+        if entries is None or not len(entries):
+            yield (np.array([], np.int64), np.array([]), np.zeros((0, 1)), *[np.array([]) for _ in extra])
+            continue
+        vectors = entries.field("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(entries), -1)
+        yield (entries.field("id").to_numpy(), entries.field("distance").to_numpy(), vectors, *[entries.field(e).to_numpy() for e in extra])
+
+
 def select_mmr(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], balance: float = 0.6, window: int = 10,
                top_k: int = 10, keep: Sequence[str] = ()) -> DataFrame:
     """Greedy choice: balance * relevance + (1 - balance) * mean distance to the last picks.
@@ -61,26 +73,24 @@ def select_mmr(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], balan
     def choose(rows: pa.Table):
         history: list[int] = []
         shown: list[np.ndarray] = []
-        for cands in rows.column("candidates").to_pylist():
-            recent = set(history[-window:])
-            free = [c for c in cands or [] if c["id"] not in recent][:top_k]
-            if not free:
+        for ids, distances, vectors in _candidates(rows):
+            free = np.flatnonzero(~np.isin(ids, history[-window:]))[:top_k]
+            if not len(free):
                 # everything is recent: give the oldest pick again
                 yield (history.pop(0), 0.5) if history else (None, None)
                 continue
-            past = np.array(shown[-window:]) if shown else None
-            best, best_score = None, -1.0
-            for c in free:
-                relevance = 1.0 - min(1.0, c["distance"] / RELEVANCE_SCALE)
-                v = np.array(c["vector"], dtype=float)
-                spread = 1.0 if past is None else min(1.0, float(np.sqrt(((past - v) ** 2).sum(1)).mean()) / RELEVANCE_SCALE)
-                score = balance * relevance + (1 - balance) * spread
-                if score > best_score:
-                    best, best_score = (c["id"], v), score
-            history.append(best[0])
-            shown.append(best[1])
+            v = vectors[free]
+            relevance = 1.0 - np.minimum(1.0, distances[free] / RELEVANCE_SCALE)
+            spread = np.ones(len(free))
+            if shown:
+                gaps = np.sqrt(((v[:, None, :] - np.array(shown[-window:])[None]) ** 2).sum(2))
+                spread = np.minimum(1.0, gaps.mean(1) / RELEVANCE_SCALE)
+            scores = balance * relevance + (1 - balance) * spread
+            best = int(np.argmax(scores))
+            history.append(int(ids[free[best]]))
+            shown.append(v[best])
             history, shown = history[-2 * window:], shown[-2 * window:]
-            yield best[0], best_score
+            yield history[-1], float(scores[best])
 
     return _picks(cuts, keys, order, keep, choose)
 
@@ -100,28 +110,25 @@ def select_two_stage(cuts: DataFrame, keys: Sequence[str], order: Sequence[str],
     w = FINE_WEIGHTS
 
     def choose(rows: pa.Table):
-        used: set[int] = set()
+        used: list[int] = []
         shown: list[np.ndarray] = []
-        for cands in rows.column("candidates").to_pylist():
-            free = [c for c in cands or [] if c["id"] not in used][:fine_k]
-            if not free:
+        for ids, distances, vectors, emotion in _candidates(rows, "emotion"):
+            free = np.flatnonzero(~np.isin(ids, used))[:fine_k]
+            if not len(free):
                 yield None, 0.5
                 continue
-            top = max(0.001, max(c["distance"] for c in free))
-            past = np.array(shown[-window:]) if shown else None
-            best, best_score = None, -1.0
-            for c in free:
-                v = np.array(c["vector"], dtype=float)
-                gaps = None if past is None else np.sqrt(((past - v) ** 2).sum(1))
-                diversity = 1.0 if gaps is None else min(1.0, float(gaps.min()) / 3.0)
-                continuity = 0.5 if gaps is None else max(0.0, 1.0 - float(gaps[-1]) / 5.0)
-                score = (w["relevance"] * (1.0 - c["distance"] / top) + w["diversity"] * diversity
-                         + w["emotion"] * c["emotion"] + w["continuity"] * continuity)
-                if score > best_score:
-                    best, best_score = (c["id"], v), score
-            used.add(best[0])
-            shown.append(best[1])
-            yield best[0], best_score
+            v = vectors[free]
+            diversity, continuity = np.ones(len(free)), np.full(len(free), 0.5)
+            if shown:
+                gaps = np.sqrt(((v[:, None, :] - np.array(shown[-window:])[None]) ** 2).sum(2))
+                diversity = np.minimum(1.0, gaps.min(1) / 3.0)
+                continuity = np.maximum(0.0, 1.0 - gaps[:, -1] / 5.0)
+            relevance = 1.0 - distances[free] / max(0.001, float(distances[free].max()))
+            scores = w["relevance"] * relevance + w["diversity"] * diversity + w["emotion"] * emotion[free] + w["continuity"] * continuity
+            best = int(np.argmax(scores))
+            used.append(int(ids[free[best]]))
+            shown.append(v[best])
+            yield used[-1], float(scores[best])
 
     return _picks(cuts, keys, order, keep, choose)
 

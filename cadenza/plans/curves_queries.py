@@ -8,6 +8,7 @@ from cadenza.operators import curves, peaks, structure
 from cadenza.operators.ordered import exact_percentile, row_index
 from cadenza.plans.registry import query
 from cadenza.plans.walks_queries import CHUNK
+from cadenza.session import materialize
 
 KEY = ["track_id"]
 NUM = "n AS (SELECT track_id, t, energy, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY track_id) AS sz FROM v_energy)"
@@ -58,7 +59,7 @@ f AS (SELECT track_id, t, any_value(own) AS own, any_value(wl) AS wl, any_value(
   sum((u*u*u - u*(3*wl*wl-7)/20e0) * y) / sum((u*u*u - u*(3*wl*wl-7)/20e0) * (u*u*u - u*(3*wl*wl-7)/20e0)) AS f3 FROM d WHERE wl >= 5 GROUP BY track_id, t)
 SELECT track_id, t, round(f0 + f1 * x + f2 * (x*x - (wl*wl-1)/12e0) + f3 * (x*x*x - x*(3*wl*wl-7)/20e0), 6) AS energy FROM f""")
 def _(v):
-    out = curves.savgol(numbered(v), KEY, "idx", "energy", block=60)
+    out = curves.savgol(numbered(v), KEY, "idx", "energy", block=200)
     sizes = v.energy.groupBy("track_id").count().filter("count >= 5").select("track_id")
     return out.join(sizes, "track_id", "left_semi").select("track_id", "t", F.round("energy", 6).alias("energy"))
 
@@ -193,7 +194,8 @@ def _(v):
 
 @query("w11_segment_boundaries")
 def _(v):
-    curve = structure.novelty(frames(v), KEY, ["energy", "f2"], 3, 6, block=20, width=16.0)
+    # read several times below, so it is written once
+    curve = materialize(structure.novelty(frames(v), KEY, ["energy", "f2"], 3, 6, block=20, width=16.0), "novelty")
     return structure.boundaries(curve, KEY, 4, 0.1, block=20, width=64.0)
 
 

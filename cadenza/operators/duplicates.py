@@ -35,17 +35,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -
         labels = fresh
 
 
-def _union(parent: np.ndarray, a: int, b: int) -> None:
-    while parent[a] != a:
-        parent[a] = parent[parent[a]]
-        a = parent[a]
-    while parent[b] != b:
-        parent[b] = parent[parent[b]]
-        b = parent[b]
-    if a != b:
-        parent[max(a, b)] = min(a, b)
-
-
 def similar_edges(items: DataFrame, item_id: str, vector: str, threshold: float, cells: int | None = None,
                   block_rows: int = 4_000) -> DataFrame:
     """Edges (a, b) that link all items of cosine similarity >= threshold.
@@ -61,8 +50,7 @@ def similar_edges(items: DataFrame, item_id: str, vector: str, threshold: float,
     units = items.select(item_id, vectors.unit(F.col(vector)).alias(vector))
     placed, table = build_cells(units, item_id, vector, metric, cells, trained=False)
     shared = items.sparkSession.sparkContext.broadcast(table.centres)
-    reach_schema = T.StructType([f for f in placed.schema.fields if f.name != "_cell"] + [
-        T.StructField("_home", T.IntegerType()), T.StructField("_cell", T.IntegerType())])
+    reach_schema = T.StructType([f for f in placed.schema.fields if f.name != "_cell"] + [T.StructField("_cell", T.IntegerType())])
 
     def reach(batches):
         c = shared.value
@@ -72,10 +60,8 @@ def similar_edges(items: DataFrame, item_id: str, vector: str, threshold: float,
                 continue
             d = metric.pairs(matrix(t.column(vector)), c)
             rows, cell = np.nonzero(d <= d.min(1)[:, None] + 2 * r + 1e-6)
-            home = t.column("_cell").to_numpy()[rows]
             out = t.drop_columns(["_cell"]).take(pa.array(rows))
-            yield from out.append_column("_home", pa.array(home.astype(np.int32))).append_column(
-                "_cell", pa.array(cell.astype(np.int32))).to_batches()
+            yield from out.append_column("_cell", pa.array(cell.astype(np.int32))).to_batches()
 
     visits = materialize(placed.mapInArrow(reach, reach_schema), "reach")
     # at most one row per centre
@@ -85,26 +71,29 @@ def similar_edges(items: DataFrame, item_id: str, vector: str, threshold: float,
     # block (i, j) with i <= j sees the rows of both; each row goes to `blocks` of them
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
         F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")))
-    spread = row.withColumn("_p", F.explode(pairs)).select(item_id, vector, "_home", "_cell", "_p.i", "_p.j")
+    spread = row.withColumn("_p", F.explode(pairs)).select(item_id, vector, "_cell", "_p.i", "_p.j")
     it = items.schema[item_id].dataType
     schema = T.StructType([T.StructField("a", it), T.StructField("b", it)])
 
     def local_groups(t: pa.Table) -> pa.Table:
         x, ids = matrix(t.column(vector)), t.column(item_id).to_numpy()
-        parent = np.arange(len(x))
+        label = np.arange(len(x))
         step = max(1, SLICE // max(1, len(x)))
         for s in range(0, len(x), step):
             sim = x[s:s + step] @ x.T
-            i, j = np.nonzero(sim >= threshold - 1e-9)
-            ahead = j > i + s
-            for p, q in zip((i[ahead] + s).tolist(), j[ahead].tolist()):
-                if sim[p - s, q] >= threshold + 1e-9 or float((x[p] * x[q]).sum()) >= threshold:
-                    _union(parent, p, q)
-        root = parent.copy()
-        for i in range(len(root)):
-            root[i] = root[root[i]]
-        member = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table([pa.array(ids[root[member]]), pa.array(ids[member])], names=["a", "b"])
+            close = sim >= threshold + 1e-9
+            # the few values at the threshold are worked out again, pair by pair
+            for p, q in zip(*np.nonzero((sim >= threshold - 1e-9) & ~close)):
+                close[p, q] = float((x[p + s] * x[q]).sum()) >= threshold
+            for p in range(close.shape[0]):
+                # one step per row, however many rows are close to it
+                met = np.unique(label[:p + s][close[p, :p + s]])
+                if len(met):
+                    old = label[p + s]
+                    low = min(int(met[0]), int(old))
+                    label[np.isin(label, np.append(met, old))] = low
+        member = np.flatnonzero(label != np.arange(len(x)))
+        return pa.table([pa.array(ids[label[member]]), pa.array(ids[member])], names=["a", "b"])
 
     return spread.groupBy("_cell", "i", "j").applyInArrow(local_groups, schema)
 

@@ -178,8 +178,11 @@ def search(
     visits = materialize(route(asked, vector, table, metric, probes), "visits")
     # rows per cell are known for both sides: at most MAX_CELLS entries
     demand = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
-    plan = [(int(c), max(1, -(-int(table.counts[c]) // block_rows)), max(1, -(-n // query_rows))) for c, n in demand.items()]
-    sizes = F.broadcast(queries.sparkSession.createDataFrame(plan, "_cell int, _blocks int, _asks int"))
+    visited = sorted(demand)
+    plan = pa.table({
+        "_cell": pa.array(visited, pa.int32()), "_blocks": pa.array([max(1, -(-int(table.counts[c]) // block_rows)) for c in visited], pa.int32()),
+        "_asks": pa.array([max(1, -(-demand[c] // query_rows)) for c in visited], pa.int32())})
+    sizes = F.broadcast(queries.sparkSession.createDataFrame(plan))
     left = visits.join(sizes, "_cell").withColumn("_ask", F.pmod(F.xxhash64(F.col(query_id)), F.col("_asks")).cast("int"))
     left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks", "_asks")
     # the join also leaves out cells that no query visits

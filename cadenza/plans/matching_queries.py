@@ -149,7 +149,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY v, a, energy, motion ORDER BY ro
 SELECT t.target_id, r.clip_id, round(r.score, 6) AS score FROM t JOIN r ON r.v = t.v AND r.a = t.a AND r.energy = t.energy AND r.motion = t.motion WHERE r.k = 1""")
 def _(v):
     t = v.sql(EMO_TARGETS).select("target_id", F.array("v", "a", "motion", "energy").alias("embedding"))
-    return palette.best_by_emotion(t, clip_points(v), 1, cells=16).select("target_id", "clip_id", F.round("score", 6).alias("score"))
+    return palette.best_by_emotion(t, clip_points(v), 1, cells=64).select("target_id", "clip_id", F.round("score", 6).alias("score"))
 
 
 @query("m07_quadrant_moods", """

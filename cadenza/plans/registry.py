@@ -22,6 +22,8 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        # time axes are UTC, whatever the zone of the session's machine
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return self.build(Views(spark, sf_dir))
 
 

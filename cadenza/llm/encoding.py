@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -12,15 +14,21 @@ _TWO_SPACES = re.compile(r"[^\S\x1c-\x1f]{2}")
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
 
+#: letters, then a mark that no tokenizer joins to them
+_HEAD = re.compile(r"(\s?[^\W\d_]+)([.,!?;:*$%&#|].*)", re.DOTALL)
+
+
 class Encoder:
     """Ids as little-endian bytes of `dtype`.
 
     Both kinds of tokenizer in use decide tokens between one change from a
     solid character to white space and the next, so a text is encoded chunk by
-    chunk and chunks seen before are looked up. At most `keep` chunks are held.
+    chunk and chunks seen before are looked up. A new chunk is put together
+    from its letters and the marks behind them, which may be known as well. At
+    most `keep` chunks are held; later ones are forgotten after their batch.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -30,17 +38,27 @@ class Encoder:
         self.keep = keep
         self.spaced: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], wanted: set[str], spaced: bool) -> None:
+        got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        if sys.byteorder == "little":
+            kind = "H" if self.dtype.itemsize == 2 else "I"
+            return [array(kind, e.ids).tobytes() for e in got]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
+
+    def _learn(self, known: dict[str, bytes], wanted: set[str], spaced: bool) -> list[str]:
+        """Adds what is missing; returns what to forget again."""
         missing = list(wanted.difference(known))
-        if len(known) + len(missing) > self.keep:
-            known.clear()
-            missing = list(wanted)
         forms = [c if c[:1] == "\n" else " " + c for c in missing] if spaced else missing
-        known.update(zip(missing, self._ids(forms), strict=True))
+        split = [m.groups() if (m := _HEAD.fullmatch(f)) else (f,) for f in forms]
+        new = list({p for s in split for p in s}.difference(self.parts))
+        self.parts.update(zip(new, self._ids(new), strict=True))
+        known.update((c, b"".join(map(self.parts.__getitem__, s))) for c, s in zip(missing, split, strict=True))
+        if len(self.parts) > self.keep:
+            for p in new:
+                del self.parts[p]
+        return missing if len(known) > self.keep else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plans, spaced, whole = [], set(), set()
@@ -55,10 +73,13 @@ class Encoder:
                 whole.add(first)
                 spaced.update(chunks)
                 plans.append(([first], chunks))
-        self._learn(self.spaced, spaced, True)
-        self._learn(self.whole, whole, False)
+        forget = [(self.spaced, self._learn(self.spaced, spaced, True)), (self.whole, self._learn(self.whole, whole, False))]
         s, w = self.spaced.__getitem__, self.whole.__getitem__
-        return [b"".join(map(w, head)) + (b"".join(map(s, rest)) if rest else b"") for head, rest in plans]
+        out = [b"".join(map(w, head)) + (b"".join(map(s, rest)) if rest else b"") for head, rest in plans]
+        for known, names in forget:
+            for c in names:
+                del known[c]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.ordered import Running, running
 
-MAX_PAGE = 1000
 # fixed values: media file endings
 VIDEO_EXTENSIONS = [".mp4", ".avi", ".mov", ".mkv", ".wmv", ".webm", ".m4v"]
 
@@ -112,11 +111,11 @@ def technical_search(term: str) -> Column:
 
 
 def page(df: DataFrame, order: Sequence[Column | str], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Rows in order, a page of at most 1000 when a limit is given."""
+    """Rows in order; with a limit that many, after `offset` rows."""
     out = df.orderBy(*order)
     if offset > 0:
         out = out.offset(offset)
-    return out.limit(min(limit, MAX_PAGE)) if limit is not None else out
+    return out.limit(limit) if limit is not None else out
 
 
 def library_order(by: str) -> list[Column]:

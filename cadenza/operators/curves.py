@@ -149,11 +149,11 @@ def frame_rms(samples: DataFrame, keys: Sequence[str], index: str, value: str, f
 
 
 def waveform(samples: DataFrame, keys: Sequence[str], index: str, value: str, pixels: int = 1920, rms: bool = True) -> DataFrame:
-    """(keys, pixel, low, high) per display bucket; the ragged tail is left out."""
+    """(keys, pixel, low, high) per display bucket; the ragged tail belongs to the last bucket."""
     sized = with_group(samples, keys, F.max(index).alias("_last"))
     n = F.col("_last") + 1
     per = F.greatest(F.lit(1), F.floor(n / pixels))
-    kept = sized.filter(F.col(index) < F.floor(n / per) * per).withColumn("pixel", F.floor(F.col(index) / per))
+    kept = sized.withColumn("pixel", F.least(F.floor(F.col(index) / per), F.floor(n / per) - 1))
     if rms:
         level = F.sqrt(F.avg(F.col(value) * F.col(value)))
         return kept.groupBy(*keys, "pixel").agg((-level).alias("low"), level.alias("high"))

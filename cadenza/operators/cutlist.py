@@ -13,7 +13,7 @@ from cadenza.functions.beats import beat_seconds
 from cadenza.functions.moods import clamp
 from cadenza.operators.chain import ANCHOR, KEPT, WalkRule, walk
 from cadenza.operators.curves import zone
-from cadenza.operators.intervals import MAX_CUTS, with_next_start
+from cadenza.operators.intervals import with_next_start
 from cadenza.operators.ordered import Running, row_index, running
 from cadenza.operators.rules import PacingConfig
 from cadenza.operators.timejoin import curve_value
@@ -66,11 +66,12 @@ def align_to_beats(beats: DataFrame, keys: Sequence[str], n_clips: int, min_dura
 
 
 def energy_driven(tracks: DataFrame, energy: DataFrame, min_duration: float = 0.5, max_duration: float = 4.0, snap: bool = True,
-                  low: float = 0.33, high: float = 0.66, max_cuts: int | None = MAX_CUTS, width: float | None = None) -> DataFrame:
+                  low: float = 0.33, high: float = 0.66, max_cuts: int | None = None, width: float | None = None) -> DataFrame:
     """(track_id, cut_index, start_t, end_t): short cuts where the energy is high, long where it is low.
 
     With `snap` the walk runs over the beats of the track, else over a grid
-    that all three lengths are multiples of.
+    that all three lengths are multiples of. All cuts are returned unless the
+    caller sets `max_cuts`.
     """
     mid = (min_duration + max_duration) / 2
     if snap:

@@ -192,12 +192,13 @@ def match_curve(curve: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame,
 
 def best_clip(targets: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame, clips: DataFrame, pool: int = 20,
               min_duration: float = 0.5, max_duration: float | None = None, target_id: str = "target_id") -> DataFrame:
-    """One clip per target: the best of the two pools by equal weights, of suitable length."""
+    """One clip per target: the best of the two pools by equal weights; only clips of suitable length enter a pool."""
     fits = clips.filter(F.coalesce("duration", F.lit(0.0)) >= min_duration)
     if max_duration is not None:
         fits = fits.filter(F.col("duration") <= max_duration)
-    by_motion = best_by_motion(targets, clip_motion, pool, target_id=target_id).join(fits.select("clip_id"), "clip_id", "left_semi")
-    by_mood = best_by_mood(targets, clip_moods, pool, target_id=target_id).join(fits.select("clip_id"), "clip_id", "left_semi")
+    ids = fits.select("clip_id")
+    by_motion = best_by_motion(targets, clip_motion.join(ids, "clip_id", "left_semi"), pool, target_id=target_id)
+    by_mood = best_by_mood(targets, clip_moods.join(ids, "clip_id", "left_semi"), pool, target_id=target_id)
     return combine(by_motion, by_mood, 0.5, 0.5, 1, target_id)
 
 
@@ -293,8 +294,10 @@ def quality_zone(cross_modal: Column, confidence: Column, min_quality: float = 0
     return F.when(q > min_quality, F.struct(F.lit(0.0).alias("start_t"), F.lit(30.0).alias("end_t"), q.alias("quality")))
 
 
-def suggested_points(bpm: Column, transitions: Column, limit: int = 20) -> Column:
-    """Every fourth beat of the first 60 and the scene changes: distinct, sorted, the first 20."""
-    beats = F.when(bpm > 60, F.transform(F.sequence(F.lit(0), F.lit(56), F.lit(4)), lambda i: i * (F.lit(60.0) / bpm)))
+def suggested_points(bpm: Column, transitions: Column, n_beats: Column, limit: int | None = None) -> Column:
+    """Every fourth of `n_beats` beats and the scene changes: distinct, sorted, all or the first `limit`."""
+    wanted = (bpm > 60) & (n_beats > 0)
+    beats = F.when(wanted, F.transform(F.sequence(F.lit(0), F.greatest(n_beats, F.lit(1)).cast("int") - 1, F.lit(4)), lambda i: i * (F.lit(60.0) / bpm)))
     empty = F.array().cast("array<double>")
-    return F.slice(F.array_sort(F.array_distinct(F.concat(F.coalesce(beats, empty), F.coalesce(transitions, empty)))), 1, limit)
+    points = F.array_sort(F.array_distinct(F.concat(F.coalesce(beats, empty), F.coalesce(transitions, empty))))
+    return points if limit is None else F.slice(points, 1, limit)

@@ -37,7 +37,6 @@ BASE_STRENGTHS = {"beat": 0.8, "onset": 0.6, "kick": 0.7, "snare": 0.7, "hihat":
 MIN_CUT_INTERVAL = 2.0
 LONG_TRACK_SECONDS = 1800.0
 LONG_TRACK_KEEP_EVERY = 4
-MAX_EXTRAPOLATED_BEATS = 10_000
 MIN_BEAT_SECONDS = 0.01
 
 
@@ -132,14 +131,14 @@ def decimate_long(df: DataFrame, tracks: DataFrame, width: float | None = None)
 
 
 def extrapolate_beats(beats: DataFrame, tracks: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """Grid beats from the last known beat to the end of the track, end excluded."""
+    """Grid beats from the last known beat to the end of the track, end excluded; as many as fit."""
     last = beats.groupBy(*keys).agg(F.max("t").alias("last_beat"))
     step = F.lit(60.0) / F.col("bpm")
     joined = last.join(tracks, list(keys)).filter(
         (F.col("bpm") > 0) & _finite(F.col("bpm")) & (step >= MIN_BEAT_SECONDS) & (F.col("duration") > F.col("last_beat")))
     room = F.col("duration") - F.col("last_beat")
-    count = F.least(F.lit(MAX_EXTRAPOLATED_BEATS), F.floor(room / step) + 1).cast("int")
-    steps = joined.withColumn("k", F.explode(F.sequence(F.lit(1), count)))
+    count = (F.floor(room / step) + 1).cast("bigint")
+    steps = joined.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), count)))
     out = steps.withColumn("t", F.col("last_beat") + F.col("k") * step).filter(F.col("t") < F.col("duration"))
     return out.select(*keys, F.col("k").cast("bigint").alias("k"), "t")
 

@@ -87,7 +87,7 @@ def _(v):
 
 @query("s14_waveform_rms", """
 WITH n AS (SELECT track_id, base_strength AS x, row_number() OVER (PARTITION BY track_id ORDER BY t, seq) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS sz FROM v_trigger),
-b AS (SELECT *, greatest(1, sz // 20) AS spp FROM n), c AS (SELECT *, i // spp AS pixel FROM b WHERE i < (sz // spp) * spp)
+b AS (SELECT *, greatest(1, sz // 20) AS spp FROM n), c AS (SELECT *, least(i // spp, sz // spp - 1) AS pixel FROM b)
 SELECT track_id, pixel, round(-sqrt(avg(x * x)), 6) AS low, round(sqrt(avg(x * x)), 6) AS high FROM c GROUP BY track_id, pixel""")
 def _(v):
     samples = row_index(v.trigger, KEY, ["t", "seq"], "i", CHUNK)
@@ -97,7 +97,7 @@ def _(v):
 
 @query("s14_waveform_peaks", """
 WITH n AS (SELECT track_id, base_strength AS x, row_number() OVER (PARTITION BY track_id ORDER BY t, seq) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS sz FROM v_trigger),
-b AS (SELECT *, greatest(1, sz // 20) AS spp FROM n), c AS (SELECT *, i // spp AS pixel FROM b WHERE i < (sz // spp) * spp)
+b AS (SELECT *, greatest(1, sz // 20) AS spp FROM n), c AS (SELECT *, least(i // spp, sz // spp - 1) AS pixel FROM b)
 SELECT track_id, pixel, min(x) AS low, max(x) AS high FROM c GROUP BY track_id, pixel""")
 def _(v):
     samples = row_index(v.trigger, KEY, ["t", "seq"], "i", CHUNK)

@@ -146,10 +146,10 @@ def _(v):
 
 @query("x14_rule_presets")
 def _(v):
-    # the preset rules over the first ten minutes of the grid of every track, at half-second steps
-    short = v.track.withColumn("duration", F.lit(600.0))
-    grid = rules.evaluate_rules(rules.time_grid(short, 0.5, v.energy, CHUNK), list(rules.PRESETS.values()))
-    return rules.walk_rules(grid, 0.5, 6.0, 600.0).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    # the preset rules over the whole grid of every track, at the step of the other rule queries
+    slow = v.track.withColumn("bpm", F.col("bpm") / 3600)
+    grid = rules.evaluate_rules(rules.time_grid(slow, STEP, v.energy, CHUNK), list(rules.PRESETS.values()))
+    return rules.walk_rules(grid, STEP, 21_600.0, CHUNK).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x13_custom_condition", "SELECT count(*) AS n FROM v_energy WHERE energy > 0.4e0 AND (t / 43200) % 2 = 0")

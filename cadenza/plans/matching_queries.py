@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cadenza.functions import moods
@@ -113,9 +115,12 @@ def _(v):
     return ranked(matching.match_curve(curve, v.clip_motion, clip_moods(v), 3))
 
 
-@query("t03_best_clip_per_target", f"WITH t AS ({TARGETS}), d AS (SELECT clip_id FROM v_clip WHERE duration >= 0.5e0 AND duration <= 30), " + COMBINED % {"a": "0.5e0", "b": "0.5e0", "k": 20} + """,
-g AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(score, 9) DESC, clip_id) AS k FROM f WHERE clip_id IN (SELECT clip_id FROM d))
-SELECT target_id, clip_id, round(score, 9) AS score, k AS rank FROM g WHERE k = 1""")
+FITTING = "(SELECT * FROM %s WHERE clip_id IN (SELECT clip_id FROM d))"
+
+
+@query("t03_best_clip_per_target", f"WITH t AS ({TARGETS}), d AS (SELECT clip_id FROM v_clip WHERE duration >= 0.5e0 AND duration <= 30), "
+       + re.sub(r"\b(v_clip_motion|v_clip_mood)\b", lambda m: FITTING % m[0], COMBINED) % {"a": "0.5e0", "b": "0.5e0", "k": 20}
+       + " SELECT target_id, clip_id, round(score, 9) AS score, rank FROM r WHERE rank = 1")
 def _(v):
     return ranked(matching.best_clip(targets(v), v.clip_motion, clip_moods(v), v.clip, 20, 0.5, 30.0))
 

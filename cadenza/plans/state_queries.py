@@ -197,12 +197,12 @@ def _(v):
 
 @query("u02_suggested_cut_points", """
 WITH s AS (SELECT track_id, list(DISTINCT CAST(floor(t / 86400e0) AS DOUBLE)) FILTER (base_strength > 0.9e0) AS tr FROM v_trigger GROUP BY track_id),
-p AS (SELECT s.track_id, unnest(list_concat(CASE WHEN k.bpm > 60 THEN list_transform(range(0, 60, 4), lambda i: i * (60e0 / k.bpm)) ELSE []::DOUBLE[] END, coalesce(tr, []::DOUBLE[]))) AS x FROM s JOIN v_track k ON k.track_id = s.track_id),
+p AS (SELECT s.track_id, unnest(list_concat(CASE WHEN k.bpm > 60 THEN list_transform(range(0, CAST(floor(k.duration / 3600 * k.bpm / 60) AS BIGINT), 4), lambda i: i * (60e0 / k.bpm)) ELSE []::DOUBLE[] END, coalesce(tr, []::DOUBLE[]))) AS x FROM s JOIN v_track k ON k.track_id = s.track_id),
 r AS (SELECT track_id, x, row_number() OVER (PARTITION BY track_id ORDER BY x) AS i FROM (SELECT DISTINCT * FROM p))
-SELECT track_id, i, round(x, 6) AS t FROM r WHERE i <= 20""")
+SELECT track_id, i, round(x, 6) AS t FROM r""")
 def _(v):
-    # at most one transition per calendar day
+    # at most one transition per calendar day; beats for as many seconds as the track has hours
     strong = v.trigger.groupBy("track_id").agg(F.collect_set(F.when(F.col("base_strength") > 0.9, F.floor(F.col("t") / 86_400.0).cast("double"))).alias("tr"))
-    points = matching.suggested_points(F.col("bpm"), F.col("tr"))
+    points = matching.suggested_points(F.col("bpm"), F.col("tr"), F.floor(F.col("duration") / 3600 * F.col("bpm") / 60))
     return v.track.join(strong, "track_id").select("track_id", F.posexplode(points).alias("i", "t")).select(
         "track_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("t", 6).alias("t"))

@@ -170,7 +170,7 @@ def _(v):
 WITH l AS (SELECT b.track_id, max(b.t) AS last_beat, any_value(k.duration) AS duration, any_value(k.bpm) / 3600 AS bpm
            FROM v_beat b JOIN v_track k ON k.track_id = b.track_id GROUP BY b.track_id)
 SELECT track_id, k, round(last_beat + k * (60e0 / bpm), 4) AS t
-FROM (SELECT *, unnest(range(1, CAST(least(10000, floor((duration - last_beat) / (60e0 / bpm)) + 1) AS BIGINT) + 1)) AS k FROM l)
+FROM (SELECT *, unnest(range(1, CAST(floor((duration - last_beat) / (60e0 / bpm)) + 1 AS BIGINT) + 1)) AS k FROM l)
 WHERE last_beat + k * (60e0 / bpm) < duration""")
 def _(v):
     slow = v.track.withColumn("bpm", F.col("bpm") / 3600)

@@ -28,7 +28,7 @@ class Encoder:
     most `keep` chunks are held; later ones are forgotten after their batch.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -79,6 +79,7 @@ def chunked(docs: DataFrame, rows_per_chunk: int = 10_000, most_cuts: int = 64)
     lowest = F.min("_chunk").over(by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     tops = tops.select("_k", F.coalesce(F.lead("_chunk").over(by_chunk), lowest).alias("_to"))
     first = Window.partitionBy("_key").orderBy(F.desc(F.xxhash64("text")))
+    tops = F.broadcast(tops) if chunks <= 100_000 else tops
     heads = placed.drop("_chunk").join(tops, F.col("_key") == F.col("_k")).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
     guests = heads.select(*docs.columns, "_key", F.col("_to").alias("_chunk"), F.lit(1).alias("_guest"))
     return placed.withColumn("_guest", F.lit(0)).unionByName(guests)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb, log, log2
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions import vectors
-from cadenza.operators.knn import SLICE, Metric, build_cells, matrix
-from cadenza.session import materialize
+from cadenza.operators.knn import SLICE, dimension, matrix
+from cadenza.session import materialize, ship_package
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
@@ -35,86 +39,141 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -
         labels = fresh
 
 
-def similar_edges(items: DataFrame, item_id: str, vector: str, threshold: float, cells: int | None = None,
+def tables_for(threshold: float, recall: float, bits: int) -> int:
+    """Hash tables of `bits` random planes that bring a pair at `threshold` together with probability `recall`."""
+    same = 1.0 - float(np.arccos(threshold)) / np.pi
+    return max(1, ceil(log(1.0 - recall) / log(1.0 - same**bits)))
+
+
+def _buckets(vector: str, dim: int, tables: int, bits: int):
+    """Each row's bucket in every table: on which sides of the planes it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(4099).normal(size=(dim, tables * bits))
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            x = matrix(pa.chunked_array([batch.column(vector)]))
+            if len(x):
+                sides = (x @ planes > 0).reshape(len(x), tables, bits)
+                buckets = (sides * weights).sum(2)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(buckets.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "_buckets"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows that agree in the integer columns `keys`."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        borders = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(borders, borders[1:], strict=False):
+            if held and tuple(k[:, lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = tuple(k[:, lo])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each its group's lowest row) after linking rows a and b."""
+    while True:
+        p, q = label[a], label[b]
+        apart = p != q
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _local_groups(x: np.ndarray, threshold: float) -> np.ndarray:
+    """The lowest row that each row of a block is linked to."""
+    label = np.arange(len(x))
+    step = max(1, SLICE // max(1, len(x)))
+    for s in range(0, len(x), step):
+        sim = x[s:s + step] @ x.T
+        # the few values at the threshold are worked out again, pair by pair
+        a, b = np.nonzero(np.triu(sim >= threshold - 1e-9, s + 1))
+        near = sim[a, b] < threshold + 1e-9
+        keep = ~near
+        keep[near] = (x[a[near] + s] * x[b[near]]).sum(axis=1) >= threshold
+        label = _merge(label, a[keep] + s, b[keep])
+    return label
+
+
+def similar_edges(items: DataFrame, item_id: str, vector: str, threshold: float, recall: float | None = None, bits: int | None = None,
                   block_rows: int = 4_000) -> DataFrame:
     """Edges (a, b) that link all items of cosine similarity >= threshold.
 
     Not every pair is returned, only enough edges to connect the same groups:
-    a block returns one edge per member of a local group. Items visit every
-    cell whose centre is within 2r of their nearest centre (r: distance of the
-    threshold on unit vectors), so any similar pair meets in the home cell of
-    one of them, whatever the centres are.
+    a block returns one edge per member of a local group. Without `recall` all
+    items are compared once, in pairs of blocks; this is exact at every
+    threshold. With `recall` items meet in tables of random planes, as many as
+    find a pair at the threshold with that probability, and each meeting pair
+    is checked exactly. The planes per table grow with the logarithm of the
+    rows, so that a bucket of unlike items stays small; buckets with the same
+    members are visited once.
     """
-    r = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-6
-    metric = Metric()
-    units = items.select(item_id, vectors.unit(F.col(vector)).alias(vector))
-    placed, table = build_cells(units, item_id, vector, metric, cells, trained=False)
-    shared = items.sparkSession.sparkContext.broadcast(table.centres)
-    reach_schema = T.StructType([f for f in placed.schema.fields if f.name != "_cell"] + [T.StructField("_cell", T.IntegerType())])
-
-    def reach(batches):
-        c = shared.value
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not t.num_rows:
-                continue
-            d = metric.pairs(matrix(t.column(vector)), c)
-            rows, cell = np.nonzero(d <= d.min(1)[:, None] + 2 * r + 1e-6)
-            out = t.drop_columns(["_cell"]).take(pa.array(rows))
-            yield from out.append_column("_cell", pa.array(cell.astype(np.int32))).to_batches()
-
-    visits = materialize(placed.mapInArrow(reach, reach_schema), "reach")
-    # at most one row per centre
-    sizes = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    row = visits.join(F.broadcast(sizes), "_cell").withColumn("_own", F.pmod(F.xxhash64(F.col(item_id)), F.col("_blocks")).cast("int"))
-    blocks = F.col("_blocks")
+    dim, n = dimension(items, vector)
+    units = items.filter(vectors.valid(F.col(vector), dim)).select(item_id, vectors.unit(F.col(vector)).alias(vector))
+    ship_package(items.sparkSession)
+    if recall is None:
+        met = units.select(item_id, F.lit(0).alias("_table"), F.lit(0).cast("bigint").alias("_bucket"), F.lit(n).cast("bigint").alias("_m"))
+    else:
+        bits = bits or max(8, ceil(log2(n + 1)) - 6)
+        tables = tables_for(threshold, recall, bits)
+        schema = T.StructType([*units.schema.fields, T.StructField("_buckets", T.ArrayType(T.LongType()))])
+        hashed = units.mapInArrow(_buckets(vector, dim, tables, bits), schema)
+        spots = materialize(hashed.select(item_id, F.posexplode("_buckets").alias("_table", "_bucket")), "spots")
+        crowd = spots.groupBy("_table", "_bucket").agg(
+            F.count(F.lit(1)).alias("_m"), F.bit_xor(F.xxhash64(item_id)).alias("_x"), F.bit_xor(F.xxhash64(F.lit(7), item_id)).alias("_y")).filter("_m > 1")
+        once = crowd.groupBy("_m", "_x", "_y").agg(F.min(F.struct("_table", "_bucket")).alias("_at")).select("_at._table", "_at._bucket", "_m")
+        met = spots.join(once, ["_table", "_bucket"])
+    blocks = F.ceil(F.col("_m") / block_rows).cast("int")
+    own = F.pmod(F.xxhash64(F.col(item_id)), blocks).cast("int")
     # block (i, j) with i <= j sees the rows of both; each row goes to `blocks` of them
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
-        F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")))
-    spread = row.withColumn("_p", F.explode(pairs)).select(item_id, vector, "_cell", "_p.i", "_p.j")
+    dealt = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        item_id, "_table", "_bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    keys = ["_table", "_bucket", "_i", "_j"]
+    spread = dealt.join(units, item_id).repartition(*keys).sortWithinPartitions(*keys)
     it = items.schema[item_id].dataType
-    schema = T.StructType([T.StructField("a", it), T.StructField("b", it)])
-
-    def local_groups(t: pa.Table) -> pa.Table:
-        x, ids = matrix(t.column(vector)), t.column(item_id).to_numpy()
-        label = np.arange(len(x))
-        step = max(1, SLICE // max(1, len(x)))
-        for s in range(0, len(x), step):
-            sim = x[s:s + step] @ x.T
-            close = sim >= threshold + 1e-9
-            # the few values at the threshold are worked out again, pair by pair
-            for p, q in zip(*np.nonzero((sim >= threshold - 1e-9) & ~close)):
-                close[p, q] = float((x[p + s] * x[q]).sum()) >= threshold
-            for p in range(close.shape[0]):
-                # one step per row, however many rows are close to it
-                met = np.unique(label[:p + s][close[p, :p + s]])
-                if len(met):
-                    old = label[p + s]
-                    low = min(int(met[0]), int(old))
-                    label[np.isin(label, np.append(met, old))] = low
-        member = np.flatnonzero(label != np.arange(len(x)))
-        return pa.table([pa.array(ids[label[member]]), pa.array(ids[member])], names=["a", "b"])
-
-    return spread.groupBy("_cell", "i", "j").applyInArrow(local_groups, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, keys):
+            label = _local_groups(matrix(t.column(vector)), threshold)
+            member = np.flatnonzero(label != np.arange(len(label)))
+            if len(member):
+                ids = t.column(item_id).combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(label[member])), ids.take(pa.array(member))], names=["a", "b"])
+
+    return spread.mapInArrow(run, T.StructType([T.StructField("a", it), T.StructField("b", it)]))
 
 
 def near_duplicate_groups(items: DataFrame, item_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95,
-                          cells: int | None = None) -> DataFrame:
+                          recall: float | None = 0.9999) -> DataFrame:
     """(item_id, component) of items linked by similarity >= threshold, groups of two and more.
 
     Copies of one vector are linked to their lowest id first, so a vector that
-    fills a third of the table is compared once.
+    fills a third of the table is compared once. A pair at the threshold is
+    found with probability `recall`, a closer one more surely; None compares
+    all, which low thresholds need. Null, odd-sized and infinite vectors are in
+    no group.
     """
-    first = items.groupBy(vector).agg(F.min(item_id).alias("_rep"))
-    members = items.join(first, vector).filter(F.col(item_id) != F.col("_rep")).select(F.col("_rep").alias("a"), F.col(item_id).alias("b"))
+    dim, _ = dimension(items, vector)
+    good = items.filter(vectors.valid(F.col(vector), dim)).select(item_id, vector)
+    first = good.groupBy(vector).agg(F.min(item_id).alias("_rep"))
+    members = good.join(first, vector).filter(F.col(item_id) != F.col("_rep")).select(F.col("_rep").alias("a"), F.col(item_id).alias("b"))
     heads = first.select(F.col("_rep").alias(item_id), vector)
-    edges = similar_edges(heads, item_id, vector, threshold, cells).unionByName(members)
-    linked = connected_components(items, edges, item_id)
-    big = linked.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component")
-    return linked.join(big, "component", "left_semi").select(item_id, "component")
-
-
-SELECTIVE_BITS = 12
+    edges = materialize(similar_edges(heads, item_id, vector, threshold, recall).unionByName(members), "links")
+    nodes = edges.select(F.col("a").alias(item_id)).unionByName(edges.select(F.col("b").alias(item_id))).distinct()
+    return connected_components(nodes, edges, item_id)
 
 
 def words_of_bits(bits: Column, total: int = 64) -> Column:
@@ -136,54 +195,74 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(same, F.lit(False)), count).otherwise(F.lit(-1))
 
 
+def bands_for(n: int, total: int, max_distance: int, most_probes: int = 5_000, scan: float = 0.05) -> int:
+    """Bands with the least work for n hashes, 0 where comparing blocks is less; the rows are the same for every choice.
+
+    With m bands a close pair differs in at most max_distance // m places of
+    one band, so a hash looks up that many changes of each band. A comparison
+    inside a block costs `scan` of a looked-up row.
+    """
+    best, work = 0, scan * n
+    for m in range(1, max_distance + 2):
+        low, high = total // m, -(-total // m)
+        probes = m * sum(comb(high, i) for i in range(max_distance // m + 1))
+        if 0 < low and high <= 62 and probes <= most_probes and probes * (1 + n / 2**low) < work:
+            best, work = m, probes * (1 + n / 2**low)
+    return best
+
+
 def hamming_neighbours(left: DataFrame, right: DataFrame, id_col: str, bits: str, max_distance: int, total: int = 64,
-                       hot: int = 2_000, salts: int = 16, block_rows: int = 4_000) -> DataFrame:
+                       bands: int | None = None, hot: int = 2_000, block_rows: int = 4_000) -> DataFrame:
     """(id, other, distance) of hashes within `max_distance`, itself excluded.
 
     Equal hashes collapse first, so copies of one picture cost one comparison.
-    Long hashes and small distances go through bands (see `_banded`); where the
-    bands would be too short to tell hashes apart, blocks are compared instead.
+    Hashes meet through bands and their changes (`_banded`), or block by block
+    where `bands_for` finds that cheaper (0): both are exact.
     """
     def distinct(df: DataFrame) -> DataFrame:
         return df.filter(F.length(bits) == total).select(bits).distinct()
 
-    selective = total // (max_distance + 1) >= SELECTIVE_BITS
     a, b = distinct(left), distinct(right)
-    pairs = _banded(a, b, bits, max_distance, total, hot, salts) if selective else _blocked(a, b, bits, max_distance, total, block_rows)
+    if bands is None:
+        bands = bands_for(b.count(), total, max_distance)
+    pairs = _banded(a, b, bits, max_distance, total, bands, hot) if bands else _blocked(a, b, bits, max_distance, total, block_rows)
     out = left.select(F.col(id_col), F.col(bits).alias("_a")).join(pairs, "_a")
     other = right.select(F.col(id_col).alias("other"), F.col(bits).alias("_b"))
     return out.join(other, "_b").filter(F.col(id_col) != F.col("other")).select(id_col, "other", "distance")
 
 
-def _banded(left: DataFrame, right: DataFrame, bits: str, max_distance: int, total: int, hot: int, salts: int) -> DataFrame:
-    """Pairs through max_distance + 1 bands: a close pair agrees on one at least.
+def _banded(left: DataFrame, right: DataFrame, bits: str, max_distance: int, total: int, bands: int, hot: int) -> DataFrame:
+    """Pairs through bands: one of them differs in at most max_distance // bands places.
 
-    A pair counts at the first band it agrees on. Band values shared by many
-    hashes are salted over several tasks.
+    The left side looks up every such change of its bands. A pair counts at
+    the first band that is close enough. A band value with over `hot` hashes
+    is dealt to as many tasks as its count asks for.
     """
-    bands = max_distance + 1
     edges = [round(i * total / bands) for i in range(bands + 1)]
-    parts = F.array(*[F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(bands)])
+    widths = [j - i for i, j in zip(edges, edges[1:], strict=False)]
+    reach = max_distance // bands
+    changes = [sum(1 << i for i in chosen) for n in range(reach + 1) for chosen in combinations(range(max(widths)), n)]
+    parts = F.array(*[F.conv(F.substring(bits, edges[i] + 1, widths[i]), 2, 10).cast("bigint") for i in range(bands)])
 
     def banded(df: DataFrame, side: str) -> DataFrame:
         return df.select(F.col(bits).alias(f"_{side}"), words_of_bits(F.col(bits), total).alias(f"_w{side}"), parts.alias(f"_p{side}"),
                          F.posexplode(parts).alias("_band", "_part"))
 
     a, b = banded(left, "a"), banded(right, "b")
-    crowd = b.groupBy("_band", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    spots = crowd.select("_band", "_part", F.when(F.col("_n") > hot, F.lit(salts)).otherwise(F.lit(1)).alias("_s"))
+    limit = F.get(F.array(*[F.lit(1 << w) for w in widths]), F.col("_band"))
+    inside = F.filter(F.lit(changes).cast("array<bigint>"), lambda x: x < limit)
+    a = a.withColumn("_part", F.explode(F.transform(inside, lambda x: F.col("_part").bitwiseXOR(x))))
+    spots = b.groupBy("_band", "_part").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("_s"))
     a = a.join(spots, ["_band", "_part"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
     b = b.join(spots, ["_band", "_part"]).withColumn("_salt", F.pmod(F.xxhash64("_b"), F.col("_s")).cast("int")).drop("_s")
     near = a.join(b, ["_band", "_part", "_salt"])
     gap = F.aggregate(F.zip_with("_wa", "_wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    first = F.array_position(F.zip_with("_pa", "_pb", lambda x, y: x == y), True) == F.col("_band") + 1
+    first = F.array_position(F.zip_with("_pa", "_pb", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= reach), True) == F.col("_band") + 1
     return near.filter(first).withColumn("distance", gap.cast("bigint")).filter(F.col("distance") <= max_distance).select("_a", "_b", "distance")
 
 
 def _blocked(left: DataFrame, right: DataFrame, bits: str, max_distance: int, total: int, block_rows: int) -> DataFrame:
     """Pairs from comparing blocks of hashes inside tasks; only close pairs leave a task."""
-    from cadenza.session import ship_package
-
     ship_package(left.sparkSession)
     n_left, n_right = max(1, -(-left.count() // block_rows)), max(1, -(-right.count() // block_rows))
 

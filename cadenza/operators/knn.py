@@ -1,17 +1,22 @@
 """Exact and approximate nearest neighbours without a cross join.
 
-Items go to the nearest of a bounded number of centres. A centre's radius and
-count give, per query, an upper bound of the k-th distance; only cells that can
-hold something closer are visited (triangle inequality), so the result is
-exact. Queries meet items by an equi join on cell and block; blocks bound the
-rows per task however many items share a cell. Each block keeps at most k rows
-per query. With `probes` only the nearest cells are visited (approximate).
+Three ways, all with bounded tasks and at most k rows per query from each:
+
+- scan (the default): items and queries are dealt to blocks, and each row is
+  copied once for each block of the other side. In many dimensions no bound on
+  distances leaves anything out, so an exact answer is a scan.
+- cells: for two to four dimensions. Items go to the nearest of sqrt(n)
+  centres; a centre's radius and count bound the k-th distance of a query, and
+  only cells that can hold something closer are visited. Exact.
+- probes: the same cells, centres trained on all rows, and only the nearest
+  `probes` cells of a query are visited. Approximate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.functions.vectors import valid
 from cadenza.session import materialize, ship_package
 
-MAX_CELLS = 4096
-TRAIN_ROWS = 50_000
 SLICE = 4_000_000
 
+#: which of a block's items each query must not get: (query columns, item columns) to a matrix of booleans
+Skip = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column as a float64 matrix."""
@@ -64,16 +71,15 @@ class Cells:
 
 
 def pick_centres(items: DataFrame, item_id: str, vector: str, cells: int, trained: bool = False) -> np.ndarray:
-    """At most `cells` centres: a hash-ordered pick, or k-means on a bounded sample."""
-    shuffled = items.select(item_id, F.col(vector).cast("array<double>").alias("_v")).orderBy(F.xxhash64(F.col(item_id)), item_id)
-    if not trained:
-        return np.array([r["_v"] for r in shuffled.limit(cells).select("_v").collect()], dtype=np.float64)
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """`cells` centres: a hash-ordered pick, or k-means over all rows."""
+    if trained:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
 
-    sample = shuffled.limit(TRAIN_ROWS).select(array_to_vector("_v").alias("features"))
-    model = KMeans(k=cells, maxIter=10, seed=7).fit(sample)
-    return np.array([list(c) for c in model.clusterCenters()])
+        model = KMeans(k=cells, maxIter=10, seed=7).fit(items.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+        return np.array([list(c) for c in model.clusterCenters()])
+    shuffled = items.select(item_id, F.col(vector).cast("array<double>").alias("_v")).orderBy(F.xxhash64(F.col(item_id)), item_id)
+    return np.array([r["_v"] for r in shuffled.limit(cells).select("_v").collect()], dtype=np.float64)
 
 
 def assign(items: DataFrame, vector: str, centres: np.ndarray, metric: Metric) -> DataFrame:
@@ -101,13 +107,11 @@ def assign(items: DataFrame, vector: str, centres: np.ndarray, metric: Metric) -
 
 
 def build_cells(items: DataFrame, item_id: str, vector: str, metric: Metric, cells: int | None, trained: bool) -> tuple[DataFrame, Cells]:
-    if cells is None:
-        n = items.count()
-        cells = min(MAX_CELLS, int(n ** 0.5)) if n > 5000 else 1
-    centres = pick_centres(items, item_id, vector, max(1, min(cells, MAX_CELLS)), trained)
+    """Items by cell, and the cells; without a number there are sqrt(n), the only rows that reach the driver."""
+    cells = cells or max(1, isqrt(items.count()))
+    centres = pick_centres(items, item_id, vector, cells, trained)
     # the placement is read for the statistics and for the search: written once
     placed = materialize(assign(items, vector, centres, metric), "placed")
-    # one row per cell, at most MAX_CELLS
     stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("r")).collect()
     counts, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for s in stats:
@@ -148,6 +152,81 @@ def route(queries: DataFrame, vector: str, cells: Cells, metric: Metric, probes:
     return queries.mapInArrow(run, schema)
 
 
+def dimension(items: DataFrame, vector: str) -> tuple[int, int]:
+    """The commonest length of the vectors, and how many have it; (0, 0) for an empty table."""
+    sizes = items.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("_d")).count()
+    top = sizes.orderBy(F.desc("count"), "_d").first()
+    return (int(top["_d"]), int(top["count"])) if top else (0, 0)
+
+
+def rejected(items: DataFrame, item_id: str, vector: str, dim: int) -> DataFrame:
+    """Ids of the rows that a search leaves out: null, of another length, or not finite."""
+    return items.filter(~F.coalesce(valid(F.col(vector), dim), F.lit(False))).select(item_id)
+
+
+def _closest(query_id: str, item_id: str, vector: str, metric: Metric, skip: Skip | None):
+    """The nearest items of each query of a block pair."""
+
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        take_q, take_i, dist = [], [], []
+        if a.num_rows and b.num_rows:
+            q, x, ks = matrix(a.column(vector)), matrix(b.column(vector)), a.column("_k").to_numpy()
+            ids = b.column(item_id).to_numpy()
+            about_q, about_x = ({c: t.column(c).to_numpy() for c in t.column_names if c != vector} if skip else {} for t in (a, b))
+            step = max(1, SLICE // len(x))
+            loose = slack(q) + slack(x).max()
+            for s in range(0, len(q), step):
+                d = metric.pairs(q[s:s + step], x)
+                if skip:
+                    d[skip({c: v[s:s + step, None] for c, v in about_q.items()}, {c: v[None, :] for c, v in about_x.items()})] = np.inf
+                most = int(min(ks[s:s + step].max(), len(x))) - 1
+                bound = np.partition(d, most, axis=1) if (ks[s:s + step] == ks[s]).all() else None
+                for r in range(d.shape[0]):
+                    kk = int(min(ks[s + r], len(x)))
+                    # the fast matrix is a little off: keep near ties, then rank exactly
+                    last = bound[r, most] if bound is not None else np.partition(d[r], kk - 1)[kk - 1]
+                    cand = np.flatnonzero((d[r] <= last + 2 * loose[s + r]) & (d[r] < np.inf))
+                    exact = metric.row(q[s + r], x[cand])
+                    order = np.lexsort((ids[cand], exact))[:kk]
+                    take_q.append(np.full(len(order), s + r))
+                    take_i.append(cand[order])
+                    dist.append(exact[order])
+        rows, cols = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (take_q, take_i))
+        return pa.table([a.column(query_id).take(pa.array(rows)), b.column(item_id).take(pa.array(cols)),
+                         pa.array(np.concatenate(dist) if dist else np.empty(0))], names=[query_id, item_id, "distance"])
+
+    return solve
+
+
+def _scan(asked: DataFrame, items: DataFrame, query_id: str, item_id: str, blocks: int, query_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Every block of queries beside every block of items."""
+    n_blocks, n_asks = max(1, blocks), max(1, -(-asked.count() // query_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_ask", F.pmod(F.xxhash64(query_id), F.lit(n_asks)).cast("int")).withColumn("_block", every(n_blocks))
+    right = items.withColumn("_block", F.pmod(F.xxhash64(item_id), F.lit(n_blocks)).cast("int")).withColumn("_ask", every(n_asks))
+    return left, right, ["_block", "_ask"]
+
+
+def _visit(asked: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, metric: Metric, cells: int | None, probes: int | None,
+           block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Queries beside the blocks of the cells they visit."""
+    placed, table = build_cells(items, item_id, vector, metric, cells, trained=bool(probes))
+    visits = materialize(route(asked, vector, table, metric, probes), "visits")
+    # rows per cell are known for both sides: one entry per cell
+    demand = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
+    visited = sorted(demand)
+    plan = pa.table({
+        "_cell": pa.array(visited, pa.int32()), "_blocks": pa.array([max(1, -(-int(table.counts[c]) // block_rows)) for c in visited], pa.int32()),
+        "_asks": pa.array([max(1, -(-demand[c] // query_rows)) for c in visited], pa.int32())})
+    sizes = asked.sparkSession.createDataFrame(plan)
+    left = visits.join(sizes, "_cell").withColumn("_ask", F.pmod(F.xxhash64(F.col(query_id)), F.col("_asks")).cast("int"))
+    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks", "_asks")
+    # the join also leaves out cells that no query visits
+    right = placed.join(sizes, "_cell").withColumn("_block", F.pmod(F.xxhash64(F.col(item_id)), F.col("_blocks")).cast("int"))
+    right = right.withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).drop("_blocks", "_asks", "_gap")
+    return left, right, ["_cell", "_block", "_ask"]
+
+
 def search(
     queries: DataFrame,
     items: DataFrame,
@@ -156,66 +235,54 @@ def search(
     item_id: str = "vec_id",
     vector: str = "embedding",
     metric: Metric = Metric(),
+    few_dimensions: bool = False,
     cells: int | None = None,
     probes: int | None = None,
-    trained: bool = False,
     exclude: DataFrame | None = None,
+    skip: Skip | None = None,
+    about: tuple[str, ...] = (),
     block_rows: int = 50_000,
-    query_rows: int = 2_000,
+    query_rows: int = 10_000,
 ) -> DataFrame:
     """(query_id, item_id, distance, rank): the k nearest items of each query.
 
-    Ties go to the lower item id. `exclude` holds (query_id, item_id) pairs
-    that must not be returned; they are fetched in addition and dropped.
+    Ties go to the lower item id. The way is a scan, cells with
+    `few_dimensions`, or cells of which `probes` are visited. Equal query
+    vectors are searched once where cells are used.
+
+    `skip` tells from the columns of a block of queries and of items (ids and
+    those named in `about`, where a side has them) which pairs don't count;
+    for scans and probes. `exclude` is a short list of (query_id, item_id)
+    pairs; they are fetched in addition and dropped. Vectors that are null,
+    not finite or of another length than most are left out (`rejected`).
     """
-    items = items.select(item_id, F.col(vector).cast("array<double>").alias(vector))
-    asked = queries.select(query_id, F.col(vector).cast("array<double>").alias(vector), F.lit(k).cast("bigint").alias("_k"))
+    dim, n = dimension(items, vector)
+    ok = F.coalesce(valid(F.col(vector), dim), F.lit(False))
+    known = lambda df: [c for c in about if c in df.columns and c not in (query_id, item_id)]
+    items = items.filter(ok).select(item_id, *known(items), F.col(vector).cast("array<double>").alias(vector))
+    asked = queries.filter(ok).select(query_id, *known(queries), F.col(vector).cast("array<double>").alias(vector), F.lit(k).cast("bigint").alias("_k"))
+    ship_package(items.sparkSession)
+    if skip is not None and few_dimensions and not probes:
+        raise ValueError("cells count the items that are skipped; use a scan or probes")
     if exclude is not None:
         pairs = exclude.select(query_id, item_id).distinct()
         extra = pairs.groupBy(query_id).agg(F.count(F.lit(1)).alias("_x"))
         asked = asked.join(extra, query_id, "left").withColumn("_k", F.col("_k") + F.coalesce("_x", F.lit(0))).drop("_x")
-    placed, table = build_cells(items, item_id, vector, metric, cells, trained)
-    visits = materialize(route(asked, vector, table, metric, probes), "visits")
-    # rows per cell are known for both sides: at most MAX_CELLS entries
-    demand = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
-    visited = sorted(demand)
-    plan = pa.table({
-        "_cell": pa.array(visited, pa.int32()), "_blocks": pa.array([max(1, -(-int(table.counts[c]) // block_rows)) for c in visited], pa.int32()),
-        "_asks": pa.array([max(1, -(-demand[c] // query_rows)) for c in visited], pa.int32())})
-    sizes = F.broadcast(queries.sparkSession.createDataFrame(plan))
-    left = visits.join(sizes, "_cell").withColumn("_ask", F.pmod(F.xxhash64(F.col(query_id)), F.col("_asks")).cast("int"))
-    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks", "_asks")
-    # the join also leaves out cells that no query visits
-    right = placed.join(sizes, "_cell").withColumn("_block", F.pmod(F.xxhash64(F.col(item_id)), F.col("_blocks")).cast("int"))
-    right = right.withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).drop("_blocks", "_asks", "_gap")
+    shared = few_dimensions and exclude is None and not known(queries)
+    if shared:
+        askers = asked.select(F.col(query_id).alias("_asker"), F.col(vector).alias("_same"))
+        asked = asked.groupBy(vector, "_k").agg(F.min(query_id).alias(query_id)).select(query_id, vector, "_k")
+        twins = askers.join(asked.select(F.col(query_id).alias("_first"), F.col(vector).alias("_same")), "_same").select("_asker", "_first")
+    if few_dimensions or probes:
+        left, right, keys = _visit(asked, items, query_id, item_id, vector, metric, cells, probes, block_rows, query_rows)
+    else:
+        left, right, keys = _scan(asked, items, query_id, item_id, -(-n // block_rows), query_rows)
     qt, it = queries.schema[query_id].dataType, items.schema[item_id].dataType
     schema = T.StructType([T.StructField(query_id, qt), T.StructField(item_id, it), T.StructField("distance", T.DoubleType())])
-
-    def closest(a: pa.Table, b: pa.Table) -> pa.Table:
-        take_q, take_i, dist = [], [], []
-        if a.num_rows and b.num_rows:
-            q, x, ks = matrix(a.column(vector)), matrix(b.column(vector)), a.column("_k").to_numpy()
-            ids = b.column(item_id).to_numpy()
-            step = max(1, SLICE // len(x))
-            loose = slack(q) + slack(x).max()
-            for s in range(0, len(q), step):
-                d = metric.pairs(q[s:s + step], x)
-                for r in range(d.shape[0]):
-                    kk = int(min(ks[s + r], len(x)))
-                    # the fast matrix is a little off: keep near ties, then rank exactly
-                    limit = np.partition(d[r], kk - 1)[kk - 1] + 2 * loose[s + r]
-                    cand = np.flatnonzero(d[r] <= limit)
-                    exact = metric.row(q[s + r], x[cand])
-                    order = np.lexsort((ids[cand], exact))[:kk]
-                    take_q.extend([s + r] * len(order))
-                    take_i.extend(cand[order].tolist())
-                    dist.extend(exact[order].tolist())
-        return pa.table([a.column(query_id).take(pa.array(take_q, pa.int64())), b.column(item_id).take(pa.array(take_i, pa.int64())),
-                         pa.array(dist, pa.float64())], names=[query_id, item_id, "distance"])
-
-    keys = ["_cell", "_block", "_ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(closest, schema)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_closest(query_id, item_id, vector, metric, skip), schema)
     if exclude is not None:
         found = found.join(pairs, [query_id, item_id], "left_anti")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", item_id)))
-    return ranked.filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", item_id))).filter(F.col("rank") <= k)
+    if shared:
+        ranked = ranked.withColumnRenamed(query_id, "_first").join(twins, "_first").select(F.col("_asker").alias(query_id), item_id, "distance", "rank")
+    return ranked

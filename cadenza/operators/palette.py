@@ -130,8 +130,8 @@ EMOTION_METRIC = knn.Metric(_emotion_pairs, _emotion_row)
 ROUNDED_L2 = knn.Metric(knn.l2, _rounded_row)
 
 
-def best_by_emotion(targets: DataFrame, clips: DataFrame, k: int = 1, cells: int | None = None) -> DataFrame:
+def best_by_emotion(targets: DataFrame, clips: DataFrame, k: int = 1) -> DataFrame:
     """(target_id, clip_id, score, rank) for vectors (valence, arousal, motion, energy), without history."""
-    found = knn.search(targets, clips, k, "target_id", "clip_id", metric=EMOTION_METRIC, cells=cells)
+    found = knn.search(targets, clips, k, "target_id", "clip_id", metric=EMOTION_METRIC, few_dimensions=True)
     top = EMOTION_WEIGHT + RELEVANCE_WEIGHT + DIVERSITY_WEIGHT
     return found.select("target_id", "clip_id", (F.lit(top) - F.col("distance")).alias("score"), "rank")

@@ -21,12 +21,11 @@ def match_type(similarity: Column) -> Column:
 
 
 def similar_items(items: DataFrame, k: int = 10, min_similarity: float = 0.5, item_id: str = "vec_id", vector: str = "embedding",
-                  cells: int | None = None) -> DataFrame:
-    """(item, other, similarity, rank, match_type) of each item's nearest others."""
+                  probes: int | None = None) -> DataFrame:
+    """(item, other, similarity, rank, match_type) of each item's nearest others; with `probes` approximate."""
     base = items.select(item_id, unit(F.col(vector)).alias(vector))
     asked = base.withColumnRenamed(item_id, "_query")
-    own = items.select(F.col(item_id).alias("_query"), item_id)
-    found = knn.search(asked, base, k, "_query", item_id, vector, cells=cells, exclude=own)
+    found = knn.search(asked, base, k, "_query", item_id, vector, probes=probes, skip=lambda q, x: q["_query"] == x[item_id])
     raw = 1 - F.col("distance") * F.col("distance") / 2
     out = found.withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).filter(F.col("similarity") >= min_similarity)
     return out.select(F.col("_query").alias(item_id), F.col(item_id).alias("other"), "similarity", "rank", match_type(F.col("similarity")).alias("match_type"))

@@ -154,7 +154,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY v, a, energy, motion ORDER BY ro
 SELECT t.target_id, r.clip_id, round(r.score, 6) AS score FROM t JOIN r ON r.v = t.v AND r.a = t.a AND r.energy = t.energy AND r.motion = t.motion WHERE r.k = 1""")
 def _(v):
     t = v.sql(EMO_TARGETS).select("target_id", F.array("v", "a", "motion", "energy").alias("embedding"))
-    return palette.best_by_emotion(t, clip_points(v), 1, cells=64).select("target_id", "clip_id", F.round("score", 6).alias("score"))
+    return palette.best_by_emotion(t, clip_points(v), 1).select("target_id", "clip_id", F.round("score", 6).alias("score"))
 
 
 @query("m07_quadrant_moods", """
@@ -221,7 +221,7 @@ def _(v):
     clips = v.clip_mood.select("clip_id", "energy").join(v.clip_motion.select("clip_id", "motion_score"), "clip_id")
     items = clips.select("clip_id", F.array("energy", "motion_score").alias("embedding"))
     asked = targets(v).select("target_id", F.array("energy", "level").alias("embedding"))
-    out = knn.search(asked, items, 1, "target_id", "clip_id", cells=16, metric=palette.ROUNDED_L2)
+    out = knn.search(asked, items, 1, "target_id", "clip_id", few_dimensions=True, metric=palette.ROUNDED_L2)
     return out.select("target_id", "clip_id", F.round("distance", 6).alias("distance"))
 
 
@@ -273,7 +273,7 @@ def _(v):
     clips = selection.rank_clips(v.clip_mood.select("clip_id", "energy").join(v.clip_motion.select("clip_id", "motion_score"), "clip_id"), width=100_000.0)
     items = clips.select("clip_id", F.array("energy", "motion_score").alias("embedding"))
     asked = targets(v).select("target_id", F.array("energy", "level").alias("embedding"))
-    found = knn.search(asked, items, 5, "target_id", "clip_id", cells=16).join(clips.select("clip_id", "clip_rank"), "clip_id")
+    found = knn.search(asked, items, 5, "target_id", "clip_id", few_dimensions=True).join(clips.select("clip_id", "clip_rank"), "clip_id")
     lists = found.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("rank", "clip_rank"))).alias("l"))
     cuts = targets(v).select("target_id", "track_id", "seg_idx").join(lists, "target_id").withColumn("candidates", F.transform("l", lambda e: e["clip_rank"]))
     total = clips.agg(F.count(F.lit(1)).alias("n_clips")).first()["n_clips"]

@@ -20,8 +20,8 @@ def asked(v):
     return units(v.query_vec, "query_id")
 
 
-def near(v, k, cells=16, **kw):
-    return knn.search(asked(v), units(v.vec, "vec_id"), k, cells=cells, **kw)
+def near(v, k, **kw):
+    return knn.search(asked(v), units(v.vec, "vec_id"), k, **kw)
 
 
 def similarity(distance):
@@ -52,7 +52,7 @@ def _(v):
 
 @query("v03_approximate_neighbours")
 def _(v):
-    found = near(v, 10, cells=22, probes=10, trained=True)
+    found = near(v, 10, probes=10)
     return found.select("query_id", "vec_id", "rank", F.round(similarity(F.col("distance")), 4).alias("similarity"))
 
 
@@ -62,7 +62,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY ip DESC, other)
 SELECT clip_id, other, rank, round(greatest(0e0, least(1e0, ip)), 4) AS similarity, CASE WHEN ip >= 0.99e0 THEN 'exact' WHEN ip >= 0.9e0 THEN 'near_duplicate'
   WHEN ip >= 0.7e0 THEN 'similar' ELSE 'low_similarity' END AS match_type FROM r WHERE rank <= 10 AND ip >= 0.3e0""")
 def _(v):
-    return vectorops.similar_items(v.vec, 10, 0.3, cells=16).select(
+    return vectorops.similar_items(v.vec, 10, 0.3).select(
         F.col("vec_id").alias("clip_id"), "other", "rank", F.round("similarity", 4).alias("similarity"), "match_type")
 
 
@@ -79,7 +79,7 @@ def _(v):
 def _(v):
     # one list per label; the steps are the query vectors of that label
     steps = v.vec.select("label", F.col("vec_id").alias("query_id"), "embedding")
-    ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 20, cells=16)
+    ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 20)
     cuts = selection.with_candidates(steps.select("label", "query_id"), ranked, units(v.vec, "vec_id"), "query_id", "vec_id")
     out = selection.select_mmr(cuts, ["label"], ["query_id"])
     return out.select("label", "query_id", "picked", F.round("score", 6).alias("score"))
@@ -90,9 +90,8 @@ WITH {UNITS}, {Q}, s AS (SELECT query_id, vec_id, list_distance(q.e, u.e) AS d F
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, round(d, 4) AS distance FROM r WHERE rank = 1""")
 def _(v):
-    residue = v.query_vec.select("query_id", F.pmod("query_id", F.lit(3)).alias("m"))
-    pairs = v.vec.select("vec_id", F.pmod("vec_id", F.lit(3)).alias("m")).join(residue, "m").select("query_id", "vec_id")
-    return near(v, 1, exclude=pairs).select("query_id", "vec_id", F.round("distance", 4).alias("distance"))
+    found = near(v, 1, skip=lambda q, x: q["query_id"] % 3 == x["vec_id"] % 3)
+    return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"))
 
 
 @query("v08_continuity_rerank", f"""
@@ -142,7 +141,23 @@ WITH RECURSIVE {UNITS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b
 w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b)
 SELECT a AS vec_id, least(a, min(b)) AS component FROM w GROUP BY a""")
 def _(v):
-    return duplicates.near_duplicate_groups(v.vec, "vec_id", "embedding", 0.42, cells=16)
+    return duplicates.near_duplicate_groups(v.vec, "vec_id", "embedding", 0.42, recall=None)
+
+
+# copies with small seeded changes beside the given vectors: pairs that lie above the threshold
+CLOSE = """x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM v_vec UNION ALL SELECT vec_id + 10000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i % 8 = 1 THEN x * 0.7e0 ELSE x END) FROM v_vec WHERE vec_id % 3 = 0)"""
+
+
+@query("v10_near_duplicates_at_095", f"""
+WITH RECURSIVE {CLOSE}, u AS (SELECT vec_id, list_transform(e, lambda z: z / sqrt(list_inner_product(e, e))) AS e FROM x),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.95e0),
+w(a, b) AS (SELECT a, b FROM p UNION SELECT w.a, p.b FROM w JOIN p ON p.a = w.b)
+SELECT a AS vec_id, least(a, min(b)) AS component FROM w GROUP BY a""")
+def _(v):
+    plain = v.vec.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    changed = plain.filter("vec_id % 3 = 0").select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform(
+        "embedding", lambda x, i: F.when(i % 8 == 0, x * 0.7).otherwise(x)).alias("embedding"))
+    return duplicates.near_duplicate_groups(plain.unionByName(changed), "vec_id", "embedding", 0.95)
 
 
 @query("v11_content_fingerprint", """
@@ -166,9 +181,8 @@ WITH {UNITS}, {Q}, s AS (SELECT query_id, u.vec_id, list_inner_product(q.e, u.e)
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, rank, round(ip, 4) AS similarity FROM r WHERE rank <= 5""")
 def _(v):
-    wanted = v.query_vec.select("query_id", F.pmod("query_id", F.lit(10)).cast("int").alias("label"))
-    pairs = v.vec.filter("vec_id % 2 = 0").select("vec_id", "label").join(wanted, "label").select("query_id", "vec_id")
-    out = near(v, 5, exclude=pairs)
+    out = knn.search(asked(v), units(v.vec, "vec_id", "label"), 5, about=("label",),
+                     skip=lambda q, x: (x["label"] == q["query_id"] % 10) & (x["vec_id"] % 2 == 0))
     return out.select("query_id", "vec_id", "rank", F.round(1 - F.col("distance") * F.col("distance") / 2, 4).alias("similarity"))
 
 
@@ -204,10 +218,20 @@ def _(v):
     return duplicates.hamming_neighbours(v.phash, v.phash, "clip_id", "bits", 16)
 
 
+@query("j18_hamming_neighbours_by_bands", """
+WITH h AS (SELECT clip_id, bits FROM v_phash UNION ALL SELECT clip_id + 10000000, concat(substring(bits, 1, 20), CASE substring(bits, 21, 1) WHEN '1' THEN '0' ELSE '1' END, substring(bits, 22)) FROM v_phash WHERE clip_id % 4 = 0)
+SELECT a.clip_id, b.clip_id AS other, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance FROM h a JOIN h b ON a.clip_id <> b.clip_id AND hamming(a.bits, b.bits) <= 10""")
+def _(v):
+    # hashes with one place turned over beside the given ones
+    turned = F.concat(F.substring("bits", 1, 20), F.when(F.substring("bits", 21, 1) == "1", "0").otherwise("1"), F.expr("substring(bits, 22)"))
+    hashes = v.phash.unionByName(v.phash.filter("clip_id % 4 = 0").select((F.col("clip_id") + 10_000_000).alias("clip_id"), turned.alias("bits")))
+    return duplicates.hamming_neighbours(hashes, hashes, "clip_id", "bits", 10, bands=4)
+
+
 @query("m16_two_stage_selection")
 def _(v):
     steps = v.vec.select("label", F.col("vec_id").alias("query_id"), "embedding")
-    ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 100, cells=16)
+    ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 100)
     items = units(v.vec, "vec_id").withColumn("emotion", F.lit(0.5))
     cuts = selection.with_candidates(steps.select("label", "query_id"), ranked, items, "query_id", "vec_id", extra=["emotion"])
     out = selection.select_two_stage(cuts, ["label"], ["query_id"])

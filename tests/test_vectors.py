@@ -22,9 +22,9 @@ def points():
     return x
 
 
-@pytest.mark.parametrize("cells,block", [(1, 50_000), (9, 50_000), (9, 20)])
-def test_exact_search(spark, points, cells, block):
-    found = knn.search(frame(spark, points[:40], "query_id"), frame(spark, points), 5, cells=cells, block_rows=block, query_rows=16)
+@pytest.mark.parametrize("few,cells,block", [(False, None, 50_000), (False, None, 20), (True, None, 50_000), (True, 9, 20)])
+def test_exact_search(spark, points, few, cells, block):
+    found = knn.search(frame(spark, points[:40], "query_id"), frame(spark, points), 5, few_dimensions=few, cells=cells, block_rows=block, query_rows=16)
     got = {}
     for r in found.collect():
         got.setdefault(r.query_id, {})[r.rank] = r.vec_id
@@ -35,13 +35,16 @@ def test_exact_search(spark, points, cells, block):
 
 def test_search_with_exclusions_and_other_metric(spark, points):
     own = spark.createDataFrame([(i, i) for i in range(20)], "query_id long, vec_id long")
-    found = knn.search(frame(spark, points[:20], "query_id"), frame(spark, points), 1, cells=5, exclude=own)
-    for r in found.collect():
-        d = np.sqrt(((points - points[r.query_id]) ** 2).sum(1))
-        d[r.query_id] = np.inf
-        assert r.vec_id == int(np.argmin(d))
+    q, items = frame(spark, points[:20], "query_id"), frame(spark, points)
+    for ways in ({"exclude": own}, {"exclude": own, "few_dimensions": True}, {"skip": lambda a, b: a["query_id"] == b["vec_id"], "block_rows": 50}):
+        found = knn.search(q, items, 1, **ways).collect()
+        assert len(found) == 20
+        for r in found:
+            d = np.sqrt(((points - points[r.query_id]) ** 2).sum(1))
+            d[r.query_id] = np.inf
+            assert r.vec_id == int(np.argmin(d))
     x = points[:, :4]
-    emo = knn.search(frame(spark, x[:20], "query_id"), frame(spark, x), 1, cells=6, metric=palette.EMOTION_METRIC)
+    emo = knn.search(frame(spark, x[:20], "query_id"), frame(spark, x), 1, few_dimensions=True, metric=palette.EMOTION_METRIC)
     for r in emo.collect():
         assert r.vec_id == int(np.argmin(palette._emotion_row(x[r.query_id], x)))
 
@@ -49,14 +52,49 @@ def test_search_with_exclusions_and_other_metric(spark, points):
 def test_approximate_search_recall(spark):
     x = np.random.default_rng(1).normal(size=(600, 8))
     q, items = frame(spark, x[:50], "query_id"), frame(spark, x)
-    exact = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10, cells=1).collect()}
-    near = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10, cells=24, probes=10, trained=True).collect()}
+    exact = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10, probes=10).collect()}
     assert len(exact & near) / len(exact) > 0.8
 
 
-@pytest.mark.parametrize("cells", [1, 8])
-def test_near_duplicate_groups(spark, points, cells):
-    got = {r.vec_id: r.component for r in duplicates.near_duplicate_groups(frame(spark, points), threshold=0.9, cells=cells).collect()}
+def test_bad_vectors_are_left_out(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0]), (6, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.withColumnRenamed("vec_id", "query_id")
+    for few in (False, True):
+        got = {(r.query_id, r.vec_id) for r in knn.search(asked, df, 2, few_dimensions=few).collect()}
+        assert got == {(0, 0), (0, 1), (1, 0), (1, 1), (5, 5), (5, 1)}
+    assert {r.vec_id for r in knn.rejected(df, "vec_id", "embedding", 2).collect()} == {2, 3, 4, 6}
+    assert knn.search(asked, df.filter("vec_id < 0"), 2).count() == 0 and knn.search(asked.filter("query_id < 0"), df, 2, few_dimensions=True).count() == 0
+    assert {r.vec_id for r in duplicates.near_duplicate_groups(df, threshold=0.9).collect()} == {0, 1}
+
+
+def test_copies_with_changes_meet_in_tables(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 32))
+    x[600:] = x[:300] + rng.normal(size=(300, 32)) * 0.2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    want = {(int(p), int(q)) for p, q in zip(a, b, strict=True)}
+    got = {(r.component, r.vec_id) for r in duplicates.near_duplicate_groups(frame(spark, x), threshold=0.95).collect() if r.component != r.vec_id}
+    assert len(want) > 200 and got == want
+
+
+@pytest.mark.parametrize("n,share", [(10_000, 0.6), (1_000_000, 0.05), (1_000_000_000, 0.0001)])
+def test_tables_compare_a_falling_share_of_pairs(n, share):
+    bits = max(8, int(np.ceil(np.log2(n + 1))) - 6)
+    assert duplicates.tables_for(0.95, 0.9999, bits) / 2**bits < share
+
+
+def test_bands_follow_from_the_work():
+    assert duplicates.bands_for(2_000, 64, 16) == 0
+    assert duplicates.bands_for(100_000_000, 64, 10) in (3, 4)
+    assert duplicates.bands_for(100_000_000, 256, 10) > 0
+
+
+@pytest.mark.parametrize("recall", [None, 0.9999])
+def test_near_duplicate_groups(spark, points, recall):
+    got = {r.vec_id: r.component for r in duplicates.near_duplicate_groups(frame(spark, points), threshold=0.9, recall=recall).collect()}
     u = points / np.linalg.norm(points, axis=1, keepdims=True)
     label = np.arange(len(u))
     linked = u @ u.T >= 0.9
@@ -82,8 +120,8 @@ def test_hamming_edges(spark):
     assert [r.d for r in df.select(duplicates.hamming(a, b).alias("d")).collect()] == [1, -1, -1, 8]
 
 
-@pytest.mark.parametrize("total,limit", [(64, 6), (64, 3), (256, 10)])
-def test_hamming_join_at_the_threshold(spark, total, limit):
+@pytest.mark.parametrize("total,limit,bands", [(64, 6, 0), (64, 6, 7), (64, 6, 3), (64, 3, 2), (256, 10, 5), (256, 10, None)])
+def test_hamming_join_at_the_threshold(spark, total, limit, bands):
     rng = random.Random(3)
     base = [[rng.choice("01") for _ in range(total)] for _ in range(30)]
     for flips in range(1, limit + 4):
@@ -93,7 +131,7 @@ def test_hamming_join_at_the_threshold(spark, total, limit):
         base.append(near)
     bits = ["".join(b) for b in base] + ["".join(base[0])] * 5 + ["01"]
     df = spark.createDataFrame(list(enumerate(bits)), "clip_id long, bits string")
-    out = duplicates.hamming_neighbours(df, df, "clip_id", "bits", limit, total, hot=2, salts=3, block_rows=11)
+    out = duplicates.hamming_neighbours(df, df, "clip_id", "bits", limit, total, bands=bands, hot=2, block_rows=11)
     got = {(r.clip_id, r.other): r.distance for r in out.collect()}
     want = {}
     for i, a in enumerate(bits[:-1]):
@@ -119,7 +157,7 @@ def test_imputed_vectors_are_repeatable(spark):
 def test_mmr_against_the_loop(spark, points):
     items = frame(spark, points)
     steps = spark.createDataFrame([(i % 2, i, [float(v) for v in points[i]]) for i in range(30)], "track_id long, query_id long, embedding array<double>")
-    ranked = knn.search(steps.select("query_id", "embedding"), items, 9, cells=4)
+    ranked = knn.search(steps.select("query_id", "embedding"), items, 9)
     cuts = selection.with_candidates(steps.select("track_id", "query_id"), ranked, items, "query_id", "vec_id")
     got = {r.query_id: r.picked for r in selection.select_mmr(cuts, ["track_id"], ["query_id"], window=4, top_k=5).collect()}
     for track in (0, 1):

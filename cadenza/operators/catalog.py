@@ -30,15 +30,41 @@ def latest_per_clip(side: DataFrame, when: str = "analyzed_at", clip_id: str = "
     return side.groupBy(clip_id).agg(F.max_by(F.struct(*rest), F.col(when)).alias("_r")).select(clip_id, "_r.*")
 
 
-def with_families(clips: DataFrame, families: Mapping[str, DataFrame], clip_id: str = "clip_id") -> DataFrame:
-    """Clips with one struct per side table, null where the clip has no row."""
+def with_families(clips: DataFrame, families: Mapping[str, DataFrame], clip_id: str = "clip_id", needed: Sequence[str] = ()) -> DataFrame:
+    """Clips with one struct per side table, null where the clip has no row.
+
+    Clips without a row in one of the `needed` families are left out by an
+    inner join.
+    """
     out = clips
     for name, side in families.items():
         cols = [c for c in side.columns if c != clip_id]
-        out = out.join(side.select(clip_id, F.struct(*cols).alias(name)), clip_id, "left")
+        out = out.join(side.select(clip_id, F.struct(*cols).alias(name)), clip_id, "inner" if name in needed else "left")
     return out
 
 
+# fixed values: the family that each filter or facet reads
+FILTER_FAMILIES = {
+    "motion_type": "motion", "camera_motion": "motion", "mood": "mood", "energy_range": "mood", "scene_type": "scene", "has_face": "scene",
+    "style": "style", "temperature": "color", "brightness_range": "color", "brightness": "color", "is_analyzed": "status",
+}
+
+
+def _is_set(name: str, value: object) -> bool:
+    return not (value is None or value == [] or value == "" or value == "All" or (name.endswith("_range") and tuple(value) == (None, None)))
+
+
+def filtered_families(clips: DataFrame, families: Mapping[str, DataFrame], filters: Mapping[str, object], clip_id: str = "clip_id") -> DataFrame:
+    """Clips with the families that set `filters` (or facets) read, and no others.
+
+    A filter on a family asks for a row there, so the join is inner; only
+    is_analyzed = False also takes clips without a status.
+    """
+    used = {FILTER_FAMILIES[n]: n for n, value in filters.items() if n in FILTER_FAMILIES and _is_set(n, value)}
+    needed = [f for f in used if not (f == "status" and not filters["is_analyzed"])]
+    return with_families(clips, {f: families[f] for f in families if f in used}, clip_id, needed)
+
+
 def _any_of(value: object) -> list:
     return list(value) if isinstance(value, (list, tuple, set)) else [value]
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.operators.ordered import CHUNK, add_chunk
-from cadenza.session import ship_package
+from cadenza.session import materialize, ship_package
 
 KEPT, ANCHOR = "kept", "anchor"
 
@@ -49,42 +49,65 @@ class WalkRule:
         return gap > hold if self.strict else gap >= hold
 
     def beats(self, new: float, old: float) -> bool:
-        if self.mode == "stronger":
-            return new > old
-        return self.mode == "differs" and abs(new - old) > self.threshold
+        return new > old if self.mode == "stronger" else abs(new - old) > self.threshold
 
 
-def _walk(rule: WalkRule, t, s, hold, entry) -> tuple[np.ndarray, np.ndarray]:
-    """kept flags and the anchor time of each row, from an entry (t, s, hold)."""
+def _far(rule: WalkRule, t: np.ndarray, hold: np.ndarray) -> np.ndarray:
+    """First later row that is far enough from each row; the number of rows where there is none."""
     n = len(t)
-    kept, anchor = np.zeros(n, bool), np.empty(n)
-    cur = -1
-    ct, cs, ch = entry if entry else (None, None, None)
-    for j in range(n):
-        if ct is None or rule.far(t[j] - ct, ch):
-            move = True
-        else:
-            move = rule.beats(s[j], cs)
-            if move and cur >= 0 and rule.mode == "stronger":
-                kept[cur] = False
-        if move:
-            cur, ct, cs, ch = j, t[j], s[j], hold[j]
-            kept[j] = True
-        anchor[j] = ct
+    i = np.arange(n)
+    j = np.maximum(np.searchsorted(t, t + hold, side="right" if rule.strict else "left"), i + 1)
+    # a sum is rounded, the rule compares differences
+    while len(m := np.flatnonzero((j > i + 1) & rule.far(t[j - 1] - t, hold))):
+        j[m] -= 1
+    while len(m := np.flatnonzero((j < n) & ~rule.far(t[np.minimum(j, n - 1)] - t, hold))):
+        j[m] += 1
+    return j
+
+
+def _first(mask: np.ndarray) -> int:
+    """Place of the first true value, the length where there is none."""
+    at = int(mask.argmax()) if len(mask) else 0
+    return at if len(mask) and mask[at] else len(mask)
+
+
+def _walk(rule: WalkRule, t: np.ndarray, s: np.ndarray, hold: np.ndarray, entry) -> tuple[np.ndarray, np.ndarray]:
+    """kept flags and the anchor time of each row, from an entry (t, s, hold).
+
+    Rows whose successor is far enough are kept in one step up to the next row
+    that has others close by; only those are visited one by one.
+    """
+    n = len(t)
+    kept, anchor = np.zeros(n, bool), np.array(t, float)
+    far = _far(rule, t, hold)
+    busy = np.flatnonzero(far > np.arange(n) + 1)
+    j = 0
+    if entry:
+        ct, cs, ch = entry
+        j = _first(rule.far(t - ct, ch))
+        if rule.mode != "first":
+            j = min(j, _first(rule.beats(s[:j], cs)))
+        anchor[:j] = ct
+    while j < n:
+        k = int(np.searchsorted(busy, j))
+        cur = int(busy[k]) if k < len(busy) else n
+        kept[j:cur + 1] = True
+        if cur == n:
+            break
+        j = int(far[cur])
+        if rule.mode != "first":
+            better = cur + 1 + _first(rule.beats(s[cur + 1:j], s[cur]))
+            if better < j:
+                j = better
+                kept[cur] = rule.mode != "stronger"
+        anchor[cur:j] = t[cur]
     return kept, anchor
 
 
-def _exits(rule: WalkRule, t, s, hold) -> np.ndarray:
+def _exits(rule: WalkRule, t: np.ndarray, s: np.ndarray, hold: np.ndarray) -> np.ndarray:
     """Last row reached from each row; links only point forward."""
     n = len(t)
-    nxt = np.full(n, n)
-    tt = np.asarray(t)
-    far = np.searchsorted(tt, tt + np.asarray(hold), side="left")
-    for i in range(n):
-        j = max(int(far[i]) - 1, i + 1)
-        while j < n and not rule.far(t[j] - t[i], hold[i]):
-            j += 1
-        nxt[i] = j
+    nxt = _far(rule, t, hold)
     if rule.mode == "stronger":
         stack: list[int] = []
         for j in range(n):
@@ -98,10 +121,9 @@ def _exits(rule: WalkRule, t, s, hold) -> np.ndarray:
                 if rule.beats(s[j], s[i]):
                     nxt[i] = j
                     break
-    out = np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if nxt[i] < n:
-            out[i] = out[nxt[i]]
+    out = np.where(nxt < n, nxt, np.arange(n))
+    while (out[out] != out).any():
+        out = out[out]
     return out
 
 
@@ -204,7 +226,9 @@ def walk(
 
     `order` starts with the time column. In mode `stronger` the anchor is the
     row that was current at that moment. `width` is the chunk width in time
-    units; None walks each group whole, for groups known to be small.
+    units; None walks each group whole, for groups known to be small. A walk
+    over chunks is written to the shared folder, so that what follows never
+    repeats it.
     """
     keys, order = list(keys), list(order)
     columns = df.columns
@@ -224,14 +248,13 @@ def walk(
                                  "_eh": F.lit(None).cast("double"), "_xk": F.lit(True)}).repartition(*group)
 
     def final(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
-        t, s, h, et, es, eh = (table.column(c).to_pylist() for c in ("_t", "_s", "_h", "_et", "_es", "_eh"))
-        xk = table.column("_xk").to_pylist()
+        t, s, h = (table.column(c).to_numpy() for c in ("_t", "_s", "_h"))
+        heads = table.select(["_et", "_es", "_eh", "_xk"]).take(pa.array([a for a, _ in bounds], pa.int64()))
         kept, anchor = [], []
-        for a, b in bounds:
-            entry = None if et[a] is None else (et[a], es[a], eh[a])
-            k, anc = _walk(rule, t[a:b], s[a:b], h[a:b], entry)
+        for (a, b), et, es, eh, stays in zip(bounds, *(c.to_pylist() for c in heads.columns), strict=True):
+            k, anc = _walk(rule, t[a:b], s[a:b], h[a:b], None if et is None else (et, es, eh))
             visited = np.flatnonzero(k)
-            if len(visited) and not xk[a]:
+            if len(visited) and not stays:
                 k[visited[-1]] = False
             kept.append(k)
             anchor.append(anc)
@@ -240,7 +263,8 @@ def walk(
             ANCHOR, pa.array(np.concatenate(anchor)))
 
     schema = T.StructType([*df.schema.fields, T.StructField(KEPT, T.BooleanType()), T.StructField(ANCHOR, T.DoubleType())])
-    return _map_groups(rows, group, order, schema, final)
+    walked = _map_groups(rows, group, order, schema, final)
+    return materialize(walked, "walk") if width else walked
 
 
 def _chunk_states(rows: DataFrame, keys: list[str], order: list[str], rule: WalkRule, width: float,
@@ -253,7 +277,7 @@ def _chunk_states(rows: DataFrame, keys: list[str], order: list[str], rule: Walk
                                *[T.StructField(n, double) for n in names]])
 
     def summarise(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
-        t, s, h = (table.column(c).to_pylist() for c in ("_t", "_s", "_h"))
+        t, s, h = (table.column(c).to_numpy() for c in ("_t", "_s", "_h"))
         chunk = table.column(CHUNK).to_pylist()
         pick: list[int] = []
         number: list[int] = []

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.ordered import Running, running
+from cadenza.session import materialize
 
 MERGE_SLACK = 0.5
 DURATION_TOLERANCE = 0.01
@@ -26,6 +27,7 @@ def merge_ranges(df: DataFrame, keys: Sequence[str], start: str = "start_t", end
     reach = running(ranges, keys, [start, end], [Running("_reach", "max", F.col(end))], width)
     opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + slack)
     marked = reach.withColumn("_open", F.when(opens, F.col(start)))
+    marked = materialize(marked, "islands") if width else marked
     island = running(marked, keys, [start, end], [Running("_island", "last", F.col("_open"), inclusive=True)], width)
     merged = island.groupBy(*keys, "_island").agg(F.max(end).alias(end), F.sum("_n").alias("n_ranges"))
     return merged.select(*keys, F.col("_island").alias(start), end, "n_ranges")

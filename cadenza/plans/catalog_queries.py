@@ -9,14 +9,18 @@ from cadenza.operators.ordered import row_index
 from cadenza.plans.registry import query
 
 
-def library(v):
-    """Clips with motion, mood, style, colour and status families."""
+def families(v):
+    """Side tables of the clips: motion, mood, style, colour and status."""
     mood = v.clip_mood.withColumn("moods", catalog.json_list(F.col("moods")))
     color = v.clip_mood.select("clip_id", F.col("brightness").alias("brightness_value"),
                                F.when(F.col("brightness") < 80, "DARK").when(F.col("brightness") > 180, "BRIGHT").otherwise("MEDIUM").alias("brightness"))
     style = v.clip_style.withColumn("styles", F.when(F.col("noise_level") > 0.5, F.array(F.lit("FILMIC"))).otherwise(F.array(F.lit("STANDARD"))))
-    families = {"motion": v.clip_motion, "mood": mood, "color": color, "style": style, "status": v.status}
-    return catalog.with_families(v.clip, families)
+    return {"motion": v.clip_motion, "mood": mood, "color": color, "style": style, "status": v.status}
+
+
+def library(v):
+    """Clips with all families."""
+    return catalog.with_families(v.clip, families(v))
 
 
 @query("s01_catalog_scan", """
@@ -95,7 +99,7 @@ SELECT c.clip_id FROM v_clip c JOIN v_clip_motion m ON m.clip_id = c.clip_id JOI
 WHERE m.motion_type IN ('FAST', 'EXTREME') AND (o.moods LIKE '%"CALM"%' OR o.moods LIKE '%"EUPHORIC"%') AND c.duration BETWEEN 5 AND 40 AND o.brightness >= 60 AND o.energy <= 0.8e0""")
 def _(v):
     wanted = {"motion_type": ["FAST", "EXTREME"], "mood": ["CALM", "EUPHORIC"], "duration_range": (5, 40), "brightness_range": (60, None), "energy_range": (None, 0.8)}
-    return library(v).filter(catalog.clip_filter(wanted)).select("clip_id")
+    return catalog.filtered_families(v.clip, families(v), wanted).filter(catalog.clip_filter(wanted)).select("clip_id")
 
 
 @query("j02_filter_on_analysis_state", """
@@ -103,7 +107,8 @@ SELECT c.clip_id FROM v_clip c LEFT JOIN v_status s ON s.clip_id = c.clip_id
 WHERE s.clip_id IS NULL OR NOT (s.colors_analyzed AND s.motion_analyzed AND s.scene_analyzed AND s.mood_analyzed AND s.objects_analyzed AND s.style_analyzed)""")
 def _(v):
     flags = ["colors_analyzed", "motion_analyzed", "scene_analyzed", "mood_analyzed", "objects_analyzed", "style_analyzed"]
-    return library(v).filter(catalog.clip_filter({"is_analyzed": False}, flags)).select("clip_id")
+    wanted = {"is_analyzed": False}
+    return catalog.filtered_families(v.clip, families(v), wanted).filter(catalog.clip_filter(wanted, flags)).select("clip_id")
 
 
 @query("j01_family_joins", """
@@ -116,14 +121,16 @@ def _(v):
 @query("f02_facet_filter", """
 SELECT c.clip_id FROM v_clip c JOIN v_clip_motion m ON m.clip_id = c.clip_id JOIN v_clip_mood o ON o.clip_id = c.clip_id WHERE m.camera_motion = 'PAN_LEFT' AND contains(o.moods, '"DARK"')""")
 def _(v):
-    return library(v).filter(catalog.facet_filter({"camera_motion": "PAN_LEFT", "mood": "DARK", "motion_type": "All"})).select("clip_id")
+    facets = {"camera_motion": "PAN_LEFT", "mood": "DARK", "motion_type": "All"}
+    return catalog.filtered_families(v.clip, families(v), facets).filter(catalog.facet_filter(facets)).select("clip_id")
 
 
 @query("f03_name_search", """
 SELECT c.clip_id, contains(lower(concat(CAST(c.clip_id AS VARCHAR), '.mp4 ', c.codec, ' ', CAST(c.width AS VARCHAR), 'x', CAST(c.height AS VARCHAR))), 'h264 19') AS technical
 FROM v_clip c JOIN v_clip_motion m ON m.clip_id = c.clip_id WHERE contains(lower(c.name), 'ring') AND m.motion_type = 'SLOW'""")
 def _(v):
-    hits = library(v).filter(catalog.name_search("RING") & catalog.facet_filter({"motion_type": "SLOW"}))
+    facets = {"motion_type": "SLOW"}
+    hits = catalog.filtered_families(v.clip, families(v), facets).filter(catalog.name_search("RING") & catalog.facet_filter(facets))
     return hits.select("clip_id", catalog.technical_search("H264 19").alias("technical"))
 
 
@@ -184,7 +191,7 @@ def _(v):
 @query("t01_library_sort", """
 SELECT clip_id, motion_score FROM (SELECT c.clip_id, coalesce(m.motion_score, 0) AS motion_score FROM v_clip c LEFT JOIN v_clip_motion m ON m.clip_id = c.clip_id) ORDER BY motion_score DESC, clip_id""")
 def _(v):
-    rows = library(v).orderBy(*catalog.library_order("motion"))
+    rows = catalog.with_families(v.clip, {"motion": v.clip_motion}).orderBy(*catalog.library_order("motion"))
     return rows.select("clip_id", F.coalesce("motion.motion_score", F.lit(0.0)).alias("motion_score"))
 
 

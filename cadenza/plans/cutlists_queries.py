@@ -11,6 +11,7 @@ from cadenza.operators.ordered import row_index
 from cadenza.operators.timejoin import containing, curve_value
 from cadenza.plans.registry import query
 from cadenza.plans.walks_queries import CHUNK, SUPPRESSED, cuts
+from cadenza.session import materialize
 
 KEY = ["track_id"]
 ANNOTATED = f"""{SUPPRESSED}, c1 AS (SELECT c.*, lead(t) OVER (PARTITION BY track_id ORDER BY t, seq) - t AS gap FROM cuts c),
@@ -31,7 +32,8 @@ def annotated(v):
     rows = containing(rows, v.segment, KEY, "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], CHUNK)
     rows = rows.join(v.track.select("track_id", "bpm"), "track_id").filter("gap IS NOT NULL")
     length = dynamic_duration(F.col("energy"), F.col("strength"), F.col("segment_type"), F.lit(0.5), F.lit(10.0), F.col("gap"), F.col("bpm"), Limits())
-    return rows.withColumn("duration", length).withColumn("target", F.lit(60.0))
+    # the layout reads the cuts twice
+    return materialize(rows.withColumn("duration", length).withColumn("target", F.lit(60.0)), "cuts")
 
 
 @query("w15_timeline_layout", f"""

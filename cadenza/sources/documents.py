@@ -106,8 +106,16 @@ def read_dj_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return tracks, cues
 
 
-def read_dj_playlists(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
-    """(playlist, position, track_id) of DJ-library XML files, folders up to `depth` deep."""
+def _nesting(schema: T.StructType) -> int:
+    """How many nodes lie inside a node of an inferred schema, at most."""
+    inner = [f.dataType for f in schema.fields if f.name == "NODE"]
+    node = inner[0].elementType if inner and isinstance(inner[0], T.ArrayType) else inner[0] if inner else None
+    return 1 + _nesting(node) if isinstance(node, T.StructType) else 0
+
+
+def read_dj_playlists(spark: SparkSession, path: str) -> DataFrame:
+    """(playlist, position, track_id) of DJ-library XML files, whatever the depth of their folders."""
+    depth = _nesting(spark.read.format("xml").option("rowTag", "NODE").load(path).schema)
     level = spark.read.format("xml").option("rowTag", "NODE").schema(_node(depth)).load(path)
     out = None
     for i in range(depth + 1):

@@ -118,6 +118,21 @@ def test_dj_library_import(spark, tmp_path):
     assert [(r.start, r.num) for r in cues.orderBy("position").collect()] == [(1.5, 0), (60.0, -1)]
     lists = {(r.playlist, r.track_id) for r in documents.read_dj_playlists(spark, str(tmp_path / "lib.xml")).collect()}
     assert lists == {("set", "7"), ("set", "99"), ("deep", "8")}
+    inner = '<NODE Type="1" Name="far"><TRACK Key="7"/></NODE>'
+    for i in range(8):
+        inner = f'<NODE Type="0" Name="box {i}">{inner}</NODE>'
+    (tmp_path / "far.xml").write_text(f"<DJ_PLAYLISTS><PLAYLISTS>{inner}</PLAYLISTS></DJ_PLAYLISTS>")
+    assert [(r.playlist, r.track_id) for r in documents.read_dj_playlists(spark, str(tmp_path / "far.xml")).collect()] == [("far", "7")]
+
+
+def test_filters_join_only_their_families(spark):
+    clips = spark.range(6).withColumnRenamed("id", "clip_id")
+    sides = {"motion": clips.filter("clip_id < 4").withColumn("motion_type", F.lit("FAST")), "status": clips.filter("clip_id < 2").withColumn("done", F.lit(True))}
+    families = {**sides, "mood": clips.withColumn("moods", F.array(F.lit("CALM")))}
+    rows = catalog.filtered_families(clips, families, {"motion_type": "FAST", "mood": None, "duration_range": (1, 2)})
+    assert rows.columns == ["clip_id", "motion"] and rows.count() == 4
+    assert catalog.filtered_families(clips, families, {"is_analyzed": False}).count() == 6
+    assert catalog.filtered_families(clips, families, {"is_analyzed": True}).count() == 2
 
 
 def test_blueprint_parts(spark):

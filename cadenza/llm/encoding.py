@@ -28,7 +28,7 @@ class Encoder:
     most `keep` chunks are held; later ones are forgotten after their batch.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,8 +85,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+    if path not in _ENCODERS or _ENCODERS[path].keep != keep:
+        _ENCODERS[path] = Encoder(path, keep)
     return _ENCODERS[path]

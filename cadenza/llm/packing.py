@@ -15,16 +15,17 @@ from cadenza.session import materialize
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str = "doc_id", text_col: str = "text",
-               with_ids: bool = False) -> DataFrame:
+               with_ids: bool = False, keep: int = 500_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut where longer than `length`.
 
     Only the first piece of a cut document may be shorter. Null text is the
     empty text: a piece of one token. A text row that occurs twice gives its
-    pieces twice. Other columns are not read.
+    pieces twice. Other columns are not read. `keep` bounds the chunks a worker
+    remembers: memory against time, never the ids.
     """
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, keep)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch, _, _ in slices(batches, "_text"):
             ids = batch.column("_id").to_pylist()
@@ -149,9 +150,9 @@ def pack(pieces: DataFrame, length: int, rows_per_group: int = 200_000) -> DataF
     return ranked.select(*names).mapInArrow(place, fields + ", sequence_id long, `offset` long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, keep: int = 500_000) -> DataFrame:
     """Encode, cut and pack `documents`; one row per piece."""
-    return pack(materialize(cut_pieces(docs, tokenizer, end_id, length), "pieces"), length)
+    return pack(materialize(cut_pieces(docs, tokenizer, end_id, length, keep=keep), "pieces"), length)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def _mapped(uri: str, dtype: np.dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+                 keep: int = 500_000) -> DataFrame:
     """Write the ids of all texts in ascending id order; returns the manifest.
 
     Rows are dealt out by ranges of the id, sorted, and each partition writes
@@ -56,11 +57,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     Null text is the empty text (its end id only). Null ids come first and
     are read back as null. Rows with equal ids follow each other by text.
-    Other columns are not read. An empty table gives an empty manifest.
+    Other columns are not read. An empty table gives an empty manifest. `keep`
+    bounds the chunks a worker remembers: memory against time, never the ids.
     """
 
     def write(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, keep)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         name, bin_file, lengths, ids = None, None, [], []
         for batch, _, _ in slices(batches, "_text"):

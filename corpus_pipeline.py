@@ -33,7 +33,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of documents with their place in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2, length=1024)
+    return packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2, length=1024, keep=200_000)
 
 
 STAGES = [

@@ -71,8 +71,9 @@ def feature_vector(motion_score: Column, energy: Column, motion_type: Column, mo
 
 
 def uniform(key: Column, salt: str) -> Column:
-    """Repeatable number in [0, 1) from a key."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(salt)), F.lit(1 << 31)) / float(1 << 31)
+    """Repeatable number in [0, 1) from a key, the same in any engine: the first 32 bits of a digest."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit("|" + salt)))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def imputed_vector(key: Column) -> Column:

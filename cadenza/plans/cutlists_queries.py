@@ -92,14 +92,26 @@ def _(v):
     return out.withColumn("alignment_score", F.round("alignment_score", 6))
 
 
-@query("w19_energy_driven_cuts")
+def energy_cuts_sql(unit: str, shortest: float, longest: float) -> str:
+    """The walk that follows the energy over a grid of `unit`, step by step."""
+    return f"""
+WITH RECURSIVE k AS (SELECT track_id, duration, {unit} AS unit, unnest(range(0, CAST(ceil(duration / ({unit})) AS BIGINT))) AS i FROM v_track), g AS (SELECT *, i * unit AS t FROM k WHERE i * unit < duration),
+lk AS (SELECT g.*, p.t AS t0, p.energy AS e0, n.t AS t1, n.energy AS e1 FROM g ASOF LEFT JOIN v_energy p ON g.track_id = p.track_id AND g.t >= p.t ASOF LEFT JOIN v_energy n ON g.track_id = n.track_id AND g.t <= n.t),
+en AS (SELECT track_id, duration, unit, i, t, CASE WHEN t0 = t THEN e0 WHEN t0 IS NULL OR t1 IS NULL THEN coalesce(e0, e1) ELSE e0 + (t - t0) / (t1 - t0) * (e1 - e0) END AS energy FROM lk),
+h AS MATERIALIZED (SELECT *, greatest(CAST(round_even((t + CASE WHEN energy >= 0.66e0 THEN {shortest} WHEN energy >= 0.33e0 THEN {(shortest + longest) / 2} ELSE {longest} END) / unit, 0) AS BIGINT), i + 1) AS e FROM en),
+w AS (SELECT * FROM h WHERE i = 0 UNION ALL SELECT h.* FROM w JOIN h ON h.track_id = w.track_id AND h.i = w.e),
+c AS (SELECT track_id, t, least(e * unit, duration) AS end_t FROM w)
+SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS cut_index, round(t, 3) AS start_t, round(end_t, 3) AS end_t FROM c WHERE end_t - t >= 0.1e0"""
+
+
+@query("w19_energy_driven_cuts", energy_cuts_sql("60e0 / (bpm / 3600)", 3000.0, 24_000.0))
 def _(v):
     slow = v.track.withColumn("bpm", F.col("bpm") / 3600)
     out = cutlist.energy_driven(slow, v.energy, 3000.0, 24_000.0, width=CHUNK)
     return out.select("track_id", "cut_index", F.round("start_t", 3).alias("start_t"), F.round("end_t", 3).alias("end_t"))
 
 
-@query("w19_energy_driven_cuts_unsnapped")
+@query("w19_energy_driven_cuts_unsnapped", energy_cuts_sql("1500e0", 3000.0, 24_000.0))
 def _(v):
     out = cutlist.energy_driven(v.track, v.energy, 3000.0, 24_000.0, snap=False, width=CHUNK)
     return out.select("track_id", "cut_index", F.round("start_t", 3).alias("start_t"), F.round("end_t", 3).alias("end_t"))
@@ -146,7 +158,13 @@ def _(v):
     return out.withColumn("end_t", F.round("end_t", 4))
 
 
-@query("x14_rule_presets")
+@query("x14_rule_presets", f"""
+WITH RECURSIVE {RULE_GRID}, r AS (SELECT *, CASE WHEN trunc((t % (beat * 4)) / beat) = 0 AND t % beat < 0.05e0 THEN 'Beat Synchronization' WHEN energy >= 0.66e0 THEN 'Energy Following' ELSE 'Variety Enforcement' END AS preset,
+  trunc(t / beat) AS b FROM en), s AS (SELECT *, CASE WHEN b * beat < t THEN b + 1 ELSE b END * beat AS start_t FROM r),
+h AS (SELECT *, least(start_t + CASE preset WHEN 'Beat Synchronization' THEN 2e0 WHEN 'Energy Following' THEN 2e0 - energy * 1.5e0 ELSE 1.75e0 END, 2592000e0) AS end_t FROM s),
+n AS MATERIALIZED (SELECT *, greatest(1, CAST(ceil(round((end_t - t) / 7200, 9)) AS BIGINT)) AS jump FROM h),
+w AS (SELECT * FROM n WHERE i = 0 UNION ALL SELECT n.* FROM w JOIN n ON n.track_id = w.track_id AND n.i = w.i + w.jump)
+SELECT track_id, preset AS rule, count(*) AS n FROM w GROUP BY track_id, preset""")
 def _(v):
     # the preset rules over the whole grid of every track, at the step of the other rule queries
     slow = v.track.withColumn("bpm", F.col("bpm") / 3600)

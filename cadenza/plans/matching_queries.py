@@ -248,7 +248,21 @@ def _(v):
     return rows.select("track_id", "seq", F.round(d, 6).alias("duration"))
 
 
-@query("m15_clip_sub_segments")
+def uniform_sql(key: str, salt: str) -> str:
+    return f"(CAST('0x' || substring(md5({key} || '|{salt}'), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+def parts_sql(strength: str) -> str:
+    """CTEs of the part of a clip that is shown, per use."""
+    key, where = "CAST(clip_id AS VARCHAR)", "CAST(clip_id AS VARCHAR) || '|' || CAST(wanted AS VARCHAR)"
+    return f"""a AS (SELECT u.clip_id, u.track_id, u.start_t, (u.end_t - u.start_t) / 4 AS wanted, {strength} AS strength, greatest(0.5e0, c.duration - 0.3e0) AS usable FROM v_usage u JOIN v_clip c ON c.clip_id = u.clip_id),
+b AS (SELECT *, least(greatest(1.5e0, least(15e0, usable, wanted * (0.5e0 + strength * 0.5e0) * (0.8e0 + 0.4e0 * {uniform_sql(key, 'length')}))), usable) AS part, {uniform_sql(where, 'third')} AS roll, {uniform_sql(where, 'place')} AS place FROM a),
+p AS (SELECT *, CASE WHEN usable > wanted AND usable - part > 0.5e0 THEN round((usable - part) * (CASE WHEN roll < 0.6e0 THEN 0e0 WHEN roll < 0.9e0 THEN 0.33e0 ELSE 0.66e0 END
+  + (CASE WHEN roll < 0.6e0 THEN 0.33e0 WHEN roll < 0.9e0 THEN 0.66e0 ELSE 1e0 END - CASE WHEN roll < 0.6e0 THEN 0e0 WHEN roll < 0.9e0 THEN 0.33e0 ELSE 0.66e0 END) * place), 2) ELSE 0e0 END AS clip_start,
+  CASE WHEN usable > wanted THEN round(part, 2) ELSE usable END AS clip_duration FROM b)"""
+
+
+@query("m15_clip_sub_segments", f"WITH {parts_sql('(u.track_id % 11) / 10e0')} SELECT clip_id, track_id, start_t, clip_start, clip_duration FROM p")
 def _(v):
     start, duration = durations.sub_segment(F.col("available"), F.col("wanted"), F.col("strength"), F.col("clip_id").cast("string"))
     rows = v.usage.join(v.clip.select("clip_id", F.col("duration").alias("available")), "clip_id")
@@ -256,8 +270,8 @@ def _(v):
     return rows.select("clip_id", "track_id", "start_t", start.alias("clip_start"), duration.alias("clip_duration"))
 
 
-@query("m15_sub_segment_bounds", """
-SELECT u.clip_id, count(*) AS n, TRUE AS inside, TRUE AS long_enough FROM v_usage u JOIN v_clip c ON c.clip_id = u.clip_id GROUP BY u.clip_id""")
+@query("m15_sub_segment_bounds", f"""
+WITH {parts_sql('0.5e0')} SELECT clip_id, count(*) AS n, bool_and(clip_start >= 0 AND clip_start + clip_duration <= usable + 0.011e0) AS inside, bool_and(clip_duration >= 0.5e0) AS long_enough FROM p GROUP BY clip_id""")
 def _(v):
     rows = v.usage.join(v.clip.select("clip_id", F.col("duration").alias("available")), "clip_id")
     start, duration = durations.sub_segment(F.col("available"), (F.col("end_t") - F.col("start_t")) / 4, F.lit(0.5), F.col("clip_id").cast("string"))

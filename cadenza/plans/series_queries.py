@@ -184,19 +184,37 @@ def _(v):
     return out.select("track_id", "seq", F.round("t", 6).alias("t"), F.round("intensity", 6).alias("intensity"), "trigger_type")
 
 
-@query("j12_beat_motion_matching")
+#: beats by strength, each takes the best peak that is still free
+MATCHED = f"""b AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY strength DESC, t, seq) AS k FROM v_beat), z AS (SELECT track_id, count(*) AS n FROM v_beat GROUP BY track_id),
+o AS (SELECT b.track_id, b.k, b.seq AS beat_seq, b.strength AS s, m.seq AS peak_seq, m.t AS mt, m.strength AS ms, (m.t - b.t) * 1000e0 AS off FROM b JOIN v_motion_peak m ON m.track_id = b.track_id AND abs((m.t - b.t) * 1000e0) <= 3600000e0),
+c AS MATERIALIZED (SELECT *, {sync.TIMING_WEIGHT}e0 * (1e0 - abs(off) / 3600000e0) + {sync.STRENGTH_WEIGHT}e0 * least(s, ms) AS score FROM o),
+w AS (SELECT track_id, CAST(0 AS BIGINT) AS k, n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM z UNION ALL
+  SELECT track_id, k, n, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, p FROM (SELECT w.track_id, w.k + 1 AS k, w.n, w.used, CAST(arg_min(c.peak_seq, ROW(-c.score, c.mt, c.peak_seq)) AS BIGINT) AS p
+    FROM w LEFT JOIN c ON c.track_id = w.track_id AND c.k = w.k + 1 AND NOT list_contains(w.used, CAST(c.peak_seq AS BIGINT)) WHERE w.k < w.n GROUP BY w.track_id, w.k, w.n, w.used)),
+x AS (SELECT c.track_id, c.beat_seq, c.peak_seq, c.off, c.score FROM w JOIN c ON c.track_id = w.track_id AND c.k = w.k AND c.peak_seq = w.pick)"""
+
+
+@query("j12_beat_motion_matching", f"""
+WITH RECURSIVE {MATCHED} SELECT track_id, beat_seq, peak_seq, round(off, 3) AS offset_ms, round(score, 6) AS confidence FROM x""")
 def _(v):
     pairs = sync.match_beats(v.beat, v.motion_peak, 3_600_000.0, block=CHUNK)
     return pairs.select("track_id", "beat_seq", "peak_seq", F.round("offset_ms", 3).alias("offset_ms"),
                         F.round("confidence", 6).alias("confidence"))
 
 
-@query("a16_sync_summary")
+@query("a16_sync_summary", f"""
+WITH RECURSIVE {MATCHED}, d AS (SELECT track_id, abs(off) / 6000e0 AS off FROM x),
+q AS (SELECT track_id, count(*) AS n_sync, round(avg(off), 6) AS average_offset_ms, round(max(off), 6) AS max_offset_ms, count(*) FILTER (off < 50) AS n_perfect, count(*) FILTER (off >= 50 AND off < 100) AS n_excellent,
+  count(*) FILTER (off >= 100 AND off < 200) AS n_good, count(*) FILTER (off >= 200 AND off < 500) AS n_acceptable, count(*) FILTER (off >= 500) AS n_poor FROM d GROUP BY track_id)
+SELECT z.track_id, z.n AS n_beats, coalesce(n_sync, 0) AS n_sync, average_offset_ms, max_offset_ms, coalesce(n_perfect, 0) AS n_perfect, coalesce(n_excellent, 0) AS n_excellent, coalesce(n_good, 0) AS n_good,
+  coalesce(n_acceptable, 0) AS n_acceptable, coalesce(n_poor, 0) AS n_poor, (coalesce(n_perfect, 0) + coalesce(n_excellent, 0) + coalesce(n_good, 0)) / z.n AS sync_score, coalesce(n_sync, 0) / z.n AS beat_coverage
+FROM z LEFT JOIN q ON q.track_id = z.track_id""")
 def _(v):
     pairs = sync.match_beats(v.beat, v.motion_peak, 3_600_000.0, block=CHUNK)
     # offsets are in hours here; scale them so that the quality classes spread
     scaled = pairs.withColumn("offset_ms", F.col("offset_ms") / 6000.0)
-    return sync.sync_summary(scaled, v.beat)
+    out = sync.sync_summary(scaled, v.beat)
+    return out.withColumn("average_offset_ms", F.round("average_offset_ms", 6)).withColumn("max_offset_ms", F.round("max_offset_ms", 6))
 
 
 @query("a16_sync_quality_classes", """

@@ -11,11 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.operators.chain import _map_groups
+from cadenza.operators.ordered import row_index
 
 RELEVANCE_SCALE = 5.0
 
@@ -105,7 +106,7 @@ def select_two_stage(cuts: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Fine stage over coarse candidates; a list never picks a clip twice.
 
     Candidates carry `emotion`, the emotion term against the cut's target. When
-    all candidates are used up the row has no pick (see `fill_unused`).
+    all candidates are used up the row has no pick; `fill_unused` gives it one.
     """
     w = FINE_WEIGHTS
 
@@ -133,6 +134,25 @@ def select_two_stage(cuts: DataFrame, keys: Sequence[str], order: Sequence[str],
     return _picks(cuts, keys, order, keep, choose)
 
 
+def fill_unused(picks: DataFrame, items: DataFrame, keys: Sequence[str], order: Sequence[str], item_id: str = "clip_id",
+                width: float | None = None) -> DataFrame:
+    """`picks` where rows without a pick get, in their order, the lowest items that their list does not use.
+
+    A list of n rows needs none but the n lowest items, so only those are
+    looked at. Rows stay empty where a list is longer than the catalog.
+    """
+    keys = list(keys)
+    ranks = rank_clips(items.select(F.col(item_id).alias("_item")), "_item", "_rank", width)
+    sizes = picks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count("picked").alias("_p")).filter("_p < _n")
+    offered = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_rank")).join(ranks, "_rank")
+    used = picks.filter("picked IS NOT NULL").select(*keys, F.col("picked").alias("_item"))
+    free = offered.join(used, [*keys, "_item"], "left_anti")
+    free = free.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_rank"))).drop("_rank")
+    empty = F.col("picked").isNull()
+    numbered = picks.withColumn("_k", F.when(empty, F.row_number().over(Window.partitionBy(*keys, empty).orderBy(*order))))
+    return numbered.join(free, [*keys, "_k"], "left").withColumn("picked", F.coalesce("picked", "_item")).select(*picks.columns)
+
+
 def select_diverse(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], total: str = "n_clips", share: float = 0.8,
                    keep: Sequence[str] = ()) -> DataFrame:
     """First candidate not used since the last reset; used clips reset at a share of the catalog.
@@ -185,8 +205,6 @@ def cascade(*strategies: DataFrame, keys: Sequence[str] = ("track_id", "seq")) -
 
 def rank_clips(clips: DataFrame, order: str = "clip_id", name: str = "clip_rank", width: float | None = None) -> DataFrame:
     """Clips with a 0-based rank over the whole catalog, in chunks of the id."""
-    from cadenza.operators.ordered import row_index
-
     return row_index(clips.withColumn("_all", F.lit(1)), ["_all"], [order], name, width).drop("_all")
 
 

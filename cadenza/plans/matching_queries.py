@@ -281,7 +281,17 @@ def _(v):
         F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("inside"), F.bool_and("long").alias("long_enough"))
 
 
-@query("m17_diverse_selection")
+@query("m17_diverse_selection", f"""
+WITH RECURSIVE cl AS (SELECT m.clip_id, o.energy, m.motion_score, row_number() OVER (ORDER BY m.clip_id) - 1 AS r FROM v_clip_motion m JOIN v_clip_mood o ON o.clip_id = m.clip_id),
+tg AS ({TARGETS}), d AS (SELECT track_id, seg_idx, r, clip_id, sqrt((tg.energy - cl.energy) * (tg.energy - cl.energy) + (level - motion_score) * (level - motion_score)) AS d FROM tg, cl),
+q AS (SELECT *, row_number() OVER (PARTITION BY track_id, seg_idx ORDER BY d, clip_id) AS rank FROM d), a AS (SELECT track_id, seg_idx, list(r ORDER BY rank) AS cands FROM q WHERE rank <= 5 GROUP BY track_id, seg_idx),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seg_idx) AS k, (SELECT count(*) FROM cl) AS n FROM a),
+w AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seg_idx, CAST([] AS BIGINT[]) AS used, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS picked, CAST(NULL AS DOUBLE) AS score FROM l UNION ALL
+  SELECT track_id, k, seg_idx, list_append(used, p), turn + CASE WHEN len(free) = 0 THEN 1 ELSE 0 END, p, CASE WHEN len(free) = 0 THEN 0e0 ELSE 1e0 END
+  FROM (SELECT *, CASE WHEN len(free) > 0 THEN free[1] ELSE list_filter(range(0, n), lambda x: NOT list_contains(used, x))[turn % (n - len(used)) + 1] END AS p
+    FROM (SELECT *, list_filter(cands, lambda x: NOT list_contains(used, x)) AS free FROM (SELECT w.track_id, l.k, CAST(l.seg_idx AS BIGINT) AS seg_idx, l.cands, l.n, w.turn,
+      CASE WHEN len(w.used) >= greatest(1, CAST(floor(l.n * 0.8e0) AS BIGINT)) THEN CAST([] AS BIGINT[]) ELSE w.used END AS used FROM w JOIN l ON l.track_id = w.track_id AND l.k = w.k + 1))))
+SELECT w.track_id, w.seg_idx, cl.clip_id, w.score FROM w JOIN cl ON cl.r = w.picked""")
 def _(v):
     # cuts of a track are its segments; a clip may not return until 80 % of the catalog was used
     clips = selection.rank_clips(v.clip_mood.select("clip_id", "energy").join(v.clip_motion.select("clip_id", "motion_score"), "clip_id"), width=100_000.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import vectors
 from cadenza.operators import duplicates, knn, selection, vectorops
 from cadenza.plans.registry import query
+from cadenza.session import materialize
 
 UNITS = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM v_vec)"
 Q = "q AS (SELECT vec_id AS query_id, e FROM u)"
@@ -75,7 +76,26 @@ def _(v):
     return out.withColumn("similarity", F.round("similarity", 4))
 
 
-@query("v06_mmr_selection")
+def list_walk(k: int, offered: str, terms: str, score: str) -> str:
+    """CTEs of a list per label that picks one candidate a step; `hist` and `shown` are the picks so far and their vectors."""
+    return f"""{UNITS}, s AS (SELECT label, vec_id AS query_id, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM u),
+d AS (SELECT s.label, s.k, u.vec_id, u.e, list_distance(s.e, u.e) AS d FROM s, u), c AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, k ORDER BY d, vec_id) AS rank FROM d) WHERE rank <= {k}),
+z AS (SELECT label, max(k) AS n FROM s GROUP BY label),
+w AS (SELECT label, CAST(0 AS BIGINT) AS k, n, CAST(NULL AS BIGINT) AS picked, CAST(NULL AS DOUBLE) AS score, CAST([] AS BIGINT[]) AS hist, CAST([] AS DOUBLE[][]) AS shown FROM z UNION ALL
+  SELECT label, k, n, p.id, coalesce(p.score, 0.5e0), CASE WHEN p IS NULL THEN hist ELSE list_append(hist, p.id) END, CASE WHEN p IS NULL THEN shown ELSE list_append(shown, p.e) END
+  FROM (SELECT label, k, n, hist, shown, arg_min({{'id': vec_id, 'score': score, 'e': e}}, ROW(-score, rank)) AS p FROM (SELECT *, {score} AS score FROM (SELECT *, {terms} FROM (
+    SELECT w.label, w.k + 1 AS k, w.n, w.hist, w.shown, c.vec_id, c.rank, c.d, c.e, row_number() OVER (PARTITION BY w.label ORDER BY c.rank) AS f
+    FROM w LEFT JOIN c ON c.label = w.label AND c.k = w.k + 1 AND NOT list_contains({offered}, c.vec_id) WHERE w.k < w.n) WHERE f <= 10)) GROUP BY label, k, n, hist, shown))"""
+
+
+MMR_TERMS = "CASE WHEN len(shown) = 0 THEN 1e0 ELSE least(1e0, list_avg(list_transform(shown[-10:], lambda h: list_distance(h, e))) / 5) END AS spread"
+FINE_TERMS = """CASE WHEN len(shown) = 0 THEN 1e0 ELSE least(1e0, list_min(list_transform(shown[-10:], lambda h: list_distance(h, e))) / 3) END AS diversity,
+  CASE WHEN len(shown) = 0 THEN 0.5e0 ELSE greatest(0e0, 1 - list_distance(shown[-1], e) / 5) END AS continuity, 1 - d / greatest(0.001e0, max(d) OVER (PARTITION BY label)) AS relevance"""
+
+
+@query("v06_mmr_selection", f"""
+WITH RECURSIVE {list_walk(20, 'w.hist[-10:]', MMR_TERMS, '0.6e0 * (1 - least(1e0, d / 5)) + 0.4e0 * spread')}
+SELECT s.label, s.query_id, w.picked, round(w.score, 6) AS score FROM w JOIN s ON s.label = w.label AND s.k = w.k""")
 def _(v):
     # one list per label; the steps are the query vectors of that label
     steps = v.vec.select("label", F.col("vec_id").alias("query_id"), "embedding")
@@ -234,13 +254,19 @@ def _(v):
     return duplicates.hamming_neighbours(hashes, hashes, "clip_id", "bits", 10, bands=4)
 
 
-@query("m16_two_stage_selection")
+@query("m16_two_stage_selection", f"""
+WITH RECURSIVE {list_walk(100, 'w.hist', FINE_TERMS, '0.35e0 * relevance + 0.25e0 * diversity + 0.25e0 * 0.5e0 + 0.15e0 * continuity')},
+g AS (SELECT s.label, s.query_id, w.picked, w.score FROM w JOIN s ON s.label = w.label AND s.k = w.k), o AS (SELECT *, row_number() OVER (PARTITION BY label, picked IS NULL ORDER BY query_id) AS m FROM g),
+y AS (SELECT z.label, u.vec_id, row_number() OVER (PARTITION BY z.label ORDER BY u.vec_id) AS m FROM z, u WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.label = z.label AND g.picked = u.vec_id))
+SELECT o.label, o.query_id, coalesce(o.picked, y.vec_id) AS picked, round(o.score, 6) AS score FROM o LEFT JOIN y ON o.picked IS NULL AND y.label = o.label AND y.m = o.m""")
 def _(v):
     steps = v.vec.select("label", F.col("vec_id").alias("query_id"), "embedding")
     ranked = knn.search(units(steps, "query_id"), units(v.vec, "vec_id"), 100)
     items = units(v.vec, "vec_id").withColumn("emotion", F.lit(0.5))
     cuts = selection.with_candidates(steps.select("label", "query_id"), ranked, items, "query_id", "vec_id", extra=["emotion"])
-    out = selection.select_two_stage(cuts, ["label"], ["query_id"])
+    # read twice by the fallback, so it is written once
+    picks = materialize(selection.select_two_stage(cuts, ["label"], ["query_id"]), "picks")
+    out = selection.fill_unused(picks, v.vec, ["label"], ["query_id"], "vec_id", 100_000.0)
     return out.select("label", "query_id", "picked", F.round("score", 6).alias("score"))
 
 

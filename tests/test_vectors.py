@@ -181,3 +181,20 @@ def test_diverse_selection_resets_and_falls_back(spark):
     got = [r.picked for r in selection.select_diverse(df, ["track_id"], ["seq"], share=0.75).orderBy("seq").collect()]
     # 0 and 1 by rank, 2 in turn, then a reset
     assert got[:4] == [0, 1, 2, 0] and got[4] == 1 and set(got[5:6]) <= {2, 3}
+
+
+def test_unfilled_picks_get_the_lowest_unused_items(spark):
+    picks = spark.createDataFrame(
+        [(1, 0, 2, 0.9), (1, 1, None, 0.5), (1, 2, None, 0.5), (1, 3, 4, 0.8), (2, 0, 1, 0.7), (2, 1, None, 0.5), (3, 0, 5, 0.1), *[(4, i, None, 0.5) for i in range(7)]],
+        "track_id long, seq long, picked long, score double")
+    items = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "clip_id long")
+    for width in (None, 2.0):
+        out = selection.fill_unused(picks, items, ["track_id"], ["seq"], width=width)
+        assert out.columns == picks.columns
+        got = {(r["track_id"], r["seq"]): r["picked"] for r in out.collect()}
+        assert len(got) == picks.count()
+        assert [got[1, i] for i in range(4)] == [2, 1, 3, 4]
+        assert [got[2, i] for i in range(2)] == [1, 2]
+        assert got[3, 0] == 5
+        # a list longer than the catalog stays empty at its end
+        assert [got[4, i] for i in range(7)] == [1, 2, 3, 4, 5, None, None]

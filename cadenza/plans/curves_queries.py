@@ -32,7 +32,7 @@ def emotion(v):
 WITH {NUM} SELECT track_id, t, round(CASE WHEN sz < 3 THEN energy ELSE avg(energy) OVER (PARTITION BY track_id ORDER BY idx
   ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END, 9) AS energy FROM n""")
 def _(v):
-    out = curves.moving_average(numbered(v), KEY, "idx", ["energy"], 6, block=16)
+    out = curves.moving_average(numbered(v), KEY, "idx", ["energy"], 6)
     return out.select("track_id", "t", F.round("energy", 9).alias("energy"))
 
 
@@ -43,7 +43,7 @@ s AS (SELECT sum(g) AS tot FROM w), x AS (SELECT n.track_id, n.t, n.idx, n.sz, g
 y AS (SELECT track_id, t, idx, wt, CASE WHEN m < sz THEN m ELSE 2 * sz - 1 - m END AS src FROM x)
 SELECT y.track_id, y.t, round(sum(wt * n.energy), 6) AS energy FROM y JOIN n ON n.track_id = y.track_id AND n.idx = y.src GROUP BY y.track_id, y.t""")
 def _(v):
-    out = curves.gaussian(numbered(v), KEY, "idx", "energy", block=20)
+    out = curves.gaussian(numbered(v), KEY, "idx", "energy")
     return out.select("track_id", "t", F.round("energy", 6).alias("energy"))
 
 
@@ -59,7 +59,7 @@ f AS (SELECT track_id, t, any_value(own) AS own, any_value(wl) AS wl, any_value(
   sum((u*u*u - u*(3*wl*wl-7)/20e0) * y) / sum((u*u*u - u*(3*wl*wl-7)/20e0) * (u*u*u - u*(3*wl*wl-7)/20e0)) AS f3 FROM d WHERE wl >= 5 GROUP BY track_id, t)
 SELECT track_id, t, round(f0 + f1 * x + f2 * (x*x - (wl*wl-1)/12e0) + f3 * (x*x*x - x*(3*wl*wl-7)/20e0), 6) AS energy FROM f""")
 def _(v):
-    out = curves.savgol(numbered(v), KEY, "idx", "energy", block=200)
+    out = curves.savgol(numbered(v), KEY, "idx", "energy")
     sizes = v.energy.groupBy("track_id").count().filter("count >= 5").select("track_id")
     return out.join(sizes, "track_id", "left_semi").select("track_id", "t", F.round("energy", 6).alias("energy"))
 
@@ -69,7 +69,7 @@ WITH {NUM}, b AS (SELECT *, least(11, CASE WHEN sz % 2 = 1 THEN sz ELSE sz - 1 E
 c AS (SELECT b.track_id, b.t, b.wl, list(s.energy) AS l FROM b JOIN n s ON s.track_id = b.track_id AND abs(s.idx - b.idx) <= b.wl // 2 GROUP BY b.track_id, b.t, b.wl)
 SELECT track_id, t, list_sort(list_concat(l, list_resize([]::DOUBLE[], wl - len(l), 0e0)))[wl // 2 + 1] AS energy FROM c""")
 def _(v):
-    return curves.median(numbered(v), KEY, "idx", "energy", block=16).select("track_id", "t", "energy")
+    return curves.median(numbered(v), KEY, "idx", "energy").select("track_id", "t", "energy")
 
 
 @query("w03_framed_rms", """
@@ -115,9 +115,25 @@ def _(v):
     return tops.join(height, "track_id").filter("energy >= h").select("track_id", "t", "energy")
 
 
-@query("w05_peaks_by_distance_and_prominence")
+def peaks_sql(source: str, distance: int, prominence: str) -> str:
+    """CTEs `fin` (track_id, idx, x): local maxima of `source`, thinned from the highest down, then by prominence."""
+    return f"""fl AS (SELECT *, CASE WHEN lag(x) OVER (PARTITION BY track_id ORDER BY idx) = x THEN 0 ELSE 1 END AS fresh FROM {source}),
+pl AS (SELECT *, sum(fresh) OVER (PARTITION BY track_id ORDER BY idx) AS g FROM fl), pp AS (SELECT track_id, g, min(idx) AS i, max(idx) AS j, min(x) AS x FROM pl GROUP BY track_id, g),
+tp AS (SELECT track_id, (i + j) // 2 AS p, x FROM (SELECT *, lag(x) OVER v AS a, lead(x) OVER v AS b FROM pp WINDOW v AS (PARTITION BY track_id ORDER BY g)) WHERE a < x AND b < x),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY x DESC, p DESC) AS k FROM tp),
+w AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM o UNION ALL
+  SELECT o.track_id, o.k, CASE WHEN len(list_filter(w.kept, lambda y: abs(y - o.p) < {distance})) = 0 THEN list_append(w.kept, o.p) ELSE w.kept END FROM w JOIN o ON o.track_id = w.track_id AND o.k = w.k + 1),
+kp AS (SELECT o.track_id, o.p, o.x FROM o JOIN (SELECT track_id, arg_max(kept, k) AS kept FROM w GROUP BY track_id) f ON f.track_id = o.track_id WHERE list_contains(f.kept, o.p)),
+sd AS (SELECT kp.track_id, kp.p, kp.x, max(s.idx) FILTER (s.idx < kp.p AND s.x <= kp.x - {prominence}) AS low_l, max(s.idx) FILTER (s.idx < kp.p AND s.x > kp.x) AS high_l,
+  min(s.idx) FILTER (s.idx > kp.p AND s.x <= kp.x - {prominence}) AS low_r, min(s.idx) FILTER (s.idx > kp.p AND s.x > kp.x) AS high_r FROM kp JOIN {source} s ON s.track_id = kp.track_id GROUP BY kp.track_id, kp.p, kp.x),
+fin AS (SELECT track_id, p AS idx, x FROM sd WHERE low_l > coalesce(high_l, -1) AND low_r < coalesce(high_r, 9223372036854775807))"""
+
+
+@query("w05_peaks_by_distance_and_prominence", f"""
+WITH RECURSIVE src AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS idx, energy AS x FROM v_energy), {peaks_sql('src', 4, '0.1e0')}
+SELECT track_id, idx, x AS energy FROM fin""")
 def _(v):
-    return peaks.find_peaks(numbered(v), KEY, "idx", "energy", 4, 0.1, block=32, margin=16)
+    return peaks.find_peaks(numbered(v), KEY, "idx", "energy", 4, 0.1)
 
 
 @query("w06_emotion_peaks", """
@@ -182,21 +198,27 @@ def frames(v):
     return numbered(v).withColumn("f2", F.abs(F.sin(F.col("idx") / 5.0)) * F.col("energy"))
 
 
-@query("w11_novelty_curve", f"""
-WITH {NUM}, {FRAMES}, d AS (SELECT track_id, idx, coalesce(abs(energy - lag(energy) OVER w) + abs(f2 - lag(f2) OVER w), 0) AS x FROM fr WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+NOVELTY = f"""{NUM}, {FRAMES}, d AS (SELECT track_id, idx, coalesce(abs(energy - lag(energy) OVER w) + abs(f2 - lag(f2) OVER w), 0) AS x FROM fr WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
 s AS (SELECT track_id, idx, sum(x) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS x FROM d),
-l AS (SELECT track_id, idx, sum(x) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6 AS x FROM s)
-SELECT track_id, idx, round(x / max(x) OVER (PARTITION BY track_id), 6) AS novelty FROM l""")
+l AS (SELECT track_id, idx, sum(x) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6 AS x FROM s)"""
+
+
+@query("w11_novelty_curve", f"WITH {NOVELTY} SELECT track_id, idx, round(x / max(x) OVER (PARTITION BY track_id), 6) AS novelty FROM l")
 def _(v):
-    out = structure.novelty(frames(v), KEY, ["energy", "f2"], 3, 6, block=20, width=16.0)
+    out = structure.novelty(frames(v), KEY, ["energy", "f2"], 3, 6)
     return out.select("track_id", "idx", F.round("novelty", 6).alias("novelty"))
 
 
-@query("w11_segment_boundaries")
+@query("w11_segment_boundaries", f"""
+WITH RECURSIVE {NOVELTY}, c AS (SELECT track_id, idx, x / max(x) OVER (PARTITION BY track_id) AS x FROM l),
+a AS (SELECT *, max(x) OVER v AS top, avg(x) OVER v AS mean FROM c WINDOW v AS (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING)), h AS MATERIALIZED (SELECT track_id, idx FROM a WHERE x = top AND x >= mean + 0.1e0),
+w AS (SELECT track_id, min(idx) AS idx FROM h GROUP BY track_id UNION ALL SELECT h.track_id, min(h.idx) FROM w JOIN h ON h.track_id = w.track_id AND h.idx > w.idx + 4 GROUP BY h.track_id),
+e AS (SELECT track_id, max(idx) AS last, arg_min(idx, ROW(-x, idx)) AS top FROM c GROUP BY track_id)
+SELECT track_id, idx FROM w UNION SELECT track_id, 0 FROM e UNION SELECT track_id, last FROM e UNION SELECT track_id, top FROM e WHERE top > 0 AND top < last AND track_id NOT IN (SELECT track_id FROM h)""")
 def _(v):
     # read several times below, so it is written once
-    curve = materialize(structure.novelty(frames(v), KEY, ["energy", "f2"], 3, 6, block=20, width=16.0), "novelty")
-    return structure.boundaries(curve, KEY, 4, 0.1, block=20, width=64.0)
+    curve = materialize(structure.novelty(frames(v), KEY, ["energy", "f2"], 3, 6), "novelty")
+    return structure.boundaries(curve, KEY, 4, 0.1, width=100_000.0)
 
 
 LABEL = """CASE WHEN i = 0 THEN 'intro' WHEN st / dur < 0.15e0 AND en < 0.9e0 THEN 'intro' WHEN i = tot - 2 THEN 'outro' WHEN st / dur > 0.85e0 AND en < 0.9e0 THEN 'outro'
@@ -253,9 +275,12 @@ def _(v):
     return structure.presence_ratio(v.energy, KEY, "energy").withColumn("presence", F.round("presence", 6))
 
 
-@query("w28_melody_hooks")
+@query("w28_melody_hooks", f"""
+WITH RECURSIVE lv AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS idx, energy / (max(energy) OVER (PARTITION BY track_id) + 1e-10) AS x, count(*) OVER (PARTITION BY track_id) AS n FROM v_energy),
+src AS (SELECT track_id, idx, CASE WHEN n > 3 THEN sum(x) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 ELSE x END AS x FROM lv), {peaks_sql('src', 6, '0.15e0')}
+SELECT track_id, idx, round(x, 6) AS strength FROM fin""")
 def _(v):
-    return structure.hooks(numbered(v), KEY, "idx", "energy", 3, 6, 0.15, block=32)
+    return structure.hooks(numbered(v), KEY, "idx", "energy", 3, 6, 0.15).withColumn("strength", F.round("strength", 6))
 
 
 @query("a21_spectral_summary", """

@@ -13,7 +13,7 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 18, 0),
     "hex": (r"[0-9a-f]{16,}", 16, 0),
     "identifier": (r"""\b(?:(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}|(?:ASIA|AROA|AIDA)[A-Z0-9]{12,})""", 1, 0),
-    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[a-z0-9+/_-]{0,80}[A-Z])(?=[A-Z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{24,}={0,2}", 24, 0),
+    "opaque": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{24,}={0,2}", 24, 0),
     "endpoint": (r"(?i:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|jdbc:[a-z]+)://[^\s\"'<>]{4,}", 1, 0),
 }
 SURE = ("assign", "access", "hex")
@@ -57,7 +57,8 @@ def _as_text(spans: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, key, sure, weak) of each row: arrays of spans by start, then kind; key stands for the text.
 
-    Weak spans that overlap a sure one, or an endpoint, are left out.
+    Weak spans that overlap a sure one, or an endpoint, are left out, and so is
+    an opaque one within an identifier: a value is not its own complement.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
@@ -65,8 +66,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     step = step.withColumn("sure", F.array_sort(F.concat(*[F.col(k) for k in SURE])))
     beside = F.filter("endpoint", lambda w: ~F.exists("sure", lambda s: _overlap(w, s)))
     step = step.withColumn("endpoint", beside)
-    others = F.filter(F.concat("identifier", "opaque"), lambda w: ~F.exists("sure", lambda s: _overlap(w, s)) & ~F.exists("endpoint", lambda s: _overlap(w, s)))
-    return step.select("doc_id", "key", "sure", F.array_sort(F.concat("endpoint", others)).alias("weak"))
+    apart = lambda c: F.filter(c, lambda w: ~F.exists("sure", lambda s: _overlap(w, s)) & ~F.exists("endpoint", lambda s: _overlap(w, s)))
+    step = step.withColumn("identifier", apart("identifier"))
+    values = F.filter(apart("opaque"), lambda w: ~F.exists("identifier", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
+    return step.select("doc_id", "key", "sure", F.array_sort(F.concat("endpoint", "identifier", values)).alias("weak"))
 
 
 def linked(found: DataFrame, scope: int = 400) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import moods
 from cadenza.functions.moods import clamp
+from cadenza.operators import knn, vectorops
 from cadenza.operators.ordered import row_index
 from cadenza.operators.timejoin import asof
 from cadenza.session import materialize
@@ -202,6 +203,15 @@ def best_clip(targets: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame,
     return combine(by_motion, by_mood, 0.5, 0.5, 1, target_id)
 
 
+def nearest_by_vector(targets: DataFrame, clip_vectors: DataFrame, k: int = 1, target_id: str = "target_id") -> DataFrame:
+    """(target_id, clip_id, distance, rank): the k nearest clips of each target's query vector.
+
+    Targets have energy, level, motion and mood, as for the other matchers.
+    """
+    wanted = targets.select(target_id, F.col("level").alias("motion_score"), "energy", F.col("motion").alias("motion_type"), F.array("mood").alias("moods"))
+    return knn.search(vectorops.query_vectors(wanted, target_id), clip_vectors.select("clip_id", "embedding"), k, target_id, "clip_id")
+
+
 def clip_emotion(moods_col: Column, energy: Column) -> tuple[Column, Column]:
     """(valence, arousal) of a clip: mean of its known moods, else from energy."""
     points = F.array_compact(F.transform(moods_col, moods.mood_point))

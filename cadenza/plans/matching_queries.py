@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from cadenza.functions import moods
-from cadenza.operators import durations, knn, matching, palette, selection
+from cadenza.operators import durations, knn, matching, palette, selection, vectorops
 from cadenza.plans.registry import query
 
 # one target per segment of every track: mood by segment and track, energy of the segment
@@ -322,3 +322,17 @@ def _(v):
     total = clips.count()
     turn = keyed.withColumn("clip_rank", F.col("seg_idx") % total).join(clips, "clip_rank").withColumn("distance", F.lit(1.0))
     return selection.cascade(vector, smart, turn, keys=("track_id", "seg_idx")).select("track_id", "seg_idx", "clip_id", "strategy")
+
+
+@query("m18_vector_cascade")
+def _(v):
+    t = targets(v)
+    keyed = t.select("target_id", "track_id", "seg_idx")
+    clips = v.clip_motion.join(v.clip_mood.select("clip_id", "energy", "moods"), "clip_id", "full")
+    items = vectorops.clip_vectors(clips.withColumn("moods", F.from_json("moods", "array<string>")))
+    vector = matching.nearest_by_vector(t, items).join(keyed, "target_id")
+    smart = matching.best_by_mood(t, clip_moods(v), 1).join(keyed, "target_id").withColumn("distance", 1 - F.col("score"))
+    ranks = selection.rank_clips(v.clip.select("clip_id"), width=100_000.0)
+    turn = keyed.withColumn("clip_rank", F.pmod("seg_idx", F.lit(v.clip.count()))).join(ranks, "clip_rank").withColumn("distance", F.lit(1.0))
+    out = selection.cascade(vector, smart, turn, keys=("track_id", "seg_idx"))
+    return out.select("track_id", "seg_idx", "clip_id", "strategy", F.round("distance", 6).alias("distance"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import vectors
-from cadenza.operators import duplicates, knn, palette, selection
+from cadenza.operators import duplicates, knn, matching, palette, selection, vectorops
 
 
 def frame(spark, x, name="vec_id"):
@@ -198,3 +198,22 @@ def test_unfilled_picks_get_the_lowest_unused_items(spark):
         assert got[3, 0] == 5
         # a list longer than the catalog stays empty at its end
         assert [got[4, i] for i in range(7)] == [1, 2, 3, 4, 5, None, None]
+
+
+def test_vector_stage_takes_the_nearest_clip(spark):
+    rng = np.random.default_rng(2)
+    moods, motions = ["CALM", "DARK", "TENSE"], ["SLOW", "MEDIUM", "FAST"]
+    clips = spark.createDataFrame([(i, float(rng.random()), motions[i % 3], float(rng.random()), [moods[i % 2]], 0.1) for i in range(40)],
+                                  "clip_id long, motion_score double, motion_type string, energy double, moods array<string>, camera_magnitude double")
+    asked = spark.createDataFrame([(100 + i, 1, i, float(rng.random()), float(rng.random()), motions[i % 3], moods[i % 3]) for i in range(12)],
+                                  "target_id long, track_id long, seg_idx long, energy double, level double, motion string, mood string")
+    items = vectorops.clip_vectors(clips)
+    found = matching.nearest_by_vector(asked, items)
+    late = asked.select("track_id", "seg_idx", F.lit(0).cast("long").alias("clip_id"), F.lit(1.0).alias("distance"))
+    got = {r.seg_idx: r for r in selection.cascade(found.join(asked, "target_id"), late, keys=("track_id", "seg_idx")).collect()}
+    x = {r.clip_id: np.array(r.embedding) for r in items.collect()}
+    wanted = asked.select("target_id", "energy", F.col("level").alias("motion_score"), F.col("motion").alias("motion_type"), F.array("mood").alias("moods"))
+    for r in vectorops.query_vectors(wanted, "target_id").collect():
+        d = {c: float(np.linalg.norm(e - np.array(r.embedding))) for c, e in x.items()}
+        best = got[r.target_id - 100]
+        assert best.strategy == 0 and abs(best.distance - min(d.values())) < 1e-9 and abs(d[best.clip_id] - min(d.values())) < 1e-9 and best.distance > 0

@@ -8,7 +8,7 @@ strategies plug in the same way: they return Columns or DataFrames.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +52,7 @@ class BeatIs:
 
     downbeat: bool = False
     beat_in_bar: int | None = None
+    tolerance: float = DOWNBEAT_TOLERANCE
 
     def column(self) -> Column:
         beat = beat_seconds(F.col("bpm"))
@@ -59,7 +60,7 @@ class BeatIs:
         _, in_bar, _ = bar_position(t, beat, o)
         _, into = beat_position(t, beat, o)
         if self.downbeat:
-            ok = (in_bar == 0) & (F.abs(into) < DOWNBEAT_TOLERANCE)
+            ok = (in_bar == 0) & (F.abs(into) < self.tolerance)
         elif self.beat_in_bar is not None:
             ok = in_bar == self.beat_in_bar
         else:
@@ -129,6 +130,21 @@ PRESETS = {
 }
 
 
+def scaled(rule: Rule, factor: float) -> Rule:
+    """The rule on a time axis that is `factor` times as long: times, tolerances and cut lengths grow, energies stay."""
+
+    def stretch(c: Condition) -> Condition:
+        if isinstance(c, BeatIs):
+            return replace(c, tolerance=c.tolerance * factor)
+        if isinstance(c, TimeIn):
+            return replace(c, start=c.start * factor, end=None if c.end is None else c.end * factor)
+        if isinstance(c, Combined):
+            return replace(c, conditions=tuple(stretch(x) for x in c.conditions))
+        return c
+
+    return replace(rule, condition=stretch(rule.condition), action=replace(rule.action, low=rule.action.low * factor, high=rule.action.high * factor))
+
+
 @dataclass(frozen=True)
 class PacingConfig:
     """Settings of the cut pacing, with the presets `fast_cuts` and `smooth_flow`."""

@@ -172,6 +172,14 @@ def _(v):
     return rules.walk_rules(grid, STEP, 21_600.0, CHUNK).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("x14_rule_presets_scaled")
+def _(v):
+    # lengths and tolerance on the axis of the beats, at the reference's step of half a second (1800 here): cuts are jumped over
+    slow = v.track.withColumn("bpm", F.col("bpm") / 3600)
+    grid = rules.evaluate_rules(rules.time_grid(slow, 1800.0, v.energy, CHUNK), [rules.scaled(r, 3600.0) for r in rules.PRESETS.values()])
+    return rules.walk_rules(grid, 1800.0, 21_600.0, CHUNK).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("x13_custom_condition", "SELECT count(*) AS n FROM v_energy WHERE energy > 0.4e0 AND (t / 43200) % 2 = 0")
 def _(v):
     class EvenHalfDay:

@@ -51,18 +51,22 @@ def fill_tail(lists: DataFrame, interval: float, keys: Sequence[str] = ("track_i
     return rows.select(*keys, "fill", start.alias("start_t"), F.least(start + interval, F.col("target")).alias("end_t"))
 
 
-def align_to_beats(beats: DataFrame, keys: Sequence[str], n_clips: int, min_duration: float = 2.0, max_duration: float = 10.0,
+def align_to_beats(beats: DataFrame, keys: Sequence[str], clips: DataFrame | None = None, min_duration: float = 2.0, max_duration: float = 10.0,
                    width: float | None = None) -> DataFrame:
     """(keys, clip_index, start_t, duration): each clip starts at the first beat after the last one's end.
 
-    A clip lasts to the next beat, within the bounds.
+    A clip lasts to the next beat, within the bounds. `clips` is a sequence per
+    list: (keys, clip_index) from 0, with clip_id and what else belongs to the
+    clip, such as its start_offset; the list ends with it and the columns are
+    joined. Without it all aligned beats are returned.
     """
     ahead = with_next_start(beats, keys, "t", ["seq"], None, width)
     gap = F.greatest(F.least(F.col("next_t") - F.col("t"), F.lit(max_duration)), F.lit(min_duration))
     rows = ahead.withColumns({"_hold": F.coalesce(gap, F.lit(max_duration)), "_zero": F.lit(0.0)})
     kept = walk(rows, keys, ["t", "seq"], "_zero", "_hold", WalkRule("first", max(max_duration, min_duration)), width).filter(KEPT)
     numbered = row_index(kept, keys, ["t", "seq"], "clip_index", width)
-    return numbered.filter(F.col("clip_index") < n_clips).select(*keys, "seq", "clip_index", F.col("t").alias("start_t"), F.col("_hold").alias("duration"))
+    aligned = numbered.select(*keys, "seq", "clip_index", F.col("t").alias("start_t"), F.col("_hold").alias("duration"))
+    return aligned if clips is None else aligned.join(clips, [*keys, "clip_index"])
 
 
 def energy_driven(tracks: DataFrame, energy: DataFrame, min_duration: float = 0.5, max_duration: float = 4.0, snap: bool = True,

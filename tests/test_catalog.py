@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import catalog, labels, matching, rules, state, triggers
+from cadenza.operators import catalog, cutlist, labels, matching, rules, state, triggers
 from cadenza.sources import documents
 from cadenza.streaming import live
 
@@ -216,3 +216,13 @@ def test_scaled_presets_jump_over_their_cuts(spark):
             want.append((track, t, rule, round(end, 6)))
             i += max(1, int(np.ceil(round((end - t) / 1800, 9))))
     assert got[None] == got[20_000.0] == sorted(want) and {r for _, _, r, _ in want} == {"Beat Synchronization", "Energy Following", "Variety Enforcement"}
+
+
+def test_beat_alignment_ends_with_the_clips(spark):
+    beats = spark.createDataFrame([(k, i, i * 3.0) for k in (1, 2) for i in range(30)], "track_id long, seq long, t double")
+    clips = spark.createDataFrame([(1, i, 50 + i, i / 10) for i in range(25)] + [(2, 0, 7, 0.5)], "track_id long, clip_index long, clip_id long, start_offset double")
+    for width in (None, 20.0):
+        every = cutlist.align_to_beats(beats, ["track_id"], width=width).groupBy("track_id").count().collect()
+        assert {r["track_id"]: r["count"] for r in every} == {1: 30, 2: 30}
+        out = cutlist.align_to_beats(beats, ["track_id"], clips, width=width).orderBy("track_id", "clip_index").collect()
+        assert [(r.track_id, r.clip_id, r.start_t, r.start_offset) for r in out] == [(1, 50 + i, i * 3.0, i / 10) for i in range(25)] + [(2, 7, 0.0, 0.5)]

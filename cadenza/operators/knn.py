@@ -9,14 +9,15 @@ Three ways, all with bounded tasks and at most k rows per query from each:
   centres; a centre's radius and count bound the k-th distance of a query, and
   only cells that can hold something closer are visited. Exact.
 - probes: the same cells, centres trained on all rows, and only the nearest
-  `probes` cells of a query are visited. Approximate.
+  `probes` cells of a query are visited. Approximate. With `recall` the number
+  of cells is measured: an exact scan for a bounded set of queries tells it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from math import isqrt
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from cadenza.functions.vectors import valid
 from cadenza.session import materialize, ship_package
 
 SLICE = 4_000_000
+#: queries that are answered exactly to find the number of probes
+SAMPLE = 200
 
 #: which of a block's items each query must not get: (query columns, item columns) to a matrix of booleans
 Skip = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
@@ -207,10 +210,28 @@ def _scan(asked: DataFrame, items: DataFrame, query_id: str, item_id: str, block
     return left, right, ["_block", "_ask"]
 
 
+def probes_for(asked: DataFrame, placed: DataFrame, table: Cells, recall: float, query_id: str, item_id: str, vector: str, metric: Metric,
+               skip: Skip | None, about: tuple[str, ...]) -> int:
+    """The least number of nearest cells that holds a share of `recall` of the true neighbours of SAMPLE queries."""
+    some = materialize(asked.orderBy(F.xxhash64(query_id), query_id).limit(SAMPLE), "sample")
+    rows = some.select(query_id, vector, "_k").collect()
+    filled = np.flatnonzero(table.counts)
+    if not rows or not len(filled):
+        return 1
+    truth = search(some, placed, max(r["_k"] for r in rows), query_id, item_id, vector, metric, skip=skip, about=about)
+    true_cells = truth.join(placed.select(item_id, "_cell"), item_id).select(query_id, "_cell").collect()
+    nearest = np.argsort(metric.pairs(np.array([r[vector] for r in rows], dtype=np.float64), table.centres[filled]), axis=1, kind="stable")
+    turn = {r[query_id]: {int(filled[c]): n for n, c in enumerate(order, 1)} for r, order in zip(rows, nearest, strict=True)}
+    needed = sorted(turn[r[query_id]][r["_cell"]] for r in true_cells)
+    return needed[min(len(needed), ceil(recall * len(needed))) - 1] if needed else 1
+
+
 def _visit(asked: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, metric: Metric, cells: int | None, probes: int | None,
-           block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+           recall: float | None, skip: Skip | None, about: tuple[str, ...], block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Queries beside the blocks of the cells they visit."""
-    placed, table = build_cells(items, item_id, vector, metric, cells, trained=bool(probes))
+    placed, table = build_cells(items, item_id, vector, metric, cells, trained=bool(probes or recall))
+    if recall:
+        probes = probes_for(asked, placed, table, recall, query_id, item_id, vector, metric, skip, about)
     visits = materialize(route(asked, vector, table, metric, probes), "visits")
     # rows per cell are known for both sides: one entry per cell
     demand = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
@@ -243,12 +264,14 @@ def search(
     about: tuple[str, ...] = (),
     block_rows: int = 50_000,
     query_rows: int = 10_000,
+    recall: float | None = None,
 ) -> DataFrame:
     """(query_id, item_id, distance, rank): the k nearest items of each query.
 
     Ties go to the lower item id. The way is a scan, cells with
-    `few_dimensions`, or cells of which `probes` are visited. Equal query
-    vectors are searched once where cells are used.
+    `few_dimensions`, or cells of which `probes` are visited, or as many as a
+    sample of the queries needs for a share of `recall` of its true neighbours.
+    Equal query vectors are searched once where cells are used.
 
     `skip` tells from the columns of a block of queries and of items (ids and
     those named in `about`, where a side has them) which pairs don't count;
@@ -262,7 +285,7 @@ def search(
     items = items.filter(ok).select(item_id, *known(items), F.col(vector).cast("array<double>").alias(vector))
     asked = queries.filter(ok).select(query_id, *known(queries), F.col(vector).cast("array<double>").alias(vector), F.lit(k).cast("bigint").alias("_k"))
     ship_package(items.sparkSession)
-    if skip is not None and few_dimensions and not probes:
+    if skip is not None and few_dimensions and not probes and not recall:
         raise ValueError("cells count the items that are skipped; use a scan or probes")
     if exclude is not None:
         pairs = exclude.select(query_id, item_id).distinct()
@@ -273,8 +296,8 @@ def search(
         askers = asked.select(F.col(query_id).alias("_asker"), F.col(vector).alias("_same"))
         asked = asked.groupBy(vector, "_k").agg(F.min(query_id).alias(query_id)).select(query_id, vector, "_k")
         twins = askers.join(asked.select(F.col(query_id).alias("_first"), F.col(vector).alias("_same")), "_same").select("_asker", "_first")
-    if few_dimensions or probes:
-        left, right, keys = _visit(asked, items, query_id, item_id, vector, metric, cells, probes, block_rows, query_rows)
+    if few_dimensions or probes or recall:
+        left, right, keys = _visit(asked, items, query_id, item_id, vector, metric, cells, probes, recall, skip, about, block_rows, query_rows)
     else:
         left, right, keys = _scan(asked, items, query_id, item_id, -(-n // block_rows), query_rows)
     qt, it = queries.schema[query_id].dataType, items.schema[item_id].dataType

@@ -217,3 +217,11 @@ def test_vector_stage_takes_the_nearest_clip(spark):
         d = {c: float(np.linalg.norm(e - np.array(r.embedding))) for c, e in x.items()}
         best = got[r.target_id - 100]
         assert best.strategy == 0 and abs(best.distance - min(d.values())) < 1e-9 and abs(d[best.clip_id] - min(d.values())) < 1e-9 and best.distance > 0
+
+
+def test_recall_is_reached_in_many_dimensions(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    q, items = frame(spark, x[:600], "query_id"), frame(spark, x)
+    exact = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10, recall=0.95).collect()}
+    assert len(near) == len(exact) and len(exact & near) / len(exact) >= 0.9

@@ -11,6 +11,7 @@ from cadenza.functions import moods
 from cadenza.functions.moods import clamp
 from cadenza.operators import knn, vectorops
 from cadenza.operators.ordered import row_index
+from cadenza.operators.selection import select_unrecent
 from cadenza.operators.timejoin import asof
 from cadenza.session import materialize
 
@@ -192,15 +193,28 @@ def match_curve(curve: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame,
 
 
 def best_clip(targets: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame, clips: DataFrame, pool: int = 20,
-              min_duration: float = 0.5, max_duration: float | None = None, target_id: str = "target_id") -> DataFrame:
-    """One clip per target: the best of the two pools by equal weights; only clips of suitable length enter a pool."""
+              min_duration: float = 0.5, max_duration: float | None = None, target_id: str = "target_id", keys: Sequence[str] = ("track_id",),
+              order: Sequence[str] = ("seg_idx",), avoid_recent: int = 5) -> DataFrame:
+    """One clip per target: the best of the two pools by equal weights; only clips of suitable length enter a pool.
+
+    Targets of a list (`keys`) are answered in `order`, and the clips of its
+    last `avoid_recent` answers enter no pool. Each side brings as many more
+    candidates, so the pools are exact. Targets without candidates drop out.
+    """
     fits = clips.filter(F.coalesce("duration", F.lit(0.0)) >= min_duration)
     if max_duration is not None:
         fits = fits.filter(F.col("duration") <= max_duration)
     ids = fits.select("clip_id")
-    by_motion = best_by_motion(targets, clip_motion.join(ids, "clip_id", "left_semi"), pool, target_id=target_id)
-    by_mood = best_by_mood(targets, clip_moods.join(ids, "clip_id", "left_semi"), pool, target_id=target_id)
-    return combine(by_motion, by_mood, 0.5, 0.5, 1, target_id)
+    by_motion = best_by_motion(targets, clip_motion.join(ids, "clip_id", "left_semi"), pool + avoid_recent, target_id=target_id)
+    by_mood = best_by_mood(targets, clip_moods.join(ids, "clip_id", "left_semi"), pool + avoid_recent, target_id=target_id)
+    if not avoid_recent:
+        return combine(by_motion, by_mood, 0.5, 0.5, 1, target_id)
+    sides = by_motion.select(target_id, "clip_id", "rank", "score", F.lit(0).alias("side")).unionByName(
+        by_mood.select(target_id, "clip_id", "rank", "score", F.lit(1).alias("side")))
+    lists = sides.groupBy(target_id).agg(F.sort_array(F.collect_list(F.struct("side", "rank", F.col("clip_id").cast("long").alias("clip_id"), "score"))).alias("candidates"))
+    cuts = targets.select(target_id, *keys, *order).join(lists, target_id)
+    picks = select_unrecent(cuts, keys, order, pool, avoid_recent, [target_id])
+    return picks.filter("picked IS NOT NULL").select(target_id, F.col("picked").alias("clip_id"), "score", F.lit(1).alias("rank"))
 
 
 def nearest_by_vector(targets: DataFrame, clip_vectors: DataFrame, k: int = 1, target_id: str = "target_id") -> DataFrame:

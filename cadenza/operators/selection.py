@@ -153,6 +153,32 @@ def fill_unused(picks: DataFrame, items: DataFrame, keys: Sequence[str], order:
     return numbered.join(free, [*keys, "_k"], "left").withColumn("picked", F.coalesce("picked", "_item")).select(*picks.columns)
 
 
+def select_unrecent(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], pool: int = 20, avoid_recent: int = 5,
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """Best candidate by the mean of two sides; the last `avoid_recent` picks enter the pool of neither side.
+
+    `candidates` is a list of (side, rank, clip_id, score), sides 0 and 1, best
+    first and pool + avoid_recent long; a clip missing on a side scores 0 there.
+    """
+
+    def choose(rows: pa.Table):
+        recent: list[int] = []
+        for entries in rows.column("candidates").to_pylist():
+            total: dict[int, float] = {}
+            for side in (0, 1):
+                offered = [e for e in entries if e["side"] == side and e["clip_id"] not in recent][:pool]
+                for e in offered:
+                    total[e["clip_id"]] = total.get(e["clip_id"], 0.0) + 0.5 * e["score"]
+            if not total:
+                yield None, None
+                continue
+            best = min(total, key=lambda c: (-round(total[c], 9), c))
+            recent = [*recent, best][-avoid_recent:]
+            yield best, total[best]
+
+    return _picks(cuts, keys, order, keep, choose)
+
+
 def select_diverse(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], total: str = "n_clips", share: float = 0.8,
                    keep: Sequence[str] = ()) -> DataFrame:
     """First candidate not used since the last reset; used clips reset at a share of the catalog.

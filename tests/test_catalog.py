@@ -226,3 +226,15 @@ def test_beat_alignment_ends_with_the_clips(spark):
         assert {r["track_id"]: r["count"] for r in every} == {1: 30, 2: 30}
         out = cutlist.align_to_beats(beats, ["track_id"], clips, width=width).orderBy("track_id", "clip_index").collect()
         assert [(r.track_id, r.clip_id, r.start_t, r.start_offset) for r in out] == [(1, 50 + i, i * 3.0, i / 10) for i in range(25)] + [(2, 7, 0.0, 0.5)]
+
+
+def test_best_clip_avoids_the_last_five(spark):
+    clips = spark.createDataFrame([(i, 5.0) for i in range(12)], "clip_id long, duration double")
+    motion = spark.createDataFrame([(i, 0.5 + i / 100, "MEDIUM", "PAN_LEFT") for i in range(12)], "clip_id long, motion_score double, motion_type string, camera_motion string")
+    mood = spark.createDataFrame([(i, 0.5 + i / 100, ["CALM"]) for i in range(12)], "clip_id long, energy double, moods array<string>")
+    asked = spark.createDataFrame([(k * 10 + i, k, i, 0.5, 0.5, "MEDIUM", "CALM") for k in (1, 2) for i in range(8)],
+                                  "target_id long, track_id long, seg_idx long, energy double, level double, motion string, mood string")
+    for pool in (2, 20):
+        got = {(r.target_id // 10, r.target_id % 10): r.clip_id for r in matching.best_clip(asked, motion, mood, clips, pool).collect()}
+        assert all([got[k, i] for i in range(8)] == [0, 1, 2, 3, 4, 5, 0, 1] for k in (1, 2))
+    assert {r.clip_id for r in matching.best_clip(asked, motion, mood, clips, avoid_recent=0).collect()} == {0}

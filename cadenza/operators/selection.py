@@ -19,6 +19,12 @@ from cadenza.operators.chain import _map_groups
 from cadenza.operators.ordered import row_index
 
 RELEVANCE_SCALE = 5.0
+LIST_ROWS = 10_000
+
+
+def in_lists(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "list_no", rows: int = LIST_ROWS, width: float | None = None) -> DataFrame:
+    """Cuts with the number of their list: each `rows` cuts of a group, in order, are one list with its own history."""
+    return row_index(cuts, keys, order, "_i", width).withColumn(name, F.floor(F.col("_i") / rows).cast("bigint")).drop("_i")
 
 
 def with_candidates(cuts: DataFrame, ranked: DataFrame, items: DataFrame, query_id: str, item_id: str = "clip_id",

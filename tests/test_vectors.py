@@ -225,3 +225,15 @@ def test_recall_is_reached_in_many_dimensions(spark):
     exact = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10).collect()}
     near = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10, recall=0.95).collect()}
     assert len(near) == len(exact) and len(exact & near) / len(exact) >= 0.9
+
+
+def test_groups_are_cut_into_lists(spark):
+    df = spark.createDataFrame([(i % 2, i * 3) for i in range(50)], "label long, query_id long")
+    for width in (None, 20.0):
+        rows = selection.in_lists(df, ["label"], ["query_id"], rows=10, width=width).collect()
+        for label in (0, 1):
+            own = sorted((r.query_id, r.list_no) for r in rows if r.label == label)
+            assert [n for _, n in own] == [i // 10 for i in range(25)]
+    big = spark.range(10_050).select(F.lit(1).alias("label"), F.col("id").alias("query_id"))
+    cuts = selection.in_lists(big, ["label"], ["query_id"], width=1_000.0)
+    assert {r.list_no: r["count"] for r in cuts.groupBy("list_no").count().collect()} == {0: 10_000, 1: 50}

@@ -56,3 +56,8 @@ def test_sample_agrees_with_duckdb(spark, name):
 @needs_data
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_all_tracks_of_a_project(spark, tmp_path):
+    spark.range(5_100).selectExpr("id AS event_id", "id * 10 + 4 AS user_id", "TIMESTAMP'2024-01-02' AS ts", "'click' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    assert entry.queries()["s04_audio_tracks_of_project"](spark, str(tmp_path)).count() == 5_100

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import (
-    chat, decontamination, fingerprints, mixing, ngram_join, packing, quality_model, quality_rules, secret_scan, suffix_dedup, token_files, vector_codes,
+    chat, collocations, decontamination, fingerprints, mixing, ngram_join, packing, quality_model, quality_rules, secret_scan, suffix_dedup, token_files, vector_codes,
 )
 from cadenza.session import scratch_path, ship_package
 
@@ -80,6 +80,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases that keep together best."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in windows of benchmark items."""
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -98,6 +103,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_fingerprints, op4_chat_format, op5_suffix_dedup, op6_packing, op7_ngram_join,
-                                   op8_mixing, op9_quality_model, op10_secret_scan, op12_decontamination, op13_vector_codes, pipeline)}
+                                   op8_mixing, op9_quality_model, op10_secret_scan, op11_collocations, op12_decontamination, op13_vector_codes, pipeline)}
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_format": chat.ORACLE, "op8_mixing": mixing.ORACLE,
-           "op12_decontamination": decontamination.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+           "op11_collocations": collocations.ORACLE, "op12_decontamination": decontamination.ORACLE, "op13_vector_codes": vector_codes.ORACLE}

@@ -277,8 +277,11 @@ def subtree(columns: list[np.ndarray], counts: np.ndarray) -> list[tuple[np.ndar
     return out
 
 
-def _build(least: int, split_pairs: set[tuple[int, int]]):
-    """Nodes of two and three words with `least` or more occurrences, from all suffixes of a group."""
+def _build(least: int, split_words: dict[int, int], split_pairs: dict[tuple[int, int], int]):
+    """Nodes of two and three words with `least` or more occurrences and the totals of the nodes above, from all suffixes of a group.
+
+    A split prefix lies in several groups; its total is given.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         parts = [unpack(b.as_buffer().to_pybytes()) for b in group.column("suffixes")]
@@ -286,17 +289,23 @@ def _build(least: int, split_pairs: set[tuple[int, int]]):
         order = np.lexsort((c[2], c[1], c[0]))
         c = [x[order] for x in c]
         nodes = subtree(c[:3], c[3])
-        found = []
-        for depth in (2, 3):
+        found, above = [], []
+        for depth in (1, 2, 3):
             at, total = nodes[depth - 1]
-            keep = (total >= least) & (c[depth - 1][at] != NONE)
-            at, total = at[keep], total[keep]
-            third = c[2][at] if depth == 3 else np.full(len(at), NONE)
-            if depth == 2 and split_pairs:  # a split prefix lies in several groups; its total is known
-                whole = np.array([(int(a), int(b)) not in split_pairs for a, b in zip(c[0][at], c[1][at], strict=True)], dtype=bool)
-                at, total, third = at[whole], total[whole], third[whole]
-            found.append((c[0][at], c[1][at], third, total))
-        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["c1", "c2", "c3", "a"])
+            if depth > 1:
+                keep = np.flatnonzero((total >= least) & (c[depth - 1][at] != NONE))
+                if depth == 2 and split_pairs:
+                    keep = np.array([i for i in keep if (int(c[0][at[i]]), int(c[1][at[i]])) not in split_pairs], np.int64)
+                first = at[keep]
+                totals = [t[np.searchsorted(b, first, "right") - 1] for b, t in above] + [np.zeros(len(first), np.int64)] * (3 - depth)
+                found.append((c[0][first], c[1][first], c[2][first] if depth == 3 else np.full(len(first), NONE), total[keep], *totals))
+            if depth < 3:
+                total = total.copy()
+                for i in np.flatnonzero(np.isin(c[0][at], list(split_words))) if split_words else ():
+                    one, two = int(c[0][at[i]]), int(c[1][at[i]])
+                    total[i] = split_words[one] if depth == 1 else split_pairs.get((one, two), total[i])
+                above.append((at, total))
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["c1", "c2", "c3", "a", "f1", "f2"])
 
     return run
 
@@ -348,9 +357,10 @@ def _cells(tables: list[DataFrame], bits: int, budget: int) -> np.ndarray:
 
 def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 20, codes: int = 1 << 19, suffixes: int = 1 << 20, limit: int = 2 << 20,
                   text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(words, phrases): all words (c, lang, word, n), and the phrases of two and three words (c1, c2, c3, a) found `least` times or more.
+    """(words, phrases): all words (c, lang, word, n), and the phrases of two and three words (c1, c2, c3, a, f1, f2) found `least` times or more.
 
-    c is a word's code within its language; c3 is NONE for two words. Counts
+    c is a word's code within its language; c3 is NONE for two words; f1 and f2
+    are the counts of the first word and, for three, of the first two. Counts
     cover all texts, and a phrase stays inside a piece between marks.
 
     Vertical partitioning: word counts come first. Prefixes are put into groups
@@ -382,9 +392,12 @@ def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 20, codes
     level = words.select(F.col("h").alias("key"), "n")
     whole, hot, split, hashes = [], [], None, []
     for depth in (1, 2):
-        hot.append(np.array([r["key"] for r in level.filter(F.col("n") > budget).select("key").collect()], np.int64).view(np.uint64))
-        if depth == 2 and len(hot[1]):
-            split = level.filter(F.col("n") > budget).select("c1", "c2", F.lit(NONE).cast("long").alias("c3"), F.col("n").alias("a"))
+        above = level.filter(F.col("n") > budget).select("key", "n").collect()
+        hot.append(np.array([r["key"] for r in above], np.int64).view(np.uint64))
+        if depth == 1:
+            hot_counts = [r["n"] for r in above]
+        elif above:
+            split = level.filter(F.col("n") > budget).select("c1", "c2", F.col("n").alias("a"))
         whole.append(level.filter(F.col("n") <= budget).select("key", "n"))
         hashes = [*hot, *[np.empty(0, np.uint64)] * (2 - len(hot))]
         if not len(hot[-1]):
@@ -396,11 +409,14 @@ def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 20, codes
     bits = max(10, (16 * occurrences // budget).bit_length())
     prefixes = Prefixes(hashes, _cells(whole, bits, budget))
 
-    pairs = {(r["c1"], r["c2"]) for r in split.select("c1", "c2").collect()} if split is not None else set()
+    open_words = {int(c): n for c, n in zip(_codes(hot[0], table.value, place.value).tolist(), hot_counts, strict=True)}
+    pairs = {(r["c1"], r["c2"]): r["a"] for r in split.collect()} if split is not None else {}
     dealt = texts.mapInArrow(_deal(prefixes, table, place, seed, limit, suffixes), "group long, suffixes binary")
-    phrases = dealt.groupBy("group").applyInArrow(_build(least, pairs), "c1 long, c2 long, c3 long, a long")
-    if split is not None:
-        phrases = phrases.unionByName(split.filter((F.col("a") >= least) & (F.col("c2") != NONE)))
+    phrases = dealt.groupBy("group").applyInArrow(_build(least, open_words, pairs), "c1 long, c2 long, c3 long, a long, f1 long, f2 long")
+    if pairs:
+        whole_pairs = split.filter((F.col("a") >= least) & (F.col("c2") != NONE)).select("c1", "c2", F.lit(NONE).cast("long").alias("c3"), "a")
+        first = spark.createDataFrame(list(open_words.items()), "c1 long, f1 long")
+        phrases = phrases.unionByName(whole_pairs.join(F.broadcast(first), "c1").withColumn("f2", F.lit(0).cast("long")))
     coded = words.select("h", "lang", "word", "n").mapInArrow(_with_codes(table, place), "c long, lang string, word string, n long")
     return coded, materialize(phrases, "phrases")
 
@@ -436,51 +452,48 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     """
     words, phrases = phrase_counts(docs, least=least, **options)
     words = materialize(words, "coded")
-    frequent = words.filter(F.col("n") >= least).select("c", "n")
+    frequent = words.filter(F.col("n") >= least).select("c", "lang", F.col("n").alias("last"))
     n_frequent = frequent.count()
-    pairs, triples = phrases.filter(F.col("c3") == NONE).select("c1", "c2", "a"), phrases.filter(F.col("c3") != NONE)
-    n_pairs = pairs.count()
-
-    def with_word(rows: DataFrame, column: str, out: str) -> DataFrame:
-        return join_table(rows, frequent.select(F.col("c").alias(column), F.col("n").alias(out)), [column], n_frequent, ["c1", "c2"], small=small_table)
-
-    def with_pair(rows: DataFrame, first: str, second: str, out: str) -> DataFrame:
-        return join_table(rows, pairs.select(F.col("c1").alias(first), F.col("c2").alias(second), F.col("a").alias(out)), [first, second], n_pairs, ["c1", "c2", "c3"], small=small_table)
+    phrases = join_table(phrases.withColumn("c", F.when(F.col("c3") == NONE, F.col("c2")).otherwise(F.col("c3"))), frequent, ["c"], n_frequent, ["c1", "c2"], small=small_table)
+    phrases = materialize(phrases.drop("c"), "phrases")
+    pairs, triples = phrases.filter(F.col("c3") == NONE), phrases.filter(F.col("c3") != NONE)
 
     inside = triples.select(F.explode(F.array(F.struct("c1", "c2"), F.struct(F.col("c2").alias("c1"), F.col("c3").alias("c2")))).alias("p"), "a")
     longest = inside.groupBy("p").agg(F.max("a").alias("longer")).select("p.c1", "p.c2", "longer")
     left = pairs.join(longest, ["c1", "c2"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * covered))
-    two = with_word(with_word(left, "c1", "l"), "c2", "r").select("c1", "c2", F.lit(NONE).cast("long").alias("c3"), "a", "l", "r", score(F.col("a"), F.col("l"), F.col("r")).alias("score"))
-    three = with_pair(with_pair(with_word(with_word(triples, "c1", "l1"), "c3", "r2"), "c2", "c3", "r1"), "c1", "c2", "l2")
-    three = three.withColumns({"s1": score(F.col("a"), F.col("l1"), F.col("r1")), "s2": score(F.col("a"), F.col("l2"), F.col("r2"))})
+    two = left.select("lang", "c1", "c2", "c3", "a", F.col("f1").alias("l"), F.col("last").alias("r"), score(F.col("a"), F.col("f1"), F.col("last")).alias("score"))
+    rest = pairs.select(F.col("c1").alias("c2"), F.col("c2").alias("c3"), F.col("a").alias("rest"))
+    three = join_table(triples, rest, ["c2", "c3"], pairs.count(), ["c1"], small=small_table)
+    three = three.withColumns({"s1": score(F.col("a"), F.col("f1"), F.col("rest")), "s2": score(F.col("a"), F.col("f2"), F.col("last"))})
     early = F.col("s1") <= F.col("s2")
-    three = three.select("c1", "c2", "c3", "a", *[F.when(early, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("l1", "l2", "l"), ("r1", "r2", "r"), ("s1", "s2", "score"))])
-    scored = materialize(two.unionByName(three), "scored")
+    three = three.select("lang", "c1", "c2", "c3", "a", *[F.when(early, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("f1", "f2", "l"), ("rest", "last", "r"), ("s1", "s2", "score"))])
 
+    near = materialize(_first(two.unionByName(three), top, ties=True), "near")
+    best = _first(_named(near, words, small_table), top, ties=False)
     langs = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    in_lang = join_table(scored, words.filter(F.col("n") >= least).select(F.col("c").alias("c1"), "lang"), ["c1"], n_frequent, ["c2", "c3"], small=small_table)
-    named = _named(_first(in_lang, top, ties=True), words, least, n_frequent, small_table)
-    best = _first(named, top, ties=False)
-    return best.join(F.broadcast(langs) if langs.count() <= small_table else langs, "lang").select(
+    return join_table(best, langs, ["lang"], langs.count(), ["phrase"], small=small_table).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _first(rows: DataFrame, top: int, ties: bool, salts: int = 64) -> DataFrame:
-    """Each language's first `top` rows by score and a (and then all that tie with the last, or by the phrase); `salts` shares of a language are cut first."""
+def _first(rows: DataFrame, top: int, ties: bool, shares: tuple[int, ...] = (512, 16, 1)) -> DataFrame:
+    """Each language's first `top` rows by score and a (and then all that tie with the last, or by the phrase); shares of a language are cut first."""
     order = [F.desc("score"), F.desc("a"), *([] if ties else [F.asc("phrase")])]
     place = F.rank() if ties else F.row_number()
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("c1", "c2", "c3"), F.lit(salts)))
-    cut = rows.withColumn("rank", place.over(Window.partitionBy("lang", "_salt").orderBy(*order))).filter(F.col("rank") <= top).drop("_salt")
-    return cut.withColumn("rank", place.over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    for n in shares:
+        share = F.pmod(F.xxhash64("c1", "c2", "c3"), F.lit(n))
+        rows = rows.withColumn("rank", place.over(Window.partitionBy("lang", share).orderBy(*order))).filter(F.col("rank") <= top)
+    return rows
 
 
-def _named(rows: DataFrame, words: DataFrame, least: int, n_frequent: int, small_table: int) -> DataFrame:
+def _named(rows: DataFrame, words: DataFrame, small_table: int) -> DataFrame:
     """`rows` with the phrase in words."""
-    names = words.filter(F.col("n") >= least).select("c", "word")
+    codes = materialize(rows.select(F.explode(F.array("c1", "c2", "c3")).alias("c")).distinct(), "codes")
+    n = codes.count()
+    names = words.select("c", "word").join(F.broadcast(codes) if n <= small_table else codes, "c").unionByName(
+        words.sparkSession.createDataFrame([(NONE, None)], "c long, word string"))
+    names = materialize(names, "names")
     for i in (1, 2, 3):
-        which = rows if i < 3 else rows.filter(F.col("c3") != NONE)
-        step = join_table(which, names.select(F.col("c").alias(f"c{i}"), F.col("word").alias(f"w{i}")), [f"c{i}"], n_frequent, ["c1", "c2", "c3"], small=small_table)
-        rows = step if i < 3 else step.unionByName(rows.filter(F.col("c3") == NONE).withColumn("w3", F.lit(None).cast("string")))
+        rows = join_table(rows, names.select(F.col("c").alias(f"c{i}"), F.col("word").alias(f"w{i}")), [f"c{i}"], n + 1, ["c1", "c2", "c3"], small=small_table)
     return rows.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3")).drop("w1", "w2", "w3")
 
 

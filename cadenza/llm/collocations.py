@@ -355,7 +355,7 @@ def _cells(tables: list[DataFrame], bits: int, budget: int) -> np.ndarray:
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 20, codes: int = 1 << 19, suffixes: int = 1 << 20, limit: int = 2 << 20,
+def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 19, codes: int = 1 << 19, suffixes: int = 1 << 19, limit: int = 1 << 20,
                   text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(words, phrases): all words (c, lang, word, n), and the phrases of two and three words (c1, c2, c3, a, f1, f2) found `least` times or more.
 

@@ -87,8 +87,9 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10, gram
     Shorter items go through runs of their own length.
 
     Candidates are handled once per text, and results return by the text's
-    key. Item tables up to `small_table` rows are broadcast, larger ones joined
-    on salted keys. Null, empty and wordless texts have no words; ids may be
+    key. Tables of items and of candidates with up to `small_table` entries
+    (windows, hashes or spans) are broadcast; larger ones are shuffled, hot
+    keys salted. Null, empty and wordless texts have no words; ids may be
     null or repeat; an empty table of documents gives no rows, one of items no
     hits. Columns of other names are not touched.
     """
@@ -105,7 +106,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10, gram
     sketch = materialize(sketch, "sketch")
     shared = join_table(sketch.select("key", F.explode("marks").alias("mark")), marks, ["mark"], n_spans, ["key"], "left_semi", small_table)
     candidates = materialize(shared.groupBy("key").agg(F.collect_set("mark").alias("_shared")), "candidates")
-    n_candidates = candidates.count()
+    n_candidates = candidates.agg(F.sum(F.size("_shared"))).first()[0] or 0
 
     texts = keyed.select("key", "_text")
     near = join_table(texts, candidates, ["key"], n_candidates, ["_text"], small=small_table).dropDuplicates(["key"])
@@ -117,7 +118,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10, gram
     told = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(
         "start", (F.col("start") + F.col("length")).alias("end"), "length", "items"))).alias("spans"))
     told = materialize(told, "hits")
-    return join_table(sketch.select("key", "n_words", "row"), told, ["key"], told.count(), ["row"], "left", small_table)
+    n_told = told.agg(F.sum(F.size("spans"))).first()[0] or 0
+    return join_table(sketch.select("key", "n_words", "row"), told, ["key"], n_told, ["row"], "left", small_table)
 
 
 def n_covered(spans: Column) -> Column:

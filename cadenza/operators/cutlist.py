@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import gcd
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import moods
-from cadenza.functions.beats import beat_seconds
 from cadenza.functions.moods import clamp
-from cadenza.operators.chain import ANCHOR, KEPT, WalkRule, walk
-from cadenza.operators.curves import zone
+from cadenza.operators.chain import KEPT, WalkRule, walk
 from cadenza.operators.intervals import with_next_start
 from cadenza.operators.ordered import Running, row_index, running
-from cadenza.operators.rules import PacingConfig
-from cadenza.operators.timejoin import curve_value
+from cadenza.operators.rules import Moments, PacingConfig, zone_of
+from cadenza.operators.timewalk import walk_time
 
 MIN_PART = 0.5
+LEAST_CUT = 0.1
 
 
 def lay_out(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], duration: str, target: str, width: float | None = None) -> DataFrame:
@@ -69,40 +69,50 @@ def align_to_beats(beats: DataFrame, keys: Sequence[str], clips: DataFrame | Non
     return aligned if clips is None else aligned.join(clips, [*keys, "clip_index"])
 
 
+@dataclass(frozen=True)
+class EnergyWalk:
+    """Cuts whose length follows the zone of the energy at their start, with `snap` from beat to beat.
+
+    Where a snapped end is not after the start, the shortest length is taken,
+    and the walk ends if that passes the track. Cuts under `LEAST_CUT` seconds
+    are left out.
+    """
+
+    short: float
+    long: float
+    snap: bool
+    limits: tuple[float, float]
+
+    def step(self, t, value, bpm, offset, duration):
+        wanted = np.where(np.isnan(value), self.long, np.array([self.long, (self.short + self.long) / 2, self.short])[zone_of(value, self.limits)])
+        beat = Moments(t, value, bpm, offset).beat
+
+        def on_beat(x):
+            return np.maximum(0.0, np.rint((x - offset) / beat) * beat + offset)
+
+        start = on_beat(t) if self.snap else t
+        end = np.minimum(on_beat(start + wanted) if self.snap else start + wanted, duration)
+        stuck = end <= start
+        end = np.where(stuck, start + self.short, end)
+        over = stuck & (end > duration)
+        emit = ~over & (end - start >= LEAST_CUT)
+        return np.where(emit, 0, -1), start, end, np.where(over, duration, end)
+
+
 def energy_driven(tracks: DataFrame, energy: DataFrame, min_duration: float = 0.5, max_duration: float = 4.0, snap: bool = True,
                   low: float = 0.33, high: float = 0.66, max_cuts: int | None = None, width: float | None = None) -> DataFrame:
     """(track_id, cut_index, start_t, end_t): short cuts where the energy is high, long where it is low.
 
-    With `snap` the walk runs over the beats of the track, else over a grid
-    that all three lengths are multiples of. All cuts are returned unless the
-    caller sets `max_cuts`.
+    The walk goes on from the end of each cut, whatever the lengths; with
+    `snap` starts and ends are beats. All cuts are returned unless the caller
+    sets `max_cuts`.
     """
-    mid = (min_duration + max_duration) / 2
-    if snap:
-        unit = beat_seconds(F.col("bpm"))
-    else:
-        scale = 1_000
-        unit = F.lit(gcd(round(min_duration * scale), round(mid * scale)) / scale)
-    offset = F.coalesce(F.col("offset"), F.lit(0.0)) if "offset" in tracks.columns and snap else F.lit(0.0)
-    base = tracks.withColumns({"_unit": unit, "_off": offset}).withColumn("_n", F.ceil((F.col("duration") - F.col("_off")) / F.col("_unit")).cast("bigint"))
-    grid = base.filter("_n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    grid = grid.withColumn("t", F.col("_off") + F.col("i") * F.col("_unit")).filter(F.col("t") < F.col("duration"))
-    grid = curve_value(grid.select("track_id", "i", "t", "_unit", "_off", "duration"), energy, ["track_id"], "t", "t", ["energy"], True, width)
-    level = zone(F.col("energy"), low, high)
-    wanted = F.when(level == "high", min_duration).when(level == "medium", mid).otherwise(max_duration)
-    end_index = F.greatest(F.rint((F.col("t") + wanted - F.col("_off")) / F.col("_unit")), F.col("i") + 1)
-    grid = grid.withColumns({"_end": end_index, "_zero": F.lit(0.0)})
-    hold = (F.col("_end") - F.col("i") - 0.5) * F.col("_unit")
-    grid = grid.withColumn("_hold", hold)
-    # a cut is never longer than the longest wanted one and one unit; units are below `longest`
-    longest = max_duration + 60.0 if width is None else max(max_duration + 60.0, width)
-    kept = walk(grid, ["track_id"], ["t"], "_zero", "_hold", WalkRule("first", longest), width).filter(KEPT).drop(KEPT, ANCHOR)
-    end = F.least(F.col("_off") + F.col("_end") * F.col("_unit"), F.col("duration"))
-    cuts = kept.withColumn("end_t", end).filter(F.col("end_t") - F.col("t") >= 0.1)
-    numbered = row_index(cuts, ["track_id"], ["t"], "cut_index", width)
+    walk = EnergyWalk(float(min_duration), float(max_duration), snap, (low, high))
+    cuts = walk_time(tracks, energy, walk, width=width)
+    numbered = row_index(cuts.drop("label"), ["track_id"], ["t"], "cut_index", width)
     if max_cuts is not None:
         numbered = numbered.filter(F.col("cut_index") < max_cuts)
-    return numbered.select("track_id", "cut_index", F.col("t").alias("start_t"), "end_t", "energy")
+    return numbered.select("track_id", "cut_index", "start_t", "end_t")
 
 
 def step_cuts(steps: DataFrame, keys: Sequence[str], step: Column, offset: Column, cut_duration: float | None = None,

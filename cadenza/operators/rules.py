@@ -2,7 +2,9 @@
 
 A condition is anything with `column()`, which returns a boolean Column over
 the grid columns t, energy, bpm and offset. Own conditions, scorers and
-strategies plug in the same way: they return Columns or DataFrames.
+strategies plug in the same way: they return Columns or DataFrames. Walks visit
+times that no grid foresees; a condition in a walk also has `holds()`, the same
+test on numpy arrays.
 """
 
 from __future__ import annotations
@@ -11,20 +13,46 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.beats import bar_position, beat_position, beat_seconds
-from cadenza.operators.chain import KEPT, WalkRule, walk
+from cadenza.functions.beats import BEATS_PER_BAR, bar_position, beat_position, beat_seconds
 from cadenza.operators.curves import zone
 from cadenza.operators.timejoin import curve_value
+from cadenza.operators.timewalk import walk_time
 
 DOWNBEAT_TOLERANCE = 0.05
+# fixed values: the energy zones and their lower limits
+ZONE_NAMES = ("low", "medium", "high")
+ZONE_LIMITS = (0.33, 0.66)
+
+
+def zone_of(energy: np.ndarray, limits: Sequence[float] = ZONE_LIMITS) -> np.ndarray:
+    """Place of the zone in ZONE_NAMES."""
+    return (energy >= limits[0]).astype(int) + (energy >= limits[1])
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Visited times of tracks with the energy there; arrays of equal length, nan for null."""
+
+    t: np.ndarray
+    energy: np.ndarray
+    bpm: np.ndarray
+    offset: np.ndarray
+
+    @property
+    def beat(self) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(self.bpm > 0, 60.0 / self.bpm, 0.5)
 
 
 class Condition(Protocol):
     def column(self) -> Column: ...
 
+    def holds(self, m: Moments) -> np.ndarray: ...
+
 
 @dataclass(frozen=True)
 class EnergyIs:
@@ -45,6 +73,16 @@ class EnergyIs:
             ok = ok & (e <= self.high)
         return F.coalesce(ok, F.lit(False))
 
+    def holds(self, m: Moments) -> np.ndarray:
+        if self.zone:
+            return ~np.isnan(m.energy) & (zone_of(m.energy) == ZONE_NAMES.index(self.zone))
+        ok = ~np.isnan(m.energy)
+        if self.low is not None:
+            ok &= m.energy >= self.low
+        if self.high is not None:
+            ok &= m.energy <= self.high
+        return ok
+
 
 @dataclass(frozen=True)
 class BeatIs:
@@ -67,6 +105,14 @@ class BeatIs:
             ok = F.lit(True)
         return F.coalesce(ok & F.col("bpm").isNotNull(), F.lit(False))
 
+    def holds(self, m: Moments) -> np.ndarray:
+        beat, rel = m.beat, m.t - m.offset
+        in_bar = np.trunc(np.mod(rel, beat * BEATS_PER_BAR) / beat)
+        ok = ~np.isnan(m.bpm)
+        if self.downbeat:
+            return ok & (in_bar == 0) & (np.abs(np.mod(rel, beat)) < self.tolerance)
+        return ok if self.beat_in_bar is None else ok & (in_bar == self.beat_in_bar)
+
 
 @dataclass(frozen=True)
 class TimeIn:
@@ -77,6 +123,10 @@ class TimeIn:
         ok = F.col("t") >= self.start
         return ok if self.end is None else ok & (F.col("t") < self.end)
 
+    def holds(self, m: Moments) -> np.ndarray:
+        ok = m.t >= self.start
+        return ok if self.end is None else ok & (m.t < self.end)
+
 
 @dataclass(frozen=True)
 class Combined:
@@ -96,6 +146,14 @@ class Combined:
             out = (out & p) if self.operator == "and" else (out | p)
         return out
 
+    def holds(self, m: Moments) -> np.ndarray:
+        parts = [c.holds(m) for c in self.conditions]
+        if not parts:
+            return np.ones(len(m.t), dtype=bool)
+        if self.operator == "not":
+            return ~parts[0]
+        return np.logical_and.reduce(parts) if self.operator == "and" else np.logical_or.reduce(parts)
+
 
 @dataclass(frozen=True)
 class CutLength:
@@ -111,6 +169,11 @@ class CutLength:
             return F.lit(self.high) - F.col("energy") * (self.high - self.low)
         return F.lit((self.low + self.high) / 2)
 
+    def length_of(self, m: Moments) -> np.ndarray:
+        if self.by_energy:
+            return self.high - m.energy * (self.high - self.low)
+        return np.full(len(m.t), (self.low + self.high) / 2)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -193,25 +256,44 @@ def time_grid(tracks: DataFrame, step: float, energy: DataFrame | None = None, w
     return curve_value(grid, energy.select("track_id", "t", "energy"), ["track_id"], "t", "t", ["energy"], True, width)
 
 
-def next_beat(t: Column, beat: Column, offset: Column) -> Column:
-    """Grid beat at or after t, counted as the rules do."""
-    n = (t / beat).cast("bigint")
-    return F.when(n * beat + offset < t, (n + 1) * beat + offset).otherwise(n * beat + offset)
-
+@dataclass(frozen=True)
+class RuleWalk:
+    """A match emits a cut and goes on at the cut's end, else one `step` later.
 
-def walk_rules(evaluated: DataFrame, step: float, max_length: float, width: float | None = None) -> DataFrame:
-    """Cuts of a walk over an evaluated grid: a match emits a cut and jumps to its end, else one step.
+    A cut starts at the time of the match or at the next beat, and ends with
+    the track at the latest. Labels are places in `rules`.
+    """
 
-    The walk stays on the grid: after a cut it goes on at the first grid time
-    at or after the cut's end. `max_length` bounds the cut lengths.
+    rules: tuple[Rule, ...]
+    time_step: float
+
+    def step(self, t, value, bpm, offset, duration):
+        m = Moments(t, value, bpm, offset)
+        label = np.full(len(t), -1)
+        for i in sorted(range(len(self.rules)), key=lambda i: -self.rules[i].priority):
+            open_ = np.flatnonzero(label < 0)
+            if len(open_):
+                hit = self.rules[i].condition.holds(Moments(t[open_], value[open_], bpm[open_], offset[open_]))
+                label[open_[hit]] = i
+        start, length = t.copy(), np.zeros(len(t))
+        n = np.trunc(t / m.beat)
+        on_beat = np.where(n * m.beat + offset < t, (n + 1) * m.beat + offset, n * m.beat + offset)
+        for i, r in enumerate(self.rules):
+            mine = np.flatnonzero(label == i)
+            length[mine] = r.action.length_of(m)[mine]
+            if r.action.snap:
+                start[mine] = on_beat[mine]
+        end = np.minimum(start + length, duration)
+        return label, start, end, np.where(label >= 0, np.maximum(end, np.nextafter(t, np.inf)), t + self.time_step)
+
+
+def walk_rules(tracks: DataFrame, energy: DataFrame, rules: Sequence[Rule], step: float, width: float | None = None) -> DataFrame:
+    """(track_id, t, rule, start_t, end_t): cuts of a walk from the start of each track, first matching rule by priority.
+
+    The walk goes on from the end of each cut, wherever that lies, and `step`
+    later where no rule matches. Equal priorities go by the order of the list;
+    a rule whose length follows the energy needs one (an energy condition).
     """
-    beat = beat_seconds(F.col("bpm"))
-    start = F.when(F.col("snap"), next_beat(F.col("t"), beat, F.col("offset"))).otherwise(F.col("t"))
-    end = F.least(start + F.col("length"), F.col("duration"))
-    rows = evaluated.withColumns({"start_t": start, "end_t": end, "_zero": F.lit(0.0)})
-    # half a step off, so rounding of i * step cannot lose a grid point
-    reach = F.when(F.col("rule").isNotNull(), F.col("end_t") - F.col("t")).otherwise(F.lit(0.0))
-    hold = F.greatest(F.ceil(F.round(reach / step, 9)), F.lit(1)) * step - step / 2
-    rows = rows.withColumn("_hold", hold.cast("double"))
-    cuts = walk(rows, ["track_id"], ["t"], "_zero", "_hold", WalkRule("first", max_length + 2 * step), width)
-    return cuts.filter(F.col(KEPT) & F.col("rule").isNotNull()).select("track_id", "t", "rule", "start_t", "end_t")
+    cuts = walk_time(tracks, energy, RuleWalk(tuple(rules), float(step)), width=width)
+    names = F.array(*[F.lit(r.name) for r in rules])
+    return cuts.select("track_id", "t", F.get(names, F.col("label")).alias("rule"), "start_t", "end_t")

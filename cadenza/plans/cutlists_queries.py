@@ -92,36 +92,44 @@ def _(v):
     return out.withColumn("alignment_score", F.round("alignment_score", 6))
 
 
-def energy_cuts_sql(unit: str, shortest: float, longest: float) -> str:
-    """The walk that follows the energy over a grid of `unit`, step by step."""
+#: the curve as pieces of time: its value at x in [a, b) is e, or on the line from (t, e) to (nt, ne)
+PIECES = """p AS (SELECT track_id, t, energy AS e, lead(t) OVER (PARTITION BY track_id ORDER BY t) AS nt, lead(energy) OVER (PARTITION BY track_id ORDER BY t) AS ne, row_number() OVER (PARTITION BY track_id ORDER BY t) AS rn FROM v_energy),
+pieces AS MATERIALIZED (SELECT track_id, t AS a, coalesce(nt, 1e18) AS b, t AS pt, e, nt, ne FROM p UNION ALL SELECT track_id, -1e18, t, t, e, NULL, NULL FROM p WHERE rn = 1)"""
+ON_PIECE = "JOIN pieces p ON p.track_id = w.track_id AND w.t >= p.a AND w.t < p.b"
+VALUE = "CASE WHEN p.ne IS NULL OR w.t = p.pt THEN p.e ELSE p.e + (w.t - p.pt) / (p.nt - p.pt) * (p.ne - p.e) END"
+
+
+def energy_cuts_sql(snap: bool, shortest: float, longest: float) -> str:
+    """The loop that follows the energy, cut by cut."""
+    on_beat = (lambda x: f"greatest(0e0, round_even(({x}) / unit, 0) * unit)") if snap else (lambda x: x)
+    wanted = f"CASE WHEN v >= 0.66e0 THEN {shortest}e0 WHEN v >= 0.33e0 THEN {(shortest + longest) / 2}e0 ELSE {longest}e0 END"
+    moves = f"""SELECT track_id, duration, unit, t, s, CASE WHEN e > s THEN e ELSE s + {shortest}e0 END AS e, e <= s AND s + {shortest}e0 > duration AS ends
+      FROM (SELECT *, least({on_beat("s + " + wanted)}, duration) AS e FROM (SELECT w.*, {on_beat("w.t")} AS s, {VALUE} AS v FROM w {ON_PIECE}))"""
     return f"""
-WITH RECURSIVE k AS (SELECT track_id, duration, {unit} AS unit, unnest(range(0, CAST(ceil(duration / ({unit})) AS BIGINT))) AS i FROM v_track), g AS (SELECT *, i * unit AS t FROM k WHERE i * unit < duration),
-lk AS (SELECT g.*, p.t AS t0, p.energy AS e0, n.t AS t1, n.energy AS e1 FROM g ASOF LEFT JOIN v_energy p ON g.track_id = p.track_id AND g.t >= p.t ASOF LEFT JOIN v_energy n ON g.track_id = n.track_id AND g.t <= n.t),
-en AS (SELECT track_id, duration, unit, i, t, CASE WHEN t0 = t THEN e0 WHEN t0 IS NULL OR t1 IS NULL THEN coalesce(e0, e1) ELSE e0 + (t - t0) / (t1 - t0) * (e1 - e0) END AS energy FROM lk),
-h AS MATERIALIZED (SELECT *, greatest(CAST(round_even((t + CASE WHEN energy >= 0.66e0 THEN {shortest} WHEN energy >= 0.33e0 THEN {(shortest + longest) / 2} ELSE {longest} END) / unit, 0) AS BIGINT), i + 1) AS e FROM en),
-w AS (SELECT * FROM h WHERE i = 0 UNION ALL SELECT h.* FROM w JOIN h ON h.track_id = w.track_id AND h.i = w.e),
-c AS (SELECT track_id, t, least(e * unit, duration) AS end_t FROM w)
-SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS cut_index, round(t, 3) AS start_t, round(end_t, 3) AS end_t FROM c WHERE end_t - t >= 0.1e0"""
+WITH RECURSIVE {PIECES}, w AS (SELECT track_id, duration, 60e0 / (bpm / 3600) AS unit, 0e0 AS t FROM v_track
+  UNION ALL SELECT track_id, duration, unit, e AS t FROM ({moves}) WHERE NOT ends AND e < duration),
+c AS (SELECT * FROM ({moves}) WHERE NOT ends AND e - s >= 0.1e0)
+SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS cut_index, round(s, 2) AS start_t, round(e, 2) AS end_t FROM c"""
 
 
-@query("w19_energy_driven_cuts", energy_cuts_sql("60e0 / (bpm / 3600)", 3000.0, 24_000.0))
+@query("w19_energy_driven_cuts", energy_cuts_sql(True, 3010.7, 23_800.3))
 def _(v):
     slow = v.track.withColumn("bpm", F.col("bpm") / 3600)
-    out = cutlist.energy_driven(slow, v.energy, 3000.0, 24_000.0, width=CHUNK)
-    return out.select("track_id", "cut_index", F.round("start_t", 3).alias("start_t"), F.round("end_t", 3).alias("end_t"))
+    out = cutlist.energy_driven(slow, v.energy, 3010.7, 23_800.3, width=CHUNK)
+    return out.select("track_id", "cut_index", F.round("start_t", 2).alias("start_t"), F.round("end_t", 2).alias("end_t"))
 
 
-@query("w19_energy_driven_cuts_unsnapped", energy_cuts_sql("1500e0", 3000.0, 24_000.0))
+@query("w19_energy_driven_cuts_unsnapped", energy_cuts_sql(False, 3010.7, 23_800.3))
 def _(v):
-    out = cutlist.energy_driven(v.track, v.energy, 3000.0, 24_000.0, snap=False, width=CHUNK)
-    return out.select("track_id", "cut_index", F.round("start_t", 3).alias("start_t"), F.round("end_t", 3).alias("end_t"))
+    out = cutlist.energy_driven(v.track, v.energy, 3010.7, 23_800.3, snap=False, width=CHUNK)
+    return out.select("track_id", "cut_index", F.round("start_t", 2).alias("start_t"), F.round("end_t", 2).alias("end_t"))
 
 
 STEP = 7200.0
 RULES = [
-    rules.Rule("drop", rules.EnergyIs(zone="high"), rules.CutLength(3600.0, 21_600.0, by_energy=True, snap=False), 8),
-    rules.Rule("downbeat", rules.Combined("and", (rules.BeatIs(beat_in_bar=0), rules.TimeIn(86_400.0, 2_000_000.0))), rules.CutLength(7200.0, 21_600.0, snap=False), 10),
-    rules.Rule("calm", rules.Combined("and", (rules.EnergyIs(high=0.5), rules.Combined("not", (rules.TimeIn(0.0, 600_000.0),)))), rules.CutLength(14_400.0, 28_800.0, snap=False), 3),
+    rules.Rule("drop", rules.EnergyIs(zone="high"), rules.CutLength(3710.0, 21_710.0, by_energy=True, snap=False), 8),
+    rules.Rule("downbeat", rules.Combined("and", (rules.BeatIs(beat_in_bar=0), rules.TimeIn(86_400.0, 2_000_000.0))), rules.CutLength(7150.5, 21_790.0, snap=False), 10),
+    rules.Rule("calm", rules.Combined("and", (rules.EnergyIs(high=0.5), rules.Combined("not", (rules.TimeIn(0.0, 600_000.0),)))), rules.CutLength(14_450.0, 28_901.0, snap=False), 3),
 ]
 RULE_GRID = """k AS (SELECT track_id, 60e0 / (bpm / 3600) AS beat, unnest(range(0, 360)) AS i FROM v_track), g AS (SELECT *, i * 7200e0 AS t FROM k),
 lk AS (SELECT g.*, p.t AS t0, p.energy AS e0, n.t AS t1, n.energy AS e1 FROM g ASOF LEFT JOIN v_energy p ON g.track_id = p.track_id AND g.t >= p.t ASOF LEFT JOIN v_energy n ON g.track_id = n.track_id AND g.t <= n.t),
@@ -129,6 +137,9 @@ en AS (SELECT track_id, i, t, beat, CASE WHEN t0 = t THEN e0 WHEN t0 IS NULL OR
 ev AS (SELECT *, CASE WHEN trunc((t % (beat * 4)) / beat) = 0 AND t >= 86400 AND t < 2000000 THEN 'downbeat' WHEN energy >= 0.66e0 THEN 'drop' WHEN energy <= 0.5e0 AND NOT (t >= 0 AND t < 600000) THEN 'calm' END AS rule FROM en)"""
 
 
+RULE_LENGTH = "CASE rule WHEN 'downbeat' THEN 14470.25e0 WHEN 'drop' THEN 21710e0 - energy * 18000e0 WHEN 'calm' THEN 21675.5e0 END"
+
+
 def rule_grid(v):
     slow = v.track.withColumn("bpm", F.col("bpm") / 3600)
     return rules.evaluate_rules(rules.time_grid(slow, STEP, v.energy, CHUNK), RULES)
@@ -143,41 +154,50 @@ def _(v):
 
 
 @query("w20_first_matching_rule", f"""
-WITH {RULE_GRID} SELECT track_id, i, rule, round(CASE rule WHEN 'downbeat' THEN 14400 WHEN 'drop' THEN 21600 - energy * 18000 WHEN 'calm' THEN 21600 END, 4) AS length FROM ev""")
+WITH {RULE_GRID} SELECT track_id, i, rule, round({RULE_LENGTH}, 4) AS length FROM ev""")
 def _(v):
     return rule_grid(v).select("track_id", "i", "rule", F.round("length", 4).alias("length"))
 
 
-@query("w20_rule_walk", f"""
-WITH RECURSIVE {RULE_GRID}, h AS (SELECT track_id, i, t, rule, least(t + CASE rule WHEN 'downbeat' THEN 14400 WHEN 'drop' THEN 21600 - energy * 18000 WHEN 'calm' THEN 21600 END, 2592000e0) AS end_t FROM ev),
-n AS (SELECT *, CASE WHEN rule IS NULL THEN 1 ELSE greatest(1, CAST(ceil(round((end_t - t) / 7200, 9)) AS BIGINT)) END AS jump FROM h),
-w AS (SELECT * FROM n WHERE i = 0 UNION ALL SELECT n.* FROM w JOIN n ON n.track_id = w.track_id AND n.i = w.i + w.jump)
-SELECT track_id, t, rule, t AS start_t, round(end_t, 4) AS end_t FROM w WHERE rule IS NOT NULL""")
-def _(v):
-    out = rules.walk_rules(rule_grid(v), STEP, 21_600.0, CHUNK)
-    return out.withColumn("end_t", F.round("end_t", 4))
+def rule_walk_sql(step: float, rule: str, start: str, length: str) -> str:
+    """(track_id, t, rule, start_t, end_t) of the loop: a match goes on at the end of its cut, else one step later."""
+    moves = f"""SELECT track_id, beat, t, rule, start_t, CASE WHEN rule IS NULL THEN t + {step}e0 ELSE least(start_t + {length}, 2592000e0) END AS nxt
+      FROM (SELECT *, {start} AS start_t FROM (SELECT *, {rule} AS rule FROM (SELECT w.*, {VALUE} AS energy FROM w {ON_PIECE})))"""
+    return f"""
+WITH RECURSIVE {PIECES}, w AS (SELECT track_id, 60e0 / (bpm / 3600) AS beat, 0e0 AS t FROM v_track UNION ALL SELECT track_id, beat, nxt AS t FROM ({moves}) WHERE nxt < 2592000e0),
+cuts AS (SELECT track_id, t, rule, start_t, nxt AS end_t FROM ({moves}) WHERE rule IS NOT NULL)"""
+
 
+WALKED = rule_walk_sql(STEP, "CASE WHEN trunc((t % (beat * 4)) / beat) = 0 AND t >= 86400 AND t < 2000000 THEN 'downbeat' WHEN energy >= 0.66e0 THEN 'drop' WHEN energy <= 0.5e0 AND NOT (t >= 0 AND t < 600000) THEN 'calm' END", "t", RULE_LENGTH)
 
-@query("x14_rule_presets", f"""
-WITH RECURSIVE {RULE_GRID}, r AS (SELECT *, CASE WHEN trunc((t % (beat * 4)) / beat) = 0 AND t % beat < 0.05e0 THEN 'Beat Synchronization' WHEN energy >= 0.66e0 THEN 'Energy Following' ELSE 'Variety Enforcement' END AS preset,
-  trunc(t / beat) AS b FROM en), s AS (SELECT *, CASE WHEN b * beat < t THEN b + 1 ELSE b END * beat AS start_t FROM r),
-h AS (SELECT *, least(start_t + CASE preset WHEN 'Beat Synchronization' THEN 2e0 WHEN 'Energy Following' THEN 2e0 - energy * 1.5e0 ELSE 1.75e0 END, 2592000e0) AS end_t FROM s),
-n AS MATERIALIZED (SELECT *, greatest(1, CAST(ceil(round((end_t - t) / 7200, 9)) AS BIGINT)) AS jump FROM h),
-w AS (SELECT * FROM n WHERE i = 0 UNION ALL SELECT n.* FROM w JOIN n ON n.track_id = w.track_id AND n.i = w.i + w.jump)
-SELECT track_id, preset AS rule, count(*) AS n FROM w GROUP BY track_id, preset""")
+
+@query("w20_rule_walk", f"{WALKED} SELECT track_id, round(t, 2) AS t, rule, round(start_t, 2) AS start_t, round(end_t, 2) AS end_t FROM cuts")
 def _(v):
-    # the preset rules over the whole grid of every track, at the step of the other rule queries
     slow = v.track.withColumn("bpm", F.col("bpm") / 3600)
-    grid = rules.evaluate_rules(rules.time_grid(slow, STEP, v.energy, CHUNK), list(rules.PRESETS.values()))
-    return rules.walk_rules(grid, STEP, 21_600.0, CHUNK).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    out = rules.walk_rules(slow, v.energy, RULES, STEP, CHUNK)
+    return out.select("track_id", F.round("t", 2).alias("t"), "rule", F.round("start_t", 2).alias("start_t"), F.round("end_t", 2).alias("end_t"))
 
 
-@query("x14_rule_presets_scaled")
-def _(v):
-    # lengths and tolerance on the axis of the beats, at the reference's step of half a second (1800 here): cuts are jumped over
+PRESET_CUTS = rule_walk_sql(
+    1800.0, "CASE WHEN trunc((t % (beat * 4)) / beat) = 0 AND t % beat < 180e0 THEN 'Beat Synchronization' WHEN energy >= 0.66e0 THEN 'Energy Following' ELSE 'Variety Enforcement' END",
+    "CASE WHEN trunc(t / beat) * beat < t THEN trunc(t / beat) + 1 ELSE trunc(t / beat) END * beat",
+    "CASE rule WHEN 'Beat Synchronization' THEN 7200e0 WHEN 'Energy Following' THEN 7200e0 - energy * 5400e0 ELSE 6300e0 END")
+
+
+def preset_cuts(v):
+    """The preset rules with lengths and tolerance on the axis of the beats (an hour for a second), at the usual step of half a second."""
     slow = v.track.withColumn("bpm", F.col("bpm") / 3600)
-    grid = rules.evaluate_rules(rules.time_grid(slow, 1800.0, v.energy, CHUNK), [rules.scaled(r, 3600.0) for r in rules.PRESETS.values()])
-    return rules.walk_rules(grid, 1800.0, 21_600.0, CHUNK).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return rules.walk_rules(slow, v.energy, [rules.scaled(r, 3600.0) for r in rules.PRESETS.values()], 1800.0, CHUNK)
+
+
+@query("x14_rule_presets", f"{PRESET_CUTS} SELECT track_id, rule, count(*) AS n FROM cuts GROUP BY track_id, rule")
+def _(v):
+    return preset_cuts(v).groupBy("track_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x14_rule_presets_scaled", f"{PRESET_CUTS} SELECT track_id, rule, round(start_t, 2) AS start_t, round(end_t, 2) AS end_t FROM cuts")
+def _(v):
+    return preset_cuts(v).select("track_id", "rule", F.round("start_t", 2).alias("start_t"), F.round("end_t", 2).alias("end_t"))
 
 
 @query("x13_custom_condition", "SELECT count(*) AS n FROM v_energy WHERE energy > 0.4e0 AND (t / 43200) % 2 = 0")

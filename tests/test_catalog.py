@@ -194,30 +194,6 @@ def test_late_usage_batches_are_merged(spark, tmp_path):
     assert got == {1: (2, 3.0), 2: (1, 1.0)} and schema
 
 
-def test_scaled_presets_jump_over_their_cuts(spark):
-    tracks = spark.createDataFrame([(1, 60.0 / 3600, 200_000.0), (2, 150.0 / 3600, 100_000.0)], "track_id long, bpm double, duration double")
-    energy = spark.createDataFrame([(k, float(t), e) for k in (1, 2) for t, e in ((0, 0.2), (60_000, 0.9), (120_000, 0.3))], "track_id long, t double, energy double")
-    presets = [rules.scaled(r, 3600.0) for r in rules.PRESETS.values()]
-    got = {}
-    for width in (None, 20_000.0):
-        grid = rules.evaluate_rules(rules.time_grid(tracks, 1800.0, energy, width), presets)
-        got[width] = sorted((r.track_id, r.t, r.rule, round(r.end_t, 6)) for r in rules.walk_rules(grid, 1800.0, 21_600.0, width).collect())
-    want = []
-    for track, bpm, duration in ((1, 60.0, 200_000.0), (2, 150.0, 100_000.0)):
-        beat, i = 3600 * 60.0 / bpm, 0
-        while i * 1800.0 < duration:
-            t = i * 1800.0
-            level = float(np.interp(t, [0, 60_000, 120_000], [0.2, 0.9, 0.3]))
-            n = int(t / beat)
-            on = n % 4 == 0 and t - n * beat < 180
-            rule, length = ("Beat Synchronization", 7200) if on else ("Energy Following", 7200 - level * 5400) if level >= 0.66 else ("Variety Enforcement", 6300)
-            start = n * beat if n * beat >= t else (n + 1) * beat
-            end = min(start + length, duration)
-            want.append((track, t, rule, round(end, 6)))
-            i += max(1, int(np.ceil(round((end - t) / 1800, 9))))
-    assert got[None] == got[20_000.0] == sorted(want) and {r for _, _, r, _ in want} == {"Beat Synchronization", "Energy Following", "Variety Enforcement"}
-
-
 def test_beat_alignment_ends_with_the_clips(spark):
     beats = spark.createDataFrame([(k, i, i * 3.0) for k in (1, 2) for i in range(30)], "track_id long, seq long, t double")
     clips = spark.createDataFrame([(1, i, 50 + i, i / 10) for i in range(25)] + [(2, 0, 7, 0.5)], "track_id long, clip_index long, clip_id long, start_offset double")

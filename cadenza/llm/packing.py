@@ -31,7 +31,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col
             ids = batch.column("_id").to_pylist()
             rows = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             lists = []
-            for doc, raw in zip(ids, enc.encode([t or "" for t in batch.column("_text").to_pylist()]), strict=True):
+            for doc, raw in zip(ids, enc.encode(batch.column("_text")), strict=True):
                 tokens = np.frombuffer(raw + end, enc.dtype).astype("<u4")
                 first = len(tokens) % length or min(length, len(tokens))
                 borders = [0, *range(first, len(tokens) + 1, length)]

@@ -69,7 +69,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             if bin_file is None:
                 name = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 bin_file = _open(f"{name}.bin", "w")
-            got = enc.encode([t or "" for t in batch.column("_text").to_pylist()])
+            got = enc.encode(batch.column("_text"))
             bin_file.write(end.join(got) + end)
             lengths.append(np.array([len(g) // enc.dtype.itemsize + 1 for g in got], np.int64))
             ids.append(batch.column("_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))

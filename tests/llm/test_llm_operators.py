@@ -118,20 +118,33 @@ def test_encoder_equals_the_library():
     texts = [r[1] or "" for r in ODD] + ["", " ", "a  b", " a", "a ", "\n", "a\nb", "a \nb", "a\n b", " x  ", "don't  I'll\t\tgo", "x\x1c\x1d y", "́ é á",
                                        "ΑΣ ΣΑΣ.", "1 23 456 !? ...", "\r\n\r\nz", "<|endoftext|> and <|startoftext|>", "tab\tin word", "\x85next", "a b c"]
     for path in (WORDS, BYTES):
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
-        for keep in (100_000, 3):
-            enc = Encoder(path, keep)
-            for group in (texts, texts[::-1]):
-                got = [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(group)]
-                assert got == [plain.encode(t, add_special_tokens=False).ids for t in group]
+        for plain in (False, True):
+            library = Tokenizer.from_file(path)
+            library.encode_special_tokens = plain
+            for keep in (100_000, 3):
+                enc = Encoder(path, keep, plain)
+                for group in (texts, texts[::-1]):
+                    got = [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(group)]
+                    assert got == [library.encode(t, add_special_tokens=False).ids for t in group]
+
+
+def test_encoder_equals_the_library_on_mixtures():
+    from tokenizers import Tokenizer
+
+    parts = ["İ", "ß", "ΑΣ", "é", "e\u0301", "\u0301", "a", "foo", "Bar", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "#", "!", "...", "don't", "I'll", "'s", "1", "23",
+             "<|endoftext|>", "<|startoftext|>", "<|", "|>", "_", "x_y", "Å", "ﬁ", "你好", "\U0001F642", "\u200d", "٣", "ǅ", "\r\n", "$", "*:;", ",", "@"]
+    rng = np.random.default_rng(6)
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(25_000)]
+    for path in (WORDS, BYTES):
+        library, enc = Tokenizer.from_file(path), Encoder(path, 20_000)
+        want = [np.array(e.ids, enc.dtype).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [b for i in range(0, len(texts), 5_000) for b in enc.encode(texts[i:i + 5_000])] == want
 
 
 def library_ids(path, end, rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     return [(d, plain.encode(t, add_special_tokens=False).ids + [end]) for d, t in rows]
 
 

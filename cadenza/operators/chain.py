@@ -201,7 +201,7 @@ def _bounds(offsets: np.ndarray, rows: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def _map_groups(df: DataFrame, keys: list[str], order: list[str], schema: T.StructType,
+def map_groups(df: DataFrame, keys: list[str], order: list[str], schema: T.StructType,
                 build: Callable[[pa.Table, list[tuple[int, int]]], pa.Table]) -> DataFrame:
     """Sorted groups through `build`, streamed: only open groups are buffered."""
 
@@ -263,7 +263,7 @@ def walk(
             ANCHOR, pa.array(np.concatenate(anchor)))
 
     schema = T.StructType([*df.schema.fields, T.StructField(KEPT, T.BooleanType()), T.StructField(ANCHOR, T.DoubleType())])
-    walked = _map_groups(rows, group, order, schema, final)
+    walked = map_groups(rows, group, order, schema, final)
     return materialize(walked, "walk") if width else walked
 
 
@@ -295,7 +295,7 @@ def _chunk_states(rows: DataFrame, keys: list[str], order: list[str], rule: Walk
             out = out.append_column(name, pa.array([c[i] for c in cells], pa.float64()))
         return out
 
-    runs = _map_groups(rows.repartition(*group), group, order, run_schema, summarise)
+    runs = map_groups(rows.repartition(*group), group, order, run_schema, summarise)
     state_schema = T.StructType([*group_fields, *state, T.StructField("_xk", T.BooleanType())])
 
     def chain(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
@@ -322,4 +322,4 @@ def _chunk_states(rows: DataFrame, keys: list[str], order: list[str], rule: Walk
             out = out.append_column(f.name, pa.array([e[k] for e in entries], pa.float64()))
         return out.append_column("_xk", pa.array(stays, pa.bool_()))
 
-    return _map_groups(runs.repartition(*keys), keys, [CHUNK, "_run"], state_schema, chain)
+    return map_groups(runs.repartition(*keys), keys, [CHUNK, "_run"], state_schema, chain)

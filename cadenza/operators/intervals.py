@@ -80,3 +80,20 @@ def conflicts(new: DataFrame, existing: DataFrame, keys: Sequence[str], width: f
     clash = (F.col("new_start_t") < F.col("old_end_t")) & (F.col("new_end_t") > F.col("old_start_t"))
     first_bin = F.floor(F.greatest("new_start_t", "old_start_t") / width) == F.col("_bin")
     return pairs.filter(clash & first_bin).drop("_bin")
+
+
+def conflict_counts(new: DataFrame, existing: DataFrame, keys: Sequence[str], width: float | None = None) -> DataFrame:
+    """`new` with n_conflicts, the existing cuts that overlap each: those that start before its end, less those that end by its start.
+
+    Two running counts over chunks of time; no pair of cuts is made. Cuts have a positive length.
+    """
+    keys = list(keys)
+
+    def counted(asked: DataFrame, at: str, edge: str, inclusive: bool, name: str) -> DataFrame:
+        marks = existing.select(*keys, F.col(edge).cast("double").alias("_t"), F.lit(0 if inclusive else 1).alias("_side"), F.lit(1).alias("_one"))
+        points = asked.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(1 if inclusive else 0).alias("_side"), F.struct("*").alias("_row"))
+        both = running(points.unionByName(marks, allowMissingColumns=True), keys, ["_t", "_side"], [Running(name, "count", F.col("_one"))], width)
+        return both.filter(F.col("_row").isNotNull()).select("_row.*", name)
+
+    both = counted(counted(new, "end_t", "start_t", False, "_before"), "start_t", "end_t", True, "_after")
+    return both.withColumn("n_conflicts", F.col("_before") - F.col("_after")).drop("_before", "_after")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.operators.chain import _map_groups
+from cadenza.operators.chain import map_groups
 from cadenza.session import materialize
 
 BLOCK = "_block"
@@ -56,7 +56,7 @@ def resolve(
             return pa.concat_tables(parts)
 
         group = [*keys, BLOCK]
-        done = materialize(_map_groups(spread.repartition(*group), group, list(order), schema, build), "resolved")
+        done = materialize(map_groups(spread.repartition(*group), group, list(order), schema, build), "resolved")
         if done.filter(~F.col("certain")).limit(1).count() == 0:
             return done.drop("certain")
         margin *= 4

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.operators.chain import _map_groups
+from cadenza.operators.chain import map_groups
 from cadenza.operators.ordered import row_index
 
 RELEVANCE_SCALE = 5.0
@@ -54,7 +54,7 @@ def _picks(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Seque
         out = table.select(columns)
         return out.append_column("picked", pa.array(picked, pa.int64())).append_column("score", pa.array(score, pa.float64()))
 
-    return _map_groups(df.repartition(*keys), list(keys), list(order), schema, build)
+    return map_groups(df.repartition(*keys), list(keys), list(order), schema, build)
 
 
 def _candidates(rows: pa.Table, *extra: str):

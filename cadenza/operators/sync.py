@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.operators.local import resolve
-from cadenza.operators.timejoin import band, nearest, with_covering
+from cadenza.operators.timejoin import band, nearest, with_factor
 from cadenza.operators.triggers import keep_spaced
 
 TOLERANCE_MS = 200.0
@@ -54,7 +54,8 @@ def merge_without_close(primary: DataFrame, *others: tuple[DataFrame, float], ke
     tolerance of anything kept so far, its own rows included."""
     kept = primary
     for rows, tolerance in others:
-        free = band(rows, kept.select(*keys, F.col("t").alias("_kt")), keys, "t", "_kt", tolerance, "left_anti", strict=True)
+        near = nearest(rows, kept.select(*keys, "t"), keys, "t", "t", width=width)
+        free = near.filter(F.col("distance").isNull() | (F.col("distance") >= tolerance)).select(*rows.columns)
         kept = kept.unionByName(keep_spaced(free, tolerance, width=width, keys=tuple(keys)))
     return kept
 
@@ -64,16 +65,13 @@ def snap_to_suggestions(cuts: DataFrame, points: DataFrame, zones: DataFrame, ke
     """Cuts moved to a suggested point closer than `within`, boosted there and
     in every quality zone (start_t, end_t, quality; ends included)."""
     close = nearest(cuts, points, keys, "t", "t", width=chunk)
-    marked = with_covering(close, zones, keys, "t", "start_t", "end_t", ["start_t", "end_t"], ["quality"], width,
-                           closed_end=True, name="zones")
+    marked = with_factor(close, zones, keys, "t", "start_t", "end_t", 1.0 + F.col("quality") * 0.5, width, closed_end=True, name="_factor", count="_zones")
     near = F.coalesce(F.col("distance") < within, F.lit(False))
-    factor = F.aggregate(F.coalesce("zones", F.array().cast("array<struct<quality:double>>")), F.lit(1.0),
-                         lambda acc, z: acc * (1.0 + z["quality"] * 0.5))
-    kind = F.when(F.size("zones") > 0, F.lit("quality_zone")).when(near, F.lit("ai_enhanced")).otherwise(F.col("trigger_type"))
+    kind = F.when(F.col("_zones") > 0, F.lit("quality_zone")).when(near, F.lit("ai_enhanced")).otherwise(F.col("trigger_type"))
     return marked.select(
         *[c for c in cuts.columns if c not in ("t", "intensity", "trigger_type")],
         F.when(near, F.col("near")["t"]).otherwise(F.col("t")).alias("t"),
-        (F.col("intensity") * F.when(near, F.lit(boost)).otherwise(F.lit(1.0)) * factor).alias("intensity"),
+        (F.col("intensity") * F.when(near, F.lit(boost)).otherwise(F.lit(1.0)) * F.col("_factor")).alias("intensity"),
         kind.alias("trigger_type"))
 
 

@@ -58,21 +58,21 @@ def _(v):
 SELECT b.track_id, b.seq FROM v_beat b JOIN v_segment s ON s.track_id = b.track_id AND s.segment_type = 'chorus'
 WHERE b.t BETWEEN s.start_t AND s.end_t""")
 def _(v):
-    chorus = v.segment.filter("segment_type = 'chorus'").select("track_id", "start_t", "end_t")
-    joined = v.beat.join(chorus, "track_id").filter(F.col("t").between(F.col("start_t"), F.col("end_t")))
-    return joined.select("track_id", "seq")
+    chorus = v.segment.filter("segment_type = 'chorus'")
+    inside = timejoin.containing(v.beat, chorus, ["track_id"], "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], CHUNK, closed_end=True)
+    return inside.filter("segment_type IS NOT NULL").select("track_id", "seq")
 
 
 @query("f09_first_beat_at_time", """
 WITH i AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t, seq) - 1 AS idx FROM v_beat)
-SELECT m.track_id, m.seq, min(i.idx) AS beat_index FROM v_motion_peak m JOIN i ON i.track_id = m.track_id AND abs(i.t - m.t) <= 1800e0
+SELECT m.track_id, m.seq, min(i.idx) AS beat_index FROM v_motion_peak m JOIN i ON i.track_id = m.track_id AND i.t >= m.t - 1800e0 AND i.t <= m.t + 1800e0
 GROUP BY m.track_id, m.seq""")
 def _(v):
     from cadenza.operators.ordered import row_index
 
     numbered = row_index(v.beat, ["track_id"], ["t", "seq"], "idx", CHUNK).select("track_id", F.col("t").alias("bt"), "idx")
-    hits = timejoin.band(v.motion_peak, numbered, ["track_id"], "t", "bt", 1800.0)
-    return hits.groupBy("track_id", "seq").agg(F.min("idx").alias("beat_index"))
+    hits = timejoin.first_within(v.motion_peak, numbered, ["track_id"], "t", "bt", 1800.0, ["idx"], CHUNK)
+    return hits.select("track_id", "seq", F.col("idx").alias("beat_index"))
 
 
 @query("j08_curve_value_at_event", f"""
@@ -223,9 +223,8 @@ WITH d AS (SELECT b.track_id, min(abs(m.t - b.t)) / 6e0 AS off FROM v_beat b JOI
 SELECT CASE WHEN off < 50 THEN 'PERFECT' WHEN off < 100 THEN 'EXCELLENT' WHEN off < 200 THEN 'GOOD' WHEN off < 500 THEN 'ACCEPTABLE'
   ELSE 'POOR' END AS quality, count(*) AS n FROM d GROUP BY 1""")
 def _(v):
-    peaks = v.motion_peak.select("track_id", F.col("t").alias("mt"))
-    pairs = timejoin.band(v.beat, peaks, ["track_id"], "t", "mt", HOUR)
-    off = pairs.groupBy("track_id", "seq").agg((F.min(F.abs(F.col("mt") - F.col("t"))) / 6.0).alias("off"))
+    close = timejoin.nearest(v.beat, v.motion_peak.select("track_id", "t"), ["track_id"], "t", "t", width=CHUNK).filter(F.col("distance") <= HOUR)
+    off = close.select((F.col("distance") / 6.0).alias("off"))
     return off.groupBy(sync.sync_quality(F.col("off")).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -285,3 +284,12 @@ def _(v):
     return intervals.conflicts(rows.filter("seq % 8 = 0"), rows.filter("seq % 8 <> 0"), ["clip_id"], 50.0)
 
 
+
+
+@query("w22_conflict_counts", """
+WITH n AS (SELECT clip_id, track_id, start_t, end_t FROM v_usage WHERE track_id % 8 = 0),
+e AS (SELECT clip_id, start_t, end_t FROM v_usage WHERE track_id % 8 <> 0)
+SELECT clip_id, track_id AS seq, start_t, end_t, (SELECT count(*) FROM e WHERE e.clip_id = n.clip_id AND n.start_t < e.end_t AND n.end_t > e.start_t) AS n_conflicts FROM n""")
+def _(v):
+    rows = v.usage.withColumnRenamed("track_id", "seq")
+    return intervals.conflict_counts(rows.filter("seq % 8 = 0"), rows.filter("seq % 8 <> 0"), ["clip_id"], 365.0).select("clip_id", "seq", "start_t", "end_t", "n_conflicts")

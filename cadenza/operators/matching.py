@@ -12,7 +12,7 @@ from cadenza.functions.moods import clamp
 from cadenza.operators import knn, vectorops
 from cadenza.operators.ordered import row_index
 from cadenza.operators.selection import select_unrecent
-from cadenza.operators.timejoin import asof
+from cadenza.operators.timejoin import asof, cover
 from cadenza.session import materialize
 
 # fixed values: points of the mood and motion scores
@@ -20,6 +20,8 @@ EXACT_MOOD, COMPATIBLE_MOOD, SEVERAL_MOODS = 0.5, 0.3, 0.2
 MOTION_POINTS = [0.5, 0.35, 0.2]
 CAMERA_POINTS = 0.2
 MOTION_SHARE, MOOD_SHARE = 0.6, 0.4
+# fixed values: energy gap below (true) or above (false) which a strategy adds its bonus
+ENERGY_STEPS = {"exact": (0.1, True), "contrast": (0.5, False)}
 
 
 def closeness(diff: Column) -> Column:
@@ -135,6 +137,65 @@ def top_by_level(
     return targets.join(ranked.select(*keys, axis, item_id, "score", "rank"), [*keys, axis])
 
 
+def top_by_step(
+    targets: DataFrame,
+    levels: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    gap: float,
+    near: bool,
+    bonus: float = 0.3,
+    target_id: str = "target_id",
+    item_id: str = "clip_id",
+    axis: str = "axis",
+    width: float = 0.02,
+) -> DataFrame:
+    """The k best items per target for scores `points`, and `bonus` more for an axis gap below `gap` (`near`) or above it.
+
+    Tables as for `top_by_level`. Items that gain the bonus lie in one range of
+    the axis, or in two outer ones. Over the places of the axis values stands
+    a tree whose nodes keep their k lowest ids; a range is a few of its nodes,
+    so a target looks at k ids of each of these and at the k lowest ids of each
+    level without the bonus, however many items the range holds.
+    """
+    keys = list(keys)
+    group = [*keys, "points"]
+    items = materialize(levels.select(*group, F.col(axis).cast("double").alias("_axis"), item_id), "levels")
+    by_id = Window.partitionBy(*group, "_axis").orderBy(item_id)
+    tied = items.withColumn("_tie", F.row_number().over(by_id)).filter(F.col("_tie") <= k).drop("_tie")
+    values = materialize(row_index(items.select(*group, "_axis").distinct(), group, ["_axis"], "_idx", width), "values")
+    top = values.agg(F.max("_idx")).first()[0] or 0
+    placed = tied.join(values, [*group, "_axis"]).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length()))))
+    placed = placed.withColumn("_node", F.expr("shiftright(_idx, _level)"))
+    lowest = Window.partitionBy(*group, "_level", "_node").orderBy(item_id)
+    nodes = materialize(placed.withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= k).select(*group, "_level", "_node", item_id), "nodes")
+
+    asked = targets.select(*keys, axis).distinct()
+    by_level = asked.join(values.select(*group).distinct(), keys)
+    # a gap is compared after rounding to nine places
+    edge = 5e-10
+    low, high = (F.col(axis) - gap + edge, F.col(axis) + gap - edge) if near else (F.col(axis) - gap - edge, F.col(axis) + gap + edge)
+    spots = values.select(*group, F.col("_axis").alias("_at"), "_idx")
+    found = asof(by_level.withColumn("_low", low), spots, group, "_low", "_at", ["_idx"], width).withColumnsRenamed({"before": "_before", "after": "_after"})
+    found = asof(found.withColumn("_high", high), spots, group, "_high", "_at", ["_idx"], width)
+    span = lambda a, b: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    end = F.lit(int(top))
+    if near:
+        spans = F.array(span(F.col("_after")["_idx"], F.col("before")["_idx"]))
+    else:
+        spans = F.array(span(F.lit(0), F.col("_before")["_idx"]), span(F.col("after")["_idx"], end))
+    ranges = found.select(*group, axis, F.explode(spans).alias("_s")).filter(F.col("_s.a").isNotNull() & F.col("_s.b").isNotNull() & (F.col("_s.a") <= F.col("_s.b")))
+    visited = ranges.select(*group, axis, F.explode(cover(F.col("_s.a"), F.col("_s.b"))).alias("_n")).select(*group, axis, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+    inside = visited.join(nodes, [*group, "_level", "_node"]).select(*group, axis, item_id, F.lit(float(bonus)).alias("_bonus"))
+    plain = items.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(item_id))).filter(F.col("_r") <= k)
+    outside = by_level.join(plain.select(*group, item_id), group).select(*group, axis, item_id, F.lit(0.0).alias("_bonus"))
+    both = inside.unionByName(outside).groupBy(*group, axis, item_id).agg(F.max("_bonus").alias("_bonus"))
+    scored = both.withColumn("score", F.least(F.lit(1.0), F.col("points") + F.col("_bonus"))).filter("score > 0")
+    best = Window.partitionBy(*keys, axis).orderBy(F.round("score", 9).desc(), item_id)
+    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return targets.join(ranked.select(*keys, axis, item_id, "score", "rank"), [*keys, axis])
+
+
 def mood_levels(clip_moods: DataFrame) -> DataFrame:
     """(mood, points, axis, clip_id): each clip once per target mood, with its points."""
     asked = clip_moods.withColumn("mood", F.explode(moods.words(list(moods.COMPATIBLE))))
@@ -142,29 +203,40 @@ def mood_levels(clip_moods: DataFrame) -> DataFrame:
                         F.coalesce("energy", F.lit(0.5)).alias("axis"), "clip_id")
 
 
-def motion_levels(clip_motion: DataFrame, cameras: Sequence[str | None] = (None,)) -> DataFrame:
+def motion_levels(clip_motion: DataFrame, cameras: Sequence[str | None] = (None,), strategy: str = "similar") -> DataFrame:
     """(motion, camera, points, axis, clip_id) per target motion and wanted camera."""
     wanted = F.array(*[F.lit(c).cast("string") for c in cameras])
     asked = clip_motion.withColumnRenamed("camera_motion", "_camera").withColumn("motion", F.explode(moods.words(moods.MOTIONS)))
     asked = asked.withColumn("camera", F.explode(wanted))
-    points = motion_points(F.col("motion"), F.col("motion_type"), F.col("camera"), F.col("_camera"))
+    points = motion_points(F.col("motion"), F.col("motion_type"), F.col("camera"), F.col("_camera"), strategy)
     return asked.select("motion", F.coalesce("camera", F.lit("")).alias("camera"), F.round(points, 2).alias("points"),
                         F.coalesce("motion_score", F.lit(0.0)).alias("axis"), "clip_id")
 
 
-def best_by_mood(targets: DataFrame, clip_moods: DataFrame, k: int = 10, target_id: str = "target_id") -> DataFrame:
-    """Top clips per target (target_id, mood, energy)."""
+def best_by_mood(targets: DataFrame, clip_moods: DataFrame, k: int = 10, target_id: str = "target_id", strategy: str = "similar") -> DataFrame:
+    """Top clips per target (target_id, mood, energy) under a match strategy: `similar`, `exact` or `contrast`."""
     asked = targets.select(target_id, "mood", F.col("energy").cast("double").alias("axis"))
-    out = top_by_level(asked, mood_levels(clip_moods), ["mood"], k, target_id)
+    levels = mood_levels(clip_moods)
+    if strategy == "similar":
+        out = top_by_level(asked, levels, ["mood"], k, target_id)
+    else:
+        out = top_by_step(asked, levels, ["mood"], k, *ENERGY_STEPS[strategy], target_id=target_id)
     return out.select(target_id, "clip_id", "score", "rank")
 
 
 def best_by_motion(targets: DataFrame, clip_motion: DataFrame, k: int = 10, cameras: Sequence[str] = (),
-                   target_id: str = "target_id") -> DataFrame:
-    """Top clips per target (target_id, motion, level and, with `cameras`, camera)."""
+                   target_id: str = "target_id", strategy: str = "similar") -> DataFrame:
+    """Top clips per target (target_id, motion, level and, with `cameras`, camera) under a match strategy.
+
+    `contrast` looks at motion class and camera only, so all levels agree.
+    """
     camera = F.coalesce(F.col("camera"), F.lit("")) if cameras else F.lit("")
     asked = targets.select(target_id, "motion", camera.alias("camera"), F.col("level").cast("double").alias("axis"))
-    out = top_by_level(asked, motion_levels(clip_motion, [None, *cameras]), ["motion", "camera"], k, target_id)
+    levels = motion_levels(clip_motion, [None, *cameras], strategy)
+    if strategy == "contrast":
+        out = top_by_step(asked, levels.withColumn("axis", F.lit(0.0)), ["motion", "camera"], k, 0.0, True, 0.0, target_id)
+    else:
+        out = top_by_level(asked, levels, ["motion", "camera"], k, target_id)
     return out.select(target_id, "clip_id", "score", "rank")
 
 
@@ -182,19 +254,19 @@ def combine(motion_side: DataFrame, mood_side: DataFrame, motion_share: float =
 
 
 def match_curve(curve: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame, k: int = 3, sample_id: str = "target_id",
-                energy: str = "energy") -> DataFrame:
+                energy: str = "energy", strategy: str = "similar") -> DataFrame:
     """Best clips per curve sample: energy gives the wanted motion and mood."""
     e = F.col(energy)
     targets = curve.select(sample_id, e.alias("energy"), e.alias("level"), moods.motion_for_energy(e).alias("motion"),
                            moods.plain_mood(e).alias("mood"))
-    by_motion = best_by_motion(targets, clip_motion, k, target_id=sample_id)
-    by_mood = best_by_mood(targets, clip_moods, k, target_id=sample_id)
+    by_motion = best_by_motion(targets, clip_motion, k, target_id=sample_id, strategy=strategy)
+    by_mood = best_by_mood(targets, clip_moods, k, target_id=sample_id, strategy=strategy)
     return combine(by_motion, by_mood, k=k, target_id=sample_id)
 
 
 def best_clip(targets: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame, clips: DataFrame, pool: int = 20,
               min_duration: float = 0.5, max_duration: float | None = None, target_id: str = "target_id", keys: Sequence[str] = ("track_id",),
-              order: Sequence[str] = ("seg_idx",), avoid_recent: int = 5) -> DataFrame:
+              order: Sequence[str] = ("seg_idx",), avoid_recent: int = 5, strategy: str = "similar") -> DataFrame:
     """One clip per target: the best of the two pools by equal weights; only clips of suitable length enter a pool.
 
     Targets of a list (`keys`) are answered in `order`, and the clips of its
@@ -205,8 +277,8 @@ def best_clip(targets: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame,
     if max_duration is not None:
         fits = fits.filter(F.col("duration") <= max_duration)
     ids = fits.select("clip_id")
-    by_motion = best_by_motion(targets, clip_motion.join(ids, "clip_id", "left_semi"), pool + avoid_recent, target_id=target_id)
-    by_mood = best_by_mood(targets, clip_moods.join(ids, "clip_id", "left_semi"), pool + avoid_recent, target_id=target_id)
+    by_motion = best_by_motion(targets, clip_motion.join(ids, "clip_id", "left_semi"), pool + avoid_recent, target_id=target_id, strategy=strategy)
+    by_mood = best_by_mood(targets, clip_moods.join(ids, "clip_id", "left_semi"), pool + avoid_recent, target_id=target_id, strategy=strategy)
     if not avoid_recent:
         return combine(by_motion, by_mood, 0.5, 0.5, 1, target_id)
     sides = by_motion.select(target_id, "clip_id", "rank", "score", F.lit(0).alias("side")).unionByName(
@@ -217,13 +289,20 @@ def best_clip(targets: DataFrame, clip_motion: DataFrame, clip_moods: DataFrame,
     return picks.filter("picked IS NOT NULL").select(target_id, F.col("picked").alias("clip_id"), "score", F.lit(1).alias("rank"))
 
 
-def nearest_by_vector(targets: DataFrame, clip_vectors: DataFrame, k: int = 1, target_id: str = "target_id") -> DataFrame:
-    """(target_id, clip_id, distance, rank): the k nearest clips of each target's query vector.
+def nearest_by_vector(targets: DataFrame, clip_vectors: DataFrame, k: int = 1, target_id: str = "target_id", max_distance: float | None = None,
+                      spare: int = 16) -> DataFrame:
+    """(target_id, clip_id, distance, rank): the k nearest clips of each target's query vector, none beyond `max_distance`.
 
     Targets have energy, level, motion and mood, as for the other matchers.
+    Distances that differ by rounding noise only count as equal, and the lower
+    id wins; `spare` more candidates are fetched for that.
     """
     wanted = targets.select(target_id, F.col("level").alias("motion_score"), "energy", F.col("motion").alias("motion_type"), F.array("mood").alias("moods"))
-    return knn.search(vectorops.query_vectors(wanted, target_id), clip_vectors.select("clip_id", "embedding"), k, target_id, "clip_id")
+    found = knn.search(vectorops.query_vectors(wanted, target_id), clip_vectors.select("clip_id", "embedding"), k + spare, target_id, "clip_id")
+    if max_distance is not None:
+        found = found.filter(F.round("distance", 9) <= max_distance)
+    rank = F.row_number().over(Window.partitionBy(target_id).orderBy(F.round("distance", 9), "clip_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(target_id, "clip_id", "distance", "rank")
 
 
 def clip_emotion(moods_col: Column, energy: Column) -> tuple[Column, Column]:

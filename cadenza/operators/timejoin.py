@@ -93,7 +93,7 @@ def nearest(
     )
 
 
-def _nodes(first: Column, last: Column) -> Column:
+def cover(first: Column, last: Column) -> Column:
     """(level, node) pairs that cover the chunk numbers first .. last: node n of level l stands for chunks n * 2^l up to (n + 1) * 2^l - 1."""
     a, b = first.cast("bigint"), last.cast("bigint")
     none = F.array().cast("array<struct<level:int,node:bigint>>")
@@ -199,7 +199,7 @@ def _stabbed(events: DataFrame, intervals: DataFrame, keys: list[str], event_tim
                           F.struct(*[F.col(c) for c in events.columns]).alias("_row"), F.lit(False).alias("_closed"))
     both = partial.unionByName(asked, allowMissingColumns=True)
 
-    spans = rows.filter("_c2 > _c1 + 1").withColumn("_n", F.explode(_nodes(F.col("_c1") + 1, F.col("_c2") - 1)))
+    spans = rows.filter("_c2 > _c1 + 1").withColumn("_n", F.explode(cover(F.col("_c1") + 1, F.col("_c2") - 1)))
     best = (F.max if last else F.min)(F.struct("_o", "_v"))
     marks = materialize(spans.groupBy(*keys, "_n.level", "_n.node").agg(best.alias("_b"), F.product("_f").alias("_f"), F.count("*").alias("_m")), "marks")
     top = marks.agg(F.max("level")).first()[0]

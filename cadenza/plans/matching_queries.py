@@ -28,6 +28,15 @@ ns AS (SELECT tn.motion, tn.level, m.clip_id, least(1e0, CASE abs(a.i - b.i) WHE
 nr AS (SELECT *, row_number() OVER (PARTITION BY motion, level ORDER BY round(score, 9) DESC, clip_id) AS rank FROM ns WHERE round(score, 9) > 0)"""
 
 
+#: the scores of the other strategies: a step of the energy instead of its closeness; other points for motion classes
+OTHER_MOOD = {k: MOOD_SCORE.replace("greatest(0e0, 0.3e0 - abs(cm.energy - tm.energy) * 0.5e0)", f"CASE WHEN round(abs(cm.energy - tm.energy), 9) {test} THEN 0.3e0 ELSE 0e0 END")
+              for k, test in (("exact", "< 0.1e0"), ("contrast", "> 0.5e0"))}
+OTHER_MOTION = {
+    "exact": MOTION_SCORE.replace("WHEN 1 THEN 0.35e0 WHEN 2 THEN 0.2e0 ", ""),
+    "contrast": MOTION_SCORE.replace("CASE abs(a.i - b.i) WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.35e0 WHEN 2 THEN 0.2e0 ELSE 0e0 END + greatest(0e0, 0.3e0 - abs(m.motion_score - tn.level) * 0.5e0)",
+                                     "CASE WHEN abs(a.i - b.i) >= 2 THEN 0.4e0 ELSE 0e0 END")}
+
+
 def targets(v):
     return v.sql(TARGETS)
 
@@ -50,6 +59,29 @@ def _(v):
     return ranked(matching.best_by_motion(targets(v), v.clip_motion, 10))
 
 
+def _by_strategy(strategy):
+    """The top-k queries of a strategy beside `similar`."""
+    mood, motion = OTHER_MOOD[strategy], OTHER_MOTION[strategy]
+    both = lambda t, k: f"WITH t AS ({t}), " + COMBINED.replace(MOOD_SCORE, mood).replace(MOTION_SCORE, motion) % {"a": "0.6e0", "b": "0.4e0", "k": k}
+
+    @query(f"j16_top_clips_by_mood_{strategy}", f"WITH t AS ({TARGETS}), {mood} SELECT t.target_id, mr.clip_id, round(mr.score, 9) AS score, mr.rank FROM t JOIN mr ON mr.mood = t.mood AND mr.energy = t.energy WHERE mr.rank <= 10")
+    def _(v):
+        return ranked(matching.best_by_mood(targets(v), clip_moods(v), 10, strategy=strategy))
+
+    @query(f"j16_top_clips_by_motion_{strategy}", f"WITH t AS ({TARGETS}), {motion} SELECT t.target_id, nr.clip_id, round(nr.score, 9) AS score, nr.rank FROM t JOIN nr ON nr.motion = t.motion AND nr.level = t.level WHERE nr.rank <= 10")
+    def _(v):
+        return ranked(matching.best_by_motion(targets(v), v.clip_motion, 10, strategy=strategy))
+
+    @query(f"m03_weighted_combination_{strategy}", both(TARGETS, 10) + " SELECT target_id, clip_id, round(score, 9) AS score, rank FROM r")
+    def _(v):
+        t = targets(v)
+        return ranked(matching.combine(matching.best_by_motion(t, v.clip_motion, 10, strategy=strategy), matching.best_by_mood(t, clip_moods(v), 10, strategy=strategy)))
+
+    @query(f"m04_curve_to_clips_{strategy}", both(CURVE, 3) + " SELECT target_id, clip_id, round(score, 9) AS score, rank FROM r WHERE rank <= 3")
+    def _(v):
+        return ranked(matching.match_curve(v.sql(CURVE).select("target_id", "energy"), v.clip_motion, clip_moods(v), 3, strategy=strategy))
+
+
 PAIRS = """SELECT u.clip_id, u.track_id * 100 + CAST(u.start_t AS BIGINT) % 100 AS pair_id, CAST(u.start_t AS BIGINT) % 10 / 10e0 AS energy,
   CASE CAST(u.start_t AS BIGINT) % 4 WHEN 0 THEN 'CALM' WHEN 1 THEN 'ENERGETIC' WHEN 2 THEN 'DARK' ELSE 'CHEERFUL' END AS mood,
   CASE CAST(u.start_t AS BIGINT) % 5 WHEN 0 THEN 'STATIC' WHEN 1 THEN 'SLOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'FAST' ELSE 'EXTREME' END AS motion, 'PAN_LEFT' AS camera FROM v_usage u"""
@@ -115,6 +147,9 @@ def _(v):
     return ranked(matching.match_curve(curve, v.clip_motion, clip_moods(v), 3))
 
 
+for _strategy in ("exact", "contrast"):
+    _by_strategy(_strategy)
+
 FITTING = "(SELECT * FROM %s WHERE clip_id IN (SELECT clip_id FROM d))"
 
 
@@ -306,33 +341,37 @@ def _(v):
     return named.select("track_id", "seg_idx", "clip_id", "score")
 
 
-@query("m18_strategy_cascade", f"""
-WITH t AS ({TARGETS}), {MOOD_SCORE}, n AS (SELECT count(*) AS n FROM v_clip), c AS (SELECT clip_id, row_number() OVER (ORDER BY clip_id) - 1 AS rk FROM v_clip),
-a AS (SELECT t.track_id, t.seg_idx, v.vec_id AS clip_id, 0 AS strategy FROM t JOIN v_vec v ON v.vec_id = t.target_id AND v.label >= 5),
-b AS (SELECT t.track_id, t.seg_idx, mr.clip_id, 1 AS strategy FROM t JOIN mr ON mr.mood = t.mood AND mr.energy = t.energy WHERE mr.rank = 1 AND mr.score >= 0.78e0),
-r AS (SELECT t.track_id, t.seg_idx, c.clip_id, 2 AS strategy FROM t, n JOIN c ON c.rk = t.seg_idx % n.n),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY track_id, seg_idx ORDER BY strategy, clip_id) AS i FROM u)
-SELECT track_id, seg_idx, clip_id, strategy FROM k WHERE i = 1""")
-def _(v):
-    t = targets(v)
-    keyed = t.select("target_id", "track_id", "seg_idx")
-    vector = keyed.join(v.vec.filter("label >= 5").select(F.col("vec_id").alias("target_id"), F.col("vec_id").alias("clip_id")), "target_id").withColumn("distance", F.lit(0.0))
-    smart = matching.best_by_mood(t, clip_moods(v), 1).filter("score >= 0.78").join(keyed, "target_id").withColumn("distance", 1 - F.col("score"))
-    clips = selection.rank_clips(v.clip.select("clip_id"), width=100_000.0)
-    total = clips.count()
-    turn = keyed.withColumn("clip_rank", F.col("seg_idx") % total).join(clips, "clip_rank").withColumn("distance", F.lit(1.0))
-    return selection.cascade(vector, smart, turn, keys=("track_id", "seg_idx")).select("track_id", "seg_idx", "clip_id", "strategy")
+#: squared distance of a target's query vector and a clip's: levels, motion class (two slots), moods (one slot each) and camera
+CASCADE = f"""t AS ({TARGETS}), {COMBINED % {"a": "0.6e0", "b": "0.4e0", "k": 20}}, n AS (SELECT count(*) AS n FROM v_clip), c AS (SELECT clip_id, row_number() OVER (ORDER BY clip_id) - 1 AS rk FROM v_clip),
+x AS (SELECT coalesce(m.clip_id, o.clip_id) AS clip_id, coalesce(m.motion_score, 0.5e0) AS ms, coalesce(o.energy, 0.5e0) AS en, coalesce(m.motion_type, 'MEDIUM') AS mt, coalesce(m.camera_magnitude, 0e0) AS cam,
+  coalesce(o.moods, '[]') AS moods, CASE WHEN o.moods IS NULL THEN 0 ELSE 2 END AS nm FROM v_clip_motion m FULL JOIN v_clip_mood o ON o.clip_id = m.clip_id),
+d AS (SELECT t.track_id, t.seg_idx, x.clip_id, sqrt((ms - level) * (ms - level) + (en - t.energy) * (en - t.energy) + CASE WHEN mt = motion THEN 0 ELSE 2 END
+  + nm + 1 - CASE WHEN contains(moods, '"' || mood || '"') THEN 2 ELSE 0 END + cam * cam) AS distance FROM t, x),
+a AS (SELECT track_id, seg_idx, clip_id, distance, 0 AS strategy FROM (SELECT *, row_number() OVER (PARTITION BY track_id, seg_idx ORDER BY round(distance, 9), clip_id) AS k FROM d WHERE round(distance, 9) <= 1.02e0) WHERE k = 1),
+b AS (SELECT t.track_id, t.seg_idx, r.clip_id, 1 - r.score AS distance, 1 AS strategy FROM t JOIN r ON r.target_id = t.target_id WHERE r.rank = 1 AND round(r.score, 9) >= 0.6e0),
+e AS (SELECT t.track_id, t.seg_idx, c.clip_id, 1e0 AS distance, 2 AS strategy FROM t, n JOIN c ON c.rk = t.seg_idx % n.n),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY track_id, seg_idx ORDER BY strategy, clip_id) AS i FROM u)"""
 
 
-@query("m18_vector_cascade")
-def _(v):
+def cascaded(v):
+    """Nearest clip of a target's vector, if it is near; else the best by motion and mood, if it is good; else the clip whose turn it is."""
     t = targets(v)
     keyed = t.select("target_id", "track_id", "seg_idx")
     clips = v.clip_motion.join(v.clip_mood.select("clip_id", "energy", "moods"), "clip_id", "full")
     items = vectorops.clip_vectors(clips.withColumn("moods", F.from_json("moods", "array<string>")))
-    vector = matching.nearest_by_vector(t, items).join(keyed, "target_id")
-    smart = matching.best_by_mood(t, clip_moods(v), 1).join(keyed, "target_id").withColumn("distance", 1 - F.col("score"))
+    vector = matching.nearest_by_vector(t, items, max_distance=1.02).join(keyed, "target_id")
+    both = matching.combine(matching.best_by_motion(t, v.clip_motion, 20), matching.best_by_mood(t, clip_moods(v), 20), k=1)
+    smart = both.filter(F.round("score", 9) >= 0.6).join(keyed, "target_id").withColumn("distance", 1 - F.col("score"))
     ranks = selection.rank_clips(v.clip.select("clip_id"), width=100_000.0)
     turn = keyed.withColumn("clip_rank", F.pmod("seg_idx", F.lit(v.clip.count()))).join(ranks, "clip_rank").withColumn("distance", F.lit(1.0))
-    out = selection.cascade(vector, smart, turn, keys=("track_id", "seg_idx"))
-    return out.select("track_id", "seg_idx", "clip_id", "strategy", F.round("distance", 6).alias("distance"))
+    return selection.cascade(vector, smart, turn, keys=("track_id", "seg_idx"))
+
+
+@query("m18_strategy_cascade", f"WITH {CASCADE} SELECT track_id, seg_idx, clip_id, strategy FROM k WHERE i = 1")
+def _(v):
+    return cascaded(v).select("track_id", "seg_idx", "clip_id", "strategy")
+
+
+@query("m18_vector_cascade", f"WITH {CASCADE} SELECT track_id, seg_idx, clip_id, strategy, round(distance, 6) AS distance FROM k WHERE i = 1")
+def _(v):
+    return cascaded(v).select("track_id", "seg_idx", "clip_id", "strategy", F.round("distance", 6).alias("distance"))

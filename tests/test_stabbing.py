@@ -49,13 +49,13 @@ def test_product_over_all_intervals(spark, width):
 
 def test_a_long_interval_leaves_few_rows(spark):
     long = spark.createDataFrame([(0, 0.5, 1_000_000.5)], "k long, s double, e double")
-    nodes = long.select(F.explode(timejoin._nodes(F.floor("s") + 1, F.floor("e") - 1)).alias("n")).select("n.*").collect()
+    nodes = long.select(F.explode(timejoin.cover(F.floor("s") + 1, F.floor("e") - 1)).alias("n")).select("n.*").collect()
     assert len(nodes) < 40
     covered = sorted((n["node"] << n["level"], (n["node"] + 1) << n["level"]) for n in nodes)
     assert covered[0][0] == 1 and covered[-1][1] == 1_000_000 and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
     for lo in range(-9, 6):
         for hi in range(lo, 9):
-            nodes = spark.range(1).select(F.explode(timejoin._nodes(F.lit(lo), F.lit(hi))).alias("n")).select("n.*").collect() if (lo + hi) % 5 == 0 else None
+            nodes = spark.range(1).select(F.explode(timejoin.cover(F.lit(lo), F.lit(hi))).alias("n")).select("n.*").collect() if (lo + hi) % 5 == 0 else None
             assert nodes is None or sorted(c for n in nodes for c in range(n["node"] << n["level"], (n["node"] + 1) << n["level"])) == list(range(lo, hi + 1))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.operators.ordered import CHUNK, add_chunk
+from cadenza.operators.ordered import CHUNK, Borders, add_chunk
 from cadenza.session import materialize, ship_package
 
 KEPT, ANCHOR = "kept", "anchor"
@@ -220,13 +220,13 @@ def walk(
     strength: str,
     hold: str | float,
     rule: WalkRule,
-    width: float | None = None,
+    width: float | Borders | None = None,
 ) -> DataFrame:
     """`df` with `kept` and `anchor` (time of the kept row each row falls to).
 
     `order` starts with the time column. In mode `stronger` the anchor is the
     row that was current at that moment. `width` is the chunk width in time
-    units; None walks each group whole, for groups known to be small. A walk
+    units, or the borders of hot keys; None walks each group whole, for groups known to be small. A walk
     over chunks is written to the shared folder, so that what follows never
     repeats it.
     """
@@ -240,7 +240,7 @@ def walk(
     fields = {f.name: f for f in rows.schema.fields}
     state = [T.StructField(c, T.DoubleType()) for c in ("_et", "_es", "_eh")]
     if width:
-        states = _chunk_states(rows.select(*group, *order, *[c for c in ("_t", "_s", "_h")]), keys, order, rule, width,
+        states = _chunk_states(rows.select(*group, *order, *[c for c in ("_t", "_s", "_h")]), keys, order, rule,
                                [fields[k] for k in group], state)
         rows = rows.join(states, group)
     else:
@@ -267,7 +267,7 @@ def walk(
     return materialize(walked, "walk") if width else walked
 
 
-def _chunk_states(rows: DataFrame, keys: list[str], order: list[str], rule: WalkRule, width: float,
+def _chunk_states(rows: DataFrame, keys: list[str], order: list[str], rule: WalkRule,
                   group_fields: list[T.StructField], state: list[T.StructField]) -> DataFrame:
     """Per (group, chunk): entry state and whether the chunk's last kept row stays."""
     group = [*keys, CHUNK]
@@ -278,14 +278,11 @@ def _chunk_states(rows: DataFrame, keys: list[str], order: list[str], rule: Walk
 
     def summarise(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
         t, s, h = (table.column(c).to_numpy() for c in ("_t", "_s", "_h"))
-        chunk = table.column(CHUNK).to_pylist()
         pick: list[int] = []
         number: list[int] = []
         cells: list[tuple] = []
         for a, b in bounds:
-            # a little before the chunk, so rounding never ends the list too soon
-            start = chunk[a] * width
-            for r, cell in enumerate(_entries(rule, t[a:b], s[a:b], h[a:b], max(start, t[a]))):
+            for r, cell in enumerate(_entries(rule, t[a:b], s[a:b], h[a:b], t[a])):
                 pick.append(a)
                 number.append(r)
                 cells.append(cell)

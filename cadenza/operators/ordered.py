@@ -1,8 +1,8 @@
 """Ordered computation inside a group, without one task per group.
 
 A window over `partitionBy(track)` puts a whole track into one task. Here the
-rows of a group are cut into chunks of a fixed width of the ordering value,
-windows run per (group, chunk), and what crosses a chunk border comes from one
+rows of a group are cut into chunks, of a fixed width of the ordering value or
+of about equal numbers of rows (`borders`), windows run per (group, chunk), and what crosses a chunk border comes from one
 row per chunk. The results equal those of the plain window.
 """
 
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import materialize
+
 CHUNK = "_chunk"
 
 
@@ -27,9 +29,58 @@ class Running:
     inclusive: bool = False
 
 
-def add_chunk(df: DataFrame, by: str | Column, width: float | None) -> DataFrame:
+@dataclass(frozen=True)
+class Borders:
+    """Chunk borders of the keys that have many rows: `table` holds (keys, _borders), ascending times; other keys are one chunk."""
+
+    table: DataFrame
+    keys: tuple[str, ...]
+    most: int
+
+
+def borders(df: DataFrame, keys: Sequence[str], by: str, rows: int = 1_000_000, most: int = 1_000) -> Borders | None:
+    """Borders that cut each key with over `rows` rows into chunks of about that many, from a quantile sketch of `by`; None where no key has that many.
+
+    The result stands wherever a `width` is asked for. Every key can have its
+    own density, and a burst is cut as finely as its rows ask. The sketch
+    merges partial results of the tasks; it tells `most` chunks of a key apart,
+    which bounds a chunk by a `most`-th of the key's rows. Rows of one time
+    stay together. The table has a row for each hot key, at most a `rows`-th of
+    all rows.
+    """
+    keys = list(keys)
+    some = df.filter(F.col(by).isNotNull()).select(*keys, F.col(by).cast("double").alias("_by"))
+    hot = materialize(some.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows), "hot")
+    if not hot.limit(1).count():
+        return None
+    marks = F.percentile_approx("_by", [i / most for i in range(1, most)], 10 * most)
+    sketched = some.join(F.broadcast(hot), keys).groupBy(*keys).agg(marks.alias("_q"), F.first("_n").alias("_n"))
+    # two thirds of the wanted rows, for the error of the sketch
+    step = F.greatest(F.lit(1), F.floor(F.lit(rows * most * 2 / 3) / F.col("_n"))).cast("int")
+    cut = F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % step == 0))
+    return Borders(materialize(sketched.select(*keys, cut.alias("_borders")), "borders"), tuple(keys), most)
+
+
+def _passed(time: Column, marks: Column, most: int) -> Column:
+    """How many ascending marks are at or below a time, by halving."""
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = (s["lo"] < s["hi"]) & (F.get(marks, mid) <= time)
+        above = (s["lo"] < s["hi"]) & ~below
+        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(above, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(marks).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, step, lambda s: s["lo"])
+
+
+def add_chunk(df: DataFrame, by: str | Column, width: float | Borders | None, name: str = CHUNK) -> DataFrame:
+    """`df` with the number of its chunk: by a fixed width of `by`, by the borders of its key, or 0 for whole groups."""
     by = F.col(by) if isinstance(by, str) else by
-    return df.withColumn(CHUNK, F.floor(by / F.lit(float(width))) if width else F.lit(0).cast("bigint"))
+    if isinstance(width, Borders):
+        placed = df.join(F.broadcast(width.table), list(width.keys), "left")
+        return placed.withColumn(name, F.coalesce(_passed(by.cast("double"), F.col("_borders"), width.most), F.lit(0)).cast("bigint")).drop("_borders")
+    return df.withColumn(name, F.floor(by / F.lit(float(width))) if width else F.lit(0).cast("bigint"))
 
 
 def running(
@@ -37,12 +88,13 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[Running],
-    width: float | None = None,
+    width: float | Borders | None = None,
 ) -> DataFrame:
     """Running sum, count, max, min, last or next non-null value per group.
 
     `order` is ascending and starts with the numeric column that is chunked by
-    `width`; `width=None` keeps each group whole, for groups known to be small.
+    `width`, a fixed one or the `borders` of hot keys; `width=None` keeps each
+    group whole, for groups known to be small.
     """
     keys, order = list(keys), list(order)
     work = add_chunk(df, order[0], width)

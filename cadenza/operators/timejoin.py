@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.operators.chain import map_groups
-from cadenza.operators.ordered import CHUNK, Running, running
+from cadenza.operators.ordered import CHUNK, Borders, Running, add_chunk, running
 from cadenza.session import materialize
 
 
@@ -23,7 +23,7 @@ def asof(
     event_time: str,
     sample_time: str,
     values: Sequence[str],
-    width: float | None = None,
+    width: float | Borders | None = None,
 ) -> DataFrame:
     """Each event with `before` (last sample at or before) and `after` (next one).
 
@@ -67,7 +67,7 @@ def lerp(time: str, value: str, clamp: bool = False) -> Column:
 
 def curve_value(
     events: DataFrame, curve: DataFrame, keys: Sequence[str], event_time: str, curve_time: str,
-    values: Sequence[str], clamp: bool = False, width: float | None = None,
+    values: Sequence[str], clamp: bool = False, width: float | Borders | None = None,
 ) -> DataFrame:
     """Events with the interpolated curve values, under the curve's column names."""
     found = asof(events, curve, keys, event_time, curve_time, values, width)
@@ -76,7 +76,7 @@ def curve_value(
 
 def nearest(
     events: DataFrame, points: DataFrame, keys: Sequence[str], event_time: str, point_time: str,
-    values: Sequence[str] = (), width: float | None = None,
+    values: Sequence[str] = (), width: float | Borders | None = None,
 ) -> DataFrame:
     """Each event with `near` (struct t, *values) of the closest point and `distance`.
 
@@ -178,7 +178,7 @@ def _sweep(event_columns: list[str], values: list[str], keys: list[str], last: b
 
 
 def _stabbed(events: DataFrame, intervals: DataFrame, keys: list[str], event_time: str, start: str, end: str, order: Sequence[str], values: Sequence[str],
-             width: float, closed_end: bool, last: bool, factor: Column | None) -> DataFrame:
+             width: float | Borders | None, closed_end: bool, last: bool, factor: Column | None) -> DataFrame:
     """Events with `values` of the first (or last) covering interval, `_product` of the factors of all and their number `_number`.
 
     Time is cut into chunks. An interval is a row in the chunks of its start
@@ -191,11 +191,10 @@ def _stabbed(events: DataFrame, intervals: DataFrame, keys: list[str], event_tim
     rows = intervals.filter(F.col(start) <= F.col(end)).select(
         *keys, F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*order, start, end, *values])]).alias("_o"),
         (F.struct(*values) if values else F.struct(F.lit(True).alias("_"))).alias("_v"), (F.lit(1.0) if factor is None else factor.cast("double")).alias("_f"))
-    low, high = F.floor(F.col("_s") / width), F.floor(F.col("_e") / width)
-    rows = rows.withColumns({"_c1": low, "_c2": high})
+    rows = add_chunk(add_chunk(rows, "_s", width, "_c1"), "_e", width, "_c2")
     partial = rows.withColumn(CHUNK, F.explode(F.array_distinct(F.array("_c1", "_c2")))).select(
         *keys, CHUNK, F.lit(0).alias("_side"), "_s", "_e", "_o", "_v", "_f", F.lit(closed_end).alias("_closed"), F.lit(1).cast("bigint").alias("_m"))
-    asked = events.select(*keys, F.floor(F.col(event_time).cast("double") / width).alias(CHUNK), F.lit(1).alias("_side"), F.col(event_time).cast("double").alias("_t"),
+    asked = add_chunk(events.withColumn("_t", F.col(event_time).cast("double")), "_t", width).select(*keys, CHUNK, F.lit(1).alias("_side"), "_t",
                           F.struct(*[F.col(c) for c in events.columns]).alias("_row"), F.lit(False).alias("_closed"))
     both = partial.unionByName(asked, allowMissingColumns=True)
 
@@ -218,7 +217,7 @@ def _stabbed(events: DataFrame, intervals: DataFrame, keys: list[str], event_tim
 
 def containing(
     events: DataFrame, intervals: DataFrame, keys: Sequence[str], event_time: str, start: str, end: str,
-    order: Sequence[str], values: Sequence[str], width: float, closed_end: bool = False, last: bool = False,
+    order: Sequence[str], values: Sequence[str], width: float | Borders | None, closed_end: bool = False, last: bool = False,
 ) -> DataFrame:
     """Left join to the first (or last) interval that contains the event time; nulls where none does."""
     found = _stabbed(events, intervals, list(keys), event_time, start, end, order, values, width, closed_end, last, None)
@@ -227,7 +226,7 @@ def containing(
 
 def with_factor(
     events: DataFrame, intervals: DataFrame, keys: Sequence[str], event_time: str, start: str, end: str,
-    factor: Column, width: float, closed_end: bool = False, name: str = "factor", count: str = "covered",
+    factor: Column, width: float | Borders | None, closed_end: bool = False, name: str = "factor", count: str = "covered",
 ) -> DataFrame:
     """Events with the product of `factor` (a Column over the intervals) and the number of all intervals that contain their time; 1 and 0 where none does."""
     found = _stabbed(events, intervals, list(keys), event_time, start, end, [start], [], width, closed_end, False, factor)
@@ -236,7 +235,7 @@ def with_factor(
 
 def first_within(
     events: DataFrame, points: DataFrame, keys: Sequence[str], event_time: str, point_time: str, tolerance: float,
-    values: Sequence[str], width: float | None = None,
+    values: Sequence[str], width: float | Borders | None = None,
 ) -> DataFrame:
     """Each event that has a point from `tolerance` before it to `tolerance` after it, with the values of the earliest such point (of several at one time, the least values)."""
     single = points.groupBy(*keys, point_time).agg(F.min(F.struct(*values)).alias("_v")).select(*keys, F.col(point_time).alias("_pt"), "_v")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import catalog, media
-from cadenza.operators.ordered import row_index
+from cadenza.operators.ordered import borders, row_index
 from cadenza.plans.registry import query
+from cadenza.plans.walks_queries import ROWS
 
 
 def families(v):
@@ -327,7 +328,8 @@ def _(v):
 WITH i AS ({INVENTORY}), s AS (SELECT path, cache, sum(CAST(round(size_bytes) AS BIGINT)) OVER (PARTITION BY cache ORDER BY modified_at DESC, path ROWS UNBOUNDED PRECEDING) AS total FROM i) SELECT path, cache FROM s WHERE total > 5000000""")
 def _(v):
     rows = v.sql(INVENTORY).withColumn("modified", F.unix_seconds(F.col("modified_at").cast("timestamp"))).withColumn("size_bytes", F.round("size_bytes").cast("bigint"))
-    return catalog.over_budget(rows, 5_000_000, ["cache"], width=30 * 86_400.0).select("path", "cache")
+    axis = borders(rows.withColumn("_age", -F.col("modified")), ["cache"], "_age", ROWS)
+    return catalog.over_budget(rows, 5_000_000, ["cache"], width=axis).select("path", "cache")
 
 
 @query("x15_field_updates", """

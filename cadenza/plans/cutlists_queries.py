@@ -10,7 +10,7 @@ from cadenza.operators.durations import Limits, dynamic_duration
 from cadenza.operators.ordered import row_index
 from cadenza.operators.timejoin import containing, curve_value
 from cadenza.plans.registry import query
-from cadenza.plans.walks_queries import CHUNK, SUPPRESSED, cuts
+from cadenza.plans.walks_queries import CHUNK, SUPPRESSED, axis, cuts
 from cadenza.session import materialize
 
 KEY = ["track_id"]
@@ -26,10 +26,10 @@ laid AS (SELECT *, greatest(2e0, least(CASE WHEN strength >= 0.7e0 AND gap < m *
 
 def annotated(v):
     """Cuts with energy, segment, next gap and a duration; the last cut of a list has none."""
-    ahead = intervals.with_next_start(cuts(v), KEY, "t", ["seq"], None, CHUNK)
+    ahead = intervals.with_next_start(cuts(v), KEY, "t", ["seq"], None, axis(v))
     gaps = ahead.withColumn("gap", F.col("next_t") - F.col("t")).drop("next_t")
-    rows = curve_value(gaps, v.energy, KEY, "t", "t", ["energy"], False, CHUNK).withColumn("energy", F.coalesce("energy", "strength"))
-    rows = containing(rows, v.segment, KEY, "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], CHUNK)
+    rows = curve_value(gaps, v.energy, KEY, "t", "t", ["energy"], False, axis(v)).withColumn("energy", F.coalesce("energy", "strength"))
+    rows = containing(rows, v.segment, KEY, "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], axis(v))
     rows = rows.join(v.track.select("track_id", "bpm"), "track_id").filter("gap IS NOT NULL")
     length = dynamic_duration(F.col("energy"), F.col("strength"), F.col("segment_type"), F.lit(0.5), F.lit(10.0), F.col("gap"), F.col("bpm"), Limits())
     # the layout reads the cuts twice
@@ -40,7 +40,7 @@ def annotated(v):
 WITH RECURSIVE {ANNOTATED}, s AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY track_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_t FROM laid)
 SELECT track_id, seq, segment_type, round(energy, 6) AS energy, round(start_t, 6) AS start_t, round(least(start_t + duration, 60e0), 6) AS end_t FROM s WHERE round(start_t, 9) < 60""")
 def _(v):
-    out = cutlist.lay_out(annotated(v), KEY, ["t", "seq"], "duration", "target", CHUNK)
+    out = cutlist.lay_out(annotated(v), KEY, ["t", "seq"], "duration", "target", axis(v))
     return out.select("track_id", "seq", "segment_type", F.round("energy", 6).alias("energy"), F.round("start_t", 6).alias("start_t"), F.round("end_t", 6).alias("end_t"))
 
 
@@ -49,7 +49,7 @@ WITH RECURSIVE {ANNOTATED}, s AS (SELECT *, coalesce(sum(duration) OVER (PARTITI
 d AS (SELECT track_id, least(start_t + duration, 60e0) - start_t AS d FROM s WHERE round(start_t, 9) < 60)
 SELECT track_id, count(*) AS n_cuts, round(avg(d), 6) AS avg_duration, round(min(d), 6) AS min_duration, round(max(d), 6) AS max_duration, round(sum(d) / 60 * 100, 4) AS coverage_percent FROM d GROUP BY track_id""")
 def _(v):
-    out = cutlist.summary(cutlist.lay_out(annotated(v), KEY, ["t", "seq"], "duration", "target", CHUNK), KEY, "target")
+    out = cutlist.summary(cutlist.lay_out(annotated(v), KEY, ["t", "seq"], "duration", "target", axis(v)), KEY, "target")
     return out.select("track_id", "n_cuts", *[F.round(c, 6).alias(c) for c in ("avg_duration", "min_duration", "max_duration")], F.round("coverage_percent", 4).alias("coverage_percent"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import beats as grid
 from cadenza.operators import intervals, sync, timejoin
+from cadenza.operators.ordered import borders
 from cadenza.plans.registry import query
-from cadenza.plans.walks_queries import CHUNK, SUPPRESSED, cuts
+from cadenza.plans.walks_queries import CHUNK, ROWS, SUPPRESSED, axis, cuts
 
 HOUR = 3600.0
 GRID = """g AS (SELECT t.track_id, t.seq, t.t, 60e0 / k.bpm AS beat, CAST(t.track_id % 5 AS DOUBLE) / 10e0 AS o
@@ -70,8 +71,8 @@ GROUP BY m.track_id, m.seq""")
 def _(v):
     from cadenza.operators.ordered import row_index
 
-    numbered = row_index(v.beat, ["track_id"], ["t", "seq"], "idx", CHUNK).select("track_id", F.col("t").alias("bt"), "idx")
-    hits = timejoin.first_within(v.motion_peak, numbered, ["track_id"], "t", "bt", 1800.0, ["idx"], CHUNK)
+    numbered = row_index(v.beat, ["track_id"], ["t", "seq"], "idx", axis(v)).select("track_id", F.col("t").alias("bt"), "idx")
+    hits = timejoin.first_within(v.motion_peak, numbered, ["track_id"], "t", "bt", 1800.0, ["idx"], axis(v))
     return hits.select("track_id", "seq", F.col("idx").alias("beat_index"))
 
 
@@ -79,7 +80,7 @@ def _(v):
 WITH ev AS (SELECT track_id, seq, t AS et FROM v_trigger), {LERP}
 SELECT track_id, seq, round(value, 6) AS energy, round(clamped, 6) AS clamped FROM looked""")
 def _(v):
-    found = timejoin.asof(v.trigger, v.energy, ["track_id"], "t", "t", ["energy"], CHUNK)
+    found = timejoin.asof(v.trigger, v.energy, ["track_id"], "t", "t", ["energy"], axis(v))
     return found.select("track_id", "seq", F.round(timejoin.lerp("t", "energy"), 6).alias("energy"),
                         F.round(timejoin.lerp("t", "energy", clamp=True), 6).alias("clamped"))
 
@@ -98,7 +99,7 @@ def _(v):
 SELECT t.track_id, t.seq, s.segment_type FROM v_trigger t JOIN v_segment s
 ON s.track_id = t.track_id AND s.start_t <= t.t AND t.t < s.end_t""")
 def _(v):
-    found = timejoin.containing(v.trigger, v.segment, ["track_id"], "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], CHUNK)
+    found = timejoin.containing(v.trigger, v.segment, ["track_id"], "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], axis(v))
     return found.filter("segment_type IS NOT NULL").select("track_id", "seq", "segment_type")
 
 
@@ -107,7 +108,7 @@ WITH RECURSIVE {SUPPRESSED} SELECT c.track_id, c.seq, c.trigger_type, s.segment_
 LEFT JOIN v_segment s ON s.track_id = c.track_id AND s.seg_idx < 5 AND s.start_t <= c.t AND c.t < s.end_t""")
 def _(v):
     known = v.segment.filter("seg_idx < 5")
-    found = timejoin.containing(cuts(v), known, ["track_id"], "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], CHUNK)
+    found = timejoin.containing(cuts(v), known, ["track_id"], "t", "start_t", "end_t", ["seg_idx"], ["segment_type"], axis(v))
     return found.select("track_id", "seq", "trigger_type", "segment_type")
 
 
@@ -126,7 +127,7 @@ s AS (SELECT *, coalesce(0.6e0 * matched_cuts / total_cuts + 0.4e0 * greatest(0e
 SELECT track_id, total_cuts, matched_cuts, round(avg_ms, 3) AS average_offset_ms, round(max_ms, 3) AS max_offset_ms,
   round(score, 6) AS score, CASE WHEN score >= 0.9e0 THEN 'EXCELLENT' WHEN score >= 0.7e0 THEN 'GOOD' ELSE 'ACCEPTABLE' END AS quality FROM s""")
 def _(v):
-    s = sync.sync_score(v.motion_peak, v.beat, tolerance_ms=3_600_000.0, width=CHUNK)
+    s = sync.sync_score(v.motion_peak, v.beat, tolerance_ms=3_600_000.0, width=axis(v))
     return s.select("track_id", "total_cuts", "matched_cuts", F.round("average_offset_ms", 3).alias("average_offset_ms"),
                     F.round("max_offset_ms", 3).alias("max_offset_ms"), F.round("score", 6).alias("score"), "quality")
 
@@ -180,7 +181,7 @@ def _(v):
     rows = v.trigger.select("track_id", "seq", "t", F.col("base_strength").alias("intensity"), "trigger_type")
     points = v.trigger.filter("trigger_type = 'snare'").select("track_id", "t")
     zones = v.segment.filter("seg_idx IN (1, 3)").withColumn("quality", F.col("energy").cast("double"))
-    out = sync.snap_to_suggestions(rows, points, zones, within=7200.0, width=CHUNK, chunk=CHUNK)
+    out = sync.snap_to_suggestions(rows, points, zones, within=7200.0, width=axis(v), chunk=axis(v))
     return out.select("track_id", "seq", F.round("t", 6).alias("t"), F.round("intensity", 6).alias("intensity"), "trigger_type")
 
 
@@ -247,13 +248,14 @@ i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_t > reach + 0.5e0 THEN 1 EL
   ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT clip_id, min(start_t) AS start_t, max(end_t) AS end_t, count(*) AS n_ranges FROM i GROUP BY clip_id, island""")
 def _(v):
-    return intervals.merge_ranges(v.usage.select("clip_id", "start_t", "end_t"), ["clip_id"], width=365.0)
+    used = v.usage.select("clip_id", "start_t", "end_t")
+    return intervals.merge_ranges(used, ["clip_id"], width=borders(used, ["clip_id"], "start_t", ROWS))
 
 
 @query("w14_duration_to_next_cut", f"""
 WITH RECURSIVE {SUPPRESSED} SELECT track_id, seq, round(lead(t, 1, 2592000e0) OVER (PARTITION BY track_id ORDER BY t, seq) - t, 6) AS duration FROM cuts""")
 def _(v):
-    out = intervals.with_next_start(cuts(v), ["track_id"], "t", ["seq"], 2_592_000.0, CHUNK)
+    out = intervals.with_next_start(cuts(v), ["track_id"], "t", ["seq"], 2_592_000.0, axis(v))
     return out.select("track_id", "seq", F.round(F.col("next_t") - F.col("t"), 6).alias("duration"))
 
 

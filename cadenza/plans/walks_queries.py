@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import chain, triggers
 from cadenza.operators.chain import WalkRule
-from cadenza.operators.ordered import exact_percentile, row_index
+from cadenza.operators.ordered import borders, exact_percentile, row_index
 from cadenza.plans.registry import query
 from cadenza.session import materialize
 
 CHUNK = 432_000.0
+#: rows of a key beyond which it is cut into chunks of about that many
+ROWS = 10_000
 GAP = 21_600.0
 
 GATED = """gated AS (
@@ -35,13 +37,20 @@ cuts AS (
   JOIN ranked r ON r.track_id = k.track_id AND r.seq = k.seq)"""
 
 
+def axis(v):
+    """Chunk borders of the tracks with many triggers, None where no track has many; found once per run."""
+    if "track_axis" not in v.__dict__:
+        v.track_axis = borders(v.trigger, ["track_id"], "t", ROWS)
+    return v.track_axis
+
+
 def gated(v):
     return triggers.gate(v.trigger)
 
 
 def cuts(v):
     """Gated, suppressed cuts of every track."""
-    return triggers.suppress_close(gated(v), GAP, CHUNK)
+    return triggers.suppress_close(gated(v), GAP, axis(v))
 
 
 @query("f06_trigger_time_window",

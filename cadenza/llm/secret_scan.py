@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +17,18 @@ KINDS = {
     "hex": (r"[0-9a-f]{16,}", 16, 0),
     "identifier": (r"""\b(?:(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}|(?:ASIA|AROA|AIDA)[A-Z0-9]{12,})""", 1, 0),
     "opaque": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{24,}={0,2}", 24, 0),
-    "endpoint": (r"(?i:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|jdbc:[a-z]+)://[^\s\"'<>]{4,}", 1, 0),
+    "endpoint": (r"(?i:(?:postgres|postgresql|mysql|mongodb|redis|amqp|jdbc:[a-z]+)://[^\s\"'<>]{4,}|(?:https?|ftp)://(?:[^\s\"'<>/@:]+(?::[^\s\"'<>/@]*)?@[^\s\"'<>]+|[^\s\"'<>/:@]+:[0-9]{2,5}\b[^\s\"'<>]*))", 1, 0),
+    "short": (r"""\b(?i:(?:[a-z]+[_-])?(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,11})(?![A-Za-z0-9+/_.=-])""", 4, 1),
+    "letters": (r"(?<![A-Za-z0-9+/_-])(?=(?:[a-z+/_-]*+[A-Z]){2})(?=(?:[A-Z+/_-]*+[a-z]){2})[A-Za-z+/_-]{32,}(?![A-Za-z0-9+/_-])={0,2}", 32, 0),
+    "link": (r"(?i:https?|ftp)://[^\s\"'<>]{4,}", 1, 0),
 }
 SURE = ("assign", "access", "hex")
-#: what a kind is to the linking: an access identifier, a secret or an endpoint
-PARTS = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "opaque": "secret", "endpoint": "endpoint"}
+#: what a kind is to the linking: an access identifier, a secret or an endpoint; a plain link is no complement of others
+PARTS = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "opaque": "secret", "endpoint": "endpoint", "short": "secret", "letters": "secret", "link": "link"}
 #: a weak kind is reported if one of these parts lies within the scope
-NEEDS = {"identifier": ("secret",), "opaque": ("identifier", "endpoint"), "endpoint": ("secret",)}
+NEEDS = {"identifier": ("secret",), "opaque": ("identifier", "endpoint"), "endpoint": ("secret",), "short": ("identifier",), "letters": ("identifier",), "link": ("identifier", "secret")}
+#: kinds that need all of their parts: an ordinary link beside a hash alone is no secret
+NEEDS_ALL = ("link",)
 
 
 def found_spans(text: Column, kind: str) -> Column:
@@ -57,19 +65,22 @@ def _as_text(spans: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, key, sure, weak) of each row: arrays of spans by start, then kind; key stands for the text.
 
-    Weak spans that overlap a sure one, or an endpoint, are left out, and so is
-    an opaque one within an identifier: a value is not its own complement.
+    Weak spans that overlap a sure one, an endpoint, a link or a short value
+    are left out, and so is an opaque one within an identifier: a value is not
+    its own complement. Each weak span is held against the others of its text;
+    there are few of them in texts other than lists of secrets.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     step = rows.select("doc_id", F.md5("text").alias("key"), *[found_spans(text, k).alias(k) for k in KINDS])
     step = step.withColumn("sure", F.array_sort(F.concat(*[F.col(k) for k in SURE])))
-    beside = F.filter("endpoint", lambda w: ~F.exists("sure", lambda s: _overlap(w, s)))
-    step = step.withColumn("endpoint", beside)
-    apart = lambda c: F.filter(c, lambda w: ~F.exists("sure", lambda s: _overlap(w, s)) & ~F.exists("endpoint", lambda s: _overlap(w, s)))
-    step = step.withColumn("identifier", apart("identifier"))
-    values = F.filter(apart("opaque"), lambda w: ~F.exists("identifier", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
-    return step.select("doc_id", "key", "sure", F.array_sort(F.concat("endpoint", "identifier", values)).alias("weak"))
+    taken = ["sure"]
+    for kind in ("endpoint", "link", "identifier", "short", "opaque", "letters"):
+        step = step.withColumn(kind, F.filter(kind, lambda w: ~reduce(or_, [F.exists(t, lambda s: _overlap(w, s)) for t in taken])))
+        if kind in ("endpoint", "link", "short"):
+            taken.append(kind)
+    inside = lambda c: F.filter(c, lambda w: ~F.exists("identifier", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
+    return step.select("doc_id", "key", "sure", F.array_sort(F.concat("endpoint", "link", "identifier", "short", inside("opaque"), inside("letters"))).alias("weak"))
 
 
 def linked(found: DataFrame, scope: int = 400) -> DataFrame:
@@ -92,7 +103,10 @@ def linked(found: DataFrame, scope: int = 400) -> DataFrame:
         "bin", F.floor(F.col("w.start") / scope).cast("int") + F.col("side"))
     near = weak.join(bins, ["key", "part", "bin"]).filter(
         "side = 0 OR (side < 0 AND last >= w.start - " + str(int(scope)) + ") OR (side > 0 AND first <= w.start + " + str(int(scope)) + ")")
-    return near.groupBy("key").agg(F.array_sort(F.collect_set("w")).alias("linked"))
+    met = near.groupBy("key", "w").agg(F.count_distinct("part").alias("_parts"))
+    every = [list(KINDS).index(k) for k in NEEDS_ALL]
+    met = met.filter(~F.col("w.kind").isin(every) | (F.col("_parts") > 1))
+    return met.groupBy("key").agg(F.array_sort(F.collect_set("w")).alias("linked"))
 
 
 def scan(docs: DataFrame, scope: int = 400) -> DataFrame:

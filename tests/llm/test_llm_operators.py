@@ -502,7 +502,7 @@ def test_secrets_equal_brute_force(spark, small):
 
 def test_weak_parts_count_only_together(spark):
     rows = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",") if s] for r in secret_scan.report(spark.createDataFrame(SECRETS[3:7], "doc_id long, text string")).collect()}
-    assert rows == {4: [], 5: ["identifier", "opaque", "endpoint"], 6: [], 7: []}
+    assert rows == {4: [], 5: ["identifier", "opaque", "link"], 6: [], 7: []}
 
 
 def test_weak_secrets_after_an_equals_sign_and_long_ones(spark):
@@ -522,22 +522,39 @@ def test_weak_secrets_after_an_equals_sign_and_long_ones(spark):
 
 def test_linking_equals_all_pairs(spark):
     rng = np.random.default_rng(9)
-    parts = ["client_id = user%d", "wJa1rXUtnFEMIaK7MDENGbPxRfiCYEXAMPLE%d", "https://host%d.example.com/p", "AKIAABCDEFGHIJKLMN%d"]
+    parts = ["client_id = user%d", "wJa1rXUtnFEMIaK7MDENGbPxRfiCYEXAMPLE%d", "https://host%d.example.com/p", "AKIAABCDEFGHIJKLMN%d", "https://host:80%d/q", "token: abc%d"]
     rows = []
     for d in range(40):
-        rows.append((d, " ".join((parts[rng.integers(4)] % rng.integers(10, 99)) + " filler" * int(rng.integers(0, 60)) for _ in range(12))))
+        rows.append((d, " ".join((parts[rng.integers(6)] % rng.integers(10, 99)) + " filler" * int(rng.integers(0, 60)) for _ in range(12))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = secret_scan.candidates(docs).cache()
     kinds = list(secret_scan.KINDS)
     want = {}
     for r in found.collect():
         every = [*r["sure"], *r["weak"]]
-        near = [w for w in r["weak"] if any(secret_scan.PARTS[kinds[o["kind"]]] in secret_scan.NEEDS[kinds[w["kind"]]] and abs(o["start"] - w["start"]) <= 150 for o in every)]
+        near = []
+        for w in r["weak"]:
+            kind = kinds[w["kind"]]
+            met = {secret_scan.PARTS[kinds[o["kind"]]] for o in every if abs(o["start"] - w["start"]) <= 150} & set(secret_scan.NEEDS[kind])
+            near += [w] if len(met) > (1 if kind in secret_scan.NEEDS_ALL else 0) else []
         want[r["doc_id"]] = sorted(map(str, near))
     got = {r["doc_id"]: sorted(map(str, r["linked"])) for r in secret_scan.scan(docs, 150).collect()}
     assert got == want and any(want.values())
 
 
+def test_short_values_and_links_need_an_identifier(spark):
+    letters = "wJalrXUtnFEMIKkMDENGbPxRfiCYEXAMPLEKEYxQ"
+    texts = ["client_id=abc123def / client_secret: shortpw1", "username: bob / password: hunter2", f"ASIAIOSFODNN7EXAMPLE {letters}", letters, "password: hunter2", "token = abc1",
+             "see https://example.org/page for commit 0123456789abcdef0123", "login: bob https://example.org/page 0123456789abcdef0123", "postgres://db/x with 0123456789abcdef0123",
+             "https://user:pw@example.org/x 0123456789abcdef0123", "http://example.org:8080/x 0123456789abcdef0123", "https://example.org/a:80 0123456789abcdef0123"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    found = {r["doc_id"]: [k for k, _, _ in (s.split(":") for s in r["spans"].split(",") if s)] for r in secret_scan.report(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == [
+        ["identifier", "short"], ["identifier", "short"], ["identifier", "letters"], [], [], [], ["hex"], ["identifier", "link", "hex"], ["endpoint", "hex"], ["endpoint", "hex"], ["endpoint", "hex"], ["hex"]]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean[6] == "see https://example.org/page for commit <secret>" and clean[4] == texts[4]
+
+
 def test_redaction_replaces_spans_only(spark, odd):
     docs = spark.createDataFrame([(d, t, len(t or ""), "k") for d, t in SECRETS], "doc_id long, text string, n_chars long, _key string")
     got = {(r["doc_id"], r["n_chars"]): r["text"] for r in secret_scan.redact(docs).collect()}
@@ -552,4 +569,4 @@ def test_redaction_replaces_spans_only(spark, odd):
 
 def test_each_operator_has_one_query():
     assert [n for n in queries.QUERIES if n.startswith("op")] == sorted((n for n in queries.QUERIES if n.startswith("op")), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in queries.QUERIES

@@ -221,9 +221,12 @@ def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, only_acc
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    text = "_text"
+    while text in names:
+        text += "_"
 
     def apply(batches):
-        for batch, data, off in slices(batches, "_text", limit=1 << 20):
+        for batch, data, off in slices(batches, text, limit=1 << 20):
             p = shared.value.scores(statistics(data, off))
             arrays = {c: batch.column(i) for i, c in enumerate(names)}
             arrays["score"] = pa.array(p)
@@ -232,7 +235,7 @@ def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, only_acc
             yield out.filter(pa.array(p >= 0.5)) if only_accepted else out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    source = docs.select(*names, F.col("text").alias("_text"))
+    source = docs.select(*names, F.col("text").alias(text))
     return source.mapInArrow(apply, schema + ", score double, predicted int")
 
 

@@ -180,17 +180,31 @@ def _codes(hashes: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarr
     return out
 
 
-def _prefix_counts(prefixes: Prefixes, depth: int, table, place, seed: int, limit: int):
-    """Counts of the prefixes of `depth` words under the split ones."""
+def _prefix_cells(prefixes: Prefixes, depth: int, bits: int, table, place, seed: int, limit: int):
+    """How many suffixes of a task have a prefix of `depth` words, by range of the prefix's hash: a row for each range that occurs."""
+
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for w, _ in _unit_words(batches, seed, limit):
+            key, size = prefixes.keys(_suffixes(w, _codes(w.hash, table.value, place.value))[1])
+            counts += np.bincount((key[size == depth] >> _U(64 - bits)).astype(np.int64), minlength=len(counts))
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], names=["cell", "n"])
+
+    return run
+
+
+def _pair_counts(prefixes: Prefixes, wanted: np.ndarray, table, place, seed: int, limit: int):
+    """Counts of the two-word prefixes in the `wanted` ranges."""
+    bits = len(wanted).bit_length() - 1
 
     def run(batches):
         for w, _ in _unit_words(batches, seed, limit):
             c, h = _suffixes(w, _codes(w.hash, table.value, place.value))
             key, size = prefixes.keys(h)
-            at = np.flatnonzero(size == depth)
+            at = np.flatnonzero((size == 2) & wanted[(key >> _U(64 - bits)).astype(np.int64)])
             k, first, n = np.unique(key[at], return_index=True, return_counts=True)
-            cs = [pa.array(c[j][at][first]) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *cs, pa.array(n)], names=["key", "c1", "c2", "c3", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *[pa.array(c[j][at][first]) for j in (0, 1)], pa.array(n)], names=["key", "c1", "c2", "n"])
 
     return run
 
@@ -285,9 +299,10 @@ def _build(least: int, split_words: dict[int, int], split_pairs: dict[tuple[int,
 
     def run(group: pa.Table) -> pa.Table:
         parts = [unpack(b.as_buffer().to_pybytes()) for b in group.column("suffixes")]
-        c = [np.concatenate([p[j] for p in parts]) for j in range(4)]
+        c = [np.concatenate([p.pop(0) for p in parts]) for _ in range(4)]
         order = np.lexsort((c[2], c[1], c[0]))
-        c = [x[order] for x in c]
+        for j in range(4):
+            c[j] = c[j][order]
         nodes = subtree(c[:3], c[3])
         found, above = [], []
         for depth in (1, 2, 3):
@@ -339,14 +354,9 @@ def _code_table(words: DataFrame, codes: int) -> tuple[np.ndarray, np.ndarray]:
     return frequent[order], order.astype(np.int64)
 
 
-def _cells(tables: list[DataFrame], bits: int, budget: int) -> np.ndarray:
+def _cells(counts: np.ndarray, budget: int) -> np.ndarray:
     """Group of each range of prefix hashes: neighbouring ranges are put together up to about `budget` occurrences."""
-    counts = np.zeros(1 << bits, np.int64)
-    cell = F.shiftrightunsigned(F.col("key"), 64 - bits)
-    for t in tables:
-        for r in t.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect():
-            counts[r["cell"]] += r["n"]
-    group, held, out = 0, 0, np.zeros(1 << bits, np.int64)
+    group, held, out = 0, 0, np.zeros(len(counts), np.int64)
     for i, n in enumerate(counts.tolist()):
         if held and held + n > budget:
             group, held = group + 1, 0
@@ -355,7 +365,15 @@ def _cells(tables: list[DataFrame], bits: int, budget: int) -> np.ndarray:
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 19, codes: int = 1 << 19, suffixes: int = 1 << 19, limit: int = 1 << 20,
+def _counted(rows: DataFrame, bits: int) -> np.ndarray:
+    """Sums of n by cell, as an array over all cells."""
+    out = np.zeros(1 << bits, np.int64)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 20, codes: int = 1 << 19, suffixes: int = 1 << 19, limit: int = 1 << 20,
                   text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(words, phrases): all words (c, lang, word, n), and the phrases of two and three words (c1, c2, c3, a, f1, f2) found `least` times or more.
 
@@ -389,34 +407,34 @@ def phrase_counts(docs: DataFrame, least: int = 10, budget: int = 1 << 19, codes
     share = -(-occurrences // int(spark.conf.get("spark.sql.shuffle.partitions")))
     budget = min(budget, max(share, 1 << 16))
 
-    level = words.select(F.col("h").alias("key"), "n")
-    whole, hot, split, hashes = [], [], None, []
-    for depth in (1, 2):
-        above = level.filter(F.col("n") > budget).select("key", "n").collect()
-        hot.append(np.array([r["key"] for r in above], np.int64).view(np.uint64))
-        if depth == 1:
-            hot_counts = [r["n"] for r in above]
-        elif above:
-            split = level.filter(F.col("n") > budget).select("c1", "c2", F.col("n").alias("a"))
-        whole.append(level.filter(F.col("n") <= budget).select("key", "n"))
-        hashes = [*hot, *[np.empty(0, np.uint64)] * (2 - len(hot))]
-        if not len(hot[-1]):
-            break
-        counted = texts.mapInArrow(_prefix_counts(Prefixes(hashes), depth + 1, table, place, seed, limit), "key long, c1 long, c2 long, c3 long, n long")
-        level = materialize(counted.groupBy("key").agg(*[F.first(c).alias(c) for c in ("c1", "c2", "c3")], F.sum("n").alias("n")), "prefixes")
-    else:
-        whole.append(level.select("key", "n"))
     bits = max(10, (16 * occurrences // budget).bit_length())
-    prefixes = Prefixes(hashes, _cells(whole, bits, budget))
-
-    open_words = {int(c): n for c, n in zip(_codes(hot[0], table.value, place.value).tolist(), hot_counts, strict=True)}
-    pairs = {(r["c1"], r["c2"]): r["a"] for r in split.collect()} if split is not None else {}
+    cell = F.shiftrightunsigned(F.col("h"), 64 - bits).alias("cell")
+    counts = _counted(words.filter(F.col("n") <= budget).select(cell, "n"), bits)
+    above = words.filter(F.col("n") > budget).select("h", "n").collect()
+    hashes = [np.array([r["h"] for r in above], np.int64).view(np.uint64), np.empty(0, np.uint64)]
+    open_words = {int(c): r["n"] for c, r in zip(_codes(hashes[0], table.value, place.value).tolist(), above, strict=True)}
+    pairs: dict[tuple[int, int], int] = {}
+
+    def by_cell(depth: int) -> np.ndarray:
+        return _counted(texts.mapInArrow(_prefix_cells(Prefixes(hashes), depth, bits, table, place, seed, limit), "cell long, n long"), bits)
+
+    if open_words:
+        second = by_cell(2)
+        if (second > budget).any():
+            seen = texts.mapInArrow(_pair_counts(Prefixes(hashes), second > budget, table, place, seed, limit), "key long, c1 long, c2 long, n long")
+            large = seen.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n")).filter(F.col("n") > budget).collect()
+            hashes[1] = np.array([r["key"] for r in large], np.int64).view(np.uint64)
+            pairs = {(r["c1"], r["c2"]): r["n"] for r in large}
+            np.subtract.at(second, (hashes[1] >> _U(64 - bits)).astype(np.int64), [r["n"] for r in large])
+        counts += second
+        if pairs:
+            counts += by_cell(3)
+    prefixes = Prefixes(hashes, _cells(counts, budget))
     dealt = texts.mapInArrow(_deal(prefixes, table, place, seed, limit, suffixes), "group long, suffixes binary")
     phrases = dealt.groupBy("group").applyInArrow(_build(least, open_words, pairs), "c1 long, c2 long, c3 long, a long, f1 long, f2 long")
-    if pairs:
-        whole_pairs = split.filter((F.col("a") >= least) & (F.col("c2") != NONE)).select("c1", "c2", F.lit(NONE).cast("long").alias("c3"), "a")
-        first = spark.createDataFrame(list(open_words.items()), "c1 long, f1 long")
-        phrases = phrases.unionByName(whole_pairs.join(F.broadcast(first), "c1").withColumn("f2", F.lit(0).cast("long")))
+    split = [(a, b, NONE, n, open_words[a], 0) for (a, b), n in pairs.items() if n >= least and b != NONE]
+    if split:
+        phrases = phrases.unionByName(spark.createDataFrame(split, phrases.schema))
     coded = words.select("h", "lang", "word", "n").mapInArrow(_with_codes(table, place), "c long, lang string, word string, n long")
     return coded, materialize(phrases, "phrases")
 

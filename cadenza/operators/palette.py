@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,15 +97,80 @@ def color_brightness(colors: Column) -> Column:
     return F.when(mean < 85, "DARK").when(mean < 170, "MEDIUM").otherwise("BRIGHT")
 
 
+# fixed values: sRGB to XYZ, the white of D65, and the limits of the two curves
+XYZ_OF_RGB = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+WHITE = (0.95047, 1.0, 1.08883)
+GAMMA_LIMIT, LAB_LIMIT = 0.04045, 0.008856
+#: difference at which two colours have nothing in common any more
+FARTHEST = 50.0
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def lab(rgb: Column) -> Column:
+    """struct(l, a, b) of a colour in 0 .. 255 per channel."""
+    linear = F.transform(rgb, lambda c: F.when(c / 255.0 > GAMMA_LIMIT, F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255.0 / 12.92))
+
+    def from_linear(x: Column) -> Column:
+        parts = F.array(*[sum(x[j] * row[j] for j in range(3)) / w for row, w in zip(XYZ_OF_RGB, WHITE, strict=True)])
+        curved = F.transform(parts, lambda v: F.when(v > LAB_LIMIT, F.cbrt(v)).otherwise(v * 7.787 + 16.0 / 116.0))
+        return _let(curved, lambda f: F.struct((f[1] * 116.0 - 16.0).alias("l"), ((f[0] - f[1]) * 500.0).alias("a"), ((f[1] - f[2]) * 200.0).alias("b")))
+
+    return _let(linear, from_linear)
+
+
+def color_difference(one: Column, two: Column) -> Column:
+    """The CIE difference of 2000 between two `lab` colours."""
+    full = 2 * math.pi
+    share = lambda c: F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + 25.0**7))
+
+    def turned(p: Column) -> Column:
+        """Both colours with a' stretched by the mean chroma: lightness, chroma, hue."""
+        grow = 1.0 + 0.5 * (1.0 - share((F.hypot(p["x"]["a"], p["x"]["b"]) + F.hypot(p["y"]["a"], p["y"]["b"])) / 2.0))
+
+        def polar(c: Column, g: Column) -> list[Column]:
+            angle = F.atan2(c["b"], c["a"] * g)
+            return [c["l"], F.hypot(c["a"] * g, c["b"]), F.when(angle < 0, angle + full).otherwise(angle)]
+
+        return _let(F.struct(grow.alias("g"), p["x"].alias("x"), p["y"].alias("y")), lambda s: F.struct(
+            *[v.alias(n) for n, v in zip(("l1", "c1", "h1", "l2", "c2", "h2"), polar(s["x"], s["g"]) + polar(s["y"], s["g"]), strict=True)]))
+
+    def terms(p: Column) -> Column:
+        none, gap, total = p["c1"] * p["c2"] == 0, p["h2"] - p["h1"], p["h1"] + p["h2"]
+        turn = F.when(none, 0.0).when(gap > math.pi, gap - full).when(gap < -math.pi, gap + full).otherwise(gap)
+        hue = F.when(none, total).when(F.abs(gap) <= math.pi, total / 2.0).when(total < full, (total + full) / 2.0).otherwise((total - full) / 2.0)
+        return F.struct(((p["l1"] + p["l2"]) / 2.0 - 50.0).alias("l"), ((p["c1"] + p["c2"]) / 2.0).alias("c"), hue.alias("h"), (p["l2"] - p["l1"]).alias("dl"),
+                        (p["c2"] - p["c1"]).alias("dc"), (2.0 * F.sqrt(p["c1"] * p["c2"]) * F.sin(turn / 2.0)).alias("dh"))
+
+    def weighed(p: Column) -> Column:
+        t = (1.0 - 0.17 * F.cos(p["h"] - math.radians(30)) + 0.24 * F.cos(2.0 * p["h"]) + 0.32 * F.cos(3.0 * p["h"] + math.radians(6)) - 0.2 * F.cos(4.0 * p["h"] - math.radians(63)))
+        return F.struct((p["dl"] / (1.0 + 0.015 * p["l"] * p["l"] / F.sqrt(20.0 + p["l"] * p["l"]))).alias("l"), (p["dc"] / (1.0 + 0.045 * p["c"])).alias("c"),
+                        (p["dh"] / (1.0 + 0.015 * p["c"] * t)).alias("h"),
+                        (-F.sin(2.0 * math.radians(30) * F.exp(-F.pow((F.degrees(p["h"]) - 275.0) / 25.0, F.lit(2.0)))) * 2.0 * share(p["c"])).alias("r"))
+
+    pair = F.struct(one.alias("x"), two.alias("y"))
+    return _let(_let(_let(_let(pair, turned), terms), weighed), lambda w: F.sqrt(
+        F.greatest(F.lit(0.0), w["l"] * w["l"] + w["c"] * w["c"] + w["h"] * w["h"] + w["r"] * w["c"] * w["h"])))
+
+
+def lab_similarity(primary: Column, colors: Column) -> Column:
+    """Closeness of the nearest of `colors` to `primary` by the perceptual difference, in [0, 1]; all are RGB."""
+    near = _let(lab(primary), lambda p: F.array_min(F.transform(colors, lambda c: color_difference(p, lab(c)))))
+    return F.greatest(F.lit(0.0), 1.0 - near / FARTHEST)
+
+
 def color_match(primary: Column, temperature: Column, brightness: Column, colors: Column) -> Column:
-    """Nearest primary, temperature and brightness, weighted; the RGB metric stands for the colour difference."""
+    """Nearest primary by the perceptual difference, temperature and brightness, weighted."""
     w = MATCH_WEIGHTS
     own_t, own_b = color_temperature(colors), color_brightness(colors)
     t = F.when(own_t == temperature, 1.0).when((own_t == "NEUTRAL") | (temperature == "NEUTRAL"), 0.5).otherwise(0.0)
     levels = moods.words(LEVELS)
     step = F.abs(F.array_position(levels, own_b) - F.array_position(levels, brightness))
     b = F.when(step == 0, 1.0).when(step == 1, 0.5).otherwise(0.0)
-    score = rgb_similarity(primary, colors) * w["primary"] + t * w["temperature"] + b * w["brightness"]
+    score = lab_similarity(primary, colors) * w["primary"] + t * w["temperature"] + b * w["brightness"]
     return F.when(F.size(colors) > 0, F.least(F.lit(1.0), score)).otherwise(0.0)
 
 

@@ -230,12 +230,34 @@ COLOR_PAIRS = """SELECT u.clip_id, u.track_id, u.clip_id * 13 % 256 AS r1, u.cli
   CASE u.track_id % 4 WHEN 0 THEN 'DARK' WHEN 1 THEN 'BRIGHT' ELSE 'MEDIUM' END AS brightness FROM (SELECT DISTINCT clip_id, track_id FROM v_usage) u"""
 
 
+def _xyz(row, white):
+    return "(" + " + ".join(f"{c} * {w}e0" for c, w in zip("rgb", row, strict=True)) + f") / {white}e0"
+
+
+LAB_STEPS = f"""p AS (SELECT *, row_number() OVER () AS id FROM ({COLOR_PAIRS})),
+ch AS (SELECT id, 0 AS k, pr AS r, pg AS g, pb AS b FROM p UNION ALL SELECT id, 1, r1, g1, b1 FROM p UNION ALL SELECT id, 2, r2, g2, b2 FROM p),
+li AS (SELECT id, k, {", ".join(f"CASE WHEN {c} / 255e0 > {palette.GAMMA_LIMIT} THEN pow(({c} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) ELSE {c} / 255e0 / 12.92e0 END AS {c}" for c in "rgb")} FROM ch),
+xy AS (SELECT id, k, {", ".join(f"{_xyz(row, w)} AS {n}" for n, row, w in zip("xyz", palette.XYZ_OF_RGB, palette.WHITE, strict=True))} FROM li),
+cu AS (SELECT id, k, {", ".join(f"CASE WHEN {n} > {palette.LAB_LIMIT} THEN cbrt({n}) ELSE {n} * 7.787e0 + 16e0 / 116 END AS {n}" for n in "xyz")} FROM xy),
+la AS (SELECT id, k, 116 * y - 16 AS l, 500 * (x - y) AS a, 200 * (y - z) AS b FROM cu),
+s1 AS (SELECT m.id, m.l AS l1, m.a AS a1, m.b AS b1, n.l AS l2, n.a AS a2, n.b AS b2, (sqrt(m.a * m.a + m.b * m.b) + sqrt(n.a * n.a + n.b * n.b)) / 2 AS cm FROM la m JOIN la n ON n.id = m.id AND m.k = 0 AND n.k > 0),
+s2 AS (SELECT *, 1 + 0.5e0 * (1 - sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25e0, 7)))) AS g FROM s1),
+s3 AS (SELECT id, l1, l2, sqrt(a1 * g * a1 * g + b1 * b1) AS c1, sqrt(a2 * g * a2 * g + b2 * b2) AS c2, atan2(b1, a1 * g) + CASE WHEN atan2(b1, a1 * g) < 0 THEN 2 * pi() ELSE 0 END AS h1, atan2(b2, a2 * g) + CASE WHEN atan2(b2, a2 * g) < 0 THEN 2 * pi() ELSE 0 END AS h2 FROM s2),
+s4 AS (SELECT id, (l1 + l2) / 2 - 50 AS lm, (c1 + c2) / 2 AS cm, l2 - l1 AS dl, c2 - c1 AS dc,
+  CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= pi() THEN (h1 + h2) / 2 WHEN h1 + h2 < 2 * pi() THEN (h1 + h2) / 2 + pi() ELSE (h1 + h2) / 2 - pi() END AS h,
+  2 * sqrt(c1 * c2) * sin(CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > pi() THEN h2 - h1 - 2 * pi() WHEN h2 - h1 < -pi() THEN h2 - h1 + 2 * pi() ELSE h2 - h1 END / 2) AS dh FROM s3),
+s5 AS (SELECT id, dl / (1 + 0.015e0 * lm * lm / sqrt(20 + lm * lm)) AS l, dc / (1 + 0.045e0 * cm) AS c,
+  dh / (1 + 0.015e0 * cm * (1 - 0.17e0 * cos(h - radians(30)) + 0.24e0 * cos(2 * h) + 0.32e0 * cos(3 * h + radians(6)) - 0.2e0 * cos(4 * h - radians(63)))) AS h,
+  -sin(2 * radians(30) * exp(-pow((degrees(h) - 275) / 25, 2))) * 2 * sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25e0, 7))) AS r FROM s4),
+near AS (SELECT id, greatest(0e0, 1 - min(sqrt(greatest(0e0, l * l + c * c + h * h + r * c * h))) / 50) AS near FROM s5 GROUP BY id)"""
+
+
 @query("m09_color_match", f"""
-WITH p AS ({COLOR_PAIRS}), d AS (SELECT *, least(sqrt((pr-r1)*(pr-r1) + (pg-g1)*(pg-g1) + (pb-b1)*(pb-b1)), sqrt((pr-r2)*(pr-r2) + (pg-g2)*(pg-g2) + (pb-b2)*(pb-b2))) AS dist, (r1 - b1) + (r2 - b2) AS warm,
-  ((r1 + g1 + b1) / 3e0 + (r2 + g2 + b2) / 3e0) / 2 AS lum FROM p),
+WITH {LAB_STEPS}, d AS (SELECT p.*, near.near, least(sqrt((pr-r1)*(pr-r1) + (pg-g1)*(pg-g1) + (pb-b1)*(pb-b1)), sqrt((pr-r2)*(pr-r2) + (pg-g2)*(pg-g2) + (pb-b2)*(pb-b2))) AS dist, (r1 - b1) + (r2 - b2) AS warm,
+  ((r1 + g1 + b1) / 3e0 + (r2 + g2 + b2) / 3e0) / 2 AS lum FROM p JOIN near USING (id)),
 c AS (SELECT *, CASE WHEN warm > 50 THEN 'WARM' WHEN warm < -50 THEN 'COOL' ELSE 'NEUTRAL' END AS ct, CASE WHEN lum < 85 THEN 'DARK' WHEN lum < 170 THEN 'MEDIUM' ELSE 'BRIGHT' END AS cb FROM d)
-SELECT clip_id, track_id, round(greatest(0e0, 1 - dist / 441), 6) AS rgb_similarity, ct AS clip_temperature, cb AS clip_brightness,
-  round(least(1e0, greatest(0e0, 1 - dist / 441) * 0.5e0 + CASE WHEN ct = temperature THEN 0.25e0 WHEN ct = 'NEUTRAL' OR temperature = 'NEUTRAL' THEN 0.125e0 ELSE 0e0 END
+SELECT clip_id, track_id, round(greatest(0e0, 1 - dist / 441), 6) AS rgb_similarity, round(near, 6) AS lab_similarity, ct AS clip_temperature, cb AS clip_brightness,
+  round(least(1e0, near * 0.5e0 + CASE WHEN ct = temperature THEN 0.25e0 WHEN ct = 'NEUTRAL' OR temperature = 'NEUTRAL' THEN 0.125e0 ELSE 0e0 END
    + CASE WHEN cb = brightness THEN 0.25e0 WHEN cb = 'MEDIUM' OR brightness = 'MEDIUM' THEN 0.125e0 ELSE 0e0 END), 6) AS score FROM c""")
 def _(v):
     def rgb(i):
@@ -243,8 +265,9 @@ def _(v):
 
     colors, primary = F.array(rgb(1), rgb(2)), F.array(*[F.col(f"p{c}").cast("double") for c in "rgb"])
     return v.sql(COLOR_PAIRS).select(
-        "clip_id", "track_id", F.round(palette.rgb_similarity(primary, colors), 6).alias("rgb_similarity"), palette.color_temperature(colors).alias("clip_temperature"),
-        palette.color_brightness(colors).alias("clip_brightness"), F.round(palette.color_match(primary, F.col("temperature"), F.col("brightness"), colors), 6).alias("score"))
+        "clip_id", "track_id", F.round(palette.rgb_similarity(primary, colors), 6).alias("rgb_similarity"), F.round(palette.lab_similarity(primary, colors), 6).alias("lab_similarity"),
+        palette.color_temperature(colors).alias("clip_temperature"), palette.color_brightness(colors).alias("clip_brightness"),
+        F.round(palette.color_match(primary, F.col("temperature"), F.col("brightness"), colors), 6).alias("score"))
 
 
 @query("m10_nearest_energy_motion", f"""

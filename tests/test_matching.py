@@ -48,3 +48,17 @@ def test_vector_stage_keeps_its_limit_and_ties(spark):
     got = {r.target_id: (r.clip_id, round(r.distance, 6)) for r in matching.nearest_by_vector(targets, items, max_distance=0.2).collect()}
     assert got == {1: (2, 0.0)}
     assert matching.nearest_by_vector(targets, items).filter(F.col("target_id") == 2).count() == 1
+
+
+def test_colour_difference_equals_published_pairs(spark):
+    from cadenza.operators import palette
+
+    pairs = [(50.0, 2.6772, -79.7751, 50.0, 0.0, -82.7485, 2.0425), (50.0, -1.0, 2.0, 50.0, 0.0, 0.0, 2.3669), (50.0, 2.49, -0.001, 50.0, -2.49, 0.0009, 7.1792),
+             (60.2574, -34.0099, 36.2677, 60.4626, -34.1751, 39.4387, 1.2644), (2.0776, 0.0795, -1.1350, 0.9033, -0.0636, -0.5514, 0.9082), (50.0, 2.5, 0.0, 50.0, 0.0, -2.5, 4.3065)]
+    df = spark.createDataFrame(pairs, "l1 double, a1 double, b1 double, l2 double, a2 double, b2 double, e double")
+    colour = lambda i: F.struct(*[F.col(f"{c}{i}").alias(c) for c in "lab"])
+    for r in df.select(palette.color_difference(colour(1), colour(2)).alias("d"), "e").collect():
+        assert r.d == pytest.approx(r.e, abs=5e-5)
+    rgb = lambda *c: F.array(*[F.lit(float(x)) for x in c])
+    same = spark.range(1).select(palette.lab_similarity(rgb(10, 200, 30), F.array(rgb(0, 0, 0), rgb(10, 200, 30))).alias("s"), palette.lab(rgb(255, 255, 255)).alias("w")).first()
+    assert same.s == 1.0 and same.w.l == pytest.approx(100.0, abs=1e-3) and abs(same.w.a) < 0.01

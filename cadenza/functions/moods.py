@@ -45,8 +45,14 @@ SEGMENT_MOTIONS = {
 }
 # fixed values: moods a palette may take per segment type
 PALETTE_MOODS = {
-    **{k: v for k, v in SEGMENT_MOODS.items() if k != "chorus"}, "chorus": ["ENERGETIC", "CHEERFUL", "WARM", "EUPHORIC"],
-    "buildup": ["TENSE", "ENERGETIC", "MYSTERIOUS"], "breakdown": ["CALM", "DREAMY", "MELANCHOLIC"],
+    "intro": ["CALM", "PEACEFUL", "DREAMY", "MYSTERIOUS"],
+    "verse": ["CALM", "PEACEFUL", "MELANCHOLIC", "COOL"],
+    "drop": ["ENERGETIC", "EUPHORIC", "AGGRESSIVE", "TENSE"],
+    "bridge": ["DREAMY", "MYSTERIOUS", "MELANCHOLIC", "COOL"],
+    "outro": ["CALM", "PEACEFUL", "DREAMY", "WARM"],
+    "chorus": ["ENERGETIC", "CHEERFUL", "WARM", "EUPHORIC"],
+    "buildup": ["TENSE", "ENERGETIC", "MYSTERIOUS"],
+    "breakdown": ["CALM", "DREAMY", "MELANCHOLIC"],
 }
 # fixed values: moods that go with a target mood
 COMPATIBLE = {

@@ -77,7 +77,7 @@ WITH RECURSIVE b AS (SELECT track_id, seq, t, row_number() OVER (PARTITION BY tr
 w AS (SELECT track_id, rn, seq, t, d, t + d AS until, 0 AS i, TRUE AS k FROM b WHERE rn = 1
   UNION ALL SELECT b.track_id, b.rn, b.seq, b.t, CASE WHEN b.t - (w.until - w.d) >= w.d THEN b.d ELSE w.d END, CASE WHEN b.t - (w.until - w.d) >= w.d THEN b.t + b.d ELSE w.until END,
     CASE WHEN b.t - (w.until - w.d) >= w.d THEN w.i + 1 ELSE w.i END, b.t - (w.until - w.d) >= w.d FROM w JOIN b ON b.track_id = w.track_id AND b.rn = w.rn + 1)
-SELECT track_id, seq, i AS clip_index, round(t, 6) AS start_t, round(d, 6) AS duration FROM w WHERE k AND i < 20""")
+SELECT track_id, seq, i AS clip_index, round(t, 6) AS start_t, round(d, 6) AS duration FROM w WHERE k""")
 def _(v):
     out = cutlist.align_to_beats(v.beat, KEY, None, 20_000.0, 100_000.0, CHUNK)
     return out.select("track_id", "seq", F.col("clip_index").cast("int").alias("clip_index"), F.round("start_t", 6).alias("start_t"), F.round("duration", 6).alias("duration"))

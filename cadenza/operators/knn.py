@@ -8,9 +8,11 @@ Three ways, all with bounded tasks and at most k rows per query from each:
 - cells: for two to four dimensions. Items go to the nearest of sqrt(n)
   centres; a centre's radius and count bound the k-th distance of a query, and
   only cells that can hold something closer are visited. Exact.
-- probes: the same cells, centres trained on all rows, and only the nearest
-  `probes` cells of a query are visited. Approximate. With `recall` the number
-  of cells is measured: an exact scan for a bounded set of queries tells it.
+- probes: cells of trained centres on two levels, and only the nearest `probes`
+  cells of a query are visited. Approximate. Centres are fitted on at most
+  FIT_ROWS rows; every row is placed, beside about twice the fourth root of n
+  centres. With `recall` the number of cells is measured: an exact scan for a
+  bounded set of queries tells it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from cadenza.session import materialize, ship_package
 SLICE = 4_000_000
 #: queries that are answered exactly to find the number of probes
 SAMPLE = 200
+#: rows that centres are fitted on, those first in a hashed order of the id
+FIT_ROWS = 20_000
 
 #: which of a block's items each query must not get: (query columns, item columns) to a matrix of booleans
 Skip = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
@@ -66,6 +70,30 @@ class Metric:
     row: Callable[[np.ndarray, np.ndarray], np.ndarray] = l2_row
 
 
+@dataclass(frozen=True)
+class Centres:
+    """Centres of cells; with `tops`, those below top i stand from first[i] to first[i + 1], and a row looks below its nearest top only."""
+
+    points: np.ndarray
+    tops: np.ndarray | None = None
+    first: np.ndarray | None = None
+
+    def nearest(self, x: np.ndarray, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its centre) of each row."""
+        if self.tops is None:
+            d = metric.pairs(x, self.points)
+            best = d.argmin(1)
+            return best, d[np.arange(len(best)), best]
+        top = metric.pairs(x, self.tops).argmin(1)
+        best, gap = np.empty(len(x), np.int64), np.empty(len(x))
+        for i in np.unique(top):
+            mine = np.flatnonzero(top == i)
+            d = metric.pairs(x[mine], self.points[self.first[i]:self.first[i + 1]])
+            near = d.argmin(1)
+            best[mine], gap[mine] = near + self.first[i], d[np.arange(len(mine)), near]
+        return best, gap
+
+
 @dataclass(frozen=True)
 class Cells:
     centres: np.ndarray
@@ -73,19 +101,43 @@ class Cells:
     radius: np.ndarray
 
 
-def pick_centres(items: DataFrame, item_id: str, vector: str, cells: int, trained: bool = False) -> np.ndarray:
-    """`cells` centres: a hash-ordered pick, or k-means over all rows."""
-    if trained:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        model = KMeans(k=cells, maxIter=10, seed=7).fit(items.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
-        return np.array([list(c) for c in model.clusterCenters()])
+def means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """At most k means of the rows: each start is drawn far from those before it, then rows and means are matched in turn."""
+    rng = np.random.default_rng(seed)
+    k = min(k, len(np.unique(x, axis=0)))
+    chosen = [int(rng.integers(len(x)))]
+    gap = ((x - x[chosen[0]]) ** 2).sum(1)
+    for _ in range(k - 1):
+        total = gap.sum()
+        chosen.append(int(np.searchsorted(np.cumsum(gap), rng.uniform() * total, "right").clip(0, len(x) - 1)) if total > 0 else int(rng.integers(len(x))))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+    centres = x[chosen].copy()
+    for _ in range(rounds):
+        of = l2(x, centres).argmin(1)
+        count = np.bincount(of, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        some = count > 0
+        centres[some] = sums[some] / count[some][:, None]
+    return centres
+
+
+def two_levels(x: np.ndarray, cells: int) -> Centres:
+    """About `cells` centres below sqrt(cells) tops, more below tops with more rows."""
+    tops = means(x, max(1, isqrt(cells)))
+    of = l2(x, tops).argmin(1)
+    below = [means(x[of == i], max(1, round(cells * (of == i).sum() / len(x)))) if (of == i).any() else tops[i:i + 1] for i in range(len(tops))]
+    return Centres(np.concatenate(below), tops, np.concatenate([[0], np.cumsum([len(b) for b in below])]))
+
+
+def pick_centres(items: DataFrame, item_id: str, vector: str, cells: int, trained: bool = False) -> Centres:
+    """`cells` centres: a hash-ordered pick, or fitted on two levels to at most FIT_ROWS rows."""
     shuffled = items.select(item_id, F.col(vector).cast("array<double>").alias("_v")).orderBy(F.xxhash64(F.col(item_id)), item_id)
-    return np.array([r["_v"] for r in shuffled.limit(cells).select("_v").collect()], dtype=np.float64)
+    rows = np.array([r["_v"] for r in shuffled.limit(max(cells, FIT_ROWS) if trained else cells).select("_v").collect()], dtype=np.float64)
+    return two_levels(rows, cells) if trained and len(rows) else Centres(rows)
 
 
-def assign(items: DataFrame, vector: str, centres: np.ndarray, metric: Metric) -> DataFrame:
+def assign(items: DataFrame, vector: str, centres: Centres, metric: Metric) -> DataFrame:
     """Items with `_cell` and `_gap`, the distance to that centre."""
     spark = items.sparkSession
     ship_package(spark)
@@ -99,10 +151,9 @@ def assign(items: DataFrame, vector: str, centres: np.ndarray, metric: Metric) -
             if not table.num_rows:
                 continue
             x = matrix(table.column(vector))
-            d = metric.pairs(x, c)
-            best = d.argmin(1)
+            best, gap = c.nearest(x, metric)
             # the gap becomes a radius: round it up by more than the fast matrix can be off
-            gap = d[np.arange(len(best)), best] + slack(x)
+            gap = gap + slack(x)
             out = table.append_column("_cell", pa.array(best.astype(np.int32))).append_column("_gap", pa.array(gap))
             yield from out.to_batches()
 
@@ -116,10 +167,10 @@ def build_cells(items: DataFrame, item_id: str, vector: str, metric: Metric, cel
     # the placement is read for the statistics and for the search: written once
     placed = materialize(assign(items, vector, centres, metric), "placed")
     stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("r")).collect()
-    counts, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    counts, radius = np.zeros(len(centres.points), np.int64), np.zeros(len(centres.points))
     for s in stats:
         counts[s["_cell"]], radius[s["_cell"]] = s["n"], s["r"]
-    return placed, Cells(centres, counts, radius)
+    return placed, Cells(centres.points, counts, radius)
 
 
 def route(queries: DataFrame, vector: str, cells: Cells, metric: Metric, probes: int | None) -> DataFrame:

@@ -58,6 +58,17 @@ def _(v):
     return found.select("query_id", "vec_id", "rank", F.round(similarity(F.col("distance")), 4).alias("similarity"))
 
 
+@query("v03_recall", f"""
+WITH {UNITS}, {Q}, s AS (SELECT query_id, vec_id, list_distance(q.e, u.e) AS d FROM q, u), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s)
+SELECT query_id % 10 AS share, count(*) AS n_neighbours, TRUE AS reached FROM r WHERE rank <= 10 GROUP BY 1""")
+def _(v):
+    # true neighbours by a scan, and whether nine of ten were found without one
+    truth = near(v, 10).select("query_id", "vec_id")
+    found = near(v, 10, recall=0.97).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = truth.join(found, ["query_id", "vec_id"], "left").groupBy((F.col("query_id") % 10).alias("share"))
+    return both.agg(F.count("*").alias("n_neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query("v04_similar_clips", f"""
 WITH {UNITS}, s AS (SELECT a.vec_id AS clip_id, b.vec_id AS other, list_inner_product(a.e, b.e) AS ip FROM u a, u b WHERE a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY ip DESC, other) AS rank FROM s)

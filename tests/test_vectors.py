@@ -57,6 +57,34 @@ def test_approximate_search_recall(spark):
     assert len(exact & near) / len(exact) > 0.8
 
 
+def test_clustered_vectors_need_few_of_the_items(spark):
+    rng = np.random.default_rng(21)
+    middle = rng.normal(size=(40, 32)) * 3
+    x = middle[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.6
+    items, q = frame(spark, x), frame(spark, x[rng.permutation(4000)[:300]] + 0.01, "query_id")
+    truth = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in knn.search(q, items, 10, recall=0.95).collect()}
+    assert len(truth & found) / len(truth) >= 0.9
+    placed, table = knn.build_cells(items, "vec_id", "embedding", knn.Metric(), None, True)
+    asked = q.withColumn("_k", F.lit(10).cast("bigint"))
+    probes = knn.probes_for(asked, placed, table, 0.95, "query_id", "vec_id", "embedding", knn.Metric(), None, ())
+    visited = sum(int(table.counts[r["_cell"]]) for r in knn.route(asked, "embedding", table, knn.Metric(), probes).select("_cell").collect())
+    assert table.counts.sum() == 4000 and visited / (300 * 4000) < 0.2
+    exact = {(r.vec_id, r.other) for r in vectorops.similar_items(items, 5).collect()}
+    near = {(r.vec_id, r.other) for r in vectorops.similar_items(items, 5, recall=0.97).collect()}
+    assert len(exact & near) / len(exact) >= 0.9 and all(a != b for a, b in near)
+
+
+def test_two_levels_place_every_row(spark):
+    x = np.random.default_rng(2).normal(size=(500, 3))
+    x[:200] = x[0]
+    centres = knn.two_levels(x, 20)
+    assert centres.first[-1] == len(centres.points) <= 40 and len(centres.tops) <= 4
+    cell, gap = centres.nearest(x, knn.Metric())
+    assert np.allclose(gap, np.sqrt(((x - centres.points[cell]) ** 2).sum(1)), atol=1e-6)
+    assert len(knn.two_levels(np.ones((9, 2)), 5).points) == 1
+
+
 def test_bad_vectors_are_left_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0]), (6, [None, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

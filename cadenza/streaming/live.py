@@ -96,29 +96,79 @@ def session_ranges(uses: DataFrame, gap: str, delay: str = "0 seconds", time: st
         key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_uses", "duration")
 
 
-def usage_writer(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` function that keeps usage statistics in versioned Parquet below `path`.
+USAGE = T.StructType([T.StructField("clip_id", T.LongType()), T.StructField("usage_count", T.LongType()),
+                      T.StructField("avg_duration", T.DoubleType()), T.StructField("last_used", T.TimestampType())])
 
-    Version n + 1 is version n merged with batch n, so a repeated batch gives
-    the same files. `read_usage` returns the last one.
+
+def usage_writer(spark: SparkSession, path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` function that keeps usage statistics in buckets of clips, as Parquet below `path`.
+
+    A batch reads and writes the buckets of its clips only, under its own
+    version; a manifest of at most `buckets` rows names the version of each
+    bucket. Version n + 1 is version n merged with batch n, so a repeated batch
+    gives the same files. Files that neither this nor the previous version
+    names are dropped. `read_usage` returns the last version.
     """
-    stats = T.StructType([T.StructField("clip_id", T.LongType()), T.StructField("usage_count", T.LongType()),
-                          T.StructField("avg_duration", T.DoubleType()), T.StructField("last_used", T.TimestampType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        stored = session.read.schema(stats).parquet(f"{path}/v={batch_id}") if batch_id else session.createDataFrame([], stats)
-        merged = merge_usage(stored, batch, [])
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
+        session, version = batch.sparkSession, batch_id + 1
+        bucket = F.pmod(F.xxhash64("clip_id"), F.lit(buckets)).cast("int")
+        known = _manifest(session, path, batch_id) if batch_id else {}
+        rows = batch.persist()  # the source is read once
+        touched = [r["bucket"] for r in rows.select(bucket.alias("bucket")).distinct().collect()]
+        if touched:
+            stored = _stored(session, path, {k: v for k, v in known.items() if k in set(touched)})
+            merged = merge_usage(stored, rows, []).withColumn("bucket", bucket)
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={version}")
+        rows.unpersist()
+        now = known | {k: version for k in touched}
+        table = session.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1)
+        table.write.mode("overwrite").parquet(f"{path}/manifest/v={version}")
+        _drop_unnamed(session, path, version, set(known.items()) | set(now.items()))
 
     return write
 
 
+def _manifest(spark: SparkSession, path: str, version: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{path}/manifest/v={version}").collect()}
+
+
+def _stored(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame:
+    paths = [f"{path}/data/v={v}/bucket={k}" for k, v in sorted(versions.items())]
+    return spark.read.schema(USAGE).parquet(*paths) if paths else spark.createDataFrame([], USAGE)
+
+
+def _folders(spark: SparkSession, folder: str):
+    """(file system, number, path) of the folders `name=number` in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in system.listStatus(where) if system.exists(where) else []:
+        name = entry.getPath().getName()
+        if "=" in name:
+            yield system, int(name.split("=")[1]), entry.getPath()
+
+
+def _drop_unnamed(spark: SparkSession, path: str, version: int, named: set[tuple[int, int]]) -> None:
+    for system, v, folder in list(_folders(spark, f"{path}/data")):
+        if v > version:
+            continue
+        kept = 0
+        for _, k, bucket in list(_folders(spark, folder.toString())):
+            if (k, v) in named:
+                kept += 1
+            else:
+                system.delete(bucket, True)
+        if not kept:
+            system.delete(folder, True)
+    for system, v, folder in list(_folders(spark, f"{path}/manifest")):
+        if v < version - 1:
+            system.delete(folder, True)
+
+
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
     """Statistics of the latest version."""
-    every = spark.read.option("basePath", path).parquet(path)
-    latest = every.agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{path}/v={latest}")
+    versions = [v for _, v, _ in _folders(spark, f"{path}/manifest")]
+    return _stored(spark, path, _manifest(spark, path, max(versions)) if versions else {})
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

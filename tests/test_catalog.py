@@ -194,6 +194,24 @@ def test_late_usage_batches_are_merged(spark, tmp_path):
     assert got == {1: (2, 3.0), 2: (1, 1.0)} and schema
 
 
+def test_a_batch_writes_its_buckets_only(spark, tmp_path):
+    path, schema = str(tmp_path / "stats"), "clip_id long, duration double"
+    write = live.usage_writer(spark, path, buckets=16)
+    when = F.lit("2024-01-01").cast("timestamp")
+    batch = lambda ids: spark.createDataFrame([(i, 2.0) for i in ids], schema).withColumn("used_at", when)
+    write(batch(range(400)), 0)
+    assert len(list((tmp_path / "stats/data/v=1").glob("bucket=*"))) == 16
+    for n in range(1, 6):
+        write(batch([7]), n)
+        assert len(list((tmp_path / f"stats/data/v={n + 1}").glob("bucket=*"))) == 1
+    write(batch([7]), 5)  # repeated
+    write(batch([]), 6)
+    held = {p.parent.name + "/" + p.name for p in (tmp_path / "stats/data").glob("v=*/bucket=*")}
+    assert len(held) == 16 and sum(h.startswith("v=1/") for h in held) == 15 and len(list((tmp_path / "stats/manifest").glob("v=*"))) == 2
+    got = {r.clip_id: r.usage_count for r in live.read_usage(spark, path).collect()}
+    assert got == {i: 6 if i == 7 else 1 for i in range(400)}
+
+
 def test_beat_alignment_ends_with_the_clips(spark):
     beats = spark.createDataFrame([(k, i, i * 3.0) for k in (1, 2) for i in range(30)], "track_id long, seq long, t double")
     clips = spark.createDataFrame([(1, i, 50 + i, i / 10) for i in range(25)] + [(2, 0, 7, 0.5)], "track_id long, clip_index long, clip_id long, start_offset double")

@@ -231,6 +231,28 @@ def hamming_neighbours(left: DataFrame, right: DataFrame, id_col: str, bits: str
     return out.join(other, "_b").filter(F.col(id_col) != F.col("other")).select(id_col, "other", "distance")
 
 
+def hamming_classes(items: DataFrame, id_col: str, bits: str, max_distance: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of hashes within `max_distance`: n copies of a hash are n rows, never n * n.
+
+    members: (id, class_id, n_copies, n_near) of every row with a hash of the
+    right length; a class is a hash, named by its lowest id; n_near counts all
+    other rows within the distance, copies included. pairs: (class_id, other,
+    distance) of different classes, each in both directions. With these a pair
+    of rows is found by joining their classes. `options` are those of
+    `hamming_neighbours`.
+    """
+    total = options.get("total", 64)
+    known = items.filter(F.length(bits) == total)
+    classes = materialize(known.groupBy(bits).agg(F.min(id_col).alias("class_id"), F.count("*").alias("n_copies")), "classes")
+    single = classes.select("class_id", bits)
+    pairs = materialize(hamming_neighbours(single, single, "class_id", bits, max_distance, **options), "pairs")
+    sizes = classes.select(F.col("class_id").alias("other"), "n_copies")
+    near = pairs.join(sizes, "other").groupBy("class_id").agg(F.sum("n_copies").alias("_near"))
+    counted = classes.join(near, "class_id", "left")
+    members = known.select(id_col, bits).join(counted, bits)
+    return members.select(id_col, "class_id", "n_copies", (F.coalesce("_near", F.lit(0)) + F.col("n_copies") - 1).alias("n_near")), pairs
+
+
 def _banded(left: DataFrame, right: DataFrame, bits: str, max_distance: int, total: int, bands: int, hot: int) -> DataFrame:
     """Pairs through bands: one of them differs in at most max_distance // bands places.
 

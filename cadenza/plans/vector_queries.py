@@ -270,6 +270,29 @@ def _(v):
     return duplicates.hamming_neighbours(hashes, hashes, "clip_id", "bits", 10, bands=4)
 
 
+#: the given hashes with exact copies of some
+COPIED = "h AS (SELECT clip_id, bits FROM v_phash UNION ALL SELECT clip_id + 10000000, bits FROM v_phash WHERE clip_id % 4 = 0 UNION ALL SELECT clip_id + 20000000, bits FROM v_phash WHERE clip_id % 8 = 0)"
+
+
+def copied(v):
+    moved = lambda n, by: v.phash.filter(F.col("clip_id") % n == 0).select((F.col("clip_id") + by).alias("clip_id"), "bits")
+    return v.phash.unionByName(moved(4, 10_000_000)).unionByName(moved(8, 20_000_000))
+
+
+@query("j18_hash_classes", f"""
+WITH {COPIED} SELECT a.clip_id, (SELECT min(b.clip_id) FROM h b WHERE b.bits = a.bits) AS class_id, (SELECT count(*) FROM h b WHERE b.bits = a.bits) AS n_copies,
+  (SELECT count(*) FROM h b WHERE b.clip_id <> a.clip_id AND hamming(a.bits, b.bits) <= 16) AS n_near FROM h a""")
+def _(v):
+    return duplicates.hamming_classes(copied(v), "clip_id", "bits", 16)[0]
+
+
+@query("j18_class_pairs", f"""
+WITH {COPIED}, c AS (SELECT bits, min(clip_id) AS id FROM h GROUP BY bits)
+SELECT a.id AS class_id, b.id AS other, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance FROM c a JOIN c b ON a.id <> b.id AND hamming(a.bits, b.bits) <= 16""")
+def _(v):
+    return duplicates.hamming_classes(copied(v), "clip_id", "bits", 16)[1]
+
+
 @query("m16_two_stage_selection", f"""
 WITH RECURSIVE {list_walk(100, 'w.hist', FINE_TERMS, '0.35e0 * relevance + 0.25e0 * diversity + 0.25e0 * 0.5e0 + 0.15e0 * continuity')},
 g AS (SELECT s.label, s.query_id, w.picked, w.score FROM w JOIN s ON s.label = w.label AND s.k = w.k), o AS (SELECT *, row_number() OVER (PARTITION BY label, picked IS NULL ORDER BY query_id) AS m FROM g),

@@ -75,6 +75,20 @@ def test_clustered_vectors_need_few_of_the_items(spark):
     assert len(exact & near) / len(exact) >= 0.9 and all(a != b for a, b in near)
 
 
+def test_copies_of_a_hash_are_rows_of_a_class(spark):
+    rng = np.random.default_rng(13)
+    bits = ["".join(map(str, r)) for r in rng.integers(0, 2, (30, 64))]
+    bits += ["".join("1" if c == "0" and i < 2 else c for i, c in enumerate(b)) for b in bits[:10]]
+    rows = [(i, b) for i, b in enumerate(bits)] + [(1000 + i, bits[3]) for i in range(500)] + [(5000, None), (5001, "101")]
+    members, pairs = duplicates.hamming_classes(spark.createDataFrame(rows, "clip_id long, bits string"), "clip_id", "bits", 4)
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    known = [(i, b) for i, b in rows if b and len(b) == 64]
+    lowest = {b: min(i for i, c in known if c == b) for _, b in known}
+    got = {r.clip_id: (r.class_id, r.n_copies, r.n_near) for r in members.collect()}
+    assert got == {i: (lowest[b], sum(c == b for _, c in known), sum(far(b, c) <= 4 for _, c in known) - 1) for i, b in known}
+    assert {(r.class_id, r.other, r.distance) for r in pairs.collect()} == {(lowest[a], lowest[b], far(a, b)) for a in lowest for b in lowest if a != b and far(a, b) <= 4}
+
+
 def test_two_levels_place_every_row(spark):
     x = np.random.default_rng(2).normal(size=(500, 3))
     x[:200] = x[0]

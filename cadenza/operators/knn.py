@@ -133,7 +133,7 @@ def two_levels(x: np.ndarray, cells: int) -> Centres:
 def pick_centres(items: DataFrame, item_id: str, vector: str, cells: int, trained: bool = False) -> Centres:
     """`cells` centres: a hash-ordered pick, or fitted on two levels to at most FIT_ROWS rows."""
     shuffled = items.select(item_id, F.col(vector).cast("array<double>").alias("_v")).orderBy(F.xxhash64(F.col(item_id)), item_id)
-    rows = np.array([r["_v"] for r in shuffled.limit(max(cells, FIT_ROWS) if trained else cells).select("_v").collect()], dtype=np.float64)
+    rows = np.array([r["_v"] for r in shuffled.limit(FIT_ROWS if trained else cells).select("_v").collect()], dtype=np.float64)
     return two_levels(rows, cells) if trained and len(rows) else Centres(rows)
 
 

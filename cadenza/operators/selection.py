@@ -117,10 +117,10 @@ def select_two_stage(cuts: DataFrame, keys: Sequence[str], order: Sequence[str],
     w = FINE_WEIGHTS
 
     def choose(rows: pa.Table):
-        used: list[int] = []
+        used: set[int] = set()
         shown: list[np.ndarray] = []
         for ids, distances, vectors, emotion in _candidates(rows, "emotion"):
-            free = np.flatnonzero(~np.isin(ids, used))[:fine_k]
+            free = np.flatnonzero([i not in used for i in ids.tolist()])[:fine_k]
             if not len(free):
                 yield None, 0.5
                 continue
@@ -133,9 +133,10 @@ def select_two_stage(cuts: DataFrame, keys: Sequence[str], order: Sequence[str],
             relevance = 1.0 - distances[free] / max(0.001, float(distances[free].max()))
             scores = w["relevance"] * relevance + w["diversity"] * diversity + w["emotion"] * emotion[free] + w["continuity"] * continuity
             best = int(np.argmax(scores))
-            used.append(int(ids[free[best]]))
+            pick = int(ids[free[best]])
+            used.add(pick)
             shown.append(v[best])
-            yield used[-1], float(scores[best])
+            yield pick, float(scores[best])
 
     return _picks(cuts, keys, order, keep, choose)
 
@@ -185,6 +186,28 @@ def select_unrecent(cuts: DataFrame, keys: Sequence[str], order: Sequence[str],
     return _picks(cuts, keys, order, keep, choose)
 
 
+class Unused:
+    """Ranks 0 .. n - 1 that are not used, counted by blocks, so that the place-th of them is found without a walk."""
+
+    BLOCK = 1024
+
+    def __init__(self, n: int, used: set[int]):
+        self.free = np.ones(n, dtype=bool)
+        self.free[[u for u in used if u < n]] = False
+        self.counts = np.add.reduceat(self.free.astype(np.int64), np.arange(0, n, self.BLOCK))
+
+    def at(self, place: int) -> int:
+        ends = np.cumsum(self.counts)
+        block = int(np.searchsorted(ends, place, "right"))
+        lo = block * self.BLOCK
+        return lo + int(np.flatnonzero(self.free[lo:lo + self.BLOCK])[place - (int(ends[block - 1]) if block else 0)])
+
+    def take(self, rank: int) -> None:
+        if rank < len(self.free) and self.free[rank]:
+            self.free[rank] = False
+            self.counts[rank // self.BLOCK] -= 1
+
+
 def select_diverse(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], total: str = "n_clips", share: float = 0.8,
                    keep: Sequence[str] = ()) -> DataFrame:
     """First candidate not used since the last reset; used clips reset at a share of the catalog.
@@ -195,11 +218,13 @@ def select_diverse(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], t
 
     def choose(rows: pa.Table):
         used: set[int] = set()
+        unused: Unused | None = None
         turn = 0
         totals = rows.column(total).to_pylist()
         for cands, n in zip(rows.column("candidates").to_pylist(), totals):
             if len(used) >= max(1, int(n * share)):
                 used.clear()
+                unused = None
             pick = next((c for c in cands or [] if c not in used), None)
             score = 1.0
             if pick is None:
@@ -209,13 +234,12 @@ def select_diverse(cuts: DataFrame, keys: Sequence[str], order: Sequence[str], t
                 score = 0.0
                 pick = place
                 if left:
-                    # the place-th rank that is not used
-                    for u in sorted(used):
-                        if u <= pick:
-                            pick += 1
-                        else:
-                            break
+                    if unused is None or len(unused.free) != n:
+                        unused = Unused(n, used)
+                    pick = unused.at(place)
             used.add(pick)
+            if unused is not None:
+                unused.take(pick)
             yield pick, score
 
     return _picks(cuts, keys, order, keep, choose)

@@ -89,6 +89,20 @@ def test_copies_of_a_hash_are_rows_of_a_class(spark):
     assert {(r.class_id, r.other, r.distance) for r in pairs.collect()} == {(lowest[a], lowest[b], far(a, b)) for a in lowest for b in lowest if a != b and far(a, b) <= 4}
 
 
+def test_places_among_unused_ranks():
+    rng = np.random.default_rng(4)
+    used = set(rng.choice(5000, 700, replace=False).tolist())
+    ranks = selection.Unused(5000, used)
+    for _ in range(1500):
+        left = [r for r in range(5000) if r not in used] if len(used) % 300 == 0 else None
+        place = int(rng.integers(5000 - len(used)))
+        pick = ranks.at(place)
+        assert pick not in used and (left is None or pick == left[place])
+        used.add(pick)
+        ranks.take(pick)
+    assert selection.Unused(3, {0, 2}).at(0) == 1
+
+
 def test_two_levels_place_every_row(spark):
     x = np.random.default_rng(2).normal(size=(500, 3))
     x[:200] = x[0]
